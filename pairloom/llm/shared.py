@@ -91,10 +91,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_powers: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n + 1, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out, out=out)
+    """base ** 0 to base ** n; those up to 2 ** 21 are kept."""
+    known = _powers.get(base)
+    if known is None or len(known) <= n:
+        known = np.full(max(n, min(2 * n, 1 << 21)) + 1, base, np.uint64)
+        known[0] = 1
+        np.multiply.accumulate(known, out=known)
+        if n <= 1 << 21:
+            _powers[base] = known
+    return known[: n + 1]
 
 
 def word_spans(data: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
