@@ -235,17 +235,22 @@ class MediaSource(DataSource):
         return MediaWriter(self.options["path"])
 
 
+def _register(spark: SparkSession) -> None:
+    spark.dataSource.register(MediaSource)
+    # Spark looks registered sources up in the thread's active session
+    SparkSession._get_j_spark_session_class(spark._jvm).setActiveSession(spark._jsparkSession)
+
+
 def store(docs: DataFrame, path: str) -> None:
     """Write the texts of docs as archives in a folder."""
-    spark = docs.sparkSession
-    spark.dataSource.register(MediaSource)
+    _register(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows.write.format("pairloom_media").mode("append").save(path)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, media of every member of the archives in a folder."""
-    spark.dataSource.register(MediaSource)
+    _register(spark)
     return spark.read.format("pairloom_media").load(path)
 
 

@@ -58,9 +58,10 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], budget: float,
 
 
 def _drawn(df: DataFrame) -> DataFrame:
-    """Adds key and u in (0, 1), a function of the row alone."""
-    h = F.xxhash64(F.lit(SEED), F.col("doc_id").isNull(), "doc_id", "text", "source")
-    return df.withColumn("key", h).withColumn("u", (F.shiftright(F.xxhash64("key", F.lit("u")), 11).cast("double") + F.lit(float(1 << 52)) + 0.5) / F.lit(float(1 << 53)))
+    """Adds key and u in (0, 1), a function of the row alone; MD5, so that other engines can check it."""
+    parts = [F.lit(str(SEED)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("source", F.lit("null")), F.md5(F.coalesce("text", F.lit("")))]
+    rows = df.withColumn("key", F.md5(F.concat_ws("|", *parts)))
+    return rows.withColumn("u", (F.conv(F.substring("key", 1, 13), 16, 10).cast("bigint") + F.lit(0.5)) / F.lit(float(1 << 52)))
 
 
 def _ranked(df: DataFrame) -> DataFrame:
