@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from pairloom.llm.shared import free_shuffles, row_key, small, written
+from pairloom.llm.shared import free_shuffles, let, row_key, small, written
 
 EDITS = 1
 #: Lines at one key beyond which its pairs are found by deletions.
@@ -41,7 +41,8 @@ _POSITION = 1 << 31
 
 
 def _norm(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"\s+", " "))
+    # single spaces, by far the most, are no match
+    return F.trim(F.regexp_replace(F.lower(line), r"\s{2,}|[\t\x0B\f\r]", " "))
 
 
 def _lines() -> Column:
@@ -96,8 +97,25 @@ def probe_keys(edits: int) -> Column:
     return F.array_distinct(F.array_compact(F.array(*out)))
 
 
-def within(a: Column, b: Column, edits: int) -> Column:
-    """Whether two columns of character arrays are within the edits: a banded bit-parallel automaton."""
+def within(x: Column | str, y: Column | str, edits: int) -> Column:
+    """Whether two texts are within the edits: a banded bit-parallel automaton over the characters of x.
+
+    Where the first halves are equal it starts after them: the path without an error
+    reaches that place, and every other one is no better. A state without a live
+    diagonal stays as it is.
+    """
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    half = F.floor(F.least(F.length(x), F.length(y)) / 2).cast("int")
+    skip = F.when(F.substring(x, F.lit(1), half) == F.substring(y, F.lit(1), half), half).otherwise(F.lit(0))
+
+    def over(s: Column) -> Column:
+        rest = F.struct(F.split(F.substring(x, s + 1, F.length(x)), "").alias("a"), F.split(F.substring(y, s + 1, F.length(y)), "").alias("b"))
+        return let(rest, lambda r: _within(r["a"], r["b"], edits))
+
+    return (F.abs(F.length(x) - F.length(y)) <= edits) & let(skip, over)
+
+
+def _within(a: Column, b: Column, edits: int) -> Column:
     band = 2 * edits + 1
     mask = (1 << band) - 1
     start = [((1 << (edits + e + 1)) - 1) >> edits << edits & mask for e in range(edits + 1)]  # up to e insertions first
@@ -107,13 +125,13 @@ def within(a: Column, b: Column, edits: int) -> Column:
         match = F.lit(0)
         for d in range(band):
             match = match + F.when(own == F.get(b, i + (d - edits)), F.lit(1 << d)).otherwise(F.lit(0))
-        return F.struct(*_advance(state, match, edits, mask))
+        alive = state[f"r{edits}"] != 0  # a word of more errors holds those of fewer
+        return F.when(alive, let(match, lambda m: F.struct(*_advance(state, m, edits, mask)))).otherwise(state)
 
     last = F.aggregate(F.sequence(F.lit(0), F.size(a) - 1), F.struct(*[F.lit(s).alias(f"r{e}") for e, s in enumerate(start)]), step)
     reach = F.size(b) - F.size(a) + edits
-    done = F.shiftright(last[f"r{edits}"], 0)
-    ok = (reach >= 0) & (reach < band)
-    return F.when(ok, done.bitwiseAND(F.element_at(F.array(*[F.lit(1 << d) for d in range(band)]), F.greatest(F.least(reach, F.lit(band - 1)), F.lit(0)) + 1)) != 0).otherwise(False)
+    bit = F.element_at(F.array(*[F.lit(1 << d) for d in range(band)]), F.greatest(F.least(reach, F.lit(band - 1)), F.lit(0)) + 1)
+    return (reach >= 0) & (reach < band) & (last[f"r{edits}"].bitwiseAND(bit) != 0)
 
 
 def _advance(state: Column, match: Column, edits: int, mask: int) -> list[Column]:
@@ -166,8 +184,8 @@ def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     free_shuffles(spark)
     chars = lines.select("h", F.col("norm"))
     both = small(pairs, n).join(chars.select(F.col("h").alias("a"), F.col("norm").alias("x")), "a")
-    both = both.join(chars.select(F.col("h").alias("b"), F.col("norm").alias("y")), "b").select("b", F.split("x", "").alias("x"), F.split("y", "").alias("y"))
-    near = both.where(within(F.col("x"), F.col("y"), edits)).select(F.col("b").alias("h")).distinct()
+    both = both.join(chars.select(F.col("h").alias("b"), F.col("norm").alias("y")), "b").select("b", "x", "y")
+    near = both.where(within("x", "y", edits)).select(F.col("b").alias("h")).distinct()
     return near.union(by_deletion).distinct() if by_deletion is not None else near
 
 
@@ -185,7 +203,7 @@ def dedup(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     # as many as a document has lines
     first = flagged.groupBy("d_").agg(F.sort_array(F.collect_list(F.when(F.col("near").isNull(), F.col("pos")))).alias("stay"), F.count("near").alias("n_near"))
     rows = docs.withColumn("d_", _doc_key()).join(first, "d_", "left").withColumn("lines_", _lines())
-    blank = F.filter(F.transform(F.col("lines_"), lambda x, i: F.when(_norm(x) == "", i)), lambda i: i.isNotNull())
+    blank = F.filter(F.transform(F.col("lines_"), lambda x, i: F.when(x.rlike(r"^\s*$"), i)), lambda i: i.isNotNull())
     rows = rows.withColumn("blank_", blank)
     stay = F.sort_array(F.concat(F.coalesce("stay", F.array().cast("array<int>")), "blank_"))
     text = F.array_join(F.transform(stay, lambda i: F.get("lines_", i)), "\n")

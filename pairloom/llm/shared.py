@@ -65,6 +65,11 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with value computed once however often f refers to it."""
+    return F.get(F.transform(F.array(value), lambda v: f(v)), 0)
+
+
 def row_key(text: str = "text", doc_id: str = "doc_id") -> Column:
     """A 64-bit key of a row; rows with equal id and text have equal keys. A null differs from an empty text."""
     return F.xxhash64(F.col(doc_id).isNull(), doc_id, F.col(text).isNull(), text, F.lit("row"))
