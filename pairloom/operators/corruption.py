@@ -325,7 +325,8 @@ def generate(pool: DataFrame, target: int, methods: dict[str, tuple[str, float]]
         tried = spark.range(n * tries).withColumnRenamed("id", "attempt").withColumn("domain", F.get(names, (draw(f"{name}-domain", "attempt") % len(domains)).cast("int")))
         tried = tried.join(F.broadcast(sizes), "domain").withColumn("index", draw(f"{name}-sentence", "attempt") % F.col("n")).drop("n")
         rows = tried.join(pool, ["domain", "index"])
-        rows = rows.withColumn("m", GENERATORS[name](F.col("sentence"), Draws(F.lit(name), "attempt"))).where("m is not null")
+        # explode keeps the filter from computing the example again
+        rows = rows.withColumn("m", F.explode(F.array(GENERATORS[name](F.col("sentence"), Draws(F.lit(name), "attempt"))))).where("m is not null")
         ok = sampling.numbered(rows.withColumn("all_", F.lit(1)), ["all_"], F.floor(F.col("attempt") * sampling.CELLS / F.lit(max(n * tries, 1))), ["attempt"], "rank").where(F.col("rank") < n)
         all_.append(ok.select(F.lit(name).alias("method"), "attempt", F.col("m.corrupted").alias("corrupted"), F.col("sentence").alias("clean"), "domain", F.col("m.error_types").alias("error_types"), F.col("m.num_errors").alias("num_errors"), F.lit(source).alias("source")))
     rows = reduce(lambda a, b: a.unionByName(b), all_)
@@ -413,17 +414,28 @@ def early_generate(pool: DataFrame, target: int) -> DataFrame:
 def edit_pairs(pool: DataFrame) -> DataFrame:
     """doc_id, pos, clean, corrupted, domain, source: one seeded edit (transpose, delete, double) of one word of four letters or more."""
     d = Draws("doc_id", "pos")
-    w = F.col("w")
-    rows = pool.withColumn("w", text.words("sentence"))
-    rows = rows.withColumn("c", F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.length(F.get(F.col("w"), i)) >= 4)).where(F.size("c") > 0)
-    rows = rows.withColumn("k", F.get("c", (d("pair-word") % F.size("c")).cast("int"))).withColumn("x", F.get("w", F.col("k"))).withColumn("op", (d("pair-op") % 3).cast("int"))
-    x, p = F.col("x"), F.col("p")
-    rows = rows.withColumn("p", (d("pair-pos") % (F.length("x") - 2)).cast("int") + 1)
-    edited = F.when(F.col("op") == 0, _put(x, p, F.concat(_char(x, p + 1), _char(x, p)), 2)).when(F.col("op") == 1, _put(x, p, F.lit(""), 1)).otherwise(_put(x, p, F.concat(_char(x, p), _char(x, p)), 1))
-    rows = rows.withColumn("y", edited)
-    corrupted = F.array_join(F.transform("w", lambda v, i: F.when(i == F.col("k"), F.col("y")).otherwise(v)), " ")
-    rows = rows.select("doc_id", "pos", F.array_join("w", " ").alias("clean"), corrupted.alias("corrupted"), "domain", F.concat(F.lit("edit_"), F.col("op")).alias("source"))
-    return rows.where(F.col("clean") != F.col("corrupted"))
+
+    def edit(x: Column, op: Column, p: Column) -> Column:
+        return F.when(op == 0, _put(x, p, F.concat(_char(x, p + 1), _char(x, p)), 2)).when(op == 1, _put(x, p, F.lit(""), 1)).otherwise(_put(x, p, F.concat(_char(x, p), _char(x, p)), 1))
+
+    def over(w: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0))), lambda i: F.length(F.get(w, i)) >= 4)
+
+        def made(k: Column) -> Column:
+            x = F.get(w, k)
+            drawn = F.struct((d("pair-op") % 3).cast("int").alias("op"), ((d("pair-pos") % F.greatest(F.length(x) - 2, F.lit(1))).cast("int") + 1).alias("p"))
+
+            def put(s: Column) -> Column:
+                corrupted = text.let(edit(x, s["op"], s["p"]), lambda y: F.array_join(F.transform(w, lambda v, i: F.when(i == k, y).otherwise(v)), " "))
+                return F.struct(F.array_join(w, " ").alias("clean"), corrupted.alias("corrupted"), F.concat(F.lit("edit_"), s["op"]).alias("source"))
+
+            return F.when(k.isNotNull(), text.let(drawn, put))
+
+        return text.let(text.let(places, lambda c: F.get(c, (d("pair-word") % F.greatest(F.size(c), F.lit(1))).cast("int"))), made)
+
+    # explode keeps later filters from computing the edit again
+    rows = pool.select("doc_id", "pos", "domain", F.explode(F.array(text.let(text.words("sentence"), over))).alias("e")).where("e is not null")
+    return rows.select("doc_id", "pos", "e.clean", "e.corrupted", "domain", "e.source").where(F.col("clean") != F.col("corrupted"))
 
 
 def examples(pairs: DataFrame, *key: str) -> DataFrame:

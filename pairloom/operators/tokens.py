@@ -15,10 +15,13 @@ OFFSET = 3
 
 def byte_ids(c: Column | str, most: int = 512) -> Column:
     """UTF-8 bytes plus OFFSET, then the end id, cut to `most` ids."""
-    h = F.hex(F.encode(text.col(c), "UTF-8"))
-    n = F.least((F.length(h) / 2).cast("int"), F.lit(most - 1))
-    ids = F.when(n < 1, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int") + OFFSET))
-    return F.concat(ids, F.array(F.lit(1)))
+
+    def ids(h: Column) -> Column:
+        n = F.least((F.length(h) / 2).cast("int"), F.lit(most - 1))
+        own = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int") + OFFSET)
+        return F.concat(F.when(n < 1, F.array().cast("array<int>")).otherwise(own), F.array(F.lit(1)))
+
+    return text.let(F.hex(F.encode(text.col(c), "UTF-8")), ids)
 
 
 def padded(ids: Column, most: int) -> tuple[Column, Column]:
