@@ -182,9 +182,10 @@ def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     pairs = written(pairs, "lines-pairs")
     n = pairs.count()
     free_shuffles(spark)
-    chars = lines.select("h", F.col("norm"))
-    both = small(pairs, n).join(chars.select(F.col("h").alias("a"), F.col("norm").alias("x")), "a")
-    both = both.join(chars.select(F.col("h").alias("b"), F.col("norm").alias("y")), "b").select("b", "x", "y")
+    # only lines of a pair travel with their text
+    members = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
+    texts = written(lines.select("h", "norm").join(small(members, 2 * n), "h", "left_semi"), "lines-texts")
+    both = pairs.join(texts.select(F.col("h").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("norm").alias("y")), "b")
     near = both.where(within("x", "y", edits)).select(F.col("b").alias("h")).distinct()
     return near.union(by_deletion).distinct() if by_deletion is not None else near
 
