@@ -29,9 +29,9 @@ def read_permissive(spark: SparkSession, path: str, schema: str = EXAMPLE) -> Da
 
 def bad_lines(spark: SparkSession, path: str, schema: str = EXAMPLE) -> DataFrame:
     """file, line (text) of what does not parse."""
-    rows = spark.read.schema(f"{schema}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    parsed = rows.select(F.input_file_name().alias("file"), F.col("_bad").alias("line"), *[F.col(c) for c in rows.columns if c != "_bad"])
-    return parsed.where("line is not null").select("file", "line")
+    parsed = F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = spark.read.text(path).where("trim(value) != ''").select(F.input_file_name().alias("file"), F.col("value").alias("line"), parsed["_bad"].alias("bad"))
+    return rows.where("bad is not null").select("file", "line")
 
 
 def with_defaults(df: DataFrame) -> DataFrame:

@@ -66,7 +66,7 @@ def test_row_issues(spark):
     assert kinds("The little house stands alone there", "The littel house stands alone there") == set()
     assert ("FAIL", "word_count") in kinds("too few words", "too fw words") and ("FAIL", "char_count") in kinds("a b c d", "a b c e")
     assert ("FAIL", "insufficient_change") in kinds("The little house stands alone there", "The little house stands alone there")
-    assert ("FAIL", "excessive_change") in kinds("The little house stands alone there", "little The house stands alone there")
+    assert ("FAIL", "excessive_change") in kinds("The little house stands alone there", "aThe little house stands alone there")
     assert ("WARNING", "problematic_pattern") in kinds("The little house 12345 stands", "The littel house 12345 stands")
     assert ("FAIL", "meaningless") in kinds("We go to it as he is in", "We og to it as he is in")
 
