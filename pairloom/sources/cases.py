@@ -47,7 +47,7 @@ CASES = {
             ("Enviromental protecton requires imediate atention.", "Environmental protection requires immediate attention."),
         ],
     },
-    "byt5_12": {
+    "short_12": {
         "all": [
             ("I beleive this is teh correct answr.", "I believe this is the correct answer."),
             ("This is a sentnce with mny typos.", "This is a sentence with many typos."),
