@@ -167,7 +167,7 @@ def clean_chat(c: Column | str) -> Column:
 def cut_markers(c: Column, markers: list[str]) -> Column:
     """Cut at each marker in turn: sought in any case, cut in its own."""
     for m in markers:
-        c = F.when(F.contains(F.lower(c), F.lit(m.lower())), strip(F.substring_index(c, m, 1))).otherwise(c)
+        c = let(c, lambda x, m=m: F.when(F.contains(F.lower(x), F.lit(m.lower())), strip(F.substring_index(x, m, 1))).otherwise(x))
     return c
 
 
@@ -188,7 +188,7 @@ def clean_cautious(c: Column | str) -> Column:
     s = F.when(F.contains(s, F.lit(".")), F.concat(strip(F.substring_index(s, ".", 1)), F.lit("."))).otherwise(s)
     s = strip(F.replace(s, F.lit("#"), F.lit("")))
     for p in UNWANTED:
-        s = F.when(F.startswith(F.lower(s), F.lit(p.lower())), strip(F.substring(s, len(p) + 1, 1 << 20))).otherwise(s)
+        s = let(s, lambda x, p=p: F.when(F.startswith(F.lower(x), F.lit(p.lower())), strip(F.substring(x, len(p) + 1, 1 << 20))).otherwise(x))
     return s
 
 
