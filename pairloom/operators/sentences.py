@@ -10,7 +10,7 @@ from pyspark.sql import window as W
 
 from pairloom.functions import lexicons, text
 
-#: Documents shorter than this are left out; so many pieces of each are looked at.
+#: Documents shorter than this are left out; so many pieces of each are looked at where a text is capped.
 MIN_CHARS, MOST_PIECES = 30, 10
 
 
@@ -95,9 +95,9 @@ def classify(s: Column | str) -> Column:
     return F.when(best["score"] > 5, best["domain"]).otherwise(F.lit("general"))
 
 
-def pool(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, sentence, domain: good sentences, of near duplicates the first."""
-    good = split(docs).where(is_high_quality("sentence"))
+def pool(docs: DataFrame, most: int | None = None) -> DataFrame:
+    """doc_id, pos, sentence, domain: good sentences of whole texts (or of their first `most` pieces), of near duplicates the first."""
+    good = split(docs, most=most).where(is_high_quality("sentence"))
     return first_of(good, text.fingerprint("sentence"), "doc_id", "pos").withColumn("domain", classify("sentence"))
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,13 +12,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: How an oracle keeps a prefix of each text's pieces.
+CUT = "[1:10]"
+
+
 def query(name: str, sql: str | None = None):
-    """Register a query; `sql` is its DuckDB oracle."""
+    """Register a query; `sql` is its DuckDB oracle.
+
+    A query that takes `most` reads the first pieces of each text, as its oracle does; it
+    is registered again as NAME_whole, over all pieces, with the oracle without the cut.
+    """
 
     def keep(f):
         QUERIES[name] = f
         if sql is not None:
             ORACLES[name] = sql
+        if "most" in inspect.signature(f).parameters:
+            QUERIES[f"{name}_whole"] = partial(f, most=None)
+            if sql is not None:
+                ORACLES[f"{name}_whole"] = sql.replace(CUT, "")
         return f
 
     return keep
