@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from pairloom.operators import chat, corruption, profiling, sampling, scoring, s
 from pairloom.operators.sentences import MOST_PIECES
 from pairloom.plans import oracle
 from pairloom.plans.curate import docs, pool
-from pairloom.plans.registry import query
+from pairloom.plans.registry import ORACLES, query
 from pairloom.sources import files
 
 
@@ -40,6 +42,19 @@ def _first_word(spark, sf, f) -> DataFrame:
     return rows.select("doc_id", "pos", "word", f(F.col("word"), d).alias("made"))
 
 
+def _every_word(spark, sf, f) -> DataFrame:
+    """doc_id, pos, nth, word, made: a word corruption applied to every word of every sentence of the whole texts."""
+    words = sentences.split(docs(spark, sf), most=None).select("doc_id", "pos", F.posexplode(text.words("sentence")).alias("nth", "word"))
+    return words.select("doc_id", "pos", "nth", "word", f(F.col("word"), corruption.Draws("doc_id", "pos", "nth")).alias("made"))
+
+
+def _every_sql(sql: str, source: str) -> str:
+    """The oracle of a word corruption over `source`, as that of _every_word: nth is in the draws' key and in the result."""
+    words = f"WITH {oracle.pieces(most=None)}, w AS (SELECT doc_id, pos, {words_sql('sentence')} AS w FROM sentences), f AS (SELECT doc_id, pos, generate_subscripts(w, 1) - 1 AS nth, unnest(w) AS word FROM w)"
+    sql = sql.replace(source, words).replace("CAST(pos AS VARCHAR)", "CAST(pos AS VARCHAR), CAST(nth AS VARCHAR)")
+    return sql.replace("SELECT doc_id, pos, word, CASE", "SELECT doc_id, pos, nth, word, CASE")
+
+
 _FIRST = f"WITH {oracle.pool()}, f AS (SELECT doc_id, pos, {words_sql('sentence')}[1] AS word FROM pool)"
 
 
@@ -159,9 +174,32 @@ def contextual_then_than(spark, sf):
     return rows.select("doc_id", F.array_join(corruption.contextual(F.split("t", " "), corruption.Draws("doc_id", "pos")), " ").alias("made"))
 
 
+_THEN_FROM = f"""WITH {oracle.values(_THEN, "doc_id, pos, t", "f")}, w AS (SELECT *, string_split(t, ' ') AS w FROM f)
+SELECT doc_id,"""
+_THEN_EVERY = f"""WITH {oracle.pieces(most=None)}, w AS (SELECT doc_id, pos, {words_sql('sentence')} AS w FROM sentences)
+SELECT doc_id, pos,"""
+
+
+@query("contextual_then_than_whole", ORACLES["contextual_then_than"].replace(_THEN_FROM, _THEN_EVERY))
+def contextual_then_than_whole(spark, sf):
+    rows = sentences.split(docs(spark, sf), most=None)
+    return rows.select("doc_id", "pos", F.array_join(corruption.contextual(text.words("sentence"), corruption.Draws("doc_id", "pos")), " ").alias("made"))
+
+
+for _name, _source, _f in (
+    ("pair_keyboard", _FIRST, corruption.keyboard_error),
+    ("pair_character", _FIRST, corruption.character_error),
+    ("pair_phonetic", f"WITH {_lexicon_values(_SOUNDS)}", corruption.phonetic_error),
+    ("pair_contraction", f"WITH {_lexicon_values(lexicons.CONTRACTIONS)}", corruption.contraction_error),
+    ("pair_compound", f"WITH {_lexicon_values(lexicons.COMPOUNDS)}", corruption.compound_error),
+    ("pair_double_letter", f"WITH {_lexicon_values(lexicons.DOUBLE_LETTERS)}", corruption.double_letter_error),
+):
+    query(f"{_name}_whole", _every_sql(ORACLES[_name], _source))(partial(_every_word, f=_f))
+
+
 @query("corrupt_words")
 def corrupt_words(spark, sf):
-    return _first_word(spark, sf, lambda w, d: corruption.corrupt_word(w, d, 0.8))
+    return _every_word(spark, sf, lambda w, d: corruption.corrupt_word(w, d, 0.8))
 
 
 @query("corrupt_sentences")

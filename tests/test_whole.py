@@ -1,6 +1,7 @@
-"""Whole texts: what comes after the tenth piece of a document counts."""
+"""Whole texts: what comes after the tenth piece of a document, and after a sentence's first word, counts."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from pairloom.operators import sentences
@@ -28,3 +29,15 @@ def test_all_pieces(spark, tables, name, n):
 def test_pool_is_whole(spark, tables):
     assert sentences.pool(spark.read.parquet(f"{tables}/documents.parquet")).count() == 15
     assert entry.queries()["corrupt_sentences"](spark, tables).count() == 15
+
+
+@pytest.mark.parametrize("name", ["pair_keyboard_whole", "pair_phonetic_whole", "pair_contraction_whole", "pair_compound_whole", "pair_double_letter_whole", "corrupt_words"])
+def test_every_word(spark, tables, name):
+    rows = entry.queries()[name](spark, tables)
+    assert rows.count() == 15 * 7 and rows.select("pos", "nth").distinct().count() == 15 * 7
+    assert rows.where(F.col("word") == "definitely").count() == 15
+
+
+def test_then_in_sentences(spark, tables):
+    rows = entry.queries()["contextual_then_than_whole"](spark, tables)
+    assert rows.count() == 15 and rows.where("made like '%definitely jump home quickly then.'").count() == 15
