@@ -18,8 +18,9 @@ bound, else they are joined by shuffle.
 
 Cases: null and empty texts match nothing; an item of fewer than five words matches
 documents whose whole word sequence equals it; rows that repeat give one result per
-row key; a null doc_id is reported as null; no documents or no items give no rows;
-other columns do not matter.
+row key; item rows with equal id and words count once, unlike texts under one id are
+items of their own; a null doc_id or item_id is reported as null; no documents or no
+items give no rows; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -56,8 +57,10 @@ def _hash(*words: Column) -> Column:
 
 
 def _items(items: DataFrame, width: int, share: float) -> DataFrame:
-    """item_id, shingles (distinct strings), n, and which of them (by hash) are the sketch."""
-    rows = items.select("item_id", _words().alias("w")).where(F.size("w") > 0).select("item_id", F.array_distinct(_shingles(F.col("w"), width, _text)).alias("shingles"))
+    """key (never null), item_id, shingles (distinct strings), n, and m, of how many of them (by hash) the sketch is; one row for each distinct item."""
+    key = F.xxhash64(F.col("item_id").isNull(), "item_id", F.array_join("w", " "), F.lit("item"))
+    rows = items.select("item_id", _words().alias("w")).where(F.size("w") > 0).withColumn("key", key).dropDuplicates(["key"])
+    rows = rows.select("key", "item_id", F.array_distinct(_shingles(F.col("w"), width, _text)).alias("shingles"))
     rows = rows.withColumn("n", F.size("shingles")).withColumn("partition", F.ceil(F.log2(F.col("n").cast("double"))).cast("int"))
     # the most shingles that an item of the partition may lack, and one more
     most = F.pow(F.lit(2.0), F.col("partition"))
@@ -70,21 +73,21 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: f
     # the hash of a shingle's words, as documents compute it
     parts = F.split(F.col("s"), " ")
     hashed = F.when(F.size(parts) == width, F.xxhash64(*[F.get(parts, F.lit(k)) for k in range(width)])).otherwise(F.xxhash64("s"))
-    index = table.select("item_id", "m", F.explode("shingles").alias("s")).withColumn("h", hashed)
-    rank = F.row_number().over(W.Window.partitionBy("item_id").orderBy("h", "s"))
-    index = written(index.withColumn("r", rank).where(F.col("r") <= F.col("m")).select("h", "item_id").distinct(), "decontam-index")
+    index = table.select("key", "m", F.explode("shingles").alias("s")).withColumn("h", hashed)
+    rank = F.row_number().over(W.Window.partitionBy("key").orderBy("h", "s"))
+    index = written(index.withColumn("r", rank).where(F.col("r") <= F.col("m")).select("h", "key").distinct(), "decontam-index")
     n_index = index.count()
     keyed = docs.select(row_key().alias("rk"), F.col("doc_id"), "text")
     words = keyed.select("rk", _words().alias("w"))
     hashes = words.select("rk", F.explode(_shingles(F.col("w"), width, _hash)).alias("h"))
-    found = hashes.join(small(index, n_index), "h").groupBy("rk").agg(F.collect_set("item_id").alias("items"))
+    found = hashes.join(small(index, n_index), "h").groupBy("rk").agg(F.collect_set("key").alias("items"))
     found = written(found, "decontam-found")
     n_found = found.count()
     rows = keyed.join(small(found, n_found), "rk").dropDuplicates(["rk"])
     rows = rows.select("rk", "doc_id", "items", _words().alias("w"))
     rows = rows.select("rk", "doc_id", "items", F.array_distinct(_shingles(F.col("w"), width, _text)).alias("own"))
-    pairs = rows.select("rk", "doc_id", F.explode("items").alias("item_id"), "own")
-    pairs = pairs.join(small(table.select("item_id", "shingles", "n"), table.count()), "item_id")
+    pairs = rows.select("rk", "doc_id", F.explode("items").alias("key"), "own")
+    pairs = pairs.join(small(table.select("key", "item_id", "shingles", "n"), table.count()), "key")
     pairs = pairs.withColumn("n_found", F.size(F.array_intersect("shingles", "own")))
     pairs = pairs.select("rk", "doc_id", "item_id", F.col("n").alias("n_shingles"), "n_found", (F.col("n_found") / F.col("n")).alias("containment"))
     return pairs.where(F.col("n_found") >= F.ceil(F.col("n_shingles") * share - 1e-9))
