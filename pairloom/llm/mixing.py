@@ -7,7 +7,9 @@ target / source words; their whole part is allocated at once, and the rest is
 its inclusion probability p. The remaining words of a source are drawn by
 Pareto order sampling: each document draws U in (0, 1) from a seeded hash and is
 ranked by Q = (U / (1 - U)) / (p / (1 - p)); the first ones are taken until their
-words come nearest to the remainder. One closing document fills what gap is left.
+words come nearest to the remainder. One closing document fills what gap is left; where
+it leaves a gap that another one narrows, documents larger than the gap are passed over
+and the search goes on among the rest of the ranked order, until none narrows it.
 
 The order statistics are found without sorting a source in one task: sums over
 1024 cells of the normalised rank find the cell in which the cut lies, sums over
@@ -80,23 +82,11 @@ def _cell(v, level: int) -> F.Column:
     return F.floor(v * float(CELLS**level)).cast("long")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float = 1.5, most: float = 2.0) -> DataFrame:
-    """docs with size, source_size, target, copies and taken; copies is how often the mix holds the row."""
-    kept = [c for c in docs.columns if c not in OWN]
-    docs = docs.select(*kept)
-    slim = written(_drawn(docs.select("doc_id", "source", "text", n_words(F.col("text")).alias("size"))).select("source", "size", "key", "u"), "mix")
-    targets = written(source_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, most), "mix-targets")
-    n = targets.count()
-
-    def with_sources(df: DataFrame, table: DataFrame) -> DataFrame:
-        right = table.withColumnRenamed("source", "s_")
-        return df.join(small(right, n), F.col("source").eqNullSafe(F.col("s_"))).drop("s_")
-
-    rows = _ranked(with_sources(slim, targets)).where(F.col("v").isNotNull()).select("source", "size", "key", "u", "v", "base", "target", "source_size")
-    rest = targets.withColumn("rest", F.col("target") - F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1))) * F.col("source_size")).select("source", "rest")
+def _round(rows: DataFrame, rest: DataFrame, with_sources, pass_over: bool) -> tuple[DataFrame, DataFrame]:
+    """(source, rest, v_cut, words, gap) and (source, closing, closed): the ranked prefix that fits into the rest, and the closing document."""
     # down to the sub-cell in which the cut lies; before: the words of all cells before it
     cut = rest.withColumn("cell", F.lit(0).cast("long")).withColumn("before", F.lit(0).cast("long"))
-    inside = rows
+    inside = with_sources(rows, rest).where(F.col("size") <= F.col("rest")).drop("rest") if pass_over else rows
     for level in (1, 2):
         sums = inside.groupBy("source", _cell(F.col("v"), level).alias("cell")).agg(F.sum("size").alias("words"))
         upto = W.Window.partitionBy("source").orderBy("cell").rowsBetween(W.Window.unboundedPreceding, -1)
@@ -114,16 +104,55 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float =
     last = with_sources(last, cut)
     # rows up to v_cut are taken; with none of the sub-cell that is its lower end
     last = last.select("source", "rest", F.coalesce("v_last", F.col("cell") / float(CELLS**2) - 1e-18).alias("v_cut"), F.coalesce("sum_last", "before").alias("words"))
+    last = rest.select(F.col("source").alias("l_"), F.col("rest").alias("all")).join(last, F.col("source").eqNullSafe(F.col("l_")), "left")
+    last = last.select(F.col("l_").alias("source"), F.col("all").alias("rest"), F.coalesce("v_cut", F.lit(-1.0)).alias("v_cut"), F.coalesce("words", F.lit(0)).alias("words"))
     last = written(last.withColumn("gap", F.col("rest") - F.col("words")), "mix-last")
     off = F.abs(F.col("size") - F.col("gap"))
-    open_rows = with_sources(rows.groupBy("source", "v", "key").agg(F.sum("size").alias("size")), last.select("source", "v_cut", "gap")).where((F.col("v") > F.col("v_cut")) & (off < F.col("gap")))
-    closing = open_rows.groupBy("source").agg(F.min(F.struct(off.alias("off"), "v", "key"))["key"].alias("closing"))
-    law = targets.join(last.select(F.col("source").alias("l_"), "v_cut"), F.col("source").eqNullSafe(F.col("l_")), "left").drop("l_")
-    law = written(law.join(closing.withColumnRenamed("source", "c_"), F.col("source").eqNullSafe(F.col("c_")), "left").drop("c_"), "mix-law")
+    open_rows = with_sources(rows.groupBy("source", "v", "key").agg(F.sum("size").alias("size")), last.select("source", "v_cut", "rest", "gap")).where(((F.col("v") > F.col("v_cut")) | (F.col("size") > F.col("rest"))) & (off < F.col("gap")))
+    closing = open_rows.groupBy("source").agg(F.min(F.struct(off.alias("off"), "v", "key", "size")).alias("x"))
+    return last, closing.select("source", F.col("x.key").alias("closing"), F.col("x.size").alias("closed"))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float = 1.5, most: float = 2.0) -> DataFrame:
+    """docs with size, source_size, target, copies and taken; copies is how often the mix holds the row."""
+    kept = [c for c in docs.columns if c not in OWN]
+    docs = docs.select(*kept)
+    slim = written(_drawn(docs.select("doc_id", "source", "text", n_words(F.col("text")).alias("size"))).select("source", "size", "key", "u"), "mix")
+    targets = written(source_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, most), "mix-targets")
+    n = targets.count()
+
+    def with_sources(df: DataFrame, table: DataFrame) -> DataFrame:
+        right = table.withColumnRenamed("source", "s_")
+        return df.join(small(right, n), F.col("source").eqNullSafe(F.col("s_"))).drop("s_")
+
+    rows = _ranked(with_sources(slim, targets)).where(F.col("v").isNotNull()).select("source", "size", "key", "u", "v", "base", "target", "source_size")
+    rest = targets.withColumn("rest", F.col("target") - F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1))) * F.col("source_size")).select("source", "rest")
+    taken, laws, k = F.lit(False), targets, 0
+    while True:
+        last, closing = _round(rows.where(~taken), rest, with_sources, k > 0)
+        v, key, limit = f"v_cut{k}", f"closing{k}", f"limit{k}"
+        law = last.join(closing.withColumnRenamed("source", "c_"), F.col("source").eqNullSafe(F.col("c_")), "left").drop("c_")
+        law = written(law, "mix-law")
+        now = law.select(F.col("source").alias("l_"), F.col("v_cut").alias(v), F.col("closing").alias(key), F.col("rest").alias(limit))
+        laws = laws.join(now, F.col("source").eqNullSafe(F.col("l_")), "left").drop("l_")
+        # the first round takes the ranked prefix; later ones pass over documents larger than what was left
+        prefix = (F.col("v") <= F.col(v)) & (F.col("size") <= F.col(limit))
+        mine = F.coalesce(prefix, F.lit(False)) | F.coalesce(F.col("key") == F.col(key), F.lit(False))
+        taken = taken | mine
+        # on with the sources whose closing document leaves a gap that another document narrows
+        left = law.where("closing is not null").select("source", (F.col("gap") - F.col("closed")).alias("rest")).where("rest > 0")
+        rows = with_sources(rows, now.withColumnRenamed("l_", "source"))
+        open_ = with_sources(rows.where(~taken), left).where(F.col("size") < 2 * F.col("rest"))
+        rest = written(open_.groupBy("source").agg(F.max("rest").alias("rest")), "mix-rest")
+        if not rest.count():
+            break
+        rows = with_sources(rows, rest).drop("rest")
+        k += 1
+    laws = written(laws, "mix-laws")
     out = docs.withColumn("size", n_words(F.col("text")))
     out = out.select(F.struct(*kept).alias("row_"), F.struct("size").alias("size_"), *[F.col(c) for c in ("doc_id", "text", "source")], "size")
-    out = _ranked(with_sources(_drawn(out), law))
-    extra = F.coalesce((F.col("v") <= F.col("v_cut")) | (F.col("key") == F.col("closing")), F.lit(False)).cast("long")
+    out = _ranked(with_sources(_drawn(out), laws))
+    extra = taken.cast("long")
     copies = F.col("base") + F.when(F.col("v").isNotNull(), extra).otherwise(0)
     out = out.withColumn("copies", copies)
     return out.select("row_.*", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
