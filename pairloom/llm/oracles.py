@@ -36,15 +36,28 @@ k AS (SELECT n.doc_id, n.pos, n.line, n.norm <> '' AS filled, n.norm <> '' AND u
 FROM n LEFT JOIN u ON u.norm = n.norm LEFT JOIN near ON near.norm = n.norm)
 SELECT doc_id, count(*) FILTER (filled) AS n_lines, count(*) FILTER (NOT stays) AS n_removed, count(*) FILTER (is_near) AS n_near, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (stays), '')) AS kept_sha256 FROM k GROUP BY doc_id"""
 
-MIXING = f"""WITH s AS (SELECT doc_id, source, len({_SPLIT}) AS size, md5(concat_ws('|', '20260101', coalesce(CAST(doc_id AS VARCHAR), 'null'), coalesce(source, 'null'), md5(coalesce(text, '')))) AS key FROM documents),
+MIXING = f"""WITH RECURSIVE s AS MATERIALIZED (SELECT doc_id, source, len({_SPLIT}) AS size, md5(concat_ws('|', '20260101', coalesce(CAST(doc_id AS VARCHAR), 'null'), coalesce(source, 'null'), md5(coalesce(text, '')))) AS key FROM documents),
 z AS (SELECT source, sum(size)::BIGINT AS source_size FROM s GROUP BY source),
 r AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w, 2.0::DOUBLE * source_size AS cap FROM z),
 l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
 t AS (SELECT *, least(cap, (SELECT arg_min(level, cap / w) FROM l WHERE cap / w >= level) * w) AS target FROM l),
-p AS (SELECT s.*, source_size, target, floor(target / greatest(source_size, 1)) AS base, CAST('0x' || substr(key, 1, 13) AS BIGINT) AS v FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
-v AS (SELECT *, target - base * source_size AS rest, target / greatest(source_size, 1) > base AND size > 0 AS open_ FROM p),
-c AS (SELECT *, open_ AND sum(CASE WHEN open_ THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY v) <= rest AS fits FROM v),
-g AS (SELECT *, rest - coalesce(sum(CASE WHEN fits THEN size END) OVER (PARTITION BY source), 0) AS gap FROM c),
-o AS (SELECT source, arg_min(key, (abs(size - gap), v, key)) AS closing FROM g WHERE open_ AND NOT fits AND abs(size - gap) < gap GROUP BY source),
-e AS (SELECT g.*, (base + (fits OR (open_ AND coalesce(key = closing, false)))::INT)::BIGINT AS copies FROM g LEFT JOIN o ON g.source IS NOT DISTINCT FROM o.source)
+g AS (SELECT source, length(bin(size)) AS digits, sum(size)::DOUBLE AS words FROM s WHERE size > 0 GROUP BY ALL),
+i AS (SELECT g.*, t.target, (t.target - coalesce(sum(2.0::DOUBLE * words) OVER (PARTITION BY g.source ORDER BY digits DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(digits * words) OVER (PARTITION BY g.source ORDER BY digits DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM g JOIN t ON g.source IS NOT DISTINCT FROM t.source),
+j AS (SELECT *, least(2.0::DOUBLE, (arg_max(level, digits) FILTER (WHERE 2.0::DOUBLE * words / (digits * words) >= level) OVER (PARTITION BY source)) * digits) AS e FROM i),
+b AS (SELECT *, floor(e + 1e-9::DOUBLE) AS base, CASE WHEN e - floor(e + 1e-9::DOUBLE) > 1e-9::DOUBLE THEN e - floor(e + 1e-9::DOUBLE) END AS p FROM j),
+y AS (SELECT *, target - sum(base * words) OVER (PARTITION BY source) AS open_, sum(CASE WHEN p IS NOT NULL THEN words END) OVER (PARTITION BY source) AS drawn FROM b),
+u AS (SELECT s.*, source_size, t.target, base, p, open_, (CAST('0x' || substr(key, 1, 13) AS BIGINT) + 0.5::DOUBLE) / (1::BIGINT << 52)::DOUBLE AS u,
+ greatest(open_ / greatest(drawn - open_, 1.0::DOUBLE), 1e-9::DOUBLE) AS even FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source LEFT JOIN y ON s.source IS NOT DISTINCT FROM y.source AND length(bin(s.size)) = y.digits AND s.size > 0),
+x AS (SELECT *, u / (1 - u) / (p / (1 - p)) * even AS q FROM u),
+v AS MATERIALIZED (SELECT *, q / (1 + q) AS v FROM x),
+c AS MATERIALIZED (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY v, key) <= open_ AS fits FROM v WHERE v IS NOT NULL),
+a AS (SELECT source, max(open_) - coalesce(sum(size) FILTER (fits), 0) AS gap FROM c GROUP BY source),
+n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size DESC) AS k FROM (SELECT c.source, size, count(*) AS n FROM c JOIN a ON c.source IS NOT DISTINCT FROM a.source WHERE NOT fits AND size < 2 * gap GROUP BY ALL)),
+f AS (SELECT source, 0::BIGINT AS k, gap::DOUBLE AS gap, 0::BIGINT AS size, 0::BIGINT AS t, NULL::BIGINT AS next FROM a
+ UNION ALL SELECT f.source, n.k, f.gap - least(n.n, floor(f.gap / n.size)) * n.size, n.size, least(n.n, floor(f.gap / n.size))::BIGINT, CASE WHEN floor(f.gap / n.size) < n.n THEN n.size ELSE f.next END FROM f JOIN n ON f.source IS NOT DISTINCT FROM n.source AND n.k = f.k + 1),
+m AS (SELECT source, arg_max(gap, k) AS gap, arg_max(coalesce(next, 0), k) AS next FROM f GROUP BY source),
+o AS (SELECT source, size, sum(t) * size AS most FROM (SELECT source, size, t FROM f WHERE t > 0 UNION ALL SELECT source, next, 1 FROM m WHERE next > 0 AND next - gap < gap) GROUP BY source, size),
+d AS (SELECT DISTINCT source, key FROM (SELECT c.source, key, sum(c.size) OVER (PARTITION BY c.source, c.size ORDER BY v, key) <= most AS fits FROM c JOIN o ON c.source IS NOT DISTINCT FROM o.source AND c.size = o.size WHERE NOT c.fits) WHERE fits
+ UNION SELECT source, key FROM c WHERE fits),
+e AS (SELECT v.*, CASE WHEN v.size > 0 THEN (base + (d.key IS NOT NULL)::INT)::BIGINT ELSE 0 END AS copies FROM v LEFT JOIN d ON v.source IS NOT DISTINCT FROM d.source AND v.key = d.key)
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM e"""
