@@ -343,21 +343,91 @@ def test_mixing(docs, rows):
     assert mixed.where("size != 1 or copies != 2").count() == 0
 
 
+def _png_samples(image):
+    """A plain decoder of greyscale PNGs, written from the format's description: all filters, any chunks."""
+    assert image[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+    at, packed, head = 8, b"", None
+    while at < len(image):
+        n = int.from_bytes(image[at : at + 4], "big")
+        kind, body = image[at + 4 : at + 8], image[at + 8 : at + 8 + n]
+        assert zlib.crc32(kind + body) == int.from_bytes(image[at + 8 + n : at + 12 + n], "big")
+        if kind == b"IHDR":
+            head = (int.from_bytes(body[:4], "big"), int.from_bytes(body[4:8], "big"), *body[8:])
+        elif kind == b"IDAT":
+            packed += body
+        at += 12 + n
+    width, height, depth, colour, *_ = head
+    assert (depth, colour) == (8, 0)
+    flat, out, above = zlib.decompress(packed), [], [0] * width
+    for y in range(height):
+        kind, raw = flat[y * (width + 1)], flat[y * (width + 1) + 1 : (y + 1) * (width + 1)]
+        row = []
+        for x, v in enumerate(raw):
+            a, b, c = row[x - 1] if x else 0, above[x], above[x - 1] if x else 0
+            p = a + b - c
+            paeth = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+            row.append((v + (0, a, b, (a + b) // 2, paeth)[kind]) % 256)
+        out.append(bytes(row))
+        above = row
+    return b"".join(out)
+
+
+def _payload(t):
+    raw = (t or "").encode()
+    return raw + b"\0" * (max(-(-len(raw) // 64), 1) * 64 - len(raw))
+
+
 def test_media(docs, rows):
     got = media.media_query(docs).collect()
-    assert len(got) == len(rows)
     want = Counter()
     for i, t, *_ in rows:
-        raw = (t or "").encode()
-        p = media.padded(raw)
-        assert len(p) % 64 == 0 and len(p) > 0
-        image = media.encode(p, len(raw))
-        assert media.decode(image) == (p, len(raw))
-        want[i, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(image), hashlib.sha256(image).hexdigest(), media.feature(p)] += 1
-    assert Counter(map(tuple, got)) == want
+        p = _payload(t)
+        want[i, len((t or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])] += 1
+    assert Counter((x.doc_id, x.n_bytes, x.payload_bytes, x.payload_sha256, x.tail_crc32) for x in got) == want
+    for x in got[:30]:
+        (p,) = {_payload(r[1]) for r in rows if hashlib.sha256(_payload(r[1])).hexdigest() == x.payload_sha256}
+        v = np.frombuffer(p, np.uint8).astype(float)
+        assert x.feature == f"mean={v.mean():.4f};std={v.std():.4f};step={np.abs(np.diff(v)).mean():.4f};hist=" + ",".join(str(int((v // 32 == k).sum())) for k in range(8))
+
+
+def test_media_is_what_is_stored(docs, rows, tmp_path, monkeypatch):
+    path = str(tmp_path)
+    media.store(docs, path)
+    stored = media.load(docs.sparkSession, path)
+    images = stored.collect()
+    assert Counter((x.doc_id, _png_samples(bytes(x.media))) for x in images) == Counter((r[0], _payload(r[1])) for r in rows)
+    sums = Counter((len(x.media), hashlib.sha256(x.media).hexdigest()) for x in images)
+    assert Counter((x.media_bytes, x.media_sha256) for x in media.decoded(stored).collect()) == sums
+    assert Counter(bytes(x.payload) for x in media.decoded(stored, payload=True).collect()) == Counter(_payload(r[1]) for r in rows)
+
+
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 511, 512, 513, 5000])
+def test_media_in_pieces(n, monkeypatch):
+    monkeypatch.setattr(media, "ROWS", 3)
+    text = bytes(random.Random(n).choices(range(256), k=n))
+    image = media.encode(memoryview(text))
+    assert _png_samples(image) == text + b"\0" * (max(-(-n // 64), 1) * 64 - n) == b"".join(x.tobytes() for x in media.samples(image))
+    assert media.unpadded(image) == n
+
+
+def test_media_writes_add_up(spark, tmp_path):
+    def rows(*ids):
+        return spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
+
+    path = str(tmp_path / "a")
+    media.store(rows(1, 2, 3), path)
+    media.store(rows(4, 5, 6, 7, 8), path)
+    assert sorted(x.doc_id for x in media.load(spark, path).collect()) == list(range(1, 9))
+    (tmp_path / "a" / "part-left.tar").write_bytes(b"of an attempt that failed")
+    assert media.load(spark, path).count() == 8
+    media.store(rows(9), path, "overwrite")
+    assert [x.doc_id for x in media.load(spark, path).collect()] == [9]
+    assert media.load(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_media_ranges_and_retries(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+
     monkeypatch.setattr(media, "RANGE", 2000)
     df = spark.createDataFrame([(i, f"text {i} " * i) for i in range(200)], "doc_id long, text string").coalesce(1)
     writer = media.MediaWriter(str(tmp_path))
@@ -365,11 +435,9 @@ def test_media_ranges_and_retries(spark, tmp_path, monkeypatch):
     writer.commit([said, None])
     reader = media.MediaReader(str(tmp_path))
     parts = reader.partitions()
-    assert len(parts) > 3
-    real, calls = media.MediaReader._member, []
-    import pyarrow as pa
-
+    assert len(parts) > 3 and all(p.end - p.start <= 2000 for p in parts)
     store, base = media._store(str(tmp_path))
+    calls = []
 
     class Flaky:
         def open_input_file(self, name):
@@ -380,8 +448,8 @@ def test_media_ranges_and_retries(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(media, "_store", lambda path: (Flaky(), base))
     rows = [r for p in parts for b in reader.read(p) for r in pa.Table.from_batches([b]).to_pylist()]
-    assert [r["doc_id"] for r in rows] == list(range(200)) and real is media.MediaReader._member
-    assert all(media.decode(r["media"])[0].rstrip(b"\0") == (f"text {r['doc_id']} " * r["doc_id"]).encode() for r in rows)
+    assert [r["doc_id"] for r in rows] == list(range(200))
+    assert all(_png_samples(r["media"]).rstrip(b"\0") == (f"text {r['doc_id']} " * r["doc_id"]).encode() for r in rows)
 
 
 @pytest.mark.parametrize("run", [substring.substring_query, simhash.simhash_query, lines.lines_query, sharding.sharded_query, mixing.mixed_query, media.media_query, simhash.one_per_group, mixing.mixed_docs])
