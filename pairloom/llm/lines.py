@@ -11,33 +11,35 @@ less than its own, just the substrings that may match a segment there (multi-mat
 aware positions). Two lines within the threshold share a segment, so pairs meet at a
 key. Candidates are verified by a banded bit-parallel automaton: bit d of word e says
 that diagonal d of the band is reached with e edits; each character updates all
-diagonals at once.
+diagonals at once. Hashes of 128 bits and keys are made where a text is read; lines
+travel with their text only if they are candidates.
 
-Keys with over `HOT` lines are not joined, which would pair all their lines up. For
-edits = 1 the lines at such keys are linked by their one-character deletions instead,
-exactly and linearly: lines that agree after dropping the same position differ by a
-substitution there, and a line equal to another's deletion differs by an insertion.
-For more edits such keys are joined like the rest.
+A key with over `HOT` indexed lines would pair all of them up. For edits = 1 such keys
+are split by the same rule: what the key leaves open of a line is halved, either half
+is matched exactly and the other stays open, so that pairs meet again at a finer key,
+until keys are small or one character is open; lines of a length that agree in all but
+one place are near one another, and all but the earliest go. Each line adds as many
+characters to each of these rounds as it has, so no group costs the square of its
+lines. For more edits full keys are joined as they are.
 
 Cases: null and empty texts have no lines; rows with equal id and text count as one
-occurrence and get the same result; lines however long are compared whole; an empty
-table gives no rows; extra columns are kept by `dedup` unless named like one of its
-own, which it replaces.
+occurrence and get the same result; rows that share an id, or have none, are ordered by
+a key of 128 bits; lines however long are compared whole; an empty table gives no rows;
+extra columns are kept by `dedup` unless named like one of its own, which it replaces.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
-from pairloom.llm.shared import free_shuffles, let, row_key, small, written
+from pairloom.llm.shared import forget, let, row_key, small, written
 
 EDITS = 1
-#: Lines at one key beyond which its pairs are found by deletions.
+#: Indexed lines at one key beyond which it is split further.
 HOT = 64
 OWN = ("n_lines", "n_removed", "n_near", "kept", "kept_sha256")
-_POSITION = 1 << 31
+_DOC = ("nn", "id", "ka", "kb")
 
 
 def _norm(line: Column) -> Column:
@@ -49,19 +51,36 @@ def _lines() -> Column:
     return F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
 
 
-def _doc_key() -> Column:
-    """A number that orders documents by id, nulls last, and tells rows apart whose ids are equal."""
-    big = "decimal(38,0)"
-    id_ = F.coalesce(F.col("doc_id").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)"), F.lit(str(1 << 64)).cast("decimal(20,0)")).cast(big)
-    return (id_ * F.lit(1 << 28).cast("decimal(10,0)") + F.pmod(row_key(), F.lit(1 << 28)).cast("decimal(10,0)")).cast(big)
+def _doc() -> Column:
+    """What orders documents by id, nulls last, and tells rows apart whose ids are equal."""
+    key = row_key()
+    return F.struct(F.col("doc_id").isNull().alias("nn"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), key["a"].alias("ka"), key["b"].alias("kb"))
 
 
-def distinct_lines(docs: DataFrame) -> DataFrame:
-    """h, norm, n, first (an order number) of every distinct line that is not blank."""
-    rows = docs.select(_doc_key().alias("d"), F.posexplode(_lines()).alias("pos", "line")).select("d", "pos", _norm(F.col("line")).alias("norm")).where("norm != ''")
-    at = (F.col("d") * F.lit(_POSITION).cast("decimal(11,0)") + F.col("pos").cast("decimal(10,0)")).cast("decimal(38,0)")
-    found = rows.groupBy("norm").agg(F.min(at).alias("first"))
-    return found.select(F.xxhash64("norm", F.lit("line")).alias("h"), "norm", F.length("norm").alias("n"), "first")
+def _keyed(rows: DataFrame, edits: int) -> DataFrame:
+    """a, b (a line's hash), first (where it stands, then n, index and probe keys) of rows (d, pos, norm)."""
+    where = [F.col("d")[c].alias(c) for c in _DOC]
+    n = F.length("norm")
+    rows = rows.select("d", "pos", "norm", n.alias("n"))
+    first = F.struct(*where, "pos", "n", index_keys(edits).alias("index"), probe_keys(edits).alias("probe"))
+    return rows.select(F.xxhash64("norm", F.lit("line")).alias("a"), F.xxhash64(F.lit("second"), "norm").alias("b"), first.alias("first"))
+
+
+def distinct_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+    """a, b, first (the least) of every distinct line that is not blank."""
+    rows = docs.select(_doc().alias("d"), _lines().alias("all")).select("d", F.posexplode("all").alias("pos", "line")).select("d", "pos", _norm(F.col("line")).alias("norm"))
+    return _keyed(rows, edits).groupBy("a", "b").agg(F.min("first").alias("first")).where("first.n > 0")
+
+
+def line_texts(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """a, b, first, norm of the given ones of docs' distinct lines, read again where they stand; written."""
+    by_doc = lines.groupBy(*[F.col("first")[c].alias(f"{c}_") for c in _DOC]).agg(F.collect_list(F.struct("a", "b", "first")).alias("own"))  # as many as a document has lines
+    by_doc = written(by_doc, "lines-wanted")
+    rows = docs.select(_doc().alias("d"), "text").join(small(by_doc, by_doc.count()), [F.col("d")[c] == F.col(f"{c}_") for c in _DOC])
+    rows = rows.select(_lines().alias("all"), F.explode("own").alias("x")).select("x.*", _norm(F.get("all", F.col("x.first.pos"))).alias("norm"))
+    out = written(rows.dropDuplicates(["a", "b"]), "lines-texts")  # rows that repeat hold the same line
+    forget(by_doc)
+    return out
 
 
 def _part(n: Column, i: int, parts: int) -> tuple[Column, Column]:
@@ -146,72 +165,114 @@ def _advance(state: Column, match: Column, edits: int, mask: int) -> list[Column
     return [r.alias(f"r{e}") for e, r in enumerate(out)]
 
 
-def _deletion_links(lines: DataFrame) -> DataFrame:
-    """(h): lines of the given ones that have an earlier one within one edit; linear in their characters."""
-    cuts = F.transform(F.sequence(F.lit(1), F.col("n")), lambda p: F.struct(p.alias("p"), F.concat(F.substring(F.col("norm"), F.lit(1), p - 1), F.substring(F.col("norm"), p + 1, F.col("n"))).alias("v")))
-    rest = lines.select("h", "first", F.explode(cuts).alias("c")).select("h", "first", "c.*")
-    # dropping the same position leaves the same: one substitution apart, each from each
-    swapped = rest.select(F.xxhash64("v", "p").alias("k"), "h", "first")
-    w = W.Window.partitionBy("k")
-    swapped = swapped.withColumn("least", F.min("first").over(w)).where(F.col("first") > F.col("least")).select("h")
-    # a line and those it is a deletion of
-    longer = rest.select(F.xxhash64("v", F.lit("d")).alias("k"), "h", "first").distinct()
-    whole = lines.select(F.xxhash64("norm", F.lit("d")).alias("k"), F.col("h").alias("hw"), F.col("first").alias("fw"))
-    met = longer.join(whole, "k")
-    inserted = met.select(F.when(F.col("first") > F.col("fw"), F.col("h")).otherwise(F.col("hw")).alias("h"))
-    return swapped.union(inserted).distinct()
-
-
-def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(h): the distinct lines that an earlier line is within the edits of."""
-    spark = lines.sparkSession
-    index = lines.select(F.explode(index_keys(edits)).alias("k"), "h", "first")
-    probe = lines.select(F.explode(probe_keys(edits)).alias("k"), "h", "first")
-    by_deletion = None
+def _later(x: str, y: str) -> Column:
+    """Of two lines, given as columns with a, b and first, the hash of the one that stands later."""
+    return F.when(F.col(x)["first"] < F.col(y)["first"], F.struct(F.col(y)["a"], F.col(y)["b"])).otherwise(F.struct(F.col(x)["a"], F.col(x)["b"]))
+
+
+def _hot(keys: DataFrame) -> tuple[DataFrame, int]:
+    """The keys k that index over HOT lines, and how many they are."""
+    hot = written(keys.groupBy("k").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("k"), "lines-hot")
+    return hot, hot.count()
+
+
+def _halves(rest: Column, probes: Column) -> Column:
+    """(side, piece, rest) for either half of what is open of a line; a probing line has one character more open than an indexed one."""
+    m = F.length(rest) - probes
+    left, right = F.greatest(F.lit(1), F.floor(m / 2).cast("int")), m - F.floor(m / 2).cast("int")
+    size = F.length(rest)
+    one = F.struct(F.lit("L").alias("side"), F.substring(rest, F.lit(1), left).alias("piece"), F.substring(rest, left + 1, size).alias("rest"))
+    two = F.struct(F.lit("R").alias("side"), F.substring(rest, size - right + 1, right).alias("piece"), F.substring(rest, F.lit(1), size - right).alias("rest"))
+    return F.when(m > 0, F.array(one, two)).otherwise(F.array().cast("array<struct<side:string,piece:string,rest:string>>"))
+
+
+def _at_hot(docs: DataFrame, lines: DataFrame, hot: DataFrame, n_hot: int) -> DataFrame:
+    """k, probes (0: indexed, 1: probing), line (a, b, first), rest (what the key leaves open) of the lines at hot keys, for one edit."""
+    keys = lines.select("a", "b", "first", F.explode(F.concat("first.index", "first.probe")).alias("k"))
+    mine = keys.join(small(hot, n_hot), "k", "left_semi").select("a", "b", "first").dropDuplicates(["a", "b"])
+    texts = line_texts(docs, mine)
+    n, norm = F.length("norm"), F.col("norm")
+
+    def rows(probes: int) -> Column:
+        out = []
+        for i in (0, 1):
+            at, size = _part(n - probes, i, 2)
+            move = probes * i  # the first segment is matched where it begins, the last where it ends
+            piece = F.substring(norm, at + move + 1, size)
+            rest = F.substring(norm, size + 1, n) if i == 0 else F.substring(norm, F.lit(1), at + probes)
+            out.append(F.when(n > probes, F.struct(_key(n - probes, i, piece).alias("k"), F.lit(probes).alias("probes"), rest.alias("rest"))))
+        return F.array_compact(F.array(*out))
+
+    each = texts.select(F.struct("a", "b", "first").alias("line"), F.explode(F.concat(rows(0), rows(1))).alias("x")).select("x.k", "x.probes", "line", "x.rest")
+    return each.join(small(hot, n_hot), "k", "left_semi")
+
+
+def _split_hot(docs: DataFrame, lines: DataFrame, hot: DataFrame, n_hot: int) -> DataFrame:
+    """(a, b): the lines that an earlier line at one of the hot keys is within one edit of."""
+    rows = written(_at_hot(docs, lines, hot, n_hot), "lines-open")
+    found = []
+    while n_hot:
+        # one place open: lines of one length are near one another there
+        ends = rows.where("probes = 0 and length(rest) = 1").groupBy("k").agg(F.min("line.first").alias("least"))
+        found.append(written(rows.where("probes = 0 and length(rest) = 1").join(ends, "k").where("line.first > least").select("line.a", "line.b").distinct(), "lines-one-place"))
+        finer = rows.select("k", "probes", "line", F.explode(_halves(F.col("rest"), F.col("probes"))).alias("x"))
+        finer = written(finer.select(F.xxhash64("k", "x.side", "x.piece").alias("k"), "probes", "line", "x.rest"), "lines-open")
+        forget(rows)
+        hot, n_hot = _hot(finer.where("probes = 0"))
+        cold = finer.join(small(hot, n_hot), "k", "left_anti") if n_hot else finer
+        x = cold.where("probes = 0").select("k", F.col("line").alias("x"), F.col("rest").alias("rx"))
+        y = cold.select("k", F.col("line").alias("y"), F.col("rest").alias("ry"), "probes")
+        pairs = x.join(y, "k").where((F.col("probes") == 1) | (F.col("x.first") < F.col("y.first")))
+        pairs = pairs.where((F.col("ry") == "") | (F.col("rx") == "") | within("rx", "ry", 1))
+        found.append(written(pairs.select(_later("x", "y").alias("l")).select("l.a", "l.b").distinct(), "lines-finer"))
+        rows = written(finer.join(small(hot, n_hot), "k", "left_semi"), "lines-open") if n_hot else finer
+        if n_hot:
+            forget(finer)
+    forget(rows)
+    out = found[0]
+    for f in found[1:]:
+        out = out.union(f)
+    return out.distinct()
+
+
+def near_lines(docs: DataFrame, lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(a, b): those of docs' distinct lines that an earlier line is within the edits of."""
+    index = lines.select(F.explode("first.index").alias("k"), "a")
+    probe = lines.select(F.explode("first.probe").alias("k"), F.col("a").alias("g"))
+    split = None
     if edits == 1:
-        hot = written(index.groupBy("k").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("k"), "lines-hot")
-        n_hot = hot.count()
+        hot, n_hot = _hot(index)
         if n_hot:
-            mine = index.select("k", "h").union(probe.select("k", "h")).join(small(hot, n_hot), "k", "left_semi").select("h").distinct()
-            mine = written(mine, "lines-at-hot")
-            by_deletion = _deletion_links(lines.join(small(mine, mine.count()), "h", "left_semi"))
+            split = _split_hot(docs, lines, hot, n_hot)
             index = index.join(small(hot, n_hot), "k", "left_anti")
-    # of lines of one length only one probes the other
-    pairs = index.join(probe.select("k", F.col("h").alias("g"), F.col("first").alias("first_g")), "k")
-    pairs = pairs.where(F.col("h") != F.col("g")).select(F.when(F.col("first") < F.col("first_g"), F.col("h")).otherwise(F.col("g")).alias("a"), F.when(F.col("first") < F.col("first_g"), F.col("g")).otherwise(F.col("h")).alias("b")).distinct()
-    pairs = written(pairs, "lines-pairs")
+    # 64 bits name a line here; lines are told apart when texts are compared
+    pairs = written(index.join(probe, "k").where("a != g").select(F.least("a", "g").alias("a"), F.greatest("a", "g").alias("g")).distinct(), "lines-pairs")
     n = pairs.count()
-    free_shuffles(spark)
-    # only lines of a pair travel with their text
-    members = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
-    texts = written(lines.select("h", "norm").join(small(members, 2 * n), "h", "left_semi"), "lines-texts")
-    both = pairs.join(texts.select(F.col("h").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("norm").alias("y")), "b")
-    near = both.where(within("x", "y", edits)).select(F.col("b").alias("h")).distinct()
-    return near.union(by_deletion).distinct() if by_deletion is not None else near
+    members = pairs.select("a").union(pairs.select("g")).distinct()
+    texts = line_texts(docs, lines.join(small(members, 2 * n), "a", "left_semi"))
+    one = texts.select(F.col("a").alias("k"), F.struct("a", "b", "first").alias("line"), "norm")
+    both = pairs.join(one.select(F.col("k").alias("a"), F.col("line").alias("x"), F.col("norm").alias("nx")), "a").join(one.select(F.col("k").alias("g"), F.col("line").alias("y"), F.col("norm").alias("ny")), "g")
+    near = both.where(within("nx", "ny", edits)).select(_later("x", "y").alias("l")).select("l.a", "l.b").distinct()
+    return near.union(split).distinct() if split is not None else near
 
 
 def dedup(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """docs with n_lines (not blank), n_removed, n_near (first occurrences removed), kept and kept_sha256."""
-    kept = [c for c in docs.columns if c not in OWN]
-    docs = docs.select(*kept)
-    lines = written(distinct_lines(docs), "lines-distinct")
-    free_shuffles(docs.sparkSession)
-    near = written(near_lines(lines, edits).withColumn("near", F.lit(True)), "lines-near")
-    free_shuffles(docs.sparkSession)
-    flagged = lines.select("h", "first").join(small(near, near.count()), "h", "left")
-    d = F.floor(F.col("first") / F.lit(_POSITION).cast("decimal(11,0)")).cast("decimal(38,0)")
-    flagged = flagged.withColumn("d_", d).withColumn("pos", (F.col("first") - F.col("d_") * F.lit(_POSITION).cast("decimal(11,0)")).cast("int"))
+    rows = docs.select("doc_id", "text")
+    lines = written(distinct_lines(rows, edits), "lines-distinct")
+    near = written(near_lines(rows, lines, edits).withColumn("near", F.lit(True)), "lines-near")
+    flagged = lines.select("a", "b", *[F.col("first")[c].alias(f"{c}_") for c in _DOC], "first.pos").join(small(near, near.count()), ["a", "b"], "left")
     # as many as a document has lines
-    first = flagged.groupBy("d_").agg(F.sort_array(F.collect_list(F.when(F.col("near").isNull(), F.col("pos")))).alias("stay"), F.count("near").alias("n_near"))
-    rows = docs.withColumn("d_", _doc_key()).join(first, "d_", "left").withColumn("lines_", _lines())
-    blank = F.filter(F.transform(F.col("lines_"), lambda x, i: F.when(x.rlike(r"^\s*$"), i)), lambda i: i.isNotNull())
-    rows = rows.withColumn("blank_", blank)
-    stay = F.sort_array(F.concat(F.coalesce("stay", F.array().cast("array<int>")), "blank_"))
-    text = F.array_join(F.transform(stay, lambda i: F.get("lines_", i)), "\n")
-    n_lines = F.size("lines_") - F.size("blank_")
-    n_stay = F.coalesce(F.size("stay"), F.lit(0))
-    rows = rows.select(*kept, n_lines.cast("long").alias("n_lines"), (n_lines - F.when(F.col("stay").isNull(), 0).otherwise(n_stay)).cast("long").alias("n_removed"), F.coalesce("n_near", F.lit(0)).alias("n_near"), text.alias("kept"))
-    return rows.withColumn("kept_sha256", F.sha2("kept", 256))
+    first = flagged.groupBy(*[f"{c}_" for c in _DOC]).agg(F.collect_list(F.when(F.col("near").isNull(), F.col("pos"))).alias("own"), F.count("near").alias("n_near"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), _doc().alias("d"), "text").join(first, [F.col("d")[c] == F.col(f"{c}_") for c in _DOC], "left")
+    rows = rows.select("row", _lines().alias("all"), "own", "n_near")
+    blank = F.filter(F.transform(F.col("all"), lambda x, i: F.when(x.rlike(r"^\s*$"), i)), lambda i: i.isNotNull())
+    rows = rows.select("row", "all", blank.alias("blank"), F.coalesce("own", F.array().cast("array<int>")).alias("own"), F.coalesce("n_near", F.lit(0)).alias("n_near"))
+    text = F.array_join(F.transform(F.sort_array(F.concat("own", "blank")), lambda i: F.get("all", i)), "\n")
+    n_lines = (F.size("all") - F.size("blank")).cast("long")
+    rows = rows.select("row", n_lines.alias("n_lines"), (n_lines - F.size("own")).alias("n_removed"), "n_near", text.alias("kept"))
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c not in OWN]
+    return rows.select(*kept, "n_lines", "n_removed", "n_near", "kept", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def lines_query(docs: DataFrame) -> DataFrame:

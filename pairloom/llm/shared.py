@@ -7,6 +7,7 @@ workers need not have the package on their path.
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import sys
 import tempfile
@@ -46,23 +47,35 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/pairloom/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, below one folder for the application."""
+    return f"{shared_dir(spark)}/pairloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df as a table in the shared folder: cuts the lineage and survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    schema = df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    """The rows of df as a table in the shared folder: cuts the lineage and survives lost executors.
 
+    Shuffle files of the plan go when the table is written: nothing else reads them.
+    """
+    spark, schema = df.sparkSession, df.schema
+    path, before = new_path(spark, name), spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(schema).parquet(path)
+    out.written_at = path
+    return out
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files that no live plan refers to."""
-    import gc
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of `written` that no later step reads."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def let(value: Column, f) -> Column:
@@ -71,8 +84,9 @@ def let(value: Column, f) -> Column:
 
 
 def row_key(text: str = "text", doc_id: str = "doc_id") -> Column:
-    """A 64-bit key of a row; rows with equal id and text have equal keys. A null differs from an empty text."""
-    return F.xxhash64(F.col(doc_id).isNull(), doc_id, F.col(text).isNull(), text, F.lit("row"))
+    """A key (a, b) of 128 bits; rows with equal id and text have equal keys. A null differs from an empty text."""
+    parts = [F.col(doc_id).isNull(), doc_id, F.col(text).isNull(), text]
+    return F.struct(F.xxhash64(*parts, F.lit("row")).alias("a"), F.xxhash64(F.lit("second"), *parts).alias("b"))
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -80,6 +94,21 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+#: Keys that hold more than this part of all rows are hot; they are fewer than its inverse.
+HOT_PART = 1e-5
+
+
+def with_classes(rows: DataFrame, classes: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """rows with the columns of the one row of `classes` that has their key; `count` says how many of the `total` rows that is.
+
+    Hot keys, fewer than 1 / HOT_PART of them, are joined by broadcast, so that no task gets all rows of one.
+    """
+    hot = F.col(count) > F.lit(max(total * HOT_PART, 1000.0))
+    few, rest = classes.where(hot), classes.where(~hot)
+    of_hot = rows.join(F.broadcast(few), key)
+    return of_hot.unionByName(rows.join(F.broadcast(few.select(key)), key, "left_anti").join(rest, key))
+
+
 # ---- word hashes over UTF-8 bytes (NumPy) ----
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -121,7 +150,7 @@ def word_spans(data: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class ByteHash:
-    """Polynomial hashes, modulo 2^64, of any slices of one byte string."""
+    """Polynomial hashes, modulo 2^64, of any slices of one byte string: for columns of models, not to decide equality."""
 
     def __init__(self, data: np.ndarray):
         self.inverse = powers(pow(BYTE_BASE, -1, 1 << 64), len(data))
@@ -161,11 +190,42 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b" ".join(texts) + b" ", np.uint8), at
 
 
-def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+class WordHash(dict):
+    """XXH3 of words, each computed once while it is among the kept ones."""
+
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh3_64_intdigest
+
+        if len(self) >= 1 << 19:
+            self.clear()
+        h = self[word] = xxh3_64_intdigest(word, 20260101)
+        return h
+
+
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def words_of(text: bytes, most: int = 4 << 20):
+    """Lists of consecutive words of a text, of about `most` bytes each."""
+    at = 0
+    while at < len(text):
+        end = min(at + most, len(text))
+        gap = _GAP.search(text, end) if end < len(text) else None
+        end = gap.start() if gap else len(text)
+        yield text[at:end].split() if at or end < len(text) else text.split()
+        at = end
+
+
+def hashed_words(texts: list[bytes], known: WordHash) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words and, for each text, the index of its first word (one more for the end)."""
-    data, at = joined(texts)
-    starts, ends = word_spans(data, _SPACE)
-    return ByteHash(data).of(starts, ends), np.searchsorted(starts, at)
+    at, out = np.zeros(len(texts) + 1, np.int64), []
+    for i, t in enumerate(texts):
+        n = 0
+        for words in words_of(t):
+            out.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+            n += len(words)
+        at[i + 1] = at[i] + n
+    return np.concatenate(out) if out else np.zeros(0, np.uint64), at
 
 
 def utf8(column) -> list[bytes]:

@@ -5,13 +5,14 @@ collapse to one; the distinct ones are searched for pairs within `radius` bits.
 
 Shards: a pair within `radius` bits of 64 agrees on at least one of radius + 1
 bit blocks (on more of them when blocks are finer), so each fingerprint goes to
-one shard per block, keyed by the block's value, and pairs meet in a shard. A
+one shard per block, keyed by the block's value, and pairs meet in a shard. Each
 shard builds a BK-tree: children keyed by their integer Hamming distance to the
-parent; a query follows only the edges within `radius` of its own distance. Trees
-live in the tasks that hold their shard instead of being broadcast: broadcasting
-them would mean collecting every fingerprint at the driver. Shards over `TILE`
-fingerprints are dealt over tiles, each pair of tiles a task of its own. Within a
-shard only links that join two groups are kept, never all pairs of a group.
+parent; a query follows only the edges within `radius` of its own distance to a node.
+A task builds and searches the trees of all its shards at once, a level at a time.
+Trees live in the tasks that hold their shard: broadcasting them would collect every
+fingerprint at the driver. Shards over `TILE` fingerprints are dealt over tiles, a
+task for each pair of tiles: the tree of one slice, searched by the other. Within a
+task only links that join two groups are kept, never all pairs of a group.
 
 Cases: null and empty texts have fingerprint zero and link like any other; fewer
 words than a shingle make one shingle of the whole; rows that repeat share a
@@ -30,14 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.components import components
-from pairloom.llm.shared import BROADCAST_ROWS, row_key, utf8, written
+from pairloom.llm.shared import BROADCAST_ROWS, forget, row_key, small, utf8, with_classes, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: The most fingerprints of one shard in a tile.
 TILE = 4096
-#: Sub-trees up to so many fingerprints are searched whole.
-LEAF = 48
+#: Nodes that the queries of one step may visit at most.
+STEP = 1 << 21
 
 
 def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
@@ -67,90 +68,90 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("rk"), b.column("doc_id"), pa.array(fps, pa.int64())], ["rk", "doc_id", "fp"])
 
     rows = docs.select(row_key().alias("rk"), F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, "rk long, doc_id long, fp long")
+    return rows.mapInArrow(run, "rk struct<a:long,b:long>, doc_id long, fp long")
 
 
-class _Groups:
-    """Union-find over positions; links that join two groups are kept."""
+class Groups:
+    """Union-find over positions, in whole arrays; links that join two groups are kept."""
 
     def __init__(self, n: int):
-        self.up = list(range(n))
-        self.links: list[tuple[int, int]] = []
-
-    def top(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = x = up[up[x]]
-        return x
-
-    def link(self, x: int, ys) -> None:
-        a = self.top(x)
-        for y in ys:
-            b = self.top(y)
-            if a != b:
-                self.up[b] = a
-                self.links.append((x, y))
-
-
-class BKTree:
-    """A BK-tree over uint64 fingerprints, built and searched a level at a time.
-
-    A node is a fingerprint and its children by Hamming distance; sub-trees of up
-    to LEAF fingerprints stay lists.
+        self.up = np.arange(n)
+        self.links: list[np.ndarray] = []
+
+    def link(self, x: np.ndarray, y: np.ndarray) -> None:
+        while len(x):
+            a, b = self.up[x], self.up[y]
+            apart = a != b
+            x, y, high, low = x[apart], y[apart], np.maximum(a, b)[apart], np.minimum(a, b)[apart]
+            # each group hangs on one lower group, so every link kept joins two
+            high, first = np.unique(high, return_index=True)
+            self.links.append(np.stack([x[first], y[first]], 1))
+            self.up[high] = low[first]
+            while (self.up[self.up] != self.up).any():
+                self.up = self.up[self.up]
+
+
+class BKForest:
+    """BK-trees over uint64 fingerprints, one for each shard, built and searched a level at a time.
+
+    A node holds one fingerprint (`item`, a position) and its children by Hamming
+    distance. Nodes are numbered by level, then parent, then distance, so that the
+    children of a node follow each other and `edge` (parent * 128 + distance) is sorted;
+    the first nodes are the roots.
     """
 
-    def __init__(self, fps: np.ndarray, ids: np.ndarray):
+    def __init__(self, fps: np.ndarray, items: np.ndarray, shard: np.ndarray):
+        """items: positions of the fingerprints that become nodes; shard: the number of each one's shard, ascending from 0."""
         self.fps = fps
-        self.root = self._build(ids)
-
-    def _build(self, ids: np.ndarray):
-        root: list = [None]
-        todo = [(root, 0, ids)]
-        while todo:
-            parent, slot, own = todo.pop()
-            if len(own) <= LEAF:
-                parent[slot] = own
-                continue
-            far = np.bitwise_count(self.fps[own] ^ self.fps[own[0]])
-            far[0] = 255  # the node itself
-            order = np.argsort(far, kind="stable")[:-1]
-            edges, first = np.unique(far[order], return_index=True)
-            below = [None] * len(edges)
-            parent[slot] = (own[0], edges.astype(np.int16), below)
-            todo += [(below, k, x) for k, x in enumerate(np.split(own[order], first[1:]))]
-        return root[0]
-
-    def search(self, queries: np.ndarray, radius: int, found) -> None:
-        """Calls found(query, ids) for queries and the fingerprints within the radius of them."""
-        todo = [(self.root, queries)]
-        while todo:
-            node, q = todo.pop()
-            if not isinstance(node, tuple):
-                for at in range(0, len(q), 4096):
-                    part = q[at : at + 4096]
-                    near = np.bitwise_count(self.fps[part][:, None] ^ self.fps[node][None, :]) <= radius
-                    near &= part[:, None] != node[None, :]
-                    for i in np.flatnonzero(near.any(1)):
-                        found(int(part[i]), node[near[i]].tolist())
-                continue
-            own, edges, below = node
-            far = np.bitwise_count(self.fps[q] ^ self.fps[own]).astype(np.int16)
-            hits = q[(far <= radius) & (q != own)]
-            if len(hits):
-                found(int(own), hits.tolist())
-            for edge, child in zip(edges, below, strict=True):
-                near = q[np.abs(far - edge) <= radius]
-                if len(near):
-                    todo.append((child, near))
-
-
-def shard_links(fps: np.ndarray, side: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links, as positions, that connect what the shard connects; side 0 is the tree, side 1 queries it (2: both)."""
-    groups = _Groups(len(fps))
-    tree, queries = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    if len(tree) and len(queries):
-        BKTree(fps, tree).search(queries, radius, groups.link)
-    return groups.links
+        self.size = np.bincount(shard) if len(shard) else np.zeros(0, np.int64)
+        nodes, edges, made, key = [], [], 0, shard
+        while len(items):
+            new = np.ones(len(items), bool)
+            new[1:] = key[1:] != key[:-1]
+            first = np.flatnonzero(new)
+            nodes.append(items[first])
+            edges.append(key[first] if made else first[:0])
+            node = made + np.cumsum(new) - 1
+            made += len(first)
+            rest = np.flatnonzero(~new)
+            far = np.bitwise_count(fps[items[rest]] ^ fps[items[first][node[rest] - made + len(first)]]).astype(np.int64)
+            key = node[rest] * 128 + far
+            order = np.argsort(key, kind="stable")
+            items, key = items[rest][order], key[order]
+        self.item = np.concatenate(nodes) if nodes else np.zeros(0, np.int64)
+        self.edge = np.concatenate(edges) if edges else np.zeros(0, np.int64)
+        self.roots = len(self.item) - len(self.edge)
+        self.visited = 0
+
+    def search(self, queries: np.ndarray, shard: np.ndarray, radius: int, found) -> None:
+        """Calls found(queries, items) with arrays of positions that are within the radius of each other, in steps."""
+        cost = np.cumsum(self.size[shard])
+        cut = np.searchsorted(cost, np.arange(STEP, cost[-1] if len(cost) else 0, STEP))
+        for q, node in zip(np.split(queries, cut), np.split(shard, cut), strict=True):
+            while len(q):
+                self.visited += len(q)
+                item = self.item[node]
+                far = np.bitwise_count(self.fps[q] ^ self.fps[item]).astype(np.int64)
+                hit = (far <= radius) & (q != item)
+                if hit.any():
+                    found(q[hit], item[hit])
+                low = np.searchsorted(self.edge, node * 128 + np.maximum(far - radius, 0))
+                high = np.searchsorted(self.edge, node * 128 + far + radius, "right")
+                n = high - low
+                q = np.repeat(q, n)
+                node = self.roots + np.repeat(low - (np.cumsum(n) - n), n) + np.arange(len(q))
+
+
+def shard_links(fps: np.ndarray, side: np.ndarray, radius: int, shard: np.ndarray | None = None) -> np.ndarray:
+    """Links, as pairs of positions, that connect what each shard connects; side 0 is the tree, side 1 queries it (2: both)."""
+    shard = np.zeros(len(fps), np.int64) if shard is None else shard
+    groups, tree, queries = Groups(len(fps)), np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    known, number = np.unique(shard[tree], return_inverse=True)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, shard[queries]), len(known) - 1)
+        here = known[at] == shard[queries]
+        BKForest(fps, tree, number).search(queries[here], at[here], radius, groups.link)
+    return np.concatenate(groups.links) if groups.links else np.zeros((0, 2), np.int64)
 
 
 def block_masks(radius: int, distinct: int) -> list[int]:
@@ -191,14 +192,12 @@ def near_links(distinct: DataFrame, radius: int) -> DataFrame:
         import pyarrow as pa
 
         def links(keys, fps, sides):
-            cut = np.flatnonzero(np.diff(keys)) + 1
-            out = []
-            for k, f, s in zip(np.split(keys, cut), np.split(fps, cut), np.split(sides, cut), strict=True):
-                if len(k) > 1:
-                    out += [(f[a], f[b]) for a, b in shard_links(f.view(np.uint64), s, radius)]
-            if out:
-                pairs = np.array(out, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            shard = np.cumsum(np.append(0, np.diff(keys) != 0))
+            several = np.bincount(shard)[shard] > 1
+            fps = fps[several]
+            found = shard_links(fps.view(np.uint64), sides[several], radius, shard[several])
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(fps[found[:, 0]]), pa.array(fps[found[:, 1]])], ["a", "b"])
 
         held = None
         for b in batches:
@@ -216,18 +215,22 @@ def near_links(distinct: DataFrame, radius: int) -> DataFrame:
 
 
 def dedup(docs: DataFrame, radius: int = 4, width: int = 4, seed: int = 42) -> DataFrame:
-    """rk, doc_id, fp, component_id of every row; component_id is the least doc_id that links reach."""
+    """rk, doc_id, fp, component_id of every row, and of its component: root (a fingerprint), first (the row that leads it), rows.
+
+    component_id is the least doc_id that links reach; the row with the least (doc_id, nulls last, rk) leads a component.
+    """
     fps = written(fingerprints(docs, width, seed), "simhash-fp")
-    classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
+    row = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "rk")
+    classes = written(fps.groupBy("fp").agg(F.min(row).alias("first"), F.count("*").alias("n")), "simhash-classes")
     roots = components(near_links(classes.select("fp"), radius))
-    named = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.where("root != fp").groupBy("root").agg(F.min("least").alias("below"))
-    # every root is a member; singletons keep their own least id
-    named = named.join(least, "root", "left")
-    own = named.where("root = fp").select(F.col("root"), F.least("least", "below").alias("component_id"))
-    linked = named.where("root != fp").select("fp", "root").join(own.where(F.col("root").isNotNull()), "root").select("fp", "component_id")
-    ids = linked.union(own.select(F.col("root").alias("fp"), "component_id"))
-    return fps.join(ids, "fp").select("rk", "doc_id", "fp", "component_id")
+    named = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "n", "first", F.coalesce("root", "fp").alias("root"))
+    named = written(named, "simhash-named")
+    groups = written(named.groupBy("root").agg(F.min("first").alias("lead"), F.sum("n").alias("rows"), F.count("*").alias("fps")), "simhash-groups")
+    n_fps, n_rows = classes.count(), fps.count()
+    named = with_classes(named.select("fp", "n", "root"), groups, "root", "fps", n_fps)
+    named = written(named.select("fp", "n", "root", "lead", "rows"), "simhash-components")
+    found = with_classes(fps, named, "fp", "n", n_rows)
+    return found.select("rk", "doc_id", "fp", F.col("lead.doc_id").alias("component_id"), "root", F.col("lead.rk").alias("first"), "rows")
 
 
 def simhash_query(docs: DataFrame) -> DataFrame:
@@ -236,9 +239,18 @@ def simhash_query(docs: DataFrame) -> DataFrame:
 
 
 def one_per_group(docs: DataFrame, radius: int = 4) -> DataFrame:
-    """The rows of docs without near copies: of each component the row with the least doc_id stays (nulls last)."""
-    found = dedup(docs, radius)
-    group = F.when(F.col("component_id").isNull(), F.col("fp"))  # groups without any id are told apart by fingerprint
-    keep = found.groupBy("component_id", group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "rk"))["rk"].alias("rk_"))
-    keep = keep.select("rk_")
-    return docs.withColumn("rk_", row_key()).join(keep, "rk_", "left_semi").dropDuplicates(["rk_"]).drop("rk_")
+    """The rows of docs without near copies: of each component the row with the least doc_id stays (nulls last).
+
+    Only keys of rows that go are joined to the texts, by broadcast where they are few.
+    """
+    found = written(dedup(docs, radius).where("rows > 1").select("rk", "first"), "simhash-several")
+    gone = written(found.where("rk != first").select("rk").distinct(), "simhash-gone")
+    # the row that stays may itself repeat
+    again = written(found.where("rk = first").groupBy("rk").agg(F.count("*").alias("n")).where("n > 1").select("rk"), "simhash-again")
+    forget(found)
+    n_gone, n_again = gone.count(), again.count()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), row_key().alias("rk")).join(small(gone, n_gone), "rk", "left_anti")
+    if n_again:
+        once = rows.join(small(again, n_again), "rk", "left_semi").dropDuplicates(["rk"])
+        rows = rows.join(small(again, n_again), "rk", "left_anti").unionByName(once)
+    return rows.select("row.*")

@@ -85,6 +85,53 @@ def test_substring_keeps_extra_columns(docs):
         assert sum(s["to"] - s["from"] for s in r.spans) == r.n_removed
 
 
+def _removed(texts, width=35):
+    n = Counter(tuple(w[k : k + width]) for w in map(_words, texts) for k in range(len(w) - width + 1))
+    out = []
+    for w in map(_words, texts):
+        gone = [False] * len(w)
+        for k in range(len(w) - width + 1):
+            if n[tuple(w[k : k + width])] > 1:
+                gone[k : k + width] = [True] * width
+        out.append(sum(gone))
+    return out
+
+
+@pytest.mark.parametrize("piece,sent", [(2 << 20, 1 << 19), (900, 1 << 19), (900, 3)])
+def test_substring_one_passage_in_very_many_documents(spark, monkeypatch, piece, sent):
+    """What repeats is sent once a task, in whatever pieces it is read; what a task forgets is sent again."""
+    monkeypatch.setattr(substring, "PIECE", piece)
+    monkeypatch.setattr(substring, "SENT", sent)
+    r = random.Random(6)
+    passage = " ".join(r.choice("abcdefghij") + str(k) for k in range(50))
+    texts = [" ".join(str(r.random()) for _ in range(r.randint(0, 60))) + " " + passage + " " + " ".join(str(r.random()) for _ in range(r.randint(0, 40))) for _ in range(150)]
+    texts += [" ".join(str(r.random()) for _ in range(90)) for _ in range(20)] + [passage + " " + passage]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert [x.n_removed for x in substring.substring_query(df).orderBy("doc_id").collect()] == _removed(texts)
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_substring_words_that_a_polynomial_confuses(spark, n):
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    one, two = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    texts = [" ".join([w, *[f"same{k}" for k in range(33)], w, *[f"same{k}" for k in range(6)]]) for w in (one, two)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [x.n_removed for x in substring.substring_query(df).collect()] == [0, 0] == _removed(texts)
+
+
+def test_substring_cuts_long_texts_in_parts():
+    from pairloom.llm.shared import WordHash, hashed_words, words_of
+
+    text = " \t".join(f"w{k % 77}" for k in range(3000)).encode() + b" "
+    assert [w for part in words_of(text, 100) for w in part] == text.split()
+    known = WordHash()
+    whole, at = hashed_words([text, b"", b"x"], known)
+    assert at.tolist() == [0, 3000, 3000, 3001] and len(set(whole.tolist())) == 78
+    spans = np.array([[5, 40], [2990, 3000]], np.uint32).tobytes()
+    w = text.split()
+    assert substring.cut(text, spans) == (3000, 45, b" ".join(w[:5] + w[40:2990]))
+
+
 def _fingerprint(t):
     import xxhash
 
@@ -129,18 +176,46 @@ def test_one_per_group(docs, rows):
     assert out.columns == docs.columns and out.count() == len(set(cls))
 
 
-@pytest.mark.parametrize("radius,leaf", [(4, 48), (4, 2), (6, 3)])
-def test_bk_tree(radius, leaf, monkeypatch):
-    monkeypatch.setattr(simhash, "LEAF", leaf)
+@pytest.mark.parametrize("radius,step", [(4, 1 << 21), (4, 50), (6, 700)])
+def test_bk_tree(radius, step, monkeypatch):
+    monkeypatch.setattr(simhash, "STEP", step)
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
     fps = np.unique(np.concatenate([base, *[base ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)) for _ in range(8)]]))
     links = simhash.shard_links(fps, np.full(len(fps), 2, np.uint8), radius)
     up = _classes(len(fps), lambda a, b: int(fps[a] ^ fps[b]).bit_count() <= radius)
-    got = _classes(len(fps), lambda a, b: (a, b) in pairs or (b, a) in pairs) if (pairs := set(links)) else None
+    got = _classes(len(fps), lambda a, b: (a, b) in pairs or (b, a) in pairs) if (pairs := {tuple(x) for x in links.tolist()}) else None
     assert len(set(got)) == len(set(up)) and len(links) == len(fps) - len(set(up))
 
 
+def test_bk_forest_has_children_by_distance_and_follows_near_edges_only():
+    rng = np.random.default_rng(4)
+    fps = rng.integers(0, 1 << 63, 900, dtype=np.uint64)
+    fps[300:600] = fps[:300] ^ (np.uint64(7) << rng.integers(0, 60, 300, dtype=np.uint64))
+    shard = np.arange(900) % 3
+    order = np.argsort(shard, kind="stable")
+    fps, shard = fps[order], shard[order]
+    forest = simhash.BKForest(fps, np.arange(900), shard)
+    assert sorted(forest.item.tolist()) == list(range(900)) and forest.roots == 3
+    children = {}
+    for child, code in enumerate(forest.edge.tolist(), forest.roots):
+        parent, far = divmod(code, 128)
+        a, b = forest.item[parent], forest.item[child]
+        assert int(fps[a] ^ fps[b]).bit_count() == far and shard[a] == shard[b]
+        assert children.setdefault((parent, far), child) == child
+    found = set()
+    forest.search(np.arange(900), shard, 4, lambda q, items: found.update(zip(q.tolist(), items.tolist())))
+    assert found == {(a, b) for a in range(900) for b in range(900) if a != b and shard[a] == shard[b] and int(fps[a] ^ fps[b]).bit_count() <= 4} and found
+    assert forest.visited < 900 * 300 / 2
+
+
+def test_one_per_group_with_one_id_for_unlike_texts(spark):
+    r = random.Random(2)
+    prose = [" ".join(str(r.random()) for _ in range(40)) for _ in range(3)]
+    df = spark.createDataFrame([(7, prose[0], "a"), (7, prose[1], "b"), (7, prose[1], "b"), (8, prose[1], "c"), (None, prose[2], "d"), (None, prose[2], "d")], "doc_id long, text string, rk string")
+    assert sorted((x.doc_id or 0, x.text, x.rk) for x in simhash.one_per_group(df).collect()) == sorted([(7, prose[0], "a"), (7, prose[1], "b"), (0, prose[2], "d")])
+
+
 def test_near_links_over_tiles(spark, monkeypatch):
     monkeypatch.setattr(simhash, "TILE", 7)
     rng = np.random.default_rng(2)
@@ -229,14 +304,50 @@ def test_within(spark):
 
 
 def test_near_lines_two_edits(spark):
-    from pyspark.sql import functions as F
-
     r = random.Random(4)
     base = ["".join(r.choice("abcdef ") for _ in range(r.randint(4, 30))).strip() or "q" for _ in range(60)]
-    texts = sorted({*base, *[b[:3] + "x" + b[4:] for b in base], *[b[1:] + "y" for b in base if len(b) > 3]})
-    df = spark.createDataFrame([(i, t, len(t), i) for i, t in enumerate(texts)], "h long, norm string, n int, first long")
+    texts = sorted({_norm(t) for t in [*base, *[b[:3] + "x" + b[4:] for b in base], *[b[1:] + "y" for b in base if len(b) > 3]]} - {""})
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = {i for i, t in enumerate(texts) for j in range(i) if _edits(t, texts[j]) <= 2}
-    assert {x.h for x in lines.near_lines(df, 2).select(F.col("h")).collect()} == want
+    assert {x.doc_id for x in lines.dedup(df, 2).where("n_near = 1").collect()} == want
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_hot_keys_are_split(spark, monkeypatch, seed):
+    """Very many lines alike but for a few places: no key may pair them all up, and none may be lost."""
+    monkeypatch.setattr(lines, "HOT", 3)
+    r = random.Random(seed)
+    stem = "".join(r.choice("abcdefgh") for _ in range(11))
+    texts = {stem}
+    for _ in range(250):
+        t = stem
+        for _ in range(r.randint(1, 3)):
+            p, kind = r.randrange(len(t) + 1), r.randrange(3)
+            t = t[:p] + r.choice("abxyz") + t[p:] if kind == 0 else t[:p] + t[p + 1 :] if kind == 1 else t[:p] + r.choice("abxyz") + t[p + 1 :]
+        texts.add(t)
+    texts |= {"a", "b", "ab", "ba", "abc", "c"}
+    texts = sorted(t for t in texts if t)
+    r.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i for i, t in enumerate(texts) if any(_within_one(t, u) for u in texts[:i])}
+    assert {x.doc_id for x in lines.dedup(df).where("n_near = 1").collect()} == want
+
+
+def test_long_lines_at_a_hot_key(spark, monkeypatch):
+    monkeypatch.setattr(lines, "HOT", 3)
+    r = random.Random(1)
+    half = "".join(r.choice("abcdefgh ") for _ in range(20000)).strip()
+    texts = [half + "".join(r.choice("abcdefgh") for _ in range(20000)) for _ in range(8)]
+    texts += [texts[0][:30000] + texts[0][30001:], texts[1][:25000] + "X" + texts[1][25001:]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [x.n_near for x in lines.dedup(df).orderBy("doc_id").collect()] == [0] * 8 + [1, 1]
+
+
+def test_lines_of_rows_without_id(spark):
+    texts = [f"line {i} of a row without an id {i * i}" for i in range(50)]
+    df = spark.createDataFrame([(None, f"{t} {t}\n{t}") for t in texts], "doc_id long, text string")
+    out = lines.dedup(df).collect()
+    assert all(x.kept == x.text and x.n_removed == 0 for x in out) and len(out) == 50
 
 
 def _edits(a, b):
