@@ -34,6 +34,59 @@ def test_toxicity_on_unseen_rows(tables):
     assert sum(r.predicted for r in toxic) / len(toxic) > 0.9 and sum(r.predicted for r in clean) / len(clean) < 0.02
 
 
+@pytest.fixture(scope="module")
+def chain(tables):
+    docs, labels = tables
+    return toxicity.fit(docs, labels.where("crc32(cast(doc_id as string)) % 5 <> 0"))
+
+
+def test_chain_by_hand(chain, tables):
+    """Every link is a logistic of the text's columns and the probabilities of the links before it."""
+    import numpy as np
+
+    texts = [(r.text or "").encode() for r in tables[0].orderBy("doc_id").limit(40).collect()] + [b"", b"You moron, you idiot. " * 3]
+    got, _ = chain.score(texts)
+    for text, row in zip(texts, got, strict=True):
+        columns, before = set(toxicity.features([text])[0].tolist()), []
+        for model in chain.models:
+            raw = model.bias + sum(w for c, w in zip(model.columns.tolist(), model.w) if c in columns) + sum(d * toxicity.SCALE * p for d, p in zip(model.dense, before))
+            before.append(1 / (1 + np.exp(-np.clip(raw, -30, 30))))
+        assert row == pytest.approx(before)
+
+
+def test_answer_comes_through_earlier_links(chain, tables):
+    docs, labels = tables
+    toxic = [r.text.encode() for r in docs.join(labels.where("toxic = 1"), "doc_id").limit(200).collect()]
+    last = chain.models[-1]
+    assert not set(last.columns.tolist()) & set(chain.telling.tolist()) and (found := chain.score(toxic)[0][:, -1] >= 0.5).mean() > 0.9
+    kept, last.dense = last.dense, last.dense * 0
+    assert (chain.score(toxic)[0][:, -1] >= 0.5).mean() < 0.1 < found.mean()
+    last.dense = kept
+
+
+def test_later_links_learn_from_predictions_out_of_fold():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    label = (rng.random(300) < 0.3).astype(float)
+    rows = [np.unique(np.append(rng.integers(100, 400, 30), rng.integers(0, 12, 3) if y else rng.integers(20, 32, 3))) for y in label]
+    column, at = np.concatenate(rows), np.append(0, np.cumsum([len(r) for r in rows]))
+    fitted = toxicity.Chain.fit(column, at, label, folds=3)
+    assert fitted.oof.shape == (300, len(toxicity.CATEGORIES))
+    group = toxicity.grouped(fitted.telling, column, at, label)
+    kind = np.array([bool(y) and bool(set(r.tolist()) & set(fitted.telling[group == 0].tolist())) for y, r in zip(label, rows)], float)
+    for k in range(3):  # the first link again, from the other folds alone
+        rest, own = np.flatnonzero(fitted.fold != k), np.flatnonzero(fitted.fold == k)
+
+        def part(ids):
+            return np.concatenate([rows[i] for i in ids]), np.append(0, np.cumsum([len(rows[i]) for i in ids]))
+
+        c, a = part(rest)
+        model = toxicity.Linear(toxicity.chosen(c, a, label[rest], against=False)).fit(c, a, np.zeros((len(rest), 0)), kind[rest])
+        c, a = part(own)
+        assert fitted.oof[own, 0] == pytest.approx(model.probability(*model.rows(c, a), len(own), np.zeros((len(own), 0))))
+
+
 def _awkward(spark):
     rows = [(1, None, 0.5, "a"), (2, "", 0.1, "b"), (3, " \n ", 0.0, "c"), (None, "a text without id", 0.2, "d"), (4, "x" * 300000, 0.3, "e"), (4, "x" * 300000, 0.3, "e"), (5, "moron " * 20000, 0.1, "f")]
     return spark.createDataFrame(rows, "doc_id long, text string, score double, p_toxic string")
