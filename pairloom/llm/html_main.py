@@ -1,28 +1,34 @@
 """HTML extraction: minimum-cut labelling of text blocks.
 
-A page is cut into blocks of text at block-level tags. A classifier gives each block
-a cost of being content and a cost of being boilerplate, from its own text (length,
-sentences, links) and from what encloses it (tags, roles, class and id words). These
-costs are the terminal capacities of a graph; neighbours in page order and blocks with
-a near common ancestor are tied by smoothness edges. The minimum cut, by max-flow,
-labels the blocks. Blocks whose own costs outweigh all their edges are labelled first,
-which is exact and leaves small graphs.
+A page is cut into blocks of text at block-level tags. A linear classifier gives each
+block a cost of being content less a cost of being boilerplate, from its own text
+(words, links, end of a sentence, tag) and, moderately, from what encloses it (tags,
+roles, words of class and id names). These costs are the terminal capacities of a
+graph. Smoothness edges tie neighbours in page order, the more the nearer they are in
+the DOM, and blocks of one container with one block between them; an edge is weaker,
+never gone, where what encloses the two speaks differently. The minimum cut, by
+max-flow, labels the blocks: a short line goes with the article around it, an advert
+between paragraphs does not. Blocks whose own costs outweigh all their edges are
+labelled first, which is exact and leaves small graphs.
 
 White space inside a block becomes one space, blocks are trimmed and joined in page
-order by one space, character references are decoded.
+order by one space, character references are decoded. Pages are read in one pass,
+linear in their length whatever tags and quotes they leave open.
 
 Cases: null and empty pages give the empty text; pages without markup are one block,
-judged like any other; unclosed and misnested tags are closed by what encloses them;
-rows that repeat give the same text; an empty table gives no rows; extra columns are
-kept by `extract` unless named like one of its own, which it replaces.
+judged like any other; unclosed and misnested tags are closed by what encloses them; a
+tag that no '>' ends is text; rows that repeat give the same text; an empty table gives
+no rows; extra columns are kept by `extract` unless named like one of its own, which it
+replaces.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 import sys
-from collections import deque
+from collections import Counter, deque
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -33,27 +39,42 @@ from pairloom.llm.shared import utf8
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 OWN = ("main_text", "n_blocks", "n_content")
-#: A comment, a declaration, or a tag with its attributes; quoted values may hold '>'.
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: The begin of a tag: its name, and its attributes up to the first quote.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>\"']*+)([^>\"']*+)")
+_PLAIN = re.compile(r"[^>\"']*+")
 _SPACE = re.compile(r"\s+")
-_ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-_RAW = frozenset("script style noscript template textarea title svg math iframe object canvas select option datalist".split())
+_ATTRIBUTE = re.compile(r"""(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]++))""")
+_BARE_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)")
+_HIDDEN = re.compile(r"display\s*+:\s*+none|visibility\s*+:\s*+hidden", re.I)
+_NAME = re.compile(r"[a-z]+")
+_RAW = frozenset("script style noscript template textarea title svg iframe object canvas select option datalist".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-#: Cost that an enclosing tag adds against content (positive) or for it (negative).
-_TAGS = {"nav": 9, "footer": 8, "aside": 8, "form": 8, "menu": 8, "header": 4, "button": 8, "dialog": 8, "head": 12, "fieldset": 5, "address": 3, "figcaption": 0}
-_ROLES = {"navigation": 9, "banner": 6, "contentinfo": 8, "complementary": 8, "search": 8, "form": 8, "alert": 6, "dialog": 8, "menu": 8, "menubar": 8}
-#: Words of class and id names.
-_AGAINST = frozenset(
-    "ad ads advert adverts advertisement advertising advertorial banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent copyright disclaimer discussion disqus dock feedback footer "
-    "form gdpr header legal login masthead menu modal nav navbar navigation newsletter notice notices notification pagination paging popup popular privacy promo promoted promotion recommend recommended related "
-    "replies reply respond search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription tags toc toolbar trending warning widget widgets alert aside overlay teaser outbrain taboola".split()
+_INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd mstyle mspace mpadded semantics annotation".split()
 )
-_FOR = frozenset("article content main body entry post story text prose".split())
-_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-_NAME = re.compile(r"[a-z]+")
-#: Smoothness of neighbours under one parent; it halves with each level up to the common ancestor.
-TIE = 1.5
+#: What ends an open tag of its own kind.
+_ENDS_OWN = frozenset("p li dt dd tr td th option".split())
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre td dd figcaption".split())
+#: What an enclosing tag adds to the cost of content.
+_TAGS = {"nav": 4.0, "footer": 4.0, "aside": 3.0, "form": 4.0, "menu": 4.0, "header": 2.0, "button": 4.0, "dialog": 4.0, "head": 8.0, "fieldset": 2.0, "address": 1.0}
+_ROLES = {"navigation": 4.0, "banner": 3.0, "contentinfo": 4.0, "complementary": 3.0, "search": 4.0, "form": 4.0, "alert": 1.0, "dialog": 4.0, "menu": 4.0, "menubar": 4.0}
+#: Words of class and id names, by how much they say.
+_NAMES = {
+    **dict.fromkeys(
+        "ad ads advert adverts advertisement advertising advertorial breadcrumb breadcrumbs comment comments commentlist cookie cookies consent copyright discussion disqus footer gdpr login menu modal nav navbar "
+        "navigation newsletter pagination popup promo promoted promotion recommended related replies respond search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription outbrain taboola".split(),
+        4.0,
+    ),
+    **dict.fromkeys("banner dock masthead notice notices notification paging popular privacy recommend teaser trending widget widgets".split(), 3.0),
+    **dict.fromkeys("alert aside disclaimer feedback form header legal overlay reply tags toc toolbar warning".split(), 1.0),
+    **dict.fromkeys("article content main body entry post story text prose".split(), -1.0),
+}
+#: The most that what encloses a block can say; hidden text is beyond it.
+_MOST, _UNSEEN = 5.0, 12.0
+#: Smoothness of neighbours under one parent; it halves with each level up to the common ancestor,
+#: and falls with the difference of what encloses them, by e for each CONTRAST.
+TIE, CONTRAST = 2.0, 3.0
 
 
 class _Node:
@@ -64,28 +85,64 @@ class _Node:
         self.depth = up.depth + 1 if up else 0
 
 
-def _own_cost(tag: str, attributes: str, inside: bool) -> tuple[float, bool]:
-    """What a tag adds to the cost of content, and whether it opens an article."""
-    cost, opens = float(_TAGS.get(tag, 0)), tag in ("article", "main")
+def _own_cost(tag: str, attributes: str, inside: bool) -> float:
+    """What a tag adds to the cost of content."""
+    cost = _TAGS.get(tag, 0.0)
     if tag == "header" and inside:
-        cost = 1.0  # an article's own header holds its title
-    if attributes and "=" in attributes:
+        cost = 0.0  # an article's own header holds its title
+    if not attributes or attributes.isspace():
+        return cost
+    if "=" in attributes:
         for k, x, y, z in _ATTRIBUTE.findall(attributes):
             k, value = k.lower(), x or y or z
-            if k in ("class", "id"):
+            if k in ("class", "id") and tag not in ("html", "body"):
                 # a name such as has-sidebar tells of what else the page holds
-                names = {n for whole in value.lower().split() if not whole.startswith(("has-", "with-", "no-")) for n in _NAME.findall(whole)}
-                if names & _AGAINST and tag not in ("html", "body"):
-                    cost += 10
-                elif names & _FOR:
-                    cost -= 2
+                said = [_NAMES.get(n, 0.0) for whole in value.lower().split() if not whole.startswith(("has-", "with-", "no-")) for n in _NAME.findall(whole)]
+                cost += max([0.0, *said]) + min([0.0, *said])
             elif k == "role":
-                cost += _ROLES.get(value.lower(), 0)
+                cost += _ROLES.get(value.lower(), 0.0)
             elif (k == "style" and _HIDDEN.search(value)) or (k == "aria-hidden" and value == "true"):
-                cost += 12
-        if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes):
-            cost += 12
-    return cost, opens
+                cost += _UNSEEN
+    if "hidden" in attributes and _BARE_HIDDEN.search(attributes):
+        cost += _UNSEEN
+    return cost
+
+
+class _Scanner:
+    """Tags of a page, in one pass."""
+
+    def __init__(self, page: str):
+        self.page, self.size, self.last = page, len(page), page.rfind(">")
+        self.quotes = {q: page.rfind(q) for q in "\"'"}
+        self.broken = False  # a quote left open ran to the end: quotes mean nothing any more
+        self.missing: set[str] = set()
+
+    def tag(self, at: int) -> tuple[int, str, str, str] | None:
+        """(end, "/" or "", name, attributes) of the tag that begins at a '<'; None if none does."""
+        if at > self.last:
+            return None
+        m = _TAG.match(self.page, at)
+        if m is None:
+            return None
+        end = m.end()
+        while not self.broken and end < self.size and self.page[end] != ">":
+            quote = self.page[end]
+            end = self.page.find(quote, end + 1) + 1 if end < self.quotes[quote] else end + 1
+            end = _PLAIN.match(self.page, end).end()
+        if end >= self.size or self.page[end] != ">":
+            self.broken = True
+            end = self.page.find(">", m.end(2))
+        return end + 1, m.group(1), m.group(2).lower(), "" if self.broken else self.page[m.end(2) : end]
+
+    def after(self, tag: str, at: int) -> int | None:
+        """Where the next end tag of a name ends."""
+        if tag in self.missing:
+            return None
+        m = re.compile(rf"</{tag}\s*+>", re.I).search(self.page, at)
+        if m is None:
+            self.missing.add(tag)
+            return None
+        return m.end()
 
 
 def blocks(page: str) -> list[tuple[str, int, _Node]]:
@@ -95,6 +152,8 @@ def blocks(page: str) -> list[tuple[str, int, _Node]]:
     text: list[str] = []
     linked = at = 0
     block = root  # the innermost block-level node
+    open_: Counter[str] = Counter()
+    scan, size = _Scanner(page), len(page)
 
     def flush() -> None:
         nonlocal linked
@@ -108,93 +167,102 @@ def blocks(page: str) -> list[tuple[str, int, _Node]]:
     def take(part: str) -> None:
         nonlocal linked
         if part:
-            part = html.unescape(part) if "&" in part else part
-            text.append(part)
+            text.append(html.unescape(part) if "&" in part else part)
             if here.link:
-                linked += len(part.strip())
+                linked += len(text[-1].strip())
+
+    def close(node: _Node) -> None:
+        """Leave a node and all that is open in it."""
+        nonlocal here, block
+        while here.depth >= node.depth:
+            open_[here.tag] -= 1
+            here = here.up
+        while block.depth > here.depth:
+            block = block.up
 
-    size = len(page)
     while at < size:
-        m = _TAG.search(page, at)
-        if m is None:
+        begin = page.find("<", at)
+        if begin < 0:
             take(page[at:])
             break
-        take(page[at : m.start()])
-        at = m.end()
-        tag = m.group(2)
-        if tag is None:
+        take(page[at:begin])
+        if page.startswith("<!--", begin):
+            at = page.find("-->", begin + 4) + 3
+            if at < 3:
+                break
             continue
-        tag = tag.lower()
-        if m.group(1):  # an end tag closes the nearest node of its name; one without a partner is dropped
-            node = here
-            while node is not root and node.tag != tag:
-                if node.tag in ("td", "th", "table") and tag in _INLINE:
-                    node = root
-                    break
-                node = node.up
-            if node is root:
-                if tag not in _INLINE:
-                    flush()
-                continue
-            if tag not in _INLINE:
+        if page.startswith(("<!", "<?"), begin):
+            at = page.find(">", begin) + 1
+            if at < 1:
+                break
+            continue
+        found = scan.tag(begin)
+        if found is None:
+            take("<")
+            at = begin + 1
+            continue
+        at, ends, tag, attributes = found
+        inline = tag in _INLINE
+        if ends:  # an end tag closes the nearest node of its name; one without a partner is dropped
+            if not inline:
                 flush()
-            here = node.up
-            while block.depth > here.depth:
-                block = block.up
+            if open_[tag] > 0:
+                node = here
+                while node is not root and node.tag != tag:
+                    if inline and node.tag in ("td", "th", "table"):
+                        node = root
+                        break
+                    node = node.up
+                if node is not root:
+                    close(node)
             continue
+        empty = attributes.rstrip().endswith("/")
         if tag in _RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at) if not m.group(3).rstrip().endswith("/") else None
+            end = scan.after(tag, at) if not empty else None
             if end is not None:
-                at = end.end()
-            elif tag in ("script", "style"):
-                at = size
+                at = end
+            elif tag in ("script", "style") and not empty:
+                break
             continue
-        if tag == "br" or tag == "hr":
+        if tag in ("br", "hr"):
             text.append(" ")
-            if tag == "hr":
-                flush()
-            continue
-        if tag in _VOID or m.group(3).rstrip().endswith("/"):
-            if tag not in _INLINE:
-                flush()
-            continue
-        inline = tag in _INLINE
         if not inline:
             flush()
-            if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):  # these end an open one of their kind
-                node = here
-                while node is not root and node.tag != tag and (node.tag in _INLINE or node.tag == "p"):
-                    node = node.up
-                if node is not root and node.tag == tag:
-                    here = node.up
-                    while block.depth > here.depth:
-                        block = block.up
-        cost, opens = _own_cost(tag, m.group(3), here.inside)
-        here = _Node(tag, here, here.cost + cost, here.inside or opens, here.link or tag == "a")
+        if tag in _VOID or empty:
+            continue
+        if tag in _ENDS_OWN and open_[tag] > 0:  # these end an open one of their kind
+            node = here
+            while node is not root and node.tag != tag and (node.tag in _INLINE or node.tag == "p"):
+                node = node.up
+            if node is not root and node.tag == tag:
+                close(node)
+        cost = _own_cost(tag, attributes, here.inside)
+        here = _Node(tag, here, here.cost + cost, here.inside or tag in ("article", "main"), here.link or tag == "a")
+        open_[tag] += 1
         if not inline:
             block = here
     flush()
     return out
 
 
+def _enclosed(node: _Node, any_article: bool) -> float:
+    """What encloses a block, as a cost of content."""
+    cost = node.cost if node.cost >= _UNSEEN else min(max(node.cost, -1.5), _MOST)
+    return cost - 1.0 if node.inside else cost + 1.0 if any_article else cost
+
+
 def costs(text: str, linked: int, node: _Node, any_article: bool) -> float:
     """The block's cost of being content less its cost of being boilerplate: negative speaks for content."""
-    size = len(text)
     words = text.count(" ") + 1
-    cost = node.cost + 6.0 * (linked / size if linked > 0 else 0)
-    if node.inside:
-        cost -= 3.0
-    elif any_article:
-        cost += 5.0
-    else:
-        cost -= 0.3
-    cost -= min(words, 40) / 20.0
-    if node.tag in ("p", "h1", "h2", "h3", "h4", "blockquote", "pre", "td", "dd"):
-        cost -= 1.0
-    if words > 8 and text[-1] in ".!?”\"'":
+    cost = 0.2 - min(words, 30) / 12.0 + 2.5 * (linked / len(text) if linked > 0 else 0) + _enclosed(node, any_article)
+    if words > 3 and text[-1] in ".!?”\"'":
         cost -= 0.5
+    if node.tag in _PROSE:
+        cost -= 0.4
+    if not node.tag:
+        cost -= 1.0  # text that no tag encloses
     if text[0] == "©":
-        cost += 4.0
+        cost += 3.0
     return cost
 
 
@@ -292,31 +360,32 @@ def _max_flow(ids: list[int], u: list[float], near: list[dict[int, float]]) -> s
                     level[i] = -1
 
 
-def main_text(page: str) -> tuple[str, int, int]:
-    """The main text, the number of blocks, and how many of them are content."""
-    found = blocks(page)
-    if not found:
-        return "", 0, 0
+def graph(found: list[tuple[str, int, _Node]]) -> tuple[list[float], dict[tuple[int, int], float]]:
+    """The cost of each block and the edges between blocks."""
     any_article = any(node.inside for _, _, node in found)
     unary = [costs(t, linked, node, any_article) for t, linked, node in found]
+    around = [_enclosed(node, any_article) for _, _, node in found]
     edges: dict[tuple[int, int], float] = {}
     for i in range(1, len(found)):
-        a, b = found[i - 1][2], found[i][2]
-        w = TIE * 0.5 ** max(0, _apart(a, b) - 2)
-        # a border between what the page marks as different is no tie
-        if (a.cost > 3) == (b.cost > 3) and a.inside == b.inside:
-            edges[i - 1, i] = w
-            if i > 1 and found[i - 2][2].up is b.up:  # the same container, one block between
-                edges[i - 2, i] = 0.5 * TIE
-    label = minimum_cut(unary, edges)
+        b = found[i][2]
+        near = _apart(found[i - 1][2], b)
+        edges[i - 1, i] = TIE * 0.5 ** max(0, near - 2) * math.exp(-abs(around[i - 1] - around[i]) / CONTRAST)
+        if i > 1 and found[i - 2][2].up is b.up:  # one container, one block between
+            edges[i - 2, i] = 0.5 * TIE * math.exp(-abs(around[i - 2] - around[i]) / CONTRAST)
+    return unary, edges
+
+
+def main_text(page: str) -> tuple[str, int, int]:
+    """The main text, the number of blocks, and how many of them are content."""
+    found = blocks(page)
+    label = minimum_cut(*graph(found))
     kept = [t for (t, _, _), x in zip(found, label, strict=True) if x]
     return " ".join(kept), len(found), len(kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """pages with main_text, n_blocks and n_content."""
-    kept = [c for c in pages.columns if c not in OWN]
-    rows = pages.select(F.struct(*kept).alias("row"), "html")
+    rows = pages.select(F.struct(*pages.columns).alias("row"), "html")
 
     def run(batches):
         import pyarrow as pa
@@ -326,7 +395,8 @@ def extract(pages: DataFrame) -> DataFrame:
             cols = [pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64())]
             yield pa.RecordBatch.from_arrays([b.column("row"), *cols], ["row", *OWN])
 
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, main_text string, n_blocks long, n_content long").select("row.*", *OWN)
+    out = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, main_text string, n_blocks long, n_content long")
+    return out.select(*[F.col("row")[c].alias(c) for c in pages.columns if c not in OWN], *OWN)
 
 
 def html_query(pages: DataFrame) -> DataFrame:

@@ -137,6 +137,50 @@ def test_page_parts():
     assert html_main.main_text("")[0] == "" and html_main.main_text("a plain text")[0] == "a plain text"
 
 
+_IN_ARTICLE = """<main><article><div class="entry-header"><h1>Title</h1></div><p>First paragraph of the text, with some words.</p><div class="warning">Beware of this.</div>
+<p>The formula <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p><div class="ad">Buy now, it is cheap today.</div><p><a href="/s">See also this</a></p><p>Last.</p><ul><li>one</li><li>two</li></ul></article></main>"""
+_WITHOUT_ARTICLE = """<html><body><div id="top"><a href=/>Home</a> <a href=/b>Shop</a></div><div class="wrap"><h1>On rivers</h1><p>Rivers carry water from the hills to the sea, and much else besides.</p><p>So it is.</p>
+<div><a href="/x">More on hills</a></div><p>They bend where the ground is soft, and cut deep where it is hard.</p></div><div class="related"><h2>Related</h2><ul><li><a href=/1>Lakes</a></li><li><a href=/2>Seas of the north</a></li></ul></div>
+<div class="legal">All rights reserved.</div><footer><p>Written by nobody in particular, who keeps all rights to it.</p></footer></body></html>"""
+
+
+@pytest.mark.parametrize(
+    "page,want,turned",
+    [
+        (_IN_ARTICLE, "Title First paragraph of the text, with some words. Beware of this. The formula x=2 holds. See also this Last. one two", "See also this"),
+        (_WITHOUT_ARTICLE, "On rivers Rivers carry water from the hills to the sea, and much else besides. So it is. More on hills They bend where the ground is soft, and cut deep where it is hard.", "More on hills"),
+    ],
+)
+def test_the_cut_decides(page, want, turned):
+    """A block whose own cost speaks against it goes with what surrounds it; the blocks alone would lose it."""
+    found = html_main.blocks(page)
+    unary, edges = html_main.graph(found)
+    assert html_main.main_text(page)[0] == want
+    alone = [t for (t, _, _), u in zip(found, unary) if u < 0]
+    assert turned not in alone and " ".join(alone) != want
+    assert " ".join(t for (t, _, _), x in zip(found, html_main.minimum_cut(unary, {})) if x) == " ".join(alone)
+
+
+@pytest.mark.parametrize("page", ["<a " * 400_000, "<a " * 400_000 + '">"', "<svg>" * 200_000, "<a b='" * 200_000 + ">", "<!" * 400_000, "<b>" * 100_000 + "<p>" * 50_000, "a" * 1_000_000, f"<p {'a' * 1_000_000}>x</p>"])
+def test_long_broken_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html_main.main_text(page)
+    assert time.process_time() - began < 20
+
+
+def test_open_tags_and_quotes():
+    def texts(page):
+        return [t for t, _, _ in html_main.blocks(page)]
+
+    assert texts("<p>one<p>two<ul><li>three<li>four</ul>five") == ["one", "two", "three", "four", "five"]
+    assert texts('<p title="a > b">x</p><p title=\'"\'>y</p>') == ["x", "y"]
+    assert texts("<p>1 < 2 and 3 <4</p>") == ["1 < 2 and 3 <4"]
+    assert texts("<p>x</b></div>y") == ["x", "y"] and texts("<p>x <!-- a > b -->y<!-- open") == ["x y"]
+    assert texts('<p a="open>x</p><p>y</p>') == ["x", "y"]
+
+
 def test_minimum_cut_against_all_labellings():
     import itertools
     import random
