@@ -11,10 +11,12 @@ contains to the threshold has a sketch shingle in the document, so no document i
 missed. (Banded signatures of whole documents could not promise that: a short item
 in a very long document has a Jaccard similarity near zero.) A document's hashes
 are looked up in the index of sketches; documents found that way, and only those,
-are verified by intersecting shingle strings.
+are verified: their distinct shingle strings are joined to those of the items they
+were found by, and counted.
 
 The index and the items are broadcast only if their counted rows are within the
-bound, else they are joined by shuffle.
+bound. A larger index is joined by shuffle, and only with shingles whose bit is set in
+a bitmap of the index's hashes, whose size is fixed.
 
 Cases: null and empty texts match nothing; an item of fewer than five words matches
 documents whose whole word sequence equals it; rows that repeat give one result per
@@ -29,10 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from pairloom.llm import shared
 from pairloom.llm.shared import row_key, small, written
 
 WIDTH = 5
 SHARE = 0.8
+#: The bitmap of a large index has 64 times 2 to this power bits: 16 MB.
+BITMAP = 21
 
 
 def _words(text: str = "text") -> Column:
@@ -67,6 +72,18 @@ def _items(items: DataFrame, width: int, share: float) -> DataFrame:
     return rows.withColumn("m", (most - F.ceil(most * share - 1e-9) + 1).cast("int"))
 
 
+def _possible(hashes: DataFrame, index: DataFrame) -> DataFrame:
+    """The rows of hashes (h) whose bit is set in a bitmap of the index: all that are in it, and few others."""
+    place = F.col("h").bitwiseAND(F.lit((1 << BITMAP) - 1))
+    bit = F.shiftrightunsigned("h", 58)
+    one = F.element_at(F.array(*[F.lit(1 << k if k < 63 else -(1 << 63)).cast("long") for k in range(64)]), bit.cast("int") + 1)
+    words = index.groupBy(place.cast("int").alias("at")).agg(F.bit_or(one).alias("bits"))
+    all_ = index.sparkSession.range(1 << BITMAP).select(F.col("id").cast("int").alias("at")).join(words, "at", "left")
+    bitmap = all_.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))), lambda x: x["bits"]).alias("bitmap"))
+    bitmap = written(bitmap, "decontam-bitmap")  # one row of a fixed size
+    return hashes.crossJoin(F.broadcast(bitmap)).where(F.get("bitmap", place.cast("int")).bitwiseAND(one) != 0).drop("bitmap")
+
+
 def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float = SHARE) -> DataFrame:
     """rk, doc_id, item_id, n_shingles, n_found, containment: one row for each document row key and item it contains."""
     table = written(_items(items, width, share), "decontam-items")
@@ -80,16 +97,19 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: f
     keyed = docs.select(row_key().alias("rk"), F.col("doc_id"), "text")
     words = keyed.select("rk", _words().alias("w"))
     hashes = words.select("rk", F.explode(_shingles(F.col("w"), width, _hash)).alias("h"))
+    if n_index > shared.BROADCAST_ROWS:
+        hashes = _possible(hashes, index)
     found = hashes.join(small(index, n_index), "h").groupBy("rk").agg(F.collect_set("key").alias("items"))
     found = written(found, "decontam-found")
     n_found = found.count()
     rows = keyed.join(small(found, n_found), "rk").dropDuplicates(["rk"])
     rows = rows.select("rk", "doc_id", "items", _words().alias("w"))
-    rows = rows.select("rk", "doc_id", "items", F.array_distinct(_shingles(F.col("w"), width, _text)).alias("own"))
-    pairs = rows.select("rk", "doc_id", F.explode("items").alias("key"), "own")
-    pairs = pairs.join(small(table.select("key", "item_id", "shingles", "n"), table.count()), "key")
-    pairs = pairs.withColumn("n_found", F.size(F.array_intersect("shingles", "own")))
-    pairs = pairs.select("rk", "doc_id", "item_id", F.col("n").alias("n_shingles"), "n_found", (F.col("n_found") / F.col("n")).alias("containment"))
+    rows = rows.select("rk", "doc_id", "items", F.explode(F.array_distinct(_shingles(F.col("w"), width, _text))).alias("s"))
+    known = table.select("key", F.explode("shingles").alias("s"))
+    pairs = rows.join(small(known, table.agg(F.sum("n")).first()[0] or 0), "s").where(F.array_contains("items", F.col("key")))
+    pairs = pairs.groupBy("rk", "doc_id", "key").agg(F.count("*").cast("int").alias("n_found"))
+    pairs = pairs.join(small(table.select("key", "item_id", F.col("n").alias("n_shingles")), table.count()), "key")
+    pairs = pairs.select("rk", "doc_id", "item_id", "n_shingles", "n_found", (F.col("n_found") / F.col("n_shingles")).alias("containment"))
     return pairs.where(F.col("n_found") >= F.ceil(F.col("n_shingles") * share - 1e-9))
 
 
@@ -99,5 +119,6 @@ def decontam_query(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean_docs(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that contain no item."""
-    leaks = written(contaminated(docs, items).select(F.col("rk").alias("rk_")).distinct(), "decontam-leaks")
-    return docs.withColumn("rk_", row_key()).join(small(leaks, leaks.count()), "rk_", "left_anti").drop("rk_")
+    leaks = written(contaminated(docs, items).select("rk").distinct(), "decontam-leaks")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), row_key().alias("rk"))
+    return rows.join(small(leaks, leaks.count()), "rk", "left_anti").select("row.*")

@@ -16,3 +16,20 @@ def test_repeated_and_null_items(spark):
     got = Counter((r.doc_id, r.item_id) for r in decontam.decontam_query(docs, items).collect())
     assert got == Counter([(k, 1) for k in range(36)] + [(100 + k, 1) for k in range(36)] + [(200, None)])
     assert [r.doc_id for r in decontam.clean_docs(docs, items).collect()] == [201]
+
+
+def test_an_index_beyond_the_bound(spark, monkeypatch):
+    """Joined by shuffle behind a bitmap, the index finds the same."""
+    import random
+
+    from pairloom.llm import shared
+
+    r = random.Random(3)
+    texts = [" ".join(r.choice("abcdefghijklmnopqrstuvwxyz") + str(r.randrange(30)) for _ in range(60)) for _ in range(40)]
+    docs = spark.createDataFrame([(i, f"{t} and more of it" if i % 2 else "nothing of the sort at all here") for i, t in enumerate(texts)], "doc_id long, text string")
+    items = spark.createDataFrame([(100 + i, t) for i, t in enumerate(texts)], "item_id long, text string")
+    once = sorted(map(tuple, decontam.decontam_query(docs, items).collect()))
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(decontam, "BITMAP", 8)
+    assert sorted(map(tuple, decontam.decontam_query(docs, items).collect())) == once and len(once) == 20
+    assert decontam.clean_docs(docs, items).count() == 20
