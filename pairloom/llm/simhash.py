@@ -38,7 +38,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: The most fingerprints of one shard in a tile.
 TILE = 4096
 #: Nodes that the queries of one step may visit at most.
-STEP = 1 << 21
+STEP = 1 << 17
 
 
 def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
