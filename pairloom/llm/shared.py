@@ -190,18 +190,6 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b" ".join(texts) + b" ", np.uint8), at
 
 
-class WordHash(dict):
-    """XXH3 of words, each computed once while it is among the kept ones."""
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh3_64_intdigest
-
-        if len(self) >= 1 << 19:
-            self.clear()
-        h = self[word] = xxh3_64_intdigest(word, 20260101)
-        return h
-
-
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -216,13 +204,15 @@ def words_of(text: bytes, most: int = 4 << 20):
         at = end
 
 
-def hashed_words(texts: list[bytes], known: WordHash) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words and, for each text, the index of its first word (one more for the end)."""
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """XXH3 of all words and, for each text, the index of its first word (one more for the end)."""
+    from xxhash import xxh3_64_intdigest
+
     at, out = np.zeros(len(texts) + 1, np.int64), []
     for i, t in enumerate(texts):
         n = 0
         for words in words_of(t):
-            out.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+            out.append(np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words)))
             n += len(words)
         at[i + 1] = at[i] + n
     return np.concatenate(out) if out else np.zeros(0, np.uint64), at

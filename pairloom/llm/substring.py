@@ -36,7 +36,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.shared import WORD_BASES, WordHash, forget, hashed_words, mix, pieces, rolling, row_key, utf8, words_of, written
+from pairloom.llm.shared import WORD_BASES, forget, hashed_words, mix, pieces, rolling, row_key, utf8, words_of, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -142,11 +142,11 @@ def _in(sorted_: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 def _probes(batches, width: int, bits: int):
     """Packed grid blocks (key, pos) and rolling probes of each batch, a row for each bucket it touches."""
-    block, known, sent = (width + 1) // 2, WordHash(), _Sent()
+    block, sent = (width + 1) // 2, _Sent()
     for b in batches:
         texts, keys = utf8(b.column("text")), _keys(b)
         for lo, hi in pieces(texts, PIECE):
-            words, at = hashed_words(texts[lo:hi], known)
+            words, at = hashed_words(texts[lo:hi])
             roll, grid = [], []
             for i in np.flatnonzero(np.diff(at) >= width):
                 h = rolling(words[at[i] : at[i + 1]], block, WORD_BASES[0])
@@ -198,11 +198,11 @@ def _anchors(table):
 
 def _windows(batches, width: int, bits: int):
     """Packed `width`-word windows around the anchors; those that occur twice in the task are settled at once."""
-    block, known, sent = (width + 1) // 2, WordHash(), _Sent()
+    block, sent = (width + 1) // 2, _Sent()
     for b in batches:
         texts, keys, anchors = utf8(b.column("text")), _keys(b), b.column("anchors")
         for lo, hi in pieces(texts, PIECE):
-            words, at = hashed_words(texts[lo:hi], known)
+            words, at = hashed_words(texts[lo:hi])
             found = []
             for i in range(hi - lo):
                 own = words[at[i] : at[i + 1]]

@@ -120,12 +120,11 @@ def test_substring_words_that_a_polynomial_confuses(spark, n):
 
 
 def test_substring_cuts_long_texts_in_parts():
-    from pairloom.llm.shared import WordHash, hashed_words, words_of
+    from pairloom.llm.shared import hashed_words, words_of
 
     text = " \t".join(f"w{k % 77}" for k in range(3000)).encode() + b" "
     assert [w for part in words_of(text, 100) for w in part] == text.split()
-    known = WordHash()
-    whole, at = hashed_words([text, b"", b"x"], known)
+    whole, at = hashed_words([text, b"", b"x"])
     assert at.tolist() == [0, 3000, 3000, 3001] and len(set(whole.tolist())) == 78
     spans = np.array([[5, 40], [2990, 3000]], np.uint32).tobytes()
     w = text.split()
