@@ -192,7 +192,7 @@ class Mix:
 
         classes = written(_classes(slim, self.targets, most, tilt, match), "mix-classes")
         self.classes, self.n_classes = classes, classes.count()
-        rows = match(slim.withColumn("digits", _digits(F.col("size"))), classes, ["source", "digits"], self.n_classes)
+        rows = match(slim.where("size > 0").withColumn("digits", _digits(F.col("size"))), classes, ["source", "digits"], self.n_classes)
         rows = rows.withColumn("v", _rank()).where("v is not null").select("source", "size", "key", "v")
         open_ = classes.where("p is not null").groupBy("source").agg(F.max("open").alias("limit"))
         self.cuts = _cuts(rows, open_, ["source"], match, "draw")

@@ -61,3 +61,35 @@ d AS (SELECT DISTINCT source, key FROM (SELECT c.source, key, sum(c.size) OVER (
  UNION SELECT source, key FROM c WHERE fits),
 e AS (SELECT v.*, CASE WHEN v.size > 0 THEN (base + (d.key IS NOT NULL)::INT)::BIGINT ELSE 0 END AS copies FROM v LEFT JOIN d ON v.source IS NOT DISTINCT FROM d.source AND v.key = d.key)
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM e"""
+
+
+def _crc_of_nibbles() -> list[int]:
+    """What each four bits add to a CRC-32."""
+    out = []
+    for n in range(16):
+        for _ in range(4):
+            n = n >> 1 ^ 0xEDB88320 * (n & 1)
+        out.append(n)
+    return out
+
+
+def _packed(steps: int, capacity: str, source: str) -> str:
+    """a1 to aN: where a greedy packing of the ordered groups, whose running sums are the list c, ends each shard."""
+    for i in range(1, steps + 1):
+        last = f"a{i - 1}" if i > 1 else "0"
+        source = f"(SELECT *, coalesce(list_max(list_filter(c, lambda x: x <= {last} + {capacity})), {last})::BIGINT AS a{i} FROM {source})"
+    return source
+
+
+_NIBBLES = "flatten(list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda p: [instr('0123456789ABCDEF', p[2]) - 1, instr('0123456789ABCDEF', p[1]) - 1]))"
+
+SHARDING = f"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t, strlen(coalesce(text, '')) + 1 AS size, CAST('0x' || substr(md5(coalesce(text, '')), 1, 16) AS UBIGINT)::HUGEINT AS whole FROM documents),
+e AS MATERIALIZED (SELECT *, (CASE WHEN whole >= 9223372036854775808::HUGEINT THEN whole - 18446744073709551616::HUGEINT ELSE whole END)::BIGINT AS h,
+ xor(list_reduce(list_prepend(4294967295::BIGINT, {_NIBBLES}::BIGINT[]), lambda x, y: xor(x >> 4, ({_crc_of_nibbles()}::BIGINT[])[(xor(x, y) & 15) + 1])), 4294967295::BIGINT) AS text_crc32 FROM d),
+g AS MATERIALIZED (SELECT h, sum(sum(size)) OVER (ORDER BY h)::BIGINT AS upto FROM e GROUP BY h),
+l AS MATERIALIZED (SELECT list(upto ORDER BY upto) AS c, max(upto) AS total FROM g),
+b AS (SELECT (total + 7) // 8 AS low, total AS high FROM l
+ UNION ALL SELECT CASE WHEN a8 = total THEN low ELSE (low + high) // 2 + 1 END, CASE WHEN a8 = total THEN (low + high) // 2 ELSE high END FROM {_packed(8, "(low + high) // 2", "(SELECT low, high, c, total FROM b, l WHERE low < high)")}),
+p AS MATERIALIZED (SELECT * FROM {_packed(7, "capacity", "(SELECT min(high) AS capacity, any_value(c) AS c FROM b, l)")}),
+s AS (SELECT e.*, {" + ".join(f"(upto > a{i})::INT" for i in range(1, 8))} AS shard, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || CAST(h AS VARCHAR)), 1, 4) AS BIGINT) % 2048 AS cell FROM e JOIN g USING (h), p)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY cell, doc_id NULLS FIRST, h) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s"""

@@ -11,7 +11,7 @@ never inputs. The model is fitted at the driver on at most `sample` labelled row
 Cases: a null text scores as the empty text; empty texts have a score; a null
 doc_id is never held out and never used to fit; rows that repeat score alike; an
 empty table gives no rows; without labels every score is the prior 0.5; extra
-columns are kept by `score` unless named like one of its own, which it replaces.
+columns are kept by `score` but for one named score, which it replaces.
 """
 
 from __future__ import annotations
@@ -197,10 +197,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     return FactorisationMachine().fit(c, x, at, np.array([r.label for r in rows], np.float64))
 
 
-def score(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
-    """docs with score, the model's probability of label 1."""
-    kept = [c for c in docs.columns if c != "score"]
-    rows = docs.select(F.struct(*kept).alias("row"), "text")
+def _scored(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
+    """row (the columns of docs) and score."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
     light = FactorisationMachine.__new__(FactorisationMachine)
     light.w0, light.w, light.v = float(model.w0), model.w.astype(np.float32), model.v.astype(np.float32)
 
@@ -209,10 +208,15 @@ def score(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
 
         for b in batches:
             texts = utf8(b.column("text"))
-            out = [light.score(texts[lo:hi]) for lo, hi in pieces(texts)]
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())], ["row", "score"])
+            for lo, hi in pieces(texts):
+                yield pa.RecordBatch.from_arrays([b.column("row").slice(lo, hi - lo), pa.array(light.score(texts[lo:hi]), pa.float64())], ["row", "score"])
+
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, score double")
 
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, score double").select("row.*", "score")
+
+def score(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
+    """docs with score, the model's probability of label 1."""
+    return _scored(docs, model).select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "score"], "score")
 
 
 #: Rows under this score are rejected.
@@ -225,6 +229,5 @@ def quality_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def good_docs(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the classifier keeps."""
-    kept = docs.columns
-    return score(docs, fit(docs, labels)).where(F.col("score") >= THRESHOLD).select(*kept)
+    """The rows of docs that the classifier keeps, their columns as they were."""
+    return _scored(docs, fit(docs, labels)).where(F.col("score") >= THRESHOLD).select("row.*")

@@ -55,7 +55,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (op1_decontamination, op2_substring_dedup, op3_simhash, op4_mixing, op5_line_dedup, op6_html_extraction, op7_toxicity, op8_sharding, op9_quality, op10_media)
 
-_ORACLES: dict[str, str] = {"op1_decontamination": oracles.DECONTAMINATION, "op2_substring_dedup": oracles.SUBSTRING, "op4_mixing": oracles.MIXING, "op5_line_dedup": oracles.LINES}
+_ORACLES: dict[str, str] = {"op1_decontamination": oracles.DECONTAMINATION, "op2_substring_dedup": oracles.SUBSTRING, "op4_mixing": oracles.MIXING, "op5_line_dedup": oracles.LINES, "op8_sharding": oracles.SHARDING}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

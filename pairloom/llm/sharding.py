@@ -1,6 +1,7 @@
 """Sharding: minimax contiguous partition of ordered atomic groups.
 
-Groups are equal texts, ordered by a 64-bit hash of the text. The smallest
+Groups are equal texts, ordered by 64 bits of the text's MD5, which other engines can
+compute too. The smallest
 shard capacity that lets a greedy left-to-right packing of whole groups use at
 most `shards` shards is found by binary search; the cuts are those of that
 packing. The search reads histograms only: sums of sizes by the next 12 bits of
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from pairloom.llm.shared import written
+from pairloom.llm.shared import small, written
 
 #: Bits of the hash by which a bucket is opened.
 BITS = 12
@@ -129,20 +130,26 @@ def minimax_cuts(slim: DataFrame, shards: int) -> tuple[list[int], int]:
     return [groups.nodes[i][0] for i in cuts if i < len(groups.nodes)], low
 
 
+def _hash(text: F.Column) -> F.Column:
+    """The first 64 bits of an MD5, signed."""
+    return F.conv(F.substring(F.md5(text), 1, 16), 16, -10).cast("bigint")
+
+
 def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot and group of every row of docs."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    slim = written(docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("h")), "shard")
+    slim = written(docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"), _hash(text).alias("h")), "shard")
     cuts, _ = minimax_cuts(slim, shards)
     number = F.lit(0)
     for c in cuts:
         number = number + (F.col("h") >= F.lit(c)).cast("int")
-    rows = slim.withColumn("shard", number).withColumn("cell", F.pmod(F.xxhash64("doc_id", "h", F.lit("cell")), F.lit(CELLS)).cast("int"))
+    key = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("h").cast("string")))
+    rows = slim.withColumn("shard", number).withColumn("cell", F.conv(F.substring(key, 1, 4), 16, 10).cast("int") % CELLS)
     before = W.Window.partitionBy("shard").orderBy("cell").rowsBetween(W.Window.unboundedPreceding, -1)
     offsets = rows.groupBy("shard", "cell").agg(F.count("*").alias("n")).select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     within = W.Window.partitionBy("shard", "cell").orderBy("doc_id", "h")
     placed = rows.withColumn("rank", F.row_number().over(within).cast("long") - 1)
-    return placed.join(F.broadcast(offsets), ["shard", "cell"]).select("doc_id", "size", "text_crc32", "shard", (F.col("offset") + F.col("rank")).alias("slot"), F.col("h").alias("group_hash"))
+    return placed.join(small(offsets, shards * CELLS), ["shard", "cell"]).select("doc_id", "size", "text_crc32", "shard", (F.col("offset") + F.col("rank")).alias("slot"), F.col("h").alias("group_hash"))
 
 
 def sharded_query(docs: DataFrame, shards: int = 8) -> DataFrame:
