@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 SEED = 42
 
 
-def draw(step: str, *key: Column | str, seed: int = SEED) -> Column:
+def draw(step: str | Column, *key: Column | str, seed: int = SEED) -> Column:
     """A uniform integer in [0, 2^32): the first 32 bits of an MD5 of seed, key and step."""
-    parts = [F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in key], F.lit(step)]
+    parts = [F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in key], F.lit(step) if isinstance(step, str) else step]
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("bigint")
 
 

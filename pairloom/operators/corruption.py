@@ -306,30 +306,44 @@ def simple_single(s: Column, d: Draws) -> Column:
 GENERATORS = {"multi_error_sentences": multi_error, "contextual_phonetic": contextual_phonetic, "advanced_typography": typography, "keyboard_patterns": keyboard_pattern, "simple_single": simple_single}
 
 
+#: Attempts are broadcast to the pool up to so many.
+MOST_BROADCAST = 200_000
+
+
 def generate(pool: DataFrame, target: int, methods: dict[str, tuple[str, float]] | None = None, tries: int = 3) -> DataFrame:
     """Training examples from a pool (doc_id, pos, sentence, domain).
 
-    Each method has a quota of int(target * share) and `tries` times as many
-    attempts; an attempt draws a domain, then one of its sentences. The first
-    successes in the order of attempts fill the quota.
+    Each method has a quota of int(target * share) and at most `tries` times as many
+    attempts; an attempt draws one of the configured domains that the pool has, then one of its
+    sentences. The first successes in the order of attempts fill the quota. The pool is
+    numbered once and joined once, with the attempts of all methods; `shortfall` says
+    where attempts ran out.
     """
     methods = methods or lexicons.METHODS
-    domains = sorted(lexicons.DOMAINS)
-    pool = sampling.shuffled(pool, ["domain"], "pool", "doc_id", "pos")
-    sizes = pool.groupBy("domain").agg(F.count("*").alias("n"))
-    spark = pool.sparkSession
-    names = F.array(*map(F.lit, domains))
+    pool = sampling.stored(sampling.shuffled(pool.select("doc_id", "pos", "domain", "sentence"), ["domain"], "pool", "doc_id", "pos").select("domain", "index", "sentence"))
+    # one row for each configured domain
+    sizes = {r.domain: r.n for r in pool.where(F.col("domain").isin(list(lexicons.DOMAINS))).groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    domains = sorted(sizes) or sorted(lexicons.DOMAINS)
+    names, counts = F.array(*map(F.lit, domains)), F.array(*[F.lit(max(sizes.get(d, 0), 1)) for d in domains])
+    quotas = {name: int(target * share) for name, (_, share) in methods.items()}
+
+    def attempts(name: str) -> DataFrame:
+        which = (draw(f"{name}-domain", "attempt") % len(domains)).cast("int")
+        tried = pool.sparkSession.range(quotas[name] * tries).select(F.lit(name).alias("method"), F.col("id").alias("attempt"))
+        return tried.withColumn("domain", F.get(names, which)).withColumn("index", draw(f"{name}-sentence", "attempt") % F.get(counts, which))
+
+    tried = reduce(lambda a, b: a.union(b), map(attempts, methods))
+    few = sum(quotas.values()) * tries <= MOST_BROADCAST
+    rows = sampling.stored(pool.join(F.broadcast(tried) if few else tried, ["domain", "index"]))
     all_ = []
-    for name, (source, share) in methods.items():
-        n = int(target * share)
-        tried = spark.range(n * tries).withColumnRenamed("id", "attempt").withColumn("domain", F.get(names, (draw(f"{name}-domain", "attempt") % len(domains)).cast("int")))
-        tried = tried.join(F.broadcast(sizes), "domain").withColumn("index", draw(f"{name}-sentence", "attempt") % F.col("n")).drop("n")
-        rows = tried.join(pool, ["domain", "index"])
+    for name, (source, _) in methods.items():
         # explode keeps the filter from computing the example again
-        rows = rows.withColumn("m", F.explode(F.array(GENERATORS[name](F.col("sentence"), Draws(F.lit(name), "attempt"))))).where("m is not null")
-        ok = sampling.numbered(rows.withColumn("all_", F.lit(1)), ["all_"], F.floor(F.col("attempt") * sampling.CELLS / F.lit(max(n * tries, 1))), ["attempt"], "rank").where(F.col("rank") < n)
-        all_.append(ok.select(F.lit(name).alias("method"), "attempt", F.col("m.corrupted").alias("corrupted"), F.col("sentence").alias("clean"), "domain", F.col("m.error_types").alias("error_types"), F.col("m.num_errors").alias("num_errors"), F.lit(source).alias("source")))
+        made = rows.where(F.col("method") == name).select("attempt", "domain", "sentence", F.explode(F.array(GENERATORS[name](F.col("sentence"), Draws(F.lit(name), "attempt")))).alias("m")).where("m is not null")
+        all_.append(made.select(F.lit(name).alias("method"), "attempt", F.col("m.corrupted").alias("corrupted"), F.col("sentence").alias("clean"), "domain", F.col("m.error_types").alias("error_types"), F.col("m.num_errors").alias("num_errors"), F.lit(source).alias("source")))
     rows = reduce(lambda a, b: a.unionByName(b), all_)
+    most = F.element_at(F.create_map(*[F.lit(x) for name, n in quotas.items() for x in (name, n)]), F.col("method"))
+    cell = F.floor(F.col("attempt") * sampling.CELLS / F.greatest(most * tries, F.lit(1)))
+    rows = sampling.numbered(sampling.stored(rows), ["method"], cell, ["attempt"], "rank").where(F.col("rank") < most)
     words = text.n_words("clean")
     level = F.when(F.col("source") == "simple_single", "simple").otherwise(scoring.complexity(words, F.col("num_errors"), F.col("error_types")))
     return rows.select(
@@ -338,6 +352,15 @@ def generate(pool: DataFrame, target: int, methods: dict[str, tuple[str, float]]
     )
 
 
+def shortfall(examples: DataFrame, target: int, methods: dict[str, tuple[str, float]] | None = None) -> DataFrame:
+    """method, quota, made and missing of every method of generated examples."""
+    quotas = [(name, int(target * share)) for name, (_, share) in (methods or lexicons.METHODS).items()]
+    wanted = examples.sparkSession.createDataFrame(quotas, "method string, quota int")
+    made = examples.groupBy("method").agg(F.count("*").alias("made"))
+    rows = F.broadcast(wanted).join(made, "method", "left").select("method", "quota", F.coalesce("made", F.lit(0)).alias("made"))
+    return rows.withColumn("missing", F.col("quota") - F.col("made"))
+
+
 # ---- the earlier generator ----
 
 

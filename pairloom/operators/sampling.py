@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from pairloom.functions.rng import draw
+from pairloom.functions.text import let
 
-#: Cells by which rows are numbered: the table of offsets has at most so many rows a group.
-CELLS = 4096
+#: Cells by which rows are numbered, as bits of a draw: the table of offsets has at most so many rows a group,
+#: and a cell of 10^12 rows some 15 million.
+CELL_BITS = 16
+CELLS = 1 << CELL_BITS
 
 
 def numbered(df: DataFrame, group: list[str], cell: Column, order: list[str], name: str = "index") -> DataFrame:
@@ -31,7 +35,7 @@ def numbered(df: DataFrame, group: list[str], cell: Column, order: list[str], na
 def shuffled(df: DataFrame, group: list[str], step: str, *key: str, name: str = "index") -> DataFrame:
     """Numbers rows in a seeded random order within each group."""
     rows = df.withColumn("h_", draw(step, *key))
-    return numbered(rows, group, F.shiftright("h_", 20), ["h_", *key], name).drop("h_")
+    return numbered(rows, group, F.shiftright("h_", 32 - CELL_BITS), ["h_", *key], name).drop("h_")
 
 
 def quota(pool: DataFrame, total: int, shares: dict[str, float], *key: str) -> DataFrame:
@@ -82,15 +86,29 @@ def last(df: DataFrame, n: int, *order: str) -> DataFrame:
     return df.orderBy(*[F.col(c).desc() for c in order]).limit(n)
 
 
-def weighted_places(n: Column, k: Column, step: str, *key: Column | str, most: int = 12, edge: float = 0.3) -> Column:
+def weighted_places(n: Column, k: Column, step: str, *key: Column | str, edge: float = 0.3) -> Column:
     """Up to k distinct places of n (from 0), drawn with replacement; the first and last weigh `edge` where n > 3."""
 
-    def place(j: int) -> Column:
-        h = draw(f"{step}{j}", *key).cast("double") / F.lit(float(1 << 32))
+    def place(j: Column) -> Column:
+        h = draw(F.concat(F.lit(step), j.cast("string")), *key).cast("double") / F.lit(float(1 << 32))
         all_ = n - 2 + F.lit(2 * edge)
-        x = h * all_
-        heavy = F.when(x < edge, F.lit(0)).when(x >= all_ - F.lit(edge), n - 1).otherwise(F.least(F.floor(x - F.lit(edge)).cast("int") + 1, n - 2))
-        return F.when(n > 3, heavy).otherwise(F.floor(h * n).cast("int"))
 
-    drawn = F.array(*[F.when(F.lit(j) < k, place(j)) for j in range(most)])
-    return F.array_sort(F.array_distinct(F.array_compact(drawn)))
+        def at(x: Column) -> Column:
+            heavy = F.when(x * all_ < edge, F.lit(0)).when(x * all_ >= all_ - F.lit(edge), n - 1).otherwise(F.least(F.floor(x * all_ - F.lit(edge)).cast("int") + 1, n - 2))
+            return F.when(n > 3, heavy).otherwise(F.floor(x * n).cast("int"))
+
+        return let(h, at)
+
+    drawn = F.when(k > 0, F.transform(F.sequence(F.lit(0), k - 1), place)).otherwise(F.array().cast("array<int>"))
+    return F.array_sort(F.array_distinct(drawn))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df computed once: a checkpoint where the session names a shared folder, else on this machine's disk (tests, one machine)."""
+    session = df.sparkSession.sparkContext
+    folder = session.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df.persist(StorageLevel.DISK_ONLY)
+    if session._jsc.sc().getCheckpointDir().isEmpty():
+        session.setCheckpointDir(folder)
+    return df.checkpoint()
