@@ -179,7 +179,73 @@ ERROR_TYPE_LEAST = {"spelling": 0.40, "phonetic": 0.15, "keyboard": 0.20, "punct
 # Abbreviations after which a final period stays.
 ABBREVIATIONS = ["etc.", "Mr.", "Ms.", "Dr.", "Inc.", "Ltd."]
 # Prompts by name; {} is the text.
-PROMPTS = {"fix": "Fix: {}", "fix_typos": "fix typos: {}", "correct_typos": "correct typos: {}", "fix_spelling": "fix spelling errors: {}"}
+PROMPTS = {
+    "fix": "Fix: {}",
+    "fix_typos": "fix typos: {}",
+    "correct_typos": "correct typos: {}",
+    "fix_spelling": "fix spelling errors: {}",
+    "fix_spelling_short": "fix spelling: {}",
+    "correct_spelling": "correct spelling errors: {}",
+    "bytes_prefix": "fix spelling errors only, don't change the meaning of the text: {}",
+    "completion": "Correct spelling: {}\nCorrected: ",
+    "minimal_context": "Fix: {}\n",
+    "few_shot_plain": """Fix typos in these sentences:
+
+Input: I beleive this is teh answer.
+Output: I believe this is the answer.
+
+Input: She recieved her degre yesterday.
+Output: She received her degree yesterday.
+
+Input: The resturant serves good food.
+Output: The restaurant serves good food.
+
+Input: {}
+Output:""",
+}
+# What a user's turn asks of a chat model, by name; the turn is put between the marks of a chat.
+TURNS = {
+    "zero_shot": "Correct the typos in this text: {}",
+    "minimal_changes": "Fix only the spelling errors in this text, change nothing else: {}",
+    "conservative": "Correct only the typos in this text. Do not change the meaning or add information: {}",
+    "strict": "Fix the spelling mistakes. Keep everything else exactly the same: {}",
+    "constraint": "Correct spelling errors only. Do not change times, dates, or other details: {}",
+    "ultra_short": "Correct: {}",
+    "direct": "{}\n\nFix spelling only:",
+    "stop_at_period": "Correct typos: {}",
+    "few_shot": """Here are examples of correcting typos while keeping everything else the same:
+
+Input: I cant beleive its raining agian today.
+Output: I can't believe it's raining again today.
+
+Input: The conferance will be held at 3pm tomorow.
+Output: The conference will be held at 3pm tomorrow.
+
+Input: Please send me the documnet by friday morning.
+Output: Please send me the document by friday morning.
+
+Now correct the typos in this text: {}""",
+    "few_shot_explicit": """Fix only spelling errors. Keep times, dates, and all other details exactly the same.
+
+Examples:
+- "I cant beleive its raining agian today." → "I can't believe it's raining again today."
+- "The conferance will be held at 3pm tomorow." → "The conference will be held at 3pm tomorrow."
+- "Please send me the documnet by friday morning." → "Please send me the document by friday morning."
+
+Correct the typos: {}""",
+    "few_shot_cautious": """Fix only spelling errors. Keep times, dates, and all other details exactly the same.
+
+Examples:
+- "I cant beleive its raining agian today." → "I can't believe it's raining again today."
+- "The conferance will be held at 3pm tomorow." → "The conference will be held at 3pm tomorrow."
+- "Please send me the documnet by friday morning." → "Please send me the document by friday morning."
+- "We need to discus the projcet detials today" → "We need to discuss the project details today"
+
+Correct the typos: {}""",
+}
+# The text around the functions that a chat offers.
+TOOLS_BEFORE = "# Tools\n\nYou may call one or more functions to assist with the user query.\n\nYou are provided with function signatures within <tools></tools> XML tags:\n<tools>"
+TOOLS_AFTER = '\n</tools>\n\nFor each function call, return a json object with function name and arguments within <tool_call></tool_call> XML tags:\n<tool_call>\n{"name": <function-name>, "arguments": <args-json-object>}\n</tool_call>'
 # The user's line of a chat example.
 CHAT_PROMPT = "Correct the typos in this text: "
 # Generator methods, the source name each writes, and their shares.

@@ -147,6 +147,12 @@ def prompt(name: str, c: Column | str) -> Column:
     return F.concat(F.lit(before), col(c), F.lit(after))
 
 
+def turn_prompt(name: str, c: Column | str) -> Column:
+    """A user's turn of a chat, and the opening of the answer."""
+    before, _, after = lexicons.TURNS[name].partition("{}")
+    return F.concat(F.lit(f"<|im_start|>user\n{before}"), col(c), F.lit(f"{after}<|im_end|>\n<|im_start|>assistant\n"))
+
+
 def chatml(messages: Column, generation: bool = False) -> Column:
     """Turns as ChatML; with `generation`, the opening of the answer too."""
     turn = F.transform(messages, lambda m: F.concat(F.lit("<|im_start|>"), m["role"], F.lit("\n"), m["content"], F.lit("<|im_end|>")))
@@ -154,6 +160,61 @@ def chatml(messages: Column, generation: bool = False) -> Column:
     return F.concat(text, F.lit("\n<|im_start|>assistant\n")) if generation else text
 
 
+#: A turn of a full chat: reasoning and calls may be null.
+TURN = "struct<role: string, content: string, reasoning: string, calls: array<struct<name: string, arguments: string>>>"
+
+
+def _bare(c: Column, left: bool = True, right: bool = True) -> Column:
+    """Without newlines at its ends."""
+    c = F.regexp_replace(c, r"\A\n+", "") if left else c
+    return F.regexp_replace(c, r"\n+\z", "") if right else c
+
+
+def chat_text(messages: Column, tools: Column | None = None, generation: bool = False, thinking: bool = True) -> Column:
+    """Turns (TURN) as a chat with system text, offered tools (JSON texts), calls, tool answers and reasoning.
+
+    Reasoning is shown after the last question of the user only: a tool's answer in a
+    user's turn is no question. It is given, or stands in the content before </think>.
+    """
+    nothing = F.lit("")
+    asks = F.filter(
+        F.sequence(F.lit(0), F.size(messages) - 1),
+        lambda i: (messages[i]["role"] == "user") & messages[i]["content"].isNotNull() & ~(F.startswith(messages[i]["content"], F.lit("<tool_response>")) & F.endswith(messages[i]["content"], F.lit("</tool_response>"))),
+    )
+    system = F.when(messages[0]["role"] == "system", messages[0]["content"])
+    head = F.coalesce(F.concat(F.lit("<|im_start|>system\n"), system, F.lit("<|im_end|>\n")), nothing)
+    if tools is not None:
+        offered = F.concat(F.lit("<|im_start|>system\n"), F.coalesce(F.concat(system, F.lit("\n\n")), nothing), F.lit(lexicons.TOOLS_BEFORE), F.array_join(F.transform(tools, lambda t: F.concat(F.lit("\n"), t)), ""), F.lit(f"{lexicons.TOOLS_AFTER}<|im_end|>\n"))
+        head = F.when(F.size(tools) > 0, offered).otherwise(head)
+
+    def answer(m: Column, i: Column, shown: Column, last: Column) -> Column:
+        content = F.coalesce(m["content"], nothing)
+        inside = F.contains(content, F.lit("</think>")) & m["reasoning"].isNull()
+        said = F.coalesce(m["reasoning"], F.when(inside, _bare(F.substring_index(_bare(F.substring_index(content, "</think>", 1), left=False), "<think>", -1), right=False)), nothing)
+        rest = F.when(inside, _bare(F.substring_index(content, "</think>", -1), right=False)).otherwise(content)
+
+        def put(x: Column) -> Column:
+            thought = F.concat(F.lit("<think>\n"), _bare(x["said"]), F.lit("\n</think>\n\n"), _bare(x["rest"], right=False))
+            calls = F.transform(F.coalesce(m["calls"], F.array().cast("array<struct<name:string,arguments:string>>")), lambda c, j: F.concat(F.when((j > 0) | (x["rest"] != ""), "\n").otherwise(""), F.lit('<tool_call>\n{"name": "'), c["name"], F.lit('", "arguments": '), c["arguments"], F.lit("}\n</tool_call>")))
+            return F.concat(F.lit("<|im_start|>assistant\n"), F.when(shown & (last | (x["said"] != "")), thought).otherwise(x["rest"]), F.array_join(calls, ""), F.lit("<|im_end|>\n"))
+
+        return let(F.struct(said.alias("said"), rest.alias("rest")), put)
+
+    def turn(m: Column, i: Column, question: Column) -> Column:
+        content, last = F.coalesce(m["content"], nothing), i == F.size(messages) - 1
+        plain = F.concat(F.lit("<|im_start|>"), m["role"], F.lit("\n"), content, F.lit("<|im_end|>\n"))
+        begins = (i == 0) | (F.get(messages, i - 1)["role"] != "tool")
+        ends = last | (F.get(messages, i + 1)["role"] != "tool")
+        tool = F.concat(F.when(begins, "<|im_start|>user").otherwise(""), F.lit("\n<tool_response>\n"), content, F.lit("\n</tool_response>"), F.when(ends, "<|im_end|>\n").otherwise(""))
+        return F.when((m["role"] == "user") | ((m["role"] == "system") & (i > 0)), plain).when(m["role"] == "assistant", answer(m, i, i > question, last)).when(m["role"] == "tool", tool).otherwise("")
+
+    def over(question: Column) -> Column:
+        return F.array_join(F.transform(messages, lambda m, i: turn(m, i, question)), "")
+
+    out = F.concat(head, let(F.coalesce(F.array_max(asks), F.size(messages) - 1), over))
+    return F.concat(out, F.lit("<|im_start|>assistant\n" + ("" if thinking else "<think>\n\n</think>\n\n"))) if generation else out
+
+
 # ---- cleaning what a model wrote ----
 
 

@@ -302,6 +302,8 @@ def simple_single(s: Column, d: Draws) -> Column:
     return F.when(n >= 3, text.let(corrupt_sentence(s, d, "simple", d.below("count", F.least(F.lit(2), F.greatest(F.lit(1), F.floor(n / 6).cast("int")))) + 1), made))
 
 
+# The least words of a sentence and the least errors of an example, by method.
+LEAST = {"multi_error_sentences": (6, 2), "contextual_phonetic": (4, 1), "advanced_typography": (3, 1), "keyboard_patterns": (3, 1), "simple_single": (3, 1)}
 #: The registry of generators; more can be added under a name with a share.
 GENERATORS = {"multi_error_sentences": multi_error, "contextual_phonetic": contextual_phonetic, "advanced_typography": typography, "keyboard_patterns": keyboard_pattern, "simple_single": simple_single}
 

@@ -273,6 +273,22 @@ def conversation_prompt(spark, sf):
     return rows.select("conv_id", text.chatml(F.col("m"), generation=True).alias("text"))
 
 
+@query(
+    "conversation_template",
+    """WITH c AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n, lag(role) OVER w AS before, lead(role) OVER w AS after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+q AS (SELECT conv_id, coalesce(max(CASE WHEN role = 'user' AND NOT (starts_with(text, '<tool_response>') AND ends_with(text, '</tool_response>')) THEN i END), max(n) - 1) AS question FROM c GROUP BY conv_id),
+t AS (SELECT c.*, CASE WHEN role = 'system' AND i = 0 THEN '<|im_start|>system' || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) WHEN role IN ('user', 'system') THEN '<|im_start|>' || role || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10)
+WHEN role = 'assistant' THEN '<|im_start|>assistant' || chr(10) || CASE WHEN i > question AND i = n - 1 THEN '<think>' || chr(10) || chr(10) || '</think>' || chr(10) || chr(10) || ltrim(coalesce(text, ''), chr(10)) ELSE coalesce(text, '') END || '<|im_end|>' || chr(10)
+WHEN role = 'tool' THEN CASE WHEN before IS DISTINCT FROM 'tool' THEN '<|im_start|>user' ELSE '' END || chr(10) || '<tool_response>' || chr(10) || coalesce(text, '') || chr(10) || '</tool_response>' || CASE WHEN after IS DISTINCT FROM 'tool' THEN '<|im_end|>' || chr(10) ELSE '' END ELSE '' END AS said FROM c JOIN q USING (conv_id))
+SELECT conv_id, string_agg(said, '' ORDER BY turn) || '<|im_start|>assistant' || chr(10) AS text FROM t GROUP BY conv_id""",
+)
+def conversation_template(spark, sf):
+    """Whole conversations by the full chat template; the table has no calls and no reasoning of their own."""
+    turn = F.struct("turn", F.col("role"), F.col("text").alias("content"), F.lit(None).cast("string").alias("reasoning"), F.lit(None).cast("array<struct<name: string, arguments: string>>").alias("calls"))
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("m"))
+    return rows.select("conv_id", text.chat_text(F.col("m"), generation=True).alias("text"))
+
+
 @query("text_truncate", "SELECT doc_id, substr(text, 1, 80) AS head, upper(lang) AS lang FROM documents")
 def text_truncate(spark, sf):
     return docs(spark, sf).select("doc_id", F.substring("text", 1, 80).alias("head"), F.upper("lang").alias("lang"))

@@ -108,9 +108,13 @@ def prompt_sweep_best(spark, sf):
     return evaluation.best_prompt(rows.withColumn("predicted", said).withColumn("case_id", F.concat_ws("-", "case_set", "n")))
 
 
-@query("prompt_build", f"WITH {_CASES}, p(prompt, before) AS (VALUES {', '.join(f'({quoted(n)}, {quoted(f[:-2])})' for n, f in _PROMPTS)}) SELECT case_set, case_id, prompt, before || corrupted AS prompted FROM cases, p")
+_TEMPLATES = [*_PROMPTS, *[(f"turn_{n}", f"<|im_start|>user\n{f}<|im_end|>\n<|im_start|>assistant\n") for n, f in lexicons.TURNS.items()]]
+
+
+@query("prompt_build", f"WITH {_CASES}, p(prompt, template) AS (VALUES {', '.join(f'({quoted(n)}, {quoted(f)})' for n, f in _TEMPLATES)}) SELECT case_set, case_id, prompt, replace(template, '{{}}', corrupted) AS prompted FROM cases, p")
 def prompt_build(spark, sf):
-    each = F.explode(F.array(*[F.struct(F.lit(n).alias("prompt"), text.prompt(n, "corrupted").alias("prompted")) for n in lexicons.PROMPTS]))
+    made = [(n, text.prompt(n, "corrupted")) for n in lexicons.PROMPTS] + [(f"turn_{n}", text.turn_prompt(n, "corrupted")) for n in lexicons.TURNS]
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("prompt"), c.alias("prompted")) for n, c in made]))
     return built_in.cases(spark).select("case_set", "case_id", each.alias("p")).select("case_set", "case_id", "p.*")
 
 

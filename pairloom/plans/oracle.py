@@ -111,6 +111,11 @@ def phonetic_like(a: str, b: str, table: list[tuple[str, str]], both_ways: bool)
     return "(" + " OR ".join(found) + ")"
 
 
+def pair_kind() -> str:
+    """The kind of two unlike words a and b, with lists of lower-case characters a_c and b_c."""
+    return f"""CASE WHEN {keyboard_like('a', 'b', lexicons.KEYBOARD_PROFILE)} THEN 'keyboard' WHEN {phonetic_like('a', 'b', lexicons.PHONETIC_PROFILE, False)} THEN 'phonetic' WHEN abs(length(a) - length(b)) <= 2 THEN 'character' ELSE 'other' END"""
+
+
 def scored_pairs() -> str:
     """CTE scored(pairs.*, types VARCHAR (comma-joined, sorted), n_types, num_errors, word_count, change, ratio)."""
     grammar = ", ".join(f"('{a.replace(chr(39), chr(39) * 2)}', '{b.replace(chr(39), chr(39) * 2)}')" for a, b in lexicons.GRAMMAR_PAIRS)

@@ -257,7 +257,7 @@ def max_consecutive_errors(spark, sf, most=MOST_PIECES):
     return pairs(spark, sf, most).select("doc_id", "pos", scoring.longest_run("clean", "corrupted").alias("run"))
 
 
-_KINDS = f"""CASE WHEN {oracle.keyboard_like('a', 'b', lexicons.KEYBOARD_PROFILE)} THEN 'keyboard' WHEN {oracle.phonetic_like('a', 'b', lexicons.PHONETIC_PROFILE, False)} THEN 'phonetic' WHEN abs(length(a) - length(b)) <= 2 THEN 'character' ELSE 'other' END"""
+_KINDS = oracle.pair_kind()
 
 
 @query("corruption_pairs", f"WITH {oracle.scored_pairs()} SELECT a AS clean_word, b AS corrupted_word, count(*) AS n, {_KINDS} AS kind FROM chars_s WHERE same_n GROUP BY a, b, a_c, b_c")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Labelled cases (corrupted, clean), by set and group.
 CASES = {
@@ -83,6 +84,24 @@ SAMPLES = [
     "First open the lid, then pour in the water slowly.", "The study shows how plants grow in poor soil.", "I really think this soup needs more salt.", "They walked along the river until it was dark.",
 ]
 
+#: Sentences for each domain, for when there are too few to balance: beginnings and ends, each with each; written for this package.
+DOMAIN_PARTS = {
+    "conversational": (["I really think that", "You know,", "Maybe", "To be honest,"], ["we should call them tonight.", "it was a good idea to wait.", "the soup needs more salt.", "nobody minds the rain today.", "we can walk home from here."]),
+    "professional": (["The team agreed that", "Please note that", "Our client confirmed that", "The report shows that"], ["the meeting moves to Monday.", "the budget covers both offices.", "the contract ends in spring.", "the new process saves time.", "every order left on schedule."]),
+    "educational": (["The study shows that", "Students learn that", "According to the text,", "Research explains why"], ["plants turn light into food.", "rivers carve deep valleys.", "metals expand when they are heated.", "sleep helps us to remember.", "old maps differ from new ones."]),
+    "creative": (["Under the old bridge", "Beyond the silent garden", "In the pale light of dawn", "At the edge of the forest"], ["a lantern swung in the wind.", "the fox waited for the moon.", "a forgotten song began again.", "the river kept its secret.", "two shadows crossed the snow."]),
+    "instructional": (["First,", "Then,", "Before you go on,", "Finally,"], ["close the lid and press the button.", "check that the cable is tight.", "pour the water in slowly.", "write down the number on the label.", "turn the handle to the left."]),
+    "general": (["The museum says that", "In most towns", "Every year", "On quiet days"], ["the market opens at eight.", "buses run along the coast.", "people plant trees in autumn.", "the library lends tools too.", "the harbour fills with boats."]),
+}
+
+
+def domain_samples(spark: SparkSession, each: int = 20, times: int = 1) -> DataFrame:
+    """domain, pos, sentence: up to 20 built-in sentences of each of the six domains, the whole as often as asked."""
+    made = [(d, i, f"{a} {b}") for d, (starts, ends) in DOMAIN_PARTS.items() for i, (a, b) in enumerate([(a, b) for b in ends for a in starts][:each])]
+    rows = spark.createDataFrame(made, "domain string, pos int, sentence string")
+    again = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("time"))
+    return again.select("domain", (F.col("pos") + F.col("time") * each).alias("pos"), "sentence")
+
 
 def rows() -> list[tuple[str, int, str, str, str]]:
     """(set, case_id, group, corrupted, clean)."""

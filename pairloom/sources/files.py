@@ -98,6 +98,19 @@ def checkpoints(spark: SparkSession, paths: list[str]) -> DataFrame:
     return rows.select("path", name.alias("checkpoint"), step.alias("step"))
 
 
+def checkpoint_folder(spark: SparkSession, path: str) -> DataFrame:
+    """path, checkpoint, step, epoch of the folders checkpoint-* in a folder of any store; epoch from their trainer_state.json, 0 without one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/checkpoint-*")
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [str(f.getPath()) for f in store.globStatus(at) or [] if f.isDirectory()]
+    listed = checkpoints(spark, found) if found else spark.createDataFrame([], "path string, checkpoint string, step int")
+    states = [f"{p}/trainer_state.json" for p in found if store.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{p}/trainer_state.json"))]
+    if not states:
+        return listed.withColumn("epoch", F.lit(0.0))
+    read = spark.read.schema("epoch double").option("multiLine", True).json(states)
+    return with_epochs(listed, read.select(F.regexp_extract(F.input_file_name(), r"(checkpoint-[^/]*)/trainer_state\.json", 1).alias("checkpoint"), "epoch"))
+
+
 def with_epochs(found: DataFrame, states: DataFrame) -> DataFrame:
     """Adds epoch from trainer states (checkpoint, epoch); 0 where there is none."""
     return found.join(states.select("checkpoint", "epoch"), "checkpoint", "left").withColumn("epoch", F.coalesce("epoch", F.lit(0.0)))
@@ -117,7 +130,7 @@ def report(**parts: DataFrame) -> DataFrame:
 
 
 def write_cache(df: DataFrame, path: str, **meta: str) -> None:
-    """Token columns as Parquet, ordered by length within partitions, with a metadata file."""
+    """Token columns as Parquet, with a metadata file."""
     df.write.parquet(f"{path}/tokens")
     df.sparkSession.createDataFrame([(dict(meta),)], "meta map<string, string>").coalesce(1).write.json(f"{path}/metadata")
 
