@@ -116,10 +116,10 @@ def pair_kind() -> str:
     return f"""CASE WHEN {keyboard_like('a', 'b', lexicons.KEYBOARD_PROFILE)} THEN 'keyboard' WHEN {phonetic_like('a', 'b', lexicons.PHONETIC_PROFILE, False)} THEN 'phonetic' WHEN abs(length(a) - length(b)) <= 2 THEN 'character' ELSE 'other' END"""
 
 
-def scored_pairs() -> str:
+def scored_pairs(source: str | None = None) -> str:
     """CTE scored(pairs.*, types VARCHAR (comma-joined, sorted), n_types, num_errors, word_count, change, ratio)."""
     grammar = ", ".join(f"('{a.replace(chr(39), chr(39) * 2)}', '{b.replace(chr(39), chr(39) * 2)}')" for a, b in lexicons.GRAMMAR_PAIRS)
-    return f"""{pairs()},
+    return f"""{source or pairs()},
 split_s AS MATERIALIZED (SELECT *, {words_sql("clean")} AS cw, {words_sql("corrupted")} AS kw, {chars_sql("clean")} AS cc, {chars_sql("corrupted")} AS kc FROM pairs),
 diffs_s AS MATERIALIZED (SELECT *, {differing("cw", "kw")} AS d, len({differing("cc", "kc")}) AS char_changes FROM split_s),
 long_s AS (SELECT doc_id, pos, len(cw) = len(kw) AS same_n, generate_subscripts(d, 1) AS ord, cw[unnest(d)] AS a, kw[unnest(d)] AS b FROM diffs_s),
