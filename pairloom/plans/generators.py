@@ -12,7 +12,7 @@ from pairloom.functions import lexicons
 from pairloom.functions.rng import SEED, draw_sql
 from pairloom.functions.text import quoted, words_sql
 from pairloom.operators import corruption
-from pairloom.plans import oracle, pairs
+from pairloom.plans import curate, oracle, pairs
 from pairloom.plans.curate import pool
 from pairloom.plans.registry import CUT, ORACLES, query
 
@@ -230,3 +230,61 @@ def _generated(target: int, tries: int = 3) -> str:
 
 
 ORACLES["generate_examples"] = _generated(500)
+
+
+# ---- the earlier generator ----
+
+_EARLY_KEYS = "MAP {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in lexicons.KEYBOARD_EARLY.items()) + "}"
+_CONFUSED = "MAP {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in lexicons.CONFUSIONS.items()) + "}"
+
+
+def _hit(step: str, p: float) -> str:
+    return f"({_draw(quoted(step), 'nth')} < {int(p * (1 << 32))})"
+
+
+def _place(step: str, n: str) -> str:
+    return f"({_draw(quoted(step), 'nth')} % greatest({n}, 1))"
+
+
+def early_corrupt_sql(name: str, table: str, rate: float = 0.15) -> str:
+    """CTEs, the last of them `name`(doc_id, pos, sentence, corrupted): merges that pass over the next word, word errors, runs of small words in random order."""
+    n = name
+    letter = "regexp_matches({}, '[a-zA-Z]')"
+    split = f"""CASE WHEN NOT (length(word) >= 4 AND {_hit('split', 0.15)}) THEN word WHEN {_hit('split-last', 0.7)} THEN substr(word, 1, length(word) - 1) || ' ' || substr(word, length(word))
+ WHEN {_hit('split-first', 0.5)} THEN substr(word, 1, 1) || ' ' || substr(word, 2) ELSE substr(word, 1, {_place('split-pos', 'length(word) - 3')} + 2) || ' ' || substr(word, {_place('split-pos', 'length(word) - 3')} + 3) END"""
+    near = f"{_EARLY_KEYS}[lower(substr(word, key_pos + 1, 1))]"
+    key = f"CASE WHEN length(word) >= 2 AND {near} IS NOT NULL AND {_hit('early-key-hit', 0.3)} THEN substr(word, 1, key_pos) || substr({near}, {_place('early-key-pick', f'length({near})')} + 1, 1) || substr(word, key_pos + 2) ELSE word END"
+    swap = f"CASE WHEN length(word) >= 3 AND {_hit('swap', 0.2)} THEN substr(word, 1, swap_pos) || substr(word, swap_pos + 2, 1) || substr(word, swap_pos + 1, 1) || substr(word, swap_pos + 3) ELSE word END"
+    drop = f"CASE WHEN length(word) > 3 AND {_hit('drop', 0.2)} THEN substr(word, 1, drop_pos) || substr(word, drop_pos + 2) ELSE word END"
+    other = f"{_CONFUSED}[lower(word)]"
+    whole = rf"CASE WHEN upper(word) = word AND lower(word) <> word THEN upper({other}) WHEN regexp_matches(substr(word, 1, 1), '^\p{{Lu}}$') THEN upper(substr({other}, 1, 1)) || lower(substr({other}, 2)) ELSE {other} END"
+    confuse = f"CASE WHEN {other} IS NOT NULL AND {_hit('confuse', 0.25)} THEN {whole} ELSE word END"
+    double = f"CASE WHEN length(word) >= 2 AND {_hit('early-double', 0.15)} THEN substr(word, 1, double_pos + 1) || substr(word, double_pos + 1) ELSE word END"
+    choice = f"({_draw(quoted('choice'), 'nth')} / {_HALF})"
+    small = rf"length(word) BETWEEN 2 AND 4 AND regexp_matches(word, '^\p{{L}}+$')"
+    return f"""{n}_w AS MATERIALIZED (SELECT doc_id, pos, sentence, {words_sql('sentence')} AS w FROM {table}),
+{n}_f AS (SELECT doc_id, pos, generate_subscripts(w, 1) - 1 AS nth, unnest(w) AS word, unnest(w[2:] || [NULL]) AS after FROM {n}_w),
+{n}_c AS MATERIALIZED (SELECT *, coalesce({letter.format('word')} AND {letter.format('after')} AND length(after) >= 2 AND length(word) >= 3 AND {_hit('merge', 0.12)}, false) AS can FROM {n}_f),
+{n}_g AS (SELECT *, nth - row_number() OVER (PARTITION BY doc_id, pos, can ORDER BY nth) AS island FROM {n}_c),
+{n}_m AS (SELECT *, can AND (row_number() OVER (PARTITION BY doc_id, pos, can, island ORDER BY nth)) % 2 = 1 AS merges FROM {n}_g),
+{n}_s AS MATERIALIZED (SELECT *, coalesce(lag(merges) OVER (PARTITION BY doc_id, pos ORDER BY nth), false) AS skipped, {_place('early-key-pos', 'length(word)')} AS key_pos, {_place('early-swap', 'length(word) - 1')} AS swap_pos, {_place('drop-pos', 'length(word) - 2')} + 1 AS drop_pos, {_place('double-pos', 'length(word)')} AS double_pos FROM {n}_m),
+{n}_e AS (SELECT doc_id, pos, nth, CASE WHEN merges THEN [substr(word, 1, length(word) - 1), substr(word, length(word), 1) || after] WHEN NOT ({letter.format('word')} AND {_hit('rate', rate)}) THEN [word]
+ ELSE [CASE WHEN {choice} < 0.3::DOUBLE THEN {split} WHEN {choice} < 0.45::DOUBLE THEN {key} WHEN {choice} < 0.6::DOUBLE THEN {swap} WHEN {choice} < 0.75::DOUBLE THEN {drop} WHEN {choice} < 0.85::DOUBLE THEN {confuse} ELSE {double} END] END AS made FROM {n}_s WHERE NOT skipped),
+{n}_o AS MATERIALIZED (SELECT doc_id, pos, flatten(list(made ORDER BY nth)) AS out_ FROM {n}_e GROUP BY doc_id, pos),
+{n}_k AS MATERIALIZED (SELECT doc_id, pos, generate_subscripts(out_, 1) - 1 AS nth, unnest(out_) AS word FROM {n}_o WHERE {draw_sql('scramble', 'doc_id', 'pos')} < {int(0.08 * (1 << 32))}),
+{n}_l AS MATERIALIZED (SELECT *, {small} AS small, {_hit('run', 0.1)} AS begins, {_draw(quoted('order'), 'nth')} AS h FROM {n}_k),
+{n}_r AS (SELECT doc_id, pos, -1::BIGINT AS nth, -1::BIGINT AS run, 0 AS size, NULL::VARCHAR AS word, 0::BIGINT AS h FROM (SELECT DISTINCT doc_id, pos FROM {n}_l)
+ UNION ALL SELECT l.doc_id, l.pos, l.nth, CASE WHEN r.run >= 0 AND r.size < 4 AND l.small THEN r.run WHEN l.small AND l.begins THEN l.nth ELSE -1 END, CASE WHEN r.run >= 0 AND r.size < 4 AND l.small THEN r.size + 1 ELSE 1 END, l.word, l.h FROM {n}_r r JOIN {n}_l l ON l.doc_id = r.doc_id AND l.pos = r.pos AND l.nth = r.nth + 1),
+{n}_x AS (SELECT doc_id, pos, string_agg(word, ' ' ORDER BY CASE WHEN run >= 0 THEN run ELSE nth END, CASE WHEN run >= 0 THEN h ELSE 0 END, word) AS mixed FROM {n}_r WHERE nth >= 0 GROUP BY doc_id, pos),
+{n} AS MATERIALIZED (SELECT w.doc_id, w.pos, sentence, coalesce(mixed, array_to_string(out_, ' '), '') AS corrupted FROM {n}_w w LEFT JOIN {n}_o USING (doc_id, pos) LEFT JOIN {n}_x USING (doc_id, pos))"""
+
+
+ORACLES["corrupt_legacy"] = f"WITH RECURSIVE {curate._EARLY}, {early_corrupt_sql('x', 'early')} SELECT doc_id, pos, corrupted FROM x"
+_LEGACY = 500
+ORACLES["generate_legacy"] = f"""WITH RECURSIVE {curate._EARLY}, levels AS MATERIALIZED (SELECT *, {curate._LEVEL} AS complexity FROM early),
+numbered AS MATERIALIZED (SELECT sentence, complexity, row_number() OVER (PARTITION BY complexity ORDER BY {draw_sql('early', 'doc_id', 'pos')}, doc_id, pos) - 1 AS index, count(*) OVER (PARTITION BY complexity) AS n FROM levels),
+tried AS (SELECT attempt, CASE WHEN attempt / {_LEGACY}::DOUBLE < 0.4::DOUBLE THEN 'simple' WHEN attempt / {_LEGACY}::DOUBLE < 0.8::DOUBLE THEN 'medium' ELSE 'complex' END AS complexity FROM range({_LEGACY}) r(attempt)),
+picked AS (SELECT attempt, complexity, {draw_sql('early-pick', 'attempt')} % n AS index FROM tried JOIN (SELECT DISTINCT complexity, n FROM numbered) USING (complexity)),
+chosen AS MATERIALIZED (SELECT 'early' AS doc_id, attempt AS pos, sentence, complexity FROM picked JOIN numbered USING (complexity, index)),
+{early_corrupt_sql('x', 'chosen')}
+SELECT pos AS attempt, corrupted, sentence AS clean, complexity, len({words_sql('sentence')}) AS word_count, length(sentence) AS char_count FROM x JOIN chosen USING (doc_id, pos, sentence) WHERE corrupted <> sentence"""
