@@ -22,13 +22,20 @@ def ngrams(tokens: Column, n: int) -> Column:
 
 
 def matches(a: Column, b: Column) -> Column:
-    """The size of the multiset intersection of two arrays."""
-    both = F.array_intersect(a, b)
+    """The size of the multiset intersection of two arrays: both sorted, then walked once."""
 
-    def count(of: Column, x: Column) -> Column:
-        return F.size(F.filter(of, lambda y: y == x))
+    def walked(x: Column, y: Column) -> Column:
+        def step(st: Column, _: Column) -> Column:
+            one, two = F.get(x, st["i"]), F.get(y, st["j"])
+            ended = one.isNull() | two.isNull()
+            i, j = F.when(~ended & (one <= two), 1).otherwise(0), F.when(~ended & (two <= one), 1).otherwise(0)
+            return F.struct((st["i"] + i).alias("i"), (st["j"] + j).alias("j"), (st["m"] + i * j).alias("m"))
 
-    return F.aggregate(F.transform(both, lambda x: F.least(count(a, x), count(b, x))), F.lit(0), lambda acc, x: acc + x)
+        start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("m"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(x) + F.size(y)), start, step)["m"]
+
+    both = F.struct(F.array_sort(a).alias("x"), F.array_sort(b).alias("y"))
+    return text.let(both, lambda s: walked(s["x"], s["y"]))
 
 
 def corpus_metrics(rows: DataFrame, predicted: str = "predicted", expected: str = "expected") -> DataFrame:

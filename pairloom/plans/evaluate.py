@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.functions import lexicons, text
-from pairloom.functions.text import collapse_sql, cut_markers_sql, quoted, strip_sql, words_sql
+from pairloom.functions.text import chars_sql, collapse_sql, cut_markers_sql, quoted, strip_sql, words_sql
 from pairloom.operators import evaluation, metrics, tokens
 from pairloom.plans import oracle
 from pairloom.plans.registry import query
@@ -230,7 +230,24 @@ def output_cleaning(spark, sf):
     return o.select("id", text.clean_chat("t").alias("chat"), text.clean_few_shot("t").alias("few_shot"), text.clean_cautious("t").alias("cautious"), text.last_sentence("t").alias("last_sentence"))
 
 
-@query("corpus_metrics")
+def _matched(kind: str, a: str, b: str, most: int) -> str:
+    """CTE {kind}(n, m, p, e): matching n-grams of two lists of a table r, and how many either side has, over all rows."""
+    grams = lambda x: f"[array_to_string({x}[i:i + n - 1], chr(1)) for i in range(1, len({x}) - n + 2)]"
+    return f"""{kind}_s AS (SELECT id, n, 'p' AS side, unnest({grams(a)}) AS gram FROM r, range(1, {most + 1}) t(n) UNION ALL SELECT id, n, 'e', unnest({grams(b)}) FROM r, range(1, {most + 1}) t(n)),
+{kind}_c AS (SELECT id, n, gram, count(*) FILTER (side = 'p') AS cp, count(*) FILTER (side = 'e') AS ce FROM {kind}_s GROUP BY ALL),
+{kind} AS (SELECT t.n, coalesce(sum(least(cp, ce)), 0)::DOUBLE AS m, coalesce(sum(cp), 0)::DOUBLE AS p, coalesce(sum(ce), 0)::DOUBLE AS e FROM range(1, {most + 1}) t(n) LEFT JOIN {kind}_c c ON c.n = t.n GROUP BY t.n)"""
+
+
+@query(
+    "corpus_metrics",
+    rf"""WITH {_PREDICTED}, r AS MATERIALIZED (SELECT row_number() OVER () AS id, {words_sql('predicted')} AS pw, {words_sql('clean')} AS ew, {chars_sql("regexp_replace(predicted, '\s+', '', 'g')")} AS pc, {chars_sql("regexp_replace(clean, '\s+', '', 'g')")} AS ec, {strip_sql('predicted')} = {strip_sql('clean')} AS same FROM predicted),
+{_matched('words', 'pw', 'ew', 4)}, {_matched('chars', 'pc', 'ec', 6)},
+s AS (SELECT count(*) AS n, avg(CASE WHEN same THEN 1.0::DOUBLE ELSE 0 END) AS same, avg(len(pw)) AS length, sum(len(pw))::DOUBLE AS np, sum(len(ew))::DOUBLE AS ne FROM r),
+w AS (SELECT n, CASE WHEN m > 0 THEN m ELSE 1.0::DOUBLE / pow(2.0::DOUBLE, sum(CASE WHEN m = 0 THEN 1 ELSE 0 END) OVER (ORDER BY n)) END / greatest(p, 1.0::DOUBLE) AS precision_ FROM words),
+b AS (SELECT exp(sum(ln(precision_)) / 4) AS product FROM w),
+f AS (SELECT sum(CASE WHEN m > 0 THEN 5 * (m / greatest(p, 1)) * (m / greatest(e, 1)) / (4 * (m / greatest(p, 1)) + m / greatest(e, 1)) ELSE 0 END) / greatest(count(*) FILTER (p + e > 0), 1) AS mean FROM chars)
+SELECT n, round(same * 100, 2) AS exact_match, round(length, 2) AS mean_length, round(CASE WHEN np >= ne THEN 1.0::DOUBLE ELSE exp(1.0::DOUBLE - ne / greatest(np, 1e-9::DOUBLE)) END * product * 100, 2) AS bleu, round(mean * 100, 2) AS chrf FROM s, b, f""",
+)
 def corpus_metrics(spark, sf):
     return metrics.corpus_metrics(predicted(spark).withColumnRenamed("clean", "expected"))
 
