@@ -171,7 +171,7 @@ def rolling(words: np.ndarray, width: int, base: int) -> np.ndarray:
     return mix((sums[width:] - sums[:-width]) * powers(pow(base, -1, 1 << 64), n)[: n - width + 1])
 
 
-def pieces(texts: list[bytes], most: int = 2 << 20):
+def pieces(texts: list[bytes], most: int = 1 << 19):
     """Runs (from, to) of consecutive texts with about `most` bytes each; one text is never split."""
     at = size = 0
     for i, t in enumerate(texts):
