@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from pairloom.functions import text
-from pairloom.operators import scoring
+from pairloom.operators import sampling, scoring
 
 
 def counts(df: DataFrame, *columns: str) -> DataFrame:
@@ -21,17 +21,65 @@ def label_counts(df: DataFrame, labels: str) -> DataFrame:
     return df.select(F.explode(labels).alias("value")).groupBy("value").agg(F.count("*").alias("n"))
 
 
-def statistics(df: DataFrame, **columns: Column) -> DataFrame:
-    """name, n, mean, median, std (sample; 0 for one row), least, most, p25, p75, p90, p95; all columns in one pass."""
-    values = F.array(*[F.struct(F.lit(k).alias("name"), v.cast("double").alias("x")) for k, v in columns.items()])
-    rows = df.select(F.explode(values).alias("v")).select("v.*").where("x is not null")
+#: Distinct values up to which quantiles are taken in one aggregate; beyond it the ranks are sought cell by cell.
+MOST_DISTINCT = 200_000
+#: Cells of one step of that search.
+CELLS = 4096
+
+
+def _wanted(values: DataFrame, by: str, probs: tuple[float, ...]) -> DataFrame:
+    """by, p (the number of the probability), part (between the two values), upper, rank (from 0)."""
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("p"), F.lit(float(q)).alias("q")) for i, q in enumerate(probs)])).alias("e")
+    at = values.groupBy(by).agg(F.sum("n").alias("all_")).select(by, (F.col("all_") - 1).alias("last"), each).select(by, "e.p", (F.col("last") * F.col("e.q")).alias("at"))
+    sides = F.explode(F.array(F.struct(F.lit(False).alias("upper"), F.floor("at").alias("rank")), F.struct(F.lit(True).alias("upper"), F.ceil("at").alias("rank")))).alias("s")
+    return at.select(by, "p", (F.col("at") - F.floor("at")).alias("part"), sides).select(by, "p", "part", "s.*")
+
+
+def _sought(values: DataFrame, by: str, probs: tuple[float, ...]) -> DataFrame:
+    """by, q: quantiles of values (by, x, n) without ordering a group in one task: the cell that holds a rank, a cell of that, and only its values in order."""
+    ranks, group = _wanted(values, by, probs), [by]
+    for cell in ("cell1", "cell2"):
+        ends = values.groupBy(*group).agg(F.min("x").alias("low"), F.max("x").alias("high"))
+        share = (F.col("x") - F.col("low")) / F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low")).otherwise(F.lit(1.0))
+        values = values.join(ends, group).withColumn(cell, F.least(F.floor(share * CELLS), F.lit(CELLS - 1)).cast("int")).drop("low", "high")
+        upto = W.Window.partitionBy(*group).orderBy(cell).rowsBetween(W.Window.unboundedPreceding, -1)
+        cells = values.groupBy(*group, cell).agg(F.sum("n").alias("own")).withColumn("before", F.coalesce(F.sum("own").over(upto), F.lit(0)))
+        ranks = ranks.join(cells, group).where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("own")))
+        ranks = sampling.stored(ranks.withColumn("rank", F.col("rank") - F.col("before")).drop("before", "own"))
+        group = [*group, cell]
+        values = values.join(ranks.select(*group).distinct(), group)
+    upto = W.Window.partitionBy(*group).orderBy("x").rowsBetween(W.Window.unboundedPreceding, -1)
+    values = values.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
+    found = ranks.join(values, group).where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n")))
+    two = found.groupBy(by, "p", "part").agg(F.max(F.when(~F.col("upper"), F.col("x"))).alias("a"), F.max(F.when(F.col("upper"), F.col("x"))).alias("b"))
+    q = F.transform(F.sort_array(F.collect_list(F.struct("p", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("q")))), lambda s: s["q"])
+    return two.groupBy(by).agg(q.alias("q"))
+
+
+def quantiles(rows: DataFrame, by: str, x: str, *probs: float) -> DataFrame:
+    """by, q: exact quantiles (interpolated) of a column in each group; equal values count once, with their number."""
+    values = sampling.stored(rows.select(by, F.col(x).cast("double").alias("x")).where("x is not null").groupBy(by, "x").agg(F.count("*").alias("n")))
+    if values.count() > MOST_DISTINCT:
+        return _sought(values, by, probs)
+    return values.groupBy(by).agg(F.percentile("x", F.array(*[F.lit(float(p)) for p in probs]), F.col("n")).alias("q"))
+
+
+def described(rows: DataFrame, by: str, x: str) -> DataFrame:
+    """by, n, mean, median, std (sample; 0 for one row), least, most, p25, p75, p90, p95 of a column in each group."""
 
     def r(c: Column) -> Column:
         return F.round(c, 6)
 
-    p = F.percentile("x", F.array(F.lit(0.25), F.lit(0.75), F.lit(0.9), F.lit(0.95)))
-    out = rows.groupBy("name").agg(F.count("*").alias("n"), r(F.avg("x")).alias("mean"), r(F.median("x")).alias("median"), r(F.coalesce(F.stddev_samp("x"), F.lit(0.0))).alias("std"), F.min("x").alias("least"), F.max("x").alias("most"), p.alias("p"))
-    return out.select("name", "n", "mean", "median", "std", "least", "most", *[r(F.col("p")[i]).alias(n) for i, n in enumerate(("p25", "p75", "p90", "p95"))])
+    rows = rows.where(F.col(x).isNotNull())
+    out = rows.groupBy(by).agg(F.count("*").alias("n"), r(F.avg(x)).alias("mean"), r(F.coalesce(F.stddev_samp(x), F.lit(0.0))).alias("std"), F.min(x).alias("least"), F.max(x).alias("most"))
+    out = out.join(quantiles(rows, by, x, 0.5, 0.25, 0.75, 0.9, 0.95), by)
+    return out.select(by, "n", "mean", r(F.col("q")[0]).alias("median"), "std", "least", "most", *[r(F.col("q")[i]).alias(n) for i, n in enumerate(("p25", "p75", "p90", "p95"), 1)])
+
+
+def statistics(df: DataFrame, **columns: Column) -> DataFrame:
+    """name, n, mean, median, std, least, most, p25, p75, p90, p95 of several columns."""
+    values = F.array(*[F.struct(F.lit(k).alias("name"), v.cast("double").alias("x")) for k, v in columns.items()])
+    return described(sampling.stored(df.select(F.explode(values).alias("v")).select("v.*")), "name", "x")
 
 
 def word_bin(n: Column) -> Column:

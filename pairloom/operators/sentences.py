@@ -54,7 +54,7 @@ def is_good(s: Column | str) -> Column:
 
 
 def first_of(df: DataFrame, key: Column, *order: str) -> DataFrame:
-    """The first row of each key in the given order: a hash aggregate, no global sort."""
+    """The first row of each key in the given order: an aggregate of each key with its own partial step, no global sort."""
     rest = [c for c in df.columns if c not in order]
     first = df.groupBy(key.alias("key_")).agg(F.min(F.struct(*order, *rest)).alias("r"))
     return first.select("r.*").select(*df.columns)

@@ -158,11 +158,8 @@ def percentiles(spark, sf, most=MOST_PIECES):
     "SELECT event_type AS name, count(*) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(coalesce(stddev_samp(value), 0), 6) AS std, min(value) AS least, max(value) AS most FROM events WHERE value IS NOT NULL GROUP BY 1",
 )
 def event_value_stats(spark, sf):
-    events = spark.read.parquet(f"{sf}/events.parquet").where("value is not null")
-    x = F.col("value")
-    return events.groupBy(F.col("event_type").alias("name")).agg(
-        F.count("*").alias("n"), F.round(F.avg(x), 6).alias("mean"), F.round(F.median(x), 6).alias("median"), F.round(F.coalesce(F.stddev_samp(x), F.lit(0.0)), 6).alias("std"), F.min(x).alias("least"), F.max(x).alias("most")
-    )
+    rows = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_type").alias("name"), F.col("value").alias("x"))
+    return profiling.described(rows, "name", "x").select("name", "n", "mean", "median", "std", "least", "most")
 
 
 @query(

@@ -184,3 +184,18 @@ def test_corrector_falls_back(spark):
 
     df = spark.createDataFrame([("a b",), ("",), (None,)], "corrupted string")
     assert [r.predicted for r in tokens.corrected(df, "corrupted", make).collect()] == ["a b", "", None]
+
+
+def test_quantiles_sought_cell_by_cell(spark, monkeypatch):
+    """Beyond the bound, ranks are found without ordering a group: the same values, with ties, one-row groups and wide ranges."""
+    import random
+
+    r = random.Random(5)
+    rows = [("a", r.gauss(0, 1e6)) for _ in range(500)] + [("b", float(r.randrange(4))) for _ in range(301)] + [("c", 7.5), ("d", -1.0), ("d", 1e12), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    probs = (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 0.999, 1.0)
+    once = {x.g: list(x.q) for x in profiling.quantiles(df, "g", "x", *probs).collect()}
+    monkeypatch.setattr(profiling, "MOST_DISTINCT", 0)
+    monkeypatch.setattr(profiling, "CELLS", 7)
+    again = {x.g: list(x.q) for x in profiling.quantiles(df, "g", "x", *probs).collect()}
+    assert set(again) == set("abcd") and all(again[g] == pytest.approx(once[g]) for g in once)
