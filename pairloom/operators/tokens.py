@@ -36,20 +36,46 @@ def tokenise(pairs: DataFrame, *key: str, source: str = "source_text", target: s
     return rows.select(*key, ids.alias("input_ids"), mask.alias("attention_mask"), "labels")
 
 
-def subword_ids(path: str, most: int = 512) -> Callable[[Column], Column]:
-    """A column function for the tokenizer file at a path that all machines can read."""
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
+    return tokenizer
+
+
+def subword_ids(path: str, most: int | None = 512) -> Callable[[Column], Column]:
+    """A column function for the tokenizer file at a path that all machines can read; null is empty, `most` truncates."""
 
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
+        tokenizer = _tokenizer(path)
         for s in batches:
-            yield pd.Series([e.ids[:most] for e in tokenizer.encode_batch(s.fillna("").tolist())])
+            yield pd.Series([e.ids[:most] for e in tokenizer.encode_batch(s.fillna("").tolist(), add_special_tokens=False)])
 
     return ids
 
 
+def subword_text(path: str) -> Callable[[Column], Column]:
+    """A column function from token ids back to text."""
+
+    @F.pandas_udf("string")
+    def text_(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tokenizer = _tokenizer(path)
+        for s in batches:
+            yield pd.Series(tokenizer.decode_batch([list(x) for x in s], skip_special_tokens=False), dtype="object")
+
+    return text_
+
+
+def padded(ids: Column | str, most: int, pad: int = 0) -> Column:
+    """input_ids cut or padded on the right to a length, and their attention_mask."""
+    ids = F.slice(F.col(ids) if isinstance(ids, str) else ids, 1, most)
+    rest = F.lit(most) - F.size(ids)
+    mask = F.concat(F.array_repeat(F.lit(1), F.size(ids)), F.array_repeat(F.lit(0), rest))
+    return F.struct(F.concat(ids, F.array_repeat(F.lit(pad), rest)).alias("input_ids"), mask.alias("attention_mask"))
+
+
 def corrected(df: DataFrame, column: str, make: Callable[[], Callable[[list[str]], list[str]]], name: str = "predicted") -> DataFrame:
     """Adds what a corrector writes. make() runs once a worker and returns a function of a list of texts.
 

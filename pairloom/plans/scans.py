@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.functions import lexicons, text
 from pairloom.functions.text import quoted, words_sql
-from pairloom.operators import corruption, profiling, scoring
+from pairloom.operators import corruption, profiling, scoring, tokens
 from pairloom.plans import oracle
 from pairloom.plans.curate import docs, pool
 from pairloom.plans.pairs import pairs
@@ -171,6 +173,20 @@ def report_sink(spark, sf):
     return each[0].unionByName(each[1])
 
 
+#: A public byte-level vocabulary; the query is there where the file is.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+def subword_round_trip(spark, sf):
+    """Whole texts as subword ids and back, which a byte-level vocabulary does without loss."""
+    ids = docs(spark, sf).select("doc_id", tokens.subword_ids(TOKENIZER, None)(F.col("text")).alias("ids"))
+    return ids.select("doc_id", (F.size("ids") > 0).alias("any_ids"), F.md5(tokens.subword_text(TOKENIZER)(F.col("ids"))).alias("text_md5"))
+
+
+if os.path.exists(TOKENIZER):
+    query("subword_round_trip", "SELECT doc_id, coalesce(text, '') <> '' AS any_ids, md5(coalesce(text, '')) AS text_md5 FROM documents")(subword_round_trip)
+
+
 # ---- small operators without a query of their own ----
 
 _WORD_LIST = f"WITH {oracle.pieces(most=None)}, w AS (SELECT doc_id, pos, generate_subscripts({words_sql('sentence')}, 1) - 1 AS nth, unnest({words_sql('sentence')}) AS word FROM sentences)"

@@ -199,3 +199,16 @@ def test_quantiles_sought_cell_by_cell(spark, monkeypatch):
     monkeypatch.setattr(profiling, "CELLS", 7)
     again = {x.g: list(x.q) for x in profiling.quantiles(df, "g", "x", *probs).collect()}
     assert set(again) == set("abcd") and all(again[g] == pytest.approx(once[g]) for g in once)
+
+
+def test_subwords(spark):
+    from tokenizers import Tokenizer
+
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    known = Tokenizer.from_file(path)
+    texts = ["I beleive it.", "", None, "ä <|endoftext|> é" * 3]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(F.coalesce("t", F.lit("")).alias("t"), tokens.subword_ids(path)(F.col("t")).alias("ids"))
+    rows = df.select("t", "ids", tokens.subword_text(path)(F.col("ids")).alias("back"), tokens.padded("ids", 6, 9).alias("p")).collect()
+    for r in rows:
+        assert r.back == r.t and r.p.input_ids == (r.ids + [9] * 6)[:6] and r.p.attention_mask == ([1] * len(r.ids) + [0] * 6)[:6]
+    assert next(r.ids for r in rows if r.t == texts[0]) == known.encode(texts[0], add_special_tokens=False).ids
