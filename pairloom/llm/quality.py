@@ -6,7 +6,8 @@ the only metadata. The score is the logistic of
     w0 + sum w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2),
 linear time by the sum-of-squares identity. Labels, ids, languages and sources are
 never inputs. The model is fitted at the driver on at most `sample` labelled rows
-(those with the least seeded hash of their id); everything else covers all rows.
+(those with the least seeded hash of their id) of at most `longest` bytes; everything
+else covers all rows.
 
 Cases: a null text scores as the empty text; empty texts have a score; a null
 doc_id is never held out and never used to fit; rows that repeat score alike; an
@@ -32,6 +33,8 @@ BINS = 16
 FACTORS = 4
 #: The most labelled rows the model is fitted on.
 SAMPLE = 12_000
+#: Labelled texts of more bytes are not fitted on, which bounds what the driver holds; they are scored like any other.
+LONGEST = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _UPPER = np.zeros(256, bool)
@@ -183,13 +186,13 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> FactorisationMachine:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, longest: int = LONGEST) -> FactorisationMachine:
     """A model of labels.`label`, from the labelled rows that are not held out."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).alias("label"))
     chosen = known.withColumn("k", F.xxhash64("doc_id", F.lit("quality"))).orderBy("k", "doc_id").limit(sample)
     chosen = F.broadcast(chosen)  # at most `sample` rows
     # should an id repeat, its least text stands for it
-    rows = _vectors(docs.select("doc_id", "text").join(chosen, "doc_id")).groupBy("k").agg(F.min(F.struct("c", "x", "label")).alias("r")).select("k", "r.*").collect()
+    rows = _vectors(docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest).join(chosen, "doc_id")).groupBy("k").agg(F.min(F.struct("c", "x", "label")).alias("r")).select("k", "r.*").collect()
     rows.sort(key=lambda r: r.k)
     c = np.frombuffer(b"".join(r.c for r in rows), np.uint32).astype(np.int64)
     x = np.frombuffer(b"".join(r.x for r in rows), np.float32).astype(np.float64)

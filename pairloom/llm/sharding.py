@@ -28,6 +28,8 @@ from pairloom.llm.shared import small, written
 BITS = 12
 #: Cells by which rows of a shard are numbered: a constant, so the table of offsets is bounded.
 CELLS = 2048
+#: Rows that are alike come back in blocks of so many, spread over tasks when there are many blocks.
+BLOCK = 1 << 16
 
 
 class _Groups:
@@ -143,13 +145,22 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     number = F.lit(0)
     for c in cuts:
         number = number + (F.col("h") >= F.lit(c)).cast("int")
+    # rows that are alike are numbered as one, with their number: a cell holds no more rows for them
+    rows = slim.groupBy("doc_id", "size", "text_crc32", "h").agg(F.count("*").alias("alike")).withColumn("shard", number)
     key = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("h").cast("string")))
-    rows = slim.withColumn("shard", number).withColumn("cell", F.conv(F.substring(key, 1, 4), 16, 10).cast("int") % CELLS)
+    rows = rows.withColumn("cell", F.conv(F.substring(key, 1, 4), 16, 10).cast("int") % CELLS)
     before = W.Window.partitionBy("shard").orderBy("cell").rowsBetween(W.Window.unboundedPreceding, -1)
-    offsets = rows.groupBy("shard", "cell").agg(F.count("*").alias("n")).select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    within = W.Window.partitionBy("shard", "cell").orderBy("doc_id", "h")
-    placed = rows.withColumn("rank", F.row_number().over(within).cast("long") - 1)
-    return placed.join(small(offsets, shards * CELLS), ["shard", "cell"]).select("doc_id", "size", "text_crc32", "shard", (F.col("offset") + F.col("rank")).alias("slot"), F.col("h").alias("group_hash"))
+    offsets = rows.groupBy("shard", "cell").agg(F.sum("alike").alias("n")).select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    within = W.Window.partitionBy("shard", "cell").orderBy("doc_id", "h").rowsBetween(W.Window.unboundedPreceding, -1)
+    placed = rows.withColumn("rank", F.coalesce(F.sum("alike").over(within), F.lit(0)))
+    placed = placed.join(small(offsets, shards * CELLS), ["shard", "cell"])
+    placed = placed.select("doc_id", "size", "text_crc32", "shard", (F.col("offset") + F.col("rank")).alias("slot"), F.col("h").alias("group_hash"), "alike")
+    blocks = placed.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("alike") - 1, F.lit(BLOCK).cast("long"))))
+    if (rows.agg(F.max("alike")).first()[0] or 0) > 16 * BLOCK:
+        blocks = blocks.repartition("group_hash", "at")
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("alike") - F.col("at"), F.lit(BLOCK)) - 1)).alias("i")
+    rows = blocks.select("doc_id", "size", "text_crc32", "shard", (F.col("slot") + F.col("at")).alias("slot"), "group_hash", each)
+    return rows.select("doc_id", "size", "text_crc32", "shard", (F.col("slot") + F.col("i")).alias("slot"), "group_hash")
 
 
 def sharded_query(docs: DataFrame, shards: int = 8) -> DataFrame:

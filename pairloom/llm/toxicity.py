@@ -11,7 +11,8 @@ stems and over the probabilities of the categories before it. The link of
 probabilities of the kinds alone. Models learn earlier probabilities as predicted out
 of fold: each fold's rows are scored by models, words chosen, of the other folds, so a
 later model learns from the errors it will meet. All are fitted at the driver on at
-most `sample` labelled rows (with the least seeded hash of their id), read whole; every
+most `sample` labelled rows (with the least seeded hash of their id) of at most `longest`
+bytes, read whole; every
 document is scored over its whole text.
 
 Cases: null and empty texts score as texts without words; a null doc_id is scored,
@@ -38,6 +39,8 @@ CATEGORIES = (*[f"kind{k + 1}" for k in range(KINDS)], "toxic")
 STEMS = (4, 5, 6)
 FOLDS = 5
 SAMPLE = 6_000
+#: Labelled texts of more bytes are not fitted on, which bounds what the driver holds; they are scored like any other.
+LONGEST = 1 << 18
 #: Standard errors beyond which a column is more than chance among some millions of them.
 SURE = 5.0
 #: What earlier probabilities are multiplied by as inputs, so that they are learned as fast as words.
@@ -214,7 +217,7 @@ class Chain:
         return p, np.bincount(doc[np.isin(column, self.telling)], minlength=len(texts))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, longest: int = LONGEST) -> Chain:
     """A chain of the labelled rows."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     some = F.broadcast(known.withColumn("k", F.xxhash64("doc_id", F.lit("toxicity"))).orderBy("k", "doc_id").limit(sample))  # at most `sample` rows
@@ -230,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
                 out += [c[i:j].astype(np.uint32).tobytes() for i, j in zip(at, at[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([b.column("k"), b.column("label"), pa.array(out, pa.binary())], ["k", "label", "c"])
 
-    rows = docs.select("doc_id", "text").join(some, "doc_id").select("k", "label", "text").mapInArrow(run, "k long, label int, c binary")
+    rows = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest).join(some, "doc_id").select("k", "label", "text").mapInArrow(run, "k long, label int, c binary")
     # a repeated id counts once
     rows = rows.groupBy("k").agg(F.min(F.struct("c", "label")).alias("r")).select("k", "r.*").collect()
     rows.sort(key=lambda r: r.k)

@@ -411,6 +411,15 @@ def test_sharding(docs, rows, shards):
     assert Counter((x.doc_id, x["size"], x.text_crc32) for x in out) == Counter((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in rows)
 
 
+def test_very_many_rows_alike(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCK", 4)
+    rows = [(7, "same text")] * 301 + [(None, None)] * 5 + [(i, f"text {i}") for i in range(100, 140)]
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3).collect()
+    assert Counter((x.doc_id, x.text_crc32) for x in out) == Counter((i, zlib.crc32((t or "").encode())) for i, t in rows)
+    for s in {x.shard for x in out}:
+        assert sorted(x.slot for x in out if x.shard == s) == list(range(sum(x.shard == s for x in out)))
+
+
 def _targets(sizes):
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weight, left, target, open_ = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}, 1.5 * sum(sizes.values()), {}, list(order)
