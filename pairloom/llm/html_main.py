@@ -57,16 +57,16 @@ _INLINE = frozenset(
 _ENDS_OWN = frozenset("p li dt dd tr td th option".split())
 _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre td dd figcaption".split())
 #: What an enclosing tag adds to the cost of content.
-_TAGS = {"nav": 4.0, "footer": 4.0, "aside": 3.0, "form": 4.0, "menu": 4.0, "header": 2.0, "button": 4.0, "dialog": 4.0, "head": 8.0, "fieldset": 2.0, "address": 1.0}
-_ROLES = {"navigation": 4.0, "banner": 3.0, "contentinfo": 4.0, "complementary": 3.0, "search": 4.0, "form": 4.0, "alert": 1.0, "dialog": 4.0, "menu": 4.0, "menubar": 4.0}
+_TAGS = {"nav": 4.0, "footer": 4.0, "aside": 4.0, "form": 4.0, "menu": 4.0, "header": 4.0, "button": 4.0, "dialog": 4.0, "head": 8.0, "fieldset": 2.0, "address": 1.0}
+_ROLES = {"navigation": 4.0, "banner": 4.0, "contentinfo": 4.0, "complementary": 4.0, "search": 4.0, "form": 4.0, "alert": 1.0, "dialog": 4.0, "menu": 4.0, "menubar": 4.0}
 #: Words of class and id names, by how much they say.
 _NAMES = {
     **dict.fromkeys(
-        "ad ads advert adverts advertisement advertising advertorial breadcrumb breadcrumbs comment comments commentlist cookie cookies consent copyright discussion disqus footer gdpr login menu modal nav navbar "
-        "navigation newsletter pagination popup promo promoted promotion recommended related replies respond search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription outbrain taboola".split(),
+        "ad ads advert adverts advertisement advertising advertorial banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent copyright discussion disqus dock footer gdpr login masthead menu modal "
+        "nav navbar navigation newsletter notice notices notification pagination paging popular popup privacy promo promoted promotion recommend recommended related replies respond search share sharing sidebar sidebars "
+        "signup skip social sponsor sponsored subscribe subscription teaser trending widget widgets outbrain taboola".split(),
         4.0,
     ),
-    **dict.fromkeys("banner dock masthead notice notices notification paging popular privacy recommend teaser trending widget widgets".split(), 3.0),
     **dict.fromkeys("alert aside disclaimer feedback form header legal overlay reply tags toc toolbar warning".split(), 1.0),
     **dict.fromkeys("article content main body entry post story text prose".split(), -1.0),
 }

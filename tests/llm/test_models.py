@@ -170,6 +170,24 @@ def test_long_broken_pages_take_linear_time(page):
     assert time.process_time() - began < 20
 
 
+_PROSE = "A sentence of the usual kind, with a good many words in it, which goes on for a while and then ends as it should, so that it looks like any other text of the page."
+
+
+@pytest.mark.parametrize("tags", [("<article>", "</article>"), ("<main>", "</main>"), ("<div>", "</div>")])
+@pytest.mark.parametrize(
+    "other",
+    ["<nav>{}</nav>", "<header><p>{}</p></header>", "<footer><p>{}</p></footer>", "<aside><p>{}</p></aside>", '<div class="sidebar"><p>{}</p></div>', '<div id="cookie-notice"><p>{}</p></div>', '<div class="notice">{}</div>', '<div class="ad">{}</div>',
+     '<form><p>{}</p><button>Send</button></form>', '<section class="comments"><div class="comment"><p>{}</p></div><div class="comment"><p>{}</p></div></section>', '<div role="navigation"><p>{}</p></div>', '<div hidden><p>{}</p></div>', "<script>{}</script>", "<style>{}</style>"],
+)
+def test_what_is_not_the_article(tags, other):
+    """Prose in what is not the article goes, before it and after it; the article's own stays, short lines too."""
+    main = f"<h1>On rivers</h1><p>{_PROSE}</p><p>So it is.</p><p>{_PROSE} &amp; more.</p><ul><li>one</li><li>two</li></ul>"
+    want = f"On rivers {_PROSE} So it is. {_PROSE} & more. one two"
+    part = other.replace("{}", _PROSE.replace("usual", "other"))
+    for page in (f"<body>{part}{tags[0]}{main}{tags[1]}</body>", f"<body>{tags[0]}{main}{tags[1]}{part}</body>"):
+        assert html_main.main_text(page)[0] == want
+
+
 def test_open_tags_and_quotes():
     def texts(page):
         return [t for t, _, _ in html_main.blocks(page)]
