@@ -44,7 +44,7 @@ def quota(pool: DataFrame, total: int, shares: dict[str, float], *key: str) -> D
     Adds copy: 0 for the first of a row, more for repeats.
     """
     wanted = F.create_map(*[F.lit(x) for d, s in shares.items() for x in (d, int(total * s))])
-    rows = shuffled(pool, ["domain"], "quota", *key)
+    rows = stored(shuffled(pool, ["domain"], "quota", *key))  # read three times
     sizes = rows.groupBy("domain").agg(F.count("*").alias("have")).withColumn("want", F.coalesce(F.try_element_at(wanted, F.col("domain")), F.lit(0)))
     rows = rows.join(F.broadcast(sizes), "domain")  # one row for each domain
     taken = rows.where(F.col("index") < F.col("want")).withColumn("copy", F.lit(0).cast("long"))
@@ -59,7 +59,7 @@ def halves(df: DataFrame, step: str, *key: str, group: list[str] | None = None)
     """Adds second_half: rows in random order from n // 2 on."""
     rows = df.withColumn("all_", F.lit(1))
     by = [*(group or []), "all_"]
-    rows = shuffled(rows, by, step, *key)
+    rows = stored(shuffled(rows, by, step, *key))  # read twice
     n = rows.groupBy(*by).agg(F.count("*").alias("n_"))
     return rows.join(F.broadcast(n), by).withColumn("second_half", F.col("index") >= F.floor(F.col("n_") / 2)).drop("all_", "index", "n_")
 
