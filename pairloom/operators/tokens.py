@@ -24,9 +24,11 @@ def byte_ids(c: Column | str, most: int = 512) -> Column:
     return text.let(F.hex(F.encode(text.col(c), "UTF-8")), ids)
 
 
-def padded(ids: Column, most: int) -> tuple[Column, Column]:
-    """Right-padded ids and their attention mask."""
-    return F.concat(ids, F.array_repeat(F.lit(0), F.lit(most) - F.size(ids))), F.concat(F.transform(ids, lambda _: F.lit(1)), F.array_repeat(F.lit(0), F.lit(most) - F.size(ids)))
+def padded(ids: Column, most: int, pad: int = 0) -> tuple[Column, Column]:
+    """Ids cut, or padded on the right, to a length, and their attention mask."""
+    own = F.slice(ids, 1, most)
+    rest = F.lit(most) - F.size(own)
+    return F.concat(own, F.array_repeat(F.lit(pad), rest)), F.concat(F.array_repeat(F.lit(1), F.size(own)), F.array_repeat(F.lit(0), rest))
 
 
 def tokenise(pairs: DataFrame, *key: str, source: str = "source_text", target: str = "target_text", most: int = 128, least: tuple[int, int] = (5, 2)) -> DataFrame:
@@ -68,14 +70,6 @@ def subword_text(path: str) -> Callable[[Column], Column]:
     return text_
 
 
-def padded(ids: Column | str, most: int, pad: int = 0) -> Column:
-    """input_ids cut or padded on the right to a length, and their attention_mask."""
-    ids = F.slice(F.col(ids) if isinstance(ids, str) else ids, 1, most)
-    rest = F.lit(most) - F.size(ids)
-    mask = F.concat(F.array_repeat(F.lit(1), F.size(ids)), F.array_repeat(F.lit(0), rest))
-    return F.struct(F.concat(ids, F.array_repeat(F.lit(pad), rest)).alias("input_ids"), mask.alias("attention_mask"))
-
-
 def corrected(df: DataFrame, column: str, make: Callable[[], Callable[[list[str]], list[str]]], name: str = "predicted") -> DataFrame:
     """Adds what a corrector writes. make() runs once a worker and returns a function of a list of texts.
 

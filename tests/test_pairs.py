@@ -208,7 +208,7 @@ def test_subwords(spark):
     known = Tokenizer.from_file(path)
     texts = ["I beleive it.", "", None, "ä <|endoftext|> é" * 3]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(F.coalesce("t", F.lit("")).alias("t"), tokens.subword_ids(path)(F.col("t")).alias("ids"))
-    rows = df.select("t", "ids", tokens.subword_text(path)(F.col("ids")).alias("back"), tokens.padded("ids", 6, 9).alias("p")).collect()
+    rows = df.select("t", "ids", tokens.subword_text(path)(F.col("ids")).alias("back"), *[c.alias(n) for c, n in zip(tokens.padded(F.col("ids"), 6, 9), ("own", "mask"))]).collect()
     for r in rows:
-        assert r.back == r.t and r.p.input_ids == (r.ids + [9] * 6)[:6] and r.p.attention_mask == ([1] * len(r.ids) + [0] * 6)[:6]
+        assert r.back == r.t and r.own == (r.ids + [9] * 6)[:6] and r.mask == ([1] * len(r.ids) + [0] * 6)[:6]
     assert next(r.ids for r in rows if r.t == texts[0]) == known.encode(texts[0], add_special_tokens=False).ids
