@@ -240,7 +240,7 @@ def _matched(kind: str, a: str, b: str, most: int) -> str:
 
 @query(
     "corpus_metrics",
-    rf"""WITH {_PREDICTED}, r AS MATERIALIZED (SELECT row_number() OVER () AS id, {words_sql('predicted')} AS pw, {words_sql('clean')} AS ew, {chars_sql("regexp_replace(predicted, '\s+', '', 'g')")} AS pc, {chars_sql("regexp_replace(clean, '\s+', '', 'g')")} AS ec, {strip_sql('predicted')} = {strip_sql('clean')} AS same FROM predicted),
+    rf"""WITH {_PREDICTED}, r AS MATERIALIZED (SELECT row_number() OVER () AS id, {words_sql('predicted')} AS pw, {words_sql('clean')} AS ew, {chars_sql(r"regexp_replace(predicted, '\s+', '', 'g')")} AS pc, {chars_sql(r"regexp_replace(clean, '\s+', '', 'g')")} AS ec, {strip_sql('predicted')} = {strip_sql('clean')} AS same FROM predicted),
 {_matched('words', 'pw', 'ew', 4)}, {_matched('chars', 'pc', 'ec', 6)},
 s AS (SELECT count(*) AS n, avg(CASE WHEN same THEN 1.0::DOUBLE ELSE 0 END) AS same, avg(len(pw)) AS length, sum(len(pw))::DOUBLE AS np, sum(len(ew))::DOUBLE AS ne FROM r),
 w AS (SELECT n, CASE WHEN m > 0 THEN m ELSE 1.0::DOUBLE / pow(2.0::DOUBLE, sum(CASE WHEN m = 0 THEN 1 ELSE 0 END) OVER (ORDER BY n)) END / greatest(p, 1.0::DOUBLE) AS precision_ FROM words),
