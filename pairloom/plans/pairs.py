@@ -14,7 +14,7 @@ from pairloom.operators import chat, corruption, profiling, sampling, scoring, s
 from pairloom.operators.sentences import MOST_PIECES
 from pairloom.plans import oracle
 from pairloom.plans.curate import docs, pool
-from pairloom.plans.registry import ORACLES, query
+from pairloom.plans.registry import CUT, ORACLES, query
 from pairloom.sources import files
 
 
@@ -456,7 +456,17 @@ def token_length_filter(spark, sf, most=MOST_PIECES):
     return rows.agg(F.count("*").alias("n"), F.sum(F.size("labels")).alias("target_tokens"))
 
 
-@query("dataset_report")
+_STATS = ", ".join(f"'{name}': {sql}" for name, sql in (
+    ("n", "count(*)"), ("mean", "round(avg(x), 6)"), ("median", "round(median(x), 6)"), ("std", "round(coalesce(stddev_samp(x), 0), 6)"), ("least", "min(x)"), ("most", "max(x)"),
+    *[(f"p{int(q * 100)}", f"round(quantile_cont(x, {q}), 6)") for q in (0.25, 0.75, 0.9, 0.95)],
+))
+_REPORT = f"""WITH {oracle.examples()}, c AS (SELECT 'complexity' AS "column", coalesce(complexity, 'unknown') AS value, count(*) AS n FROM examples GROUP BY 2 UNION ALL SELECT 'domain', coalesce(domain, 'unknown'), count(*) FROM examples GROUP BY 2 UNION ALL SELECT 'source', coalesce(source, 'unknown'), count(*) FROM examples GROUP BY 2),
+t AS (SELECT value, count(*) AS n FROM (SELECT unnest(error_types) AS value FROM examples) GROUP BY value), v AS (SELECT 'words' AS name, word_count::DOUBLE AS x FROM examples UNION ALL SELECT 'difficulty', difficulty_score FROM examples),
+s AS (SELECT name, {{'name': name, {_STATS}}} AS r FROM v GROUP BY name)
+SELECT CAST(to_json({{'counts': (SELECT list({{'column': "column", 'value': value, 'n': n}} ORDER BY "column", value, n) FROM c), 'types': (SELECT list({{'value': value, 'n': n}} ORDER BY value, n) FROM t), 'statistics': (SELECT list(r ORDER BY name) FROM s)}}) AS VARCHAR) AS value"""
+
+
+@query("dataset_report", _REPORT.replace(CUT, ""))
 def dataset_report(spark, sf):
     """One JSON document of the dataset's tables, as the report sinks write it."""
     rows = examples(spark, sf, None)
