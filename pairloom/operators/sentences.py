@@ -21,9 +21,9 @@ def prefilter(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
 
 def split(docs: DataFrame, least: int = MIN_CHARS, most: int | None = MOST_PIECES, also: str = "") -> DataFrame:
     """doc_id, pos, sentence: each document's pieces, ended by a period where nothing ends them."""
-    pieces = prefilter(docs, least).select("doc_id", F.posexplode(text.sentence_pieces("text", most)).alias("pos", "raw"))
-    pieces = pieces.withColumn("piece", text.strip("raw")).where("piece != ''")
-    return pieces.select("doc_id", "pos", text.reterminate("piece", also).alias("sentence"))
+    # made inside the array, so that a later filter reads a column instead of making the sentence again for each condition
+    made = F.transform(text.sentence_pieces("text", most), lambda raw: text.let(text.strip(raw), lambda p: F.when(p == "", p).otherwise(text.reterminate(p, also))))
+    return prefilter(docs, least).select("doc_id", F.posexplode(made).alias("pos", "sentence")).where("sentence != ''")
 
 
 def is_high_quality(s: Column | str, domain: str | None = None) -> Column:
