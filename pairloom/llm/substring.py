@@ -140,6 +140,13 @@ def _in(sorted_: np.ndarray, h: np.ndarray) -> np.ndarray:
     return sorted_[np.minimum(np.searchsorted(sorted_, h), len(sorted_) - 1)] == h
 
 
+def _places(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word of a piece: its text's number, its place in the text, and the text's size in words."""
+    n = np.diff(at)
+    doc = np.repeat(np.arange(len(n)), n)
+    return doc, np.arange(at[-1]) - at[doc], n[doc]
+
+
 def _probes(batches, width: int, bits: int):
     """Packed grid blocks (key, pos) and rolling probes of each batch, a row for each bucket it touches."""
     block, sent = (width + 1) // 2, _Sent()
@@ -147,16 +154,14 @@ def _probes(batches, width: int, bits: int):
         texts, keys = utf8(b.column("text")), _keys(b)
         for lo, hi in pieces(texts, PIECE):
             words, at = hashed_words(texts[lo:hi])
-            roll, grid = [], []
-            for i in np.flatnonzero(np.diff(at) >= width):
-                h = rolling(words[at[i] : at[i + 1]], block, WORD_BASES[0])
-                roll.append(h)
-                pos = np.arange(0, len(h), block, dtype=np.uint32)
-                grid.append((h[pos], np.full(len(pos), keys[lo + i]), pos))
-            if not roll:
+            doc, place, size = _places(at)
+            h = rolling(words, block, WORD_BASES[0])
+            inside = np.flatnonzero((place + block <= size) & (size >= width))  # blocks that end in their text
+            if not len(inside):
                 continue
-            probe, twice = _counted(np.concatenate(roll))
-            gh, gk, gp = (np.concatenate(x) for x in zip(*grid, strict=True))
+            probe, twice = _counted(h[inside])
+            grid = inside[place[inside] % block == 0]
+            gh, gk, gp = h[grid], keys[lo + doc[grid]], place[grid].astype(np.uint32)
             again = _in(probe[twice], gh) | sent.has(gh, gh)
             rows = _settled(gk[again], gp[again], bits) if again.any() else []
             new = ~sent.has(probe, probe)
@@ -203,22 +208,18 @@ def _windows(batches, width: int, bits: int):
         texts, keys, anchors = utf8(b.column("text")), _keys(b), b.column("anchors")
         for lo, hi in pieces(texts, PIECE):
             words, at = hashed_words(texts[lo:hi])
-            found = []
-            for i in range(hi - lo):
-                own = words[at[i] : at[i + 1]]
-                n = len(own) - width + 1
-                if n < 1:
-                    continue
-                near = np.zeros(n + 1, np.int32)  # windows from pos - (width - block) to pos hold the block
-                pos = anchors[lo + i].values.to_numpy().astype(np.int64)
-                np.add.at(near, np.clip(pos - (width - block), 0, n), 1)
-                np.add.at(near, np.clip(pos + 1, 0, n), -1)
-                start = np.flatnonzero(np.cumsum(near[:-1]) > 0).astype(np.uint32)
-                if len(start):
-                    found.append((rolling(own, width, WORD_BASES[0])[start], rolling(own, width, WORD_BASES[1])[start], np.full(len(start), keys[lo + i]), start))
-            if not found:
+            doc, place, size = _places(at)
+            own = anchors.slice(lo, hi - lo)
+            pos, of = own.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(hi - lo), own.value_lengths().to_numpy())
+            n = np.maximum(np.diff(at) - width + 1, 0)[of]
+            near = np.zeros(len(words) + 1, np.int32)  # windows from pos - (width - block) to pos hold the block
+            np.add.at(near, at[of] + np.clip(pos - (width - block), 0, n), 1)
+            np.add.at(near, at[of] + np.clip(pos + 1, 0, n), -1)
+            start = np.flatnonzero(np.cumsum(near[:-1]) > 0)
+            if not len(start):
                 continue
-            h, other, key, pos = (np.concatenate(x) for x in zip(*found, strict=True))
+            h, other = (rolling(words, width, base)[start] for base in WORD_BASES)
+            key, pos = keys[lo + doc[start]], place[start].astype(np.uint32)
             order = np.lexsort((h, other))  # buckets by one hash; the other is sent whole
             h, other, key, pos = h[order], other[order], key[order], pos[order]
             same = np.zeros(len(h) + 1, bool)
