@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from pairloom.functions import lexicons, text
 from pairloom.functions.rng import SEED, chance, draw
@@ -322,10 +323,12 @@ def generate(pool: DataFrame, target: int, methods: dict[str, tuple[str, float]]
     where attempts ran out.
     """
     methods = methods or lexicons.METHODS
-    pool = sampling.stored(sampling.shuffled(pool.select("doc_id", "pos", "domain", "sentence"), ["domain"], "pool", "doc_id", "pos").select("domain", "index", "sentence"))
+    # stored before it is numbered: numbering reads it twice, and its plan is long
+    pool = sampling.stored(pool.select("doc_id", "pos", "domain", "sentence"))
     # one row for each configured domain
     sizes = {r.domain: r.n for r in pool.where(F.col("domain").isin(list(lexicons.DOMAINS))).groupBy("domain").agg(F.count("*").alias("n")).collect()}
     domains = sorted(sizes) or sorted(lexicons.DOMAINS)
+    pool = sampling.shuffled(pool, ["domain"], "pool", "doc_id", "pos").select("domain", "index", "sentence")
     names, counts = F.array(*map(F.lit, domains)), F.array(*[F.lit(max(sizes.get(d, 0), 1)) for d in domains])
     quotas = {name: int(target * share) for name, (_, share) in methods.items()}
 
@@ -344,8 +347,11 @@ def generate(pool: DataFrame, target: int, methods: dict[str, tuple[str, float]]
         all_.append(made.select(F.lit(name).alias("method"), "attempt", F.col("m.corrupted").alias("corrupted"), F.col("sentence").alias("clean"), "domain", F.col("m.error_types").alias("error_types"), F.col("m.num_errors").alias("num_errors"), F.lit(source).alias("source")))
     rows = reduce(lambda a, b: a.unionByName(b), all_)
     most = F.element_at(F.create_map(*[F.lit(x) for name, n in quotas.items() for x in (name, n)]), F.col("method"))
-    cell = F.floor(F.col("attempt") * sampling.CELLS / F.greatest(most * tries, F.lit(1)))
-    rows = sampling.numbered(sampling.stored(rows), ["method"], cell, ["attempt"], "rank").where(F.col("rank") < most)
+    if few:
+        rows = rows.withColumn("rank", F.row_number().over(W.Window.partitionBy("method").orderBy("attempt")) - 1).where(F.col("rank") < most)
+    else:
+        cell = F.floor(F.col("attempt") * sampling.CELLS / F.greatest(most * tries, F.lit(1)))
+        rows = sampling.numbered(sampling.stored(rows), ["method"], cell, ["attempt"], "rank").where(F.col("rank") < most)
     words = text.n_words("clean")
     level = F.when(F.col("source") == "simple_single", "simple").otherwise(scoring.complexity(words, F.col("num_errors"), F.col("error_types")))
     return rows.select(

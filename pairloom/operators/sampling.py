@@ -44,7 +44,7 @@ def quota(pool: DataFrame, total: int, shares: dict[str, float], *key: str) -> D
     Adds copy: 0 for the first of a row, more for repeats.
     """
     wanted = F.create_map(*[F.lit(x) for d, s in shares.items() for x in (d, int(total * s))])
-    rows = stored(shuffled(pool, ["domain"], "quota", *key))  # read three times
+    rows = stored(shuffled(stored(pool), ["domain"], "quota", *key))  # the pool is read twice, its numbering three times
     sizes = rows.groupBy("domain").agg(F.count("*").alias("have")).withColumn("want", F.coalesce(F.try_element_at(wanted, F.col("domain")), F.lit(0)))
     rows = rows.join(F.broadcast(sizes), "domain")  # one row for each domain
     taken = rows.where(F.col("index") < F.col("want")).withColumn("copy", F.lit(0).cast("long"))
