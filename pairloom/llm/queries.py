@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import decontam, html_main, lines, media, mixing, oracles, quality, sharding, simhash, substring, toxicity
+from pairloom.llm import decontam, html_main, lines, media, mixing, oracles, quality, sharding, simhash, substring, toxicity, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +53,11 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_query(_table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_decontamination, op2_substring_dedup, op3_simhash, op4_mixing, op5_line_dedup, op6_html_extraction, op7_toxicity, op8_sharding, op9_quality, op10_media)
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening_query(_table(spark, sf_dir, "embeddings"))
+
+
+_ALL = (op1_decontamination, op2_substring_dedup, op3_simhash, op4_mixing, op5_line_dedup, op6_html_extraction, op7_toxicity, op8_sharding, op9_quality, op10_media, op13_whitening)
 
 _ORACLES: dict[str, str] = {"op1_decontamination": oracles.DECONTAMINATION, "op2_substring_dedup": oracles.SUBSTRING, "op4_mixing": oracles.MIXING, "op5_line_dedup": oracles.LINES, "op8_sharding": oracles.SHARDING}
 
