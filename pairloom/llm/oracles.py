@@ -93,3 +93,11 @@ b AS (SELECT (total + 7) // 8 AS low, total AS high FROM l
 p AS MATERIALIZED (SELECT * FROM {_packed(7, "capacity", "(SELECT min(high) AS capacity, any_value(c) AS c FROM b, l)")}),
 s AS (SELECT e.*, {" + ".join(f"(upto > a{i})::INT" for i in range(1, 8))} AS shard, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || CAST(h AS VARCHAR)), 1, 4) AS BIGINT) % 2048 AS cell FROM e JOIN g USING (h), p)
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY cell, doc_id NULLS FIRST, h) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s"""
+
+MINHASH = rf"""WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN [array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+n AS MATERIALIZED (SELECT w.doc_id, count(s.s) AS n FROM w LEFT JOIN s ON s.doc_id = w.doc_id GROUP BY w.doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n u ON u.doc_id = a JOIN n v ON v.doc_id = b WHERE 100 * common >= 80 * (u.n + v.n - common)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT l.a, r.b FROM r JOIN l ON l.b = r.a)
+SELECT n.doc_id, n.n AS n_shingles, min(r.b) AS component_id, n.doc_id = min(r.b) AS kept FROM n JOIN r ON r.a = n.doc_id GROUP BY n.doc_id, n.n"""
