@@ -101,3 +101,13 @@ p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y
 l AS MATERIALIZED (SELECT a, b FROM p JOIN n u ON u.doc_id = a JOIN n v ON v.doc_id = b WHERE 100 * common >= 80 * (u.n + v.n - common)),
 r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT l.a, r.b FROM r JOIN l ON l.b = r.a)
 SELECT n.doc_id, n.n AS n_shingles, min(r.b) AS component_id, n.doc_id = min(r.b) AS kept FROM n JOIN r ON r.a = n.doc_id GROUP BY n.doc_id, n.n"""
+
+PREFIX_TRIE = f"""WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS j FROM conversations WHERE conv_id IS NOT NULL),
+o AS MATERIALIZED (SELECT c, CAST(c AS VARCHAR) AS t, list({{'r': r, 'x': x}} ORDER BY j) AS ts FROM t GROUP BY c),
+h AS MATERIALIZED (SELECT c, ts, xor(list_reduce(list_prepend(4294967295::BIGINT, {_NIBBLES}::BIGINT[]), lambda x, y: xor(x >> 4, ({_crc_of_nibbles()}::BIGINT[])[(xor(x, y) & 15) + 1])), 4294967295::BIGINT) % 9 AS h FROM o),
+b AS MATERIALIZED (SELECT h.c, list_concat(coalesce(p.ts[1:h.h], []), h.ts[h.h + 1:]) AS ts FROM h LEFT JOIN o p ON p.c = h.c - h.c % 5),
+n AS MATERIALIZED (SELECT c, d, md5(CAST(to_json(ts[1:d]) AS VARCHAR)) AS k, CASE WHEN d > 0 THEN md5(CAST(to_json(ts[1:d - 1]) AS VARCHAR)) END AS up, CASE WHEN d > 0 THEN strlen(ts[d].x) ELSE 0 END AS bytes, d = len(ts) AS e FROM (SELECT c, ts, unnest(range(len(ts) + 1)) AS d FROM b)),
+g AS MATERIALIZED (SELECT d, k, any_value(up) AS up, min(c) AS c, count(*) AS n, (count(*) - 1) * any_value(bytes) AS own, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (e), '')) AS ends_sha256 FROM n GROUP BY d, k),
+f AS MATERIALIZED (SELECT g.*, (SELECT count(*) FROM g x WHERE x.d = g.d + 1 AND x.up = g.k) AS n_children FROM g),
+s AS (SELECT n.d, n.k, count(*) FILTER (f.n_children = 0) AS n_leaves, sum(f.own)::BIGINT AS saved_tokens FROM f JOIN n ON n.c = f.c AND n.d <= f.d GROUP BY n.d, n.k)
+SELECT f.c AS conv_id, f.d AS depth, u.c AS parent_conv_id, f.n AS n_convs, f.n_children, s.n_leaves, s.saved_tokens, f.ends_sha256 FROM f JOIN s ON s.d = f.d AND s.k = f.k LEFT JOIN f u ON u.d = f.d - 1 AND u.k = f.up"""

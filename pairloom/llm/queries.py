@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import decontam, html_main, lines, media, minhash, mixing, oracles, quality, sharding, simhash, substring, toxicity, whitening
+from pairloom.llm import decontam, html_main, lines, media, minhash, mixing, oracles, prefix_trie, quality, sharding, simhash, substring, toxicity, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_query(_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_query(_table(spark, sf_dir, "conversations"))
+
+
 def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.minhash_query(_table(spark, sf_dir, "documents"))
 
@@ -61,9 +65,9 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitening_query(_table(spark, sf_dir, "embeddings"))
 
 
-_ALL = (op1_decontamination, op2_substring_dedup, op3_simhash, op4_mixing, op5_line_dedup, op6_html_extraction, op7_toxicity, op8_sharding, op9_quality, op10_media, op12_minhash, op13_whitening)
+_ALL = (op1_decontamination, op2_substring_dedup, op3_simhash, op4_mixing, op5_line_dedup, op6_html_extraction, op7_toxicity, op8_sharding, op9_quality, op10_media, op11_prefix_trie, op12_minhash, op13_whitening)
 
-_ORACLES: dict[str, str] = {"op1_decontamination": oracles.DECONTAMINATION, "op2_substring_dedup": oracles.SUBSTRING, "op4_mixing": oracles.MIXING, "op5_line_dedup": oracles.LINES, "op8_sharding": oracles.SHARDING, "op12_minhash": oracles.MINHASH}
+_ORACLES: dict[str, str] = {"op1_decontamination": oracles.DECONTAMINATION, "op2_substring_dedup": oracles.SUBSTRING, "op4_mixing": oracles.MIXING, "op5_line_dedup": oracles.LINES, "op8_sharding": oracles.SHARDING, "op11_prefix_trie": oracles.PREFIX_TRIE, "op12_minhash": oracles.MINHASH}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
