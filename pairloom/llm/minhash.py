@@ -12,8 +12,9 @@ similarity of their whole sets. A bucket's pairs are never all written: members
 tested against a pivot; a pivot that met all members outside its component leaves the
 bucket, and a bucket closes when its members have one component. Only members of other
 components than the bucket's largest become pivots, eight times as many in each round.
-So a group of near copies costs about one test a member and bucket, while every pair of
-a bucket is either tested, known to be linked through others, or apart in size.
+Pairs are not tested where sizes, or in large buckets the shingles that only one member
+has, leave too few in common. So a group of near copies costs about one test a member,
+while every pair of a bucket is tested, linked through others, or ruled out exactly.
 
 Cases: texts without words, null ones among them, have an empty set, link with nothing
 and lead themselves; fewer words than a shingle make one shingle of the whole; rows that
@@ -38,6 +39,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BANDS, ROWS, WIDTH, SHARE = 32, 4, 4, 80
 #: A set is sent to a join once for each so many pairs that need it.
 HEAVY = 1000
+#: From so many members on, a bucket's members are first held against the shingles that no other has.
+LARGE = 16
 #: Places that one step permutes, so that they stay in the processor's cache.
 STEP = 1 << 16
 
@@ -140,9 +143,28 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n_wanted: int, width: int) -> Da
     return texts.mapInArrow(run, "c struct<a:long,b:long>, shingles array<long>").groupBy("c").agg(F.any_value("shingles").alias("shingles"))
 
 
-def in_size(x: Column | str, y: Column | str, share: int) -> Column:
-    """Whether sets of these sizes can be similar enough."""
-    return F.least(x, y) * 100 >= F.greatest(x, y) * share
+def alike(n: Column | str, spare: Column | str, m: Column | str, other: Column | str, share: int) -> Column:
+    """Whether sets of sizes n and m, which can have at most spare and other shingles in common, can be similar enough."""
+    f = lambda c: F.col(c) if isinstance(c, str) else c
+    return F.least(f(spare), f(other)) * (100 + share) >= (f(n) + f(m)) * share
+
+
+def spares(members: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """members (key, c, n, m) with spare, how many shingles a member can share with another of its bucket at most; without members that cannot have a partner.
+
+    In a bucket of `LARGE` members and more, shingles that no other member of any such bucket has are not counted:
+    most members of a crowd that is alike, but not enough so, go here without a test.
+    """
+    large = F.col("m") >= LARGE
+    crowd = written(members.where(large).select("c").distinct(), "minhash-crowd")
+    n_crowd = crowd.count()
+    if not n_crowd:
+        return members.withColumn("spare", F.col("n"))
+    each = sets.join(small(crowd, n_crowd), "c").select("c", F.explode("shingles").alias("h"))
+    own = each.groupBy("h").agg(F.count("*").alias("sets"), F.min("c").alias("c")).where("sets = 1").groupBy("c").agg(F.count("*").alias("own"))
+    own = written(own, "minhash-own")
+    rows = members.join(small(own, own.count()), "c", "left").withColumn("spare", F.col("n") - F.when(large, F.coalesce("own", F.lit(0))).otherwise(0)).drop("own")
+    return rows.where(F.col("spare") * 100 >= F.col("n") * share)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
@@ -163,24 +185,34 @@ def confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
 
 
 def component_roots(docs: DataFrame, classes: DataFrame, width: int, share: int) -> DataFrame | None:
-    """(node, root) of the classes that link with another; None if there is no bucket with two. classes: c, n, keys, rk."""
+    """(node, root) of the classes that link with another; None if none does. classes: c, n, keys, rk."""
     rows = classes.select("c", "n", F.explode("keys").alias("key"))
-    buckets = written(rows.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("c", "n")).alias("pivot")).where("m > 1"), "minhash-buckets")
+    buckets = written(rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "minhash-buckets")
     total = buckets.agg(F.sum("m")).first()[0]
     if not total:
         return None
     members = written(with_classes(rows, buckets, "key", "m", total), "minhash-members")
     wanted = written(classes.join(members.select("c").distinct(), "c").select("rk", "c"), "minhash-wanted")
     sets = written(sets_of(docs, wanted, wanted.count(), width), "minhash-sets")
-    apart = (F.col("c") != F.col("pivot.c")) & in_size("n", "pivot.n", share)
-    pairs = written(members.where(apart).select(F.col("pivot.c").alias("a"), F.col("c").alias("b")).distinct(), "minhash-pairs")
-    rest = members.where(F.col("c") != F.col("pivot.c")).select("key", "c", "n")
+    forget(buckets, wanted)
+    members = written(spares(members, sets, share), "minhash-members")
+    # the first pivot is the member with the fewest shingles of its own: what links with others mostly links with it
+    pivots = members.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct((F.col("n") - F.col("spare")).alias("own"), "c", "n", "spare")).alias("pivot")).where("m > 1")
+    members = written(with_classes(members.drop("m"), written(pivots, "minhash-pivots"), "key", "m", total), "minhash-members")
+    other = F.col("c") != F.col("pivot.c")
+    pairs = members.where(other & alike("n", "spare", "pivot.n", "pivot.spare", share)).select(F.col("pivot.c").alias("a"), F.col("c").alias("b"))
+    pairs, rest = written(pairs.distinct(), "minhash-pairs"), members.where(other).select("key", "c", "n", "spare")
     roots, most = None, 8
     while True:
-        links = confirmed(pairs, sets, share)
-        found = components(links if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-        roots = written(found, "minhash-roots")
-        state = written(rest.join(roots, F.col("c") == F.col("node"), "left").select("key", "c", "n", F.coalesce("root", "c").alias("root")), "minhash-rest")
+        links = written(confirmed(pairs, sets, share), "minhash-links") if pairs.count() else None
+        if links is not None and links.count():
+            if roots is not None:
+                links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+            roots = written(components(links), "minhash-roots")
+        state = rest.withColumn("root", F.col("c"))
+        if roots is not None:
+            state = rest.join(roots, F.col("c") == F.col("node"), "left").select("key", "c", "n", "spare", F.coalesce("root", "c").alias("root"))
+        state = written(state, "minhash-rest")
         by_root = state.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("m"), F.max(F.struct("m", "root")).alias("top"))
         open_ = written(by_root.where(F.col("m") > F.col("top.m")).select("key", "m", (F.col("m") - F.col("top.m")).alias("others"), F.col("top.root").alias("top")), "minhash-open")
         forget(members, pairs)
@@ -189,11 +221,12 @@ def component_roots(docs: DataFrame, classes: DataFrame, width: int, share: int)
             return roots
         # of the members outside the largest component, `most` by hash become pivots; others stay for the next round
         drawn = (F.col("root") != F.col("top")) & ((F.col("others") <= most) | (F.pmod(F.xxhash64("c", F.lit(most)), F.col("others")) < most))
-        members = written(with_classes(state, open_, "key", "m", total).select("key", "c", "n", "root", drawn.alias("drawn")), "minhash-members")
-        pivots = members.where("drawn").select("key", F.col("c").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-        meet = members.join(small(pivots, pivots.count()), "key").where((F.col("root") != F.col("ra")) & in_size("n", "na", share) & (~F.col("drawn") | (F.col("a") < F.col("c"))))
+        members = written(with_classes(state, open_, "key", "m", total).select("key", "c", "n", "spare", "root", drawn.alias("drawn")), "minhash-members")
+        forget(state, open_)
+        pivots = members.where("drawn").select("key", F.col("c").alias("a"), F.col("n").alias("na"), F.col("spare").alias("sa"), F.col("root").alias("ra"))
+        meet = members.join(small(pivots, pivots.count()), "key").where((F.col("root") != F.col("ra")) & alike("n", "spare", "na", "sa", share) & (~F.col("drawn") | (F.col("a") < F.col("c"))))
         pairs = written(meet.select("a", F.col("c").alias("b")).distinct(), "minhash-pairs")
-        rest = members.where(~F.col("drawn")).select("key", "c", "n")
+        rest = members.where(~F.col("drawn")).select("key", "c", "n", "spare")
         most *= 8
 
 

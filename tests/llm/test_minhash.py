@@ -75,6 +75,13 @@ def test_large_buckets_take_more_pivots(spark, edits, copies):
     _same(spark, rows + [(copies + k, rows[0][1]) for k in range(5)])
 
 
+def test_large_buckets_without_bounds(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "LARGE", 10**6)
+    r = random.Random(6)
+    base = [f"w{k}" for k in range(120)]
+    _same(spark, [(k, _edited(r, base, k % 9)) for k in range(80)])
+
+
 def test_chain_of_links(spark):
     """Each text is near the next one only."""
     words = [f"w{k}" for k in range(400)]
