@@ -11,9 +11,10 @@ Equal sets collapse to one class first. Candidates are confirmed by the exact Ja
 similarity of their whole sets. A bucket's pairs are never all written: members are
 tested against a pivot; a pivot that met all members outside its component leaves the
 bucket, and a bucket closes when its members have one component. Only members of other
-components than the bucket's largest become pivots, eight times as many in each round.
-Pairs are not tested where sizes, or in large buckets the shingles that only one member
-has, leave too few in common. So a group of near copies costs about one test a member,
+components than the bucket's largest become pivots, more of them in each round, and a
+pair meets in one bucket only. Pairs are not tested where sizes, the shingles that only
+one member of large buckets has, or the differences of both from the bucket's first
+pivot leave too few in common. So a group of near copies costs about one test a member,
 while every pair of a bucket is tested, linked through others, or ruled out exactly.
 
 Cases: texts without words, null ones among them, have an empty set, link with nothing
@@ -167,8 +168,8 @@ def spares(members: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     return rows.where(F.col("spare") * 100 >= F.col("n") * share)
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough. A set that many pairs share as a is sent in copies, to a slice of them each."""
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with n, the sum of their sets' sizes, and common. A set that many pairs share as a is sent in copies, to a slice of them each."""
     heavy = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / HEAVY).cast("int").alias("slices")).where("slices > 1"), "minhash-heavy")
     n_heavy = heavy.count()
     slices = F.coalesce("slices", F.lit(1))
@@ -180,8 +181,18 @@ def confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     else:
         both = pairs.join(left, "a")
     both = both.join(sets.select(F.col("c").alias("b"), F.col("shingles").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y")).cast("long")
-    return both.select("a", "b", (F.size("x") + F.size("y")).cast("long").alias("n"), common.alias("common")).where(F.col("common") * 100 >= (F.col("n") - F.col("common")) * share).select("a", "b")
+    return both.select("a", "b", (F.size("x") + F.size("y")).cast("long").alias("n"), F.size(F.array_intersect("x", "y")).cast("long").alias("common"))
+
+
+def apart(n: Column, own: Column, far: Column, m: Column, others: Column, other_far: Column, share: int) -> Column:
+    """Whether two sets differ too much to be similar, judging by a third.
+
+    A set differs from the third in `far` shingles, `own` of which no other set has. What two sets can differ
+    in alike is at most the smaller far - own, so they differ from each other in own + others +
+    |(far - own) - (other_far - others)| shingles at least. Unknown (null) is not apart.
+    """
+    least = own + others + F.abs((far - own) - (other_far - others))
+    return F.coalesce(least * (100 + share) > (n + m) * (100 - share), F.lit(False))
 
 
 def component_roots(docs: DataFrame, classes: DataFrame, width: int, share: int) -> DataFrame | None:
@@ -201,17 +212,19 @@ def component_roots(docs: DataFrame, classes: DataFrame, width: int, share: int)
     members = written(with_classes(members.drop("m"), written(pivots, "minhash-pivots"), "key", "m", total), "minhash-members")
     other = F.col("c") != F.col("pivot.c")
     pairs = members.where(other & alike("n", "spare", "pivot.n", "pivot.spare", share)).select(F.col("pivot.c").alias("a"), F.col("c").alias("b"))
-    pairs, rest = written(pairs.distinct(), "minhash-pairs"), members.where(other).select("key", "c", "n", "spare")
-    roots, most = None, 8
+    pairs = written(pairs.distinct(), "minhash-pairs")
+    rest = members.where(other).select("key", "c", "n", "spare", F.col("pivot.c").alias("p"))
+    roots, first, most = None, None, 64
     while True:
-        links = written(confirmed(pairs, sets, share), "minhash-links") if pairs.count() else None
-        if links is not None and links.count():
+        tested = written(compared(pairs, sets), "minhash-tested")
+        links = tested.where(F.col("common") * 100 >= (F.col("n") - F.col("common")) * share).select("a", "b")
+        if links.count():
             if roots is not None:
                 links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
             roots = written(components(links), "minhash-roots")
         state = rest.withColumn("root", F.col("c"))
         if roots is not None:
-            state = rest.join(roots, F.col("c") == F.col("node"), "left").select("key", "c", "n", "spare", F.coalesce("root", "c").alias("root"))
+            state = rest.join(roots, F.col("c") == F.col("node"), "left").select(rest["*"], F.coalesce("root", "c").alias("root"))
         state = written(state, "minhash-rest")
         by_root = state.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("m"), F.max(F.struct("m", "root")).alias("top"))
         open_ = written(by_root.where(F.col("m") > F.col("top.m")).select("key", "m", (F.col("m") - F.col("top.m")).alias("others"), F.col("top.root").alias("top")), "minhash-open")
@@ -221,13 +234,21 @@ def component_roots(docs: DataFrame, classes: DataFrame, width: int, share: int)
             return roots
         # of the members outside the largest component, `most` by hash become pivots; others stay for the next round
         drawn = (F.col("root") != F.col("top")) & ((F.col("others") <= most) | (F.pmod(F.xxhash64("c", F.lit(most)), F.col("others")) < most))
-        members = written(with_classes(state, open_, "key", "m", total).select("key", "c", "n", "spare", "root", drawn.alias("drawn")), "minhash-members")
+        members = with_classes(state, open_, "key", "m", total).withColumn("drawn", drawn).drop("m", "others", "top")
+        if first is None:  # how far each is from its bucket's first pivot
+            first = tested.select(F.col("a").alias("p"), F.col("b").alias("c"), (F.col("n") - 2 * F.col("common")).alias("far"))
+            members = members.join(first, ["p", "c"], "left").drop("p")
+        members = written(members, "minhash-members")
+        mine = members.groupBy("c").agg(F.collect_list("key").alias("mine"))  # at most one for each band
+        members = written(members.drop("mine").join(mine, "c"), "minhash-members")
         forget(state, open_)
-        pivots = members.where("drawn").select("key", F.col("c").alias("a"), F.col("n").alias("na"), F.col("spare").alias("sa"), F.col("root").alias("ra"))
-        meet = members.join(small(pivots, pivots.count()), "key").where((F.col("root") != F.col("ra")) & alike("n", "spare", "na", "sa", share) & (~F.col("drawn") | (F.col("a") < F.col("c"))))
+        pivots = members.where("drawn").select("key", F.col("c").alias("a"), F.col("n").alias("na"), F.col("spare").alias("sa"), F.col("far").alias("fa"), F.col("root").alias("ra"), F.col("mine").alias("theirs"))
+        once = F.col("key") == F.array_min(F.array_intersect("mine", "theirs"))  # a pair meets in one bucket
+        ruled_out = apart(F.col("n"), F.col("n") - F.col("spare"), F.col("far"), F.col("na"), F.col("na") - F.col("sa"), F.col("fa"), share)
+        meet = members.join(small(pivots, pivots.count()), "key").where((F.col("root") != F.col("ra")) & alike("n", "spare", "na", "sa", share) & ~ruled_out & (~F.col("drawn") | (F.col("a") < F.col("c"))) & once)
         pairs = written(meet.select("a", F.col("c").alias("b")).distinct(), "minhash-pairs")
-        rest = members.where(~F.col("drawn")).select("key", "c", "n", "spare")
-        most *= 8
+        rest = members.where(~F.col("drawn")).select("key", "c", "n", "spare", "far")
+        most *= 16
 
 
 def dedup(docs: DataFrame, width: int = WIDTH, share: int = SHARE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
