@@ -10,7 +10,7 @@ from pyspark.sql import window as W
 
 from pairloom.functions import lexicons, text
 
-#: Documents shorter than this are left out; so many pieces of each are looked at where a text is capped.
+#: Documents shorter than this are left out; so many pieces of each are looked at where a caller caps texts.
 MIN_CHARS, MOST_PIECES = 30, 10
 
 
@@ -19,7 +19,7 @@ def prefilter(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     return docs.where(F.length(text.strip("text")) >= least)
 
 
-def split(docs: DataFrame, least: int = MIN_CHARS, most: int | None = MOST_PIECES, also: str = "") -> DataFrame:
+def split(docs: DataFrame, least: int = MIN_CHARS, most: int | None = None, also: str = "") -> DataFrame:
     """doc_id, pos, sentence: each document's pieces, ended by a period where nothing ends them."""
     # made inside the array, so that a later filter reads a column instead of making the sentence again for each condition
     made = F.transform(text.sentence_pieces("text", most), lambda raw: text.let(text.strip(raw), lambda p: F.when(p == "", p).otherwise(text.reterminate(p, also))))

@@ -10,7 +10,6 @@ from pairloom.functions import lexicons, text
 from pairloom.functions.rng import draw_sql
 from pairloom.functions.text import collapse_sql, fingerprint_sql, strip_sql, words_sql
 from pairloom.operators import chat, profiling, sampling, sentences
-from pairloom.operators.sentences import MOST_PIECES
 from pairloom.plans import oracle
 from pairloom.plans.registry import query
 
@@ -21,8 +20,8 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
-def pool(spark: SparkSession, sf: str, most: int | None) -> DataFrame:
-    return sentences.pool(docs(spark, sf), most)
+def pool(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.pool(docs(spark, sf))
 
 
 @query("doc_prefilter", f"SELECT doc_id, length({strip_sql('text')}) AS n_chars FROM documents WHERE length({strip_sql('text')}) >= 30")
@@ -30,14 +29,14 @@ def doc_prefilter(spark, sf):
     return sentences.prefilter(docs(spark, sf)).select("doc_id", F.length(text.strip("text")).alias("n_chars"))
 
 
-@query("sentence_split", f"WITH {oracle.pieces(most=None)} SELECT doc_id, pos, sentence FROM sentences")
+@query("sentence_split", f"WITH {oracle.pieces()} SELECT doc_id, pos, sentence FROM sentences")
 def sentence_split(spark, sf):
-    return sentences.split(docs(spark, sf), most=None).select("doc_id", "pos", "sentence")
+    return sentences.split(docs(spark, sf)).select("doc_id", "pos", "sentence")
 
 
-@query("sentence_cap", f"WITH {oracle.pieces()} SELECT doc_id, count(*) AS n, max(pos) AS last_pos FROM sentences GROUP BY doc_id")
+@query("sentence_cap", f"WITH {oracle.pieces(most=sentences.MOST_PIECES)} SELECT doc_id, count(*) AS n, max(pos) AS last_pos FROM sentences GROUP BY doc_id")
 def sentence_cap(spark, sf):
-    return sentences.split(docs(spark, sf)).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("pos").alias("last_pos"))
+    return sentences.split(docs(spark, sf), most=sentences.MOST_PIECES).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("pos").alias("last_pos"))
 
 
 @query("reterminate", f"WITH {oracle.pieces(20, None, ';')} SELECT doc_id, pos, right(sentence, 1) AS terminator, length(sentence) AS n_chars FROM sentences")
@@ -51,18 +50,18 @@ def word_char_counts(spark, sf):
 
 
 @query("fingerprint", f"WITH {oracle.pieces()} SELECT doc_id, pos, {fingerprint_sql('sentence')} AS fp FROM sentences")
-def fingerprint(spark, sf, most=MOST_PIECES):
-    return sentences.split(docs(spark, sf), most=most).select("doc_id", "pos", text.fingerprint("sentence").alias("fp"))
+def fingerprint(spark, sf):
+    return sentences.split(docs(spark, sf)).select("doc_id", "pos", text.fingerprint("sentence").alias("fp"))
 
 
 @query("quality_filter", f"WITH {oracle.pieces()} SELECT doc_id, pos, sentence FROM sentences WHERE {oracle.high_quality('sentence')}")
-def quality_filter(spark, sf, most=MOST_PIECES):
-    return sentences.split(docs(spark, sf), most=most).where(sentences.is_high_quality("sentence"))
+def quality_filter(spark, sf):
+    return sentences.split(docs(spark, sf)).where(sentences.is_high_quality("sentence"))
 
 
 @query("quality_filter_domain", f"WITH {oracle.pieces()} SELECT doc_id, pos, sentence FROM sentences WHERE {oracle.high_quality('sentence')} AND " + " AND ".join(f"NOT {text.has_sql('sentence', p)}" for p in lexicons.DOMAINS["professional"]["avoid"]))
-def quality_filter_domain(spark, sf, most=MOST_PIECES):
-    return sentences.split(docs(spark, sf), most=most).where(sentences.is_high_quality("sentence", "professional"))
+def quality_filter_domain(spark, sf):
+    return sentences.split(docs(spark, sf)).where(sentences.is_high_quality("sentence", "professional"))
 
 
 @query("good_sentence_filter", f"WITH {oracle.pieces(20, None, ';')} SELECT doc_id, pos, sentence FROM sentences WHERE {oracle.good('sentence')}")
@@ -71,29 +70,29 @@ def good_sentence_filter(spark, sf):
 
 
 @query("fingerprint_dedup", f"WITH {oracle.pool()} SELECT doc_id, pos, sentence FROM pool")
-def fingerprint_dedup(spark, sf, most=MOST_PIECES):
-    return pool(spark, sf, most).select("doc_id", "pos", "sentence")
+def fingerprint_dedup(spark, sf):
+    return pool(spark, sf).select("doc_id", "pos", "sentence")
 
 
 @query(
     "dedup_across_runs",
     f"WITH {oracle.pieces()}, {oracle.pieces(name='earlier').replace('SELECT doc_id, ', 'SELECT item_id AS doc_id, ', 1).replace('FROM documents', 'FROM benchmark')}, good AS (SELECT *, {fingerprint_sql('sentence')} AS fp FROM sentences WHERE {oracle.high_quality('sentence')}), seen AS (SELECT DISTINCT {fingerprint_sql('sentence')} AS fp FROM earlier) SELECT doc_id, pos, sentence FROM good WHERE fp NOT IN (SELECT fp FROM seen)",
 )
-def dedup_across_runs(spark, sf, most=MOST_PIECES):
+def dedup_across_runs(spark, sf):
     """Sentences of the documents that an earlier run, over the benchmark, has not seen."""
-    good = sentences.split(docs(spark, sf), most=most).where(sentences.is_high_quality("sentence"))
-    earlier = sentences.split(spark.read.parquet(f"{sf}/benchmark.parquet").withColumnRenamed("item_id", "doc_id"), most=most)
+    good = sentences.split(docs(spark, sf)).where(sentences.is_high_quality("sentence"))
+    earlier = sentences.split(spark.read.parquet(f"{sf}/benchmark.parquet").withColumnRenamed("item_id", "doc_id"))
     return sentences.new_against(good, earlier.select(text.fingerprint("sentence").alias("fp"))).select("doc_id", "pos", "sentence")
 
 
 @query("domain_classify", f"WITH {oracle.pieces()}, {oracle.classified('sentences', 'classified')} SELECT doc_id, pos, domain FROM classified")
-def domain_classify(spark, sf, most=MOST_PIECES):
-    return sentences.split(docs(spark, sf), most=most).select("doc_id", "pos", sentences.classify("sentence").alias("domain"))
+def domain_classify(spark, sf):
+    return sentences.split(docs(spark, sf)).select("doc_id", "pos", sentences.classify("sentence").alias("domain"))
 
 
 @query("domain_counts", f"WITH {oracle.pool()} SELECT domain, count(*) AS n, sum(length(sentence)) AS n_chars FROM pool GROUP BY domain")
-def domain_counts(spark, sf, most=MOST_PIECES):
-    return pool(spark, sf, most).groupBy("domain").agg(F.count("*").alias("n"), F.sum(F.length("sentence")).alias("n_chars"))
+def domain_counts(spark, sf):
+    return pool(spark, sf).groupBy("domain").agg(F.count("*").alias("n"), F.sum(F.length("sentence")).alias("n_chars"))
 
 
 _EARLY = f"{oracle.pieces(20, None, ';')}, early AS (SELECT doc_id, pos, sentence FROM sentences WHERE {oracle.good('sentence')} QUALIFY row_number() OVER (PARTITION BY lower(sentence) ORDER BY doc_id, pos) = 1)"
@@ -113,8 +112,8 @@ def complexity_legacy(spark, sf):
 SELECT domain, doc_id, pos, 'no_period' AS kind, left(sentence, length(sentence) - 1) AS variation FROM first
 UNION ALL SELECT domain, doc_id, pos, 'question', left(sentence, length(sentence) - 1) || '?' FROM first WHERE contains(sentence, 'should') OR contains(sentence, 'will') OR contains(sentence, 'can') OR contains(sentence, 'do')""",
 )
-def sentence_variations(spark, sf, most=MOST_PIECES):
-    return sentences.variations(pool(spark, sf, most))
+def sentence_variations(spark, sf):
+    return sentences.variations(pool(spark, sf))
 
 
 def _wanted(total: int) -> str:
@@ -130,10 +129,10 @@ again AS (SELECT domain, unnest(range(1, want - have + 1)) AS copy, have FROM sh
 drawn AS (SELECT domain, copy, {draw_sql("again", "domain", "copy")} % have AS i FROM again)
 SELECT domain, doc_id, pos, sentence, copy FROM once UNION ALL SELECT s.domain, s.doc_id, s.pos, s.sentence, d.copy FROM drawn d JOIN shuffled s ON s.domain = d.domain AND s.i = d.i""",
 )
-def domain_quota(spark, sf, most=MOST_PIECES):
+def domain_quota(spark, sf):
     """The quota of 1000 sentences is the operator's own argument."""
     shares = {d: c["share"] for d, c in lexicons.DOMAINS.items()}
-    return sampling.quota(pool(spark, sf, most), 1000, shares, "doc_id", "pos").select("domain", "doc_id", "pos", "sentence", "copy")
+    return sampling.quota(pool(spark, sf), 1000, shares, "doc_id", "pos").select("domain", "doc_id", "pos", "sentence", "copy")
 
 
 _SENTENCE_STATS = f"WITH {oracle.pool()}, v AS (SELECT 'chars' AS name, length(sentence)::DOUBLE AS x FROM pool UNION ALL SELECT 'words', len({words_sql('sentence')})::DOUBLE FROM pool)"
@@ -143,14 +142,14 @@ _SENTENCE_STATS = f"WITH {oracle.pool()}, v AS (SELECT 'chars' AS name, length(s
     "value_stats",
     f"{_SENTENCE_STATS} SELECT name, count(*) AS n, round(avg(x), 6) AS mean, round(median(x), 6) AS median, round(coalesce(stddev_samp(x), 0), 6) AS std, min(x) AS least, max(x) AS most FROM v GROUP BY name",
 )
-def value_stats(spark, sf, most=MOST_PIECES):
-    found = profiling.statistics(pool(spark, sf, most), chars=F.length("sentence"), words=text.n_words("sentence"))
+def value_stats(spark, sf):
+    found = profiling.statistics(pool(spark, sf), chars=F.length("sentence"), words=text.n_words("sentence"))
     return found.select("name", "n", "mean", "median", "std", "least", "most")
 
 
 @query("percentiles", f"{_SENTENCE_STATS} SELECT name, round(quantile_cont(x, 0.25), 6) AS p25, round(quantile_cont(x, 0.75), 6) AS p75, round(quantile_cont(x, 0.9), 6) AS p90, round(quantile_cont(x, 0.95), 6) AS p95 FROM v GROUP BY name")
-def percentiles(spark, sf, most=MOST_PIECES):
-    return profiling.statistics(pool(spark, sf, most), chars=F.length("sentence"), words=text.n_words("sentence")).select("name", "p25", "p75", "p90", "p95")
+def percentiles(spark, sf):
+    return profiling.statistics(pool(spark, sf), chars=F.length("sentence"), words=text.n_words("sentence")).select("name", "p25", "p75", "p90", "p95")
 
 
 @query(
@@ -166,13 +165,13 @@ def event_value_stats(spark, sf):
     "word_bins",
     f"WITH {oracle.pool()}, w AS (SELECT len({words_sql('sentence')}) AS n FROM pool) SELECT CASE WHEN n <= 5 THEN '1-5 words' WHEN n <= 10 THEN '6-10 words' WHEN n <= 15 THEN '11-15 words' WHEN n <= 20 THEN '16-20 words' ELSE '20+ words' END AS value, count(*) AS n FROM w GROUP BY 1",
 )
-def word_bins(spark, sf, most=MOST_PIECES):
-    return profiling.histogram(pool(spark, sf, most), profiling.word_bin(text.n_words("sentence")))
+def word_bins(spark, sf):
+    return profiling.histogram(pool(spark, sf), profiling.word_bin(text.n_words("sentence")))
 
 
 @query("plot_histogram", f"WITH {oracle.pool()}, w AS (SELECT length(sentence) AS x FROM pool) SELECT CASE WHEN x < 0 THEN 0 WHEN x >= 200 THEN 21 ELSE floor(x / 10)::INT + 1 END AS bin, count(*) AS n FROM w GROUP BY 1")
-def plot_histogram(spark, sf, most=MOST_PIECES):
-    return profiling.equal_width(pool(spark, sf, most).withColumn("x", F.length("sentence")), "x", 0, 200, 20)
+def plot_histogram(spark, sf):
+    return profiling.equal_width(pool(spark, sf).withColumn("x", F.length("sentence")), "x", 0, 200, 20)
 
 
 @query(
@@ -199,8 +198,8 @@ def ending_chars(spark, sf):
 
 
 @query("topk_frequency", f"WITH {oracle.pieces()}, w AS (SELECT unnest({words_sql('lower(sentence)')}) AS value FROM sentences) SELECT value, count(*) AS n FROM w GROUP BY 1 ORDER BY n DESC, value LIMIT 10")
-def topk_frequency(spark, sf, most=MOST_PIECES):
-    words = sentences.split(docs(spark, sf), most=most).select(text.words(F.lower("sentence")).alias("w"))
+def topk_frequency(spark, sf):
+    words = sentences.split(docs(spark, sf)).select(text.words(F.lower("sentence")).alias("w"))
     return profiling.top(profiling.label_counts(words, "w"), 10, "value")
 
 
@@ -230,8 +229,8 @@ def normalize_text(spark, sf):
     rf"""WITH {oracle.pool()} SELECT doc_id, pos, (regexp_matches(sentence, '(etc|Mr|Ms|Dr|Inc|Ltd)\.$') OR contains(sentence, '?') OR contains(sentence, '!') OR length(sentence) - length(replace(sentence, '.', '')) > 1) AS keeps,
 (regexp_matches(sentence, '\.$') AND NOT regexp_matches(sentence, '(etc|Mr|Dr)\.$') AND NOT regexp_matches(sentence, '(^|[^\p{{L}}\p{{N}}_])[A-Z]\.$')) AS candidate FROM pool""",
 )
-def punctuation_rule(spark, sf, most=MOST_PIECES):
-    return pool(spark, sf, most).select("doc_id", "pos", chat.keeps_period("sentence").alias("keeps"), chat.no_period_candidate("sentence").alias("candidate"))
+def punctuation_rule(spark, sf):
+    return pool(spark, sf).select("doc_id", "pos", chat.keeps_period("sentence").alias("keeps"), chat.no_period_candidate("sentence").alias("candidate"))
 
 
 @query(

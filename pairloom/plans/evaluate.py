@@ -1,4 +1,8 @@
-"""Queries over labelled cases, with stand-in correctors: metrics, verdicts, prompts, checkpoints, curves, cleaning."""
+"""Queries over cases from the documents, with stand-in correctors: metrics, verdicts, prompts, checkpoints, curves, cleaning.
+
+A case is a sentence of a document, its words corrupted by seeded draws, and what a
+stand-in model makes of it: each word is put right with a probability of 60 %.
+"""
 
 from __future__ import annotations
 
@@ -7,10 +11,11 @@ from pyspark.sql import functions as F
 
 from pairloom.functions import lexicons, text
 from pairloom.functions.text import chars_sql, collapse_sql, cut_markers_sql, quoted, strip_sql, words_sql
-from pairloom.operators import evaluation, metrics, tokens
-from pairloom.plans import oracle
-from pairloom.plans.registry import query
-from pairloom.sources import cases as built_in
+from pairloom.functions.rng import chance, chance_sql, draw, draw_sql
+from pairloom.operators import corruption, evaluation, metrics, sentences, tokens
+from pairloom.plans import generators  # noqa: F401 - registers an oracle that is read here
+from pairloom.plans.curate import docs
+from pairloom.plans.registry import ORACLES, query
 from pairloom.sources import files
 
 #: A stand-in model: known misspellings, and a few typing errors.
@@ -18,30 +23,39 @@ FIXES = {v: k for k, variants in lexicons.MISSPELLINGS.items() for v in variants
 #: Stand-in checkpoints: how many cases in ten each gets right.
 CHECKPOINTS = {"checkpoint-250": 1, "checkpoint-500": 4, "checkpoint-1000": 7, "checkpoint-750": 7, "final": 2}
 
-_CASES = oracle.values(built_in.rows(), "case_set, case_id, case_group, corrupted, clean", "cases")
+#: The share of words that the stand-in model puts right.
+RIGHT = 0.6
+_CASES = f"""m AS MATERIALIZED ({ORACLES["corrupt_words"]}),
+cases AS MATERIALIZED (SELECT CAST(doc_id AS VARCHAR) AS case_set, pos AS case_id, any_value(coalesce(lang, 'unknown')) AS case_group, string_agg(made, ' ' ORDER BY nth) AS corrupted, string_agg(word, ' ' ORDER BY nth) AS clean,
+string_agg(CASE WHEN {chance_sql(draw_sql("model", "doc_id", "pos", "nth"), RIGHT)} THEN word ELSE made END, ' ' ORDER BY nth) AS predicted FROM m JOIN documents USING (doc_id) GROUP BY doc_id, pos)"""
+_PREDICTED = f"{_CASES}, predicted AS (FROM cases)"
 _FIX = "MAP {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in FIXES.items()) + "}"
-_PREDICTED = f"{_CASES}, predicted AS MATERIALIZED (SELECT *, array_to_string(list_transform({words_sql('corrupted')}, lambda x: coalesce({_FIX}[x], x)), ' ') AS predicted FROM cases)"
 
 
-def predicted(spark: SparkSession) -> DataFrame:
-    fixes = F.create_map(*[F.lit(x) for kv in FIXES.items() for x in kv])
-    fixed = F.array_join(F.transform(text.words("corrupted"), lambda w: F.coalesce(F.try_element_at(fixes, w), w)), " ")
-    return built_in.cases(spark).withColumn("predicted", fixed)
+def predicted(spark: SparkSession, sf: str) -> DataFrame:
+    """case_set, case_id, case_group, corrupted, clean, predicted: every sentence of the documents."""
+    langs = docs(spark, sf).select("doc_id", "text", F.coalesce("lang", F.lit("unknown")).alias("lang"))
+    key = lambda i: ("doc_id", "pos", i)
 
+    def word(w, i):
+        made = corruption.corrupt_word(w, corruption.Draws(*key(i)), 0.8)
+        return text.let(made, lambda m: F.struct(w.alias("clean"), m.alias("corrupted"), F.when(chance(draw("model", *key(i)), RIGHT), w).otherwise(m).alias("predicted")))
 
-def _needed(o: str = "corrupted", e: str = "clean", p: str = "predicted") -> tuple[str, str]:
-    ow, ew, pw = words_sql(o), words_sql(e), words_sql(p)
-    places = f"[i for i in range(1, least(len({ow}), len({ew})) + 1) if ({ow})[i] <> ({ew})[i]]"
-    return f"len({places})", f"len(list_filter({places}, lambda i: coalesce(({pw})[i] = ({ew})[i], false)))"
+    rows = sentences.split(langs.select("doc_id", "text")).select("doc_id", "pos", F.transform(text.words("sentence"), word).alias("w"))
+    joined = [F.array_join(f"w.{c}", " ").alias(c) for c in ("corrupted", "clean", "predicted")]
+    return rows.join(langs.select("doc_id", "lang"), "doc_id").select(F.col("doc_id").cast("string").alias("case_set"), F.col("pos").alias("case_id"), F.col("lang").alias("case_group"), *joined)
 
 
-_N, _R = _needed()
+_LISTS = f"{words_sql('corrupted')} AS ow, {words_sql('clean')} AS ew, {words_sql('predicted')} AS pw"
+_PLACES = "[i for i in range(1, least(len(ow), len(ew)) + 1) if ow[i] <> ew[i]] AS places"
+#: Over word lists ow, ew, pw and the places where the first two differ.
+_N, _R = "len(places)", "len(list_filter(places, lambda i: coalesce(pw[i] = ew[i], false)))"
 
 
-@query("word_accuracy", f"WITH {_PREDICTED} SELECT case_set, case_id, {_N} AS needed, {_R} AS fixed, CASE WHEN {_N} = 0 THEN 1.0::DOUBLE ELSE round({_R} / {_N}::DOUBLE, 6) END AS accuracy FROM predicted")
+@query("word_accuracy", f"WITH {_PREDICTED}, w AS MATERIALIZED (SELECT *, {_LISTS} FROM predicted), l AS MATERIALIZED (SELECT *, {_PLACES} FROM w) SELECT case_set, case_id, {_N} AS needed, {_R} AS fixed, CASE WHEN {_N} = 0 THEN 1.0::DOUBLE ELSE round({_R} / {_N}::DOUBLE, 6) END AS accuracy FROM l")
 def word_accuracy(spark, sf):
     needed, right = evaluation.needed_fixes("corrupted", "clean", "predicted")
-    return predicted(spark).select("case_set", "case_id", needed.alias("needed"), right.alias("fixed"), F.round(evaluation.word_accuracy("corrupted", "clean", "predicted"), 6).alias("accuracy"))
+    return predicted(spark, sf).select("case_set", "case_id", needed.alias("needed"), right.alias("fixed"), F.round(evaluation.word_accuracy("corrupted", "clean", "predicted"), 6).alias("accuracy"))
 
 
 def _norm_b(c: str) -> str:
@@ -59,7 +73,7 @@ def _common(e: str, p: str) -> tuple[str, str]:
 @query("set_accuracy", "WITH {c}, n AS (SELECT case_set, case_id, {e} AS e, {p} AS p FROM predicted) SELECT case_set, case_id, {t} AS expected_words, {m} AS word_overlap, round({m} / {t}::DOUBLE, 6) AS accuracy FROM n".format(c=_PREDICTED, e=_norm_b("clean"), p=_norm_b("predicted"), t=_common("e", "p")[0], m=_common("e", "p")[1]))
 def set_accuracy(spark, sf):
     n, common = evaluation.set_overlap(text.normalize_b("clean"), text.normalize_b("predicted"))
-    return predicted(spark).select("case_set", "case_id", n.alias("expected_words"), common.alias("word_overlap"), F.round(common / n, 6).alias("accuracy"))
+    return predicted(spark, sf).select("case_set", "case_id", n.alias("expected_words"), common.alias("word_overlap"), F.round(common / n, 6).alias("accuracy"))
 
 
 def _ladder(op: str) -> str:
@@ -70,7 +84,7 @@ def _ladder(op: str) -> str:
 @query("verdict_ladder", f"WITH {_PREDICTED}, n AS (SELECT case_set, case_id, {_norm_b('clean')} AS e, {_norm_b('predicted')} AS p, {_norm_a('clean')} AS ea, {_norm_a('predicted')} AS pa FROM predicted) SELECT case_set, case_id, {_ladder('>=')} AS verdict, {_ladder('>')} AS strict_verdict, CASE WHEN ea = pa THEN 'exact' WHEN {_common('ea', 'pa')[1]} > 0 THEN 'partial' ELSE 'wrong' END AS baseline FROM n")
 def verdict_ladder(spark, sf):
     v = evaluation.verdict("clean", "predicted").alias("verdict")
-    return predicted(spark).select("case_set", "case_id", v, evaluation.verdict("clean", "predicted", True).alias("strict_verdict"), evaluation.baseline_verdict("clean", "predicted").alias("baseline"))
+    return predicted(spark, sf).select("case_set", "case_id", v, evaluation.verdict("clean", "predicted", True).alias("strict_verdict"), evaluation.baseline_verdict("clean", "predicted").alias("baseline"))
 
 
 _C = lambda c: f"string_split(replace({c}, ' ', ''), '')"
@@ -79,7 +93,7 @@ _C = lambda c: f"string_split(replace({c}, ' ', ''), '')"
 @query("char_fixes", f"WITH {_PREDICTED}, k AS (SELECT case_set, case_id, {_C('corrupted')} AS o, {_C('clean')} AS e, {_C('predicted')} AS p FROM predicted), d AS (SELECT *, [i for i in range(1, least(len(o), len(e)) + 1) if o[i] <> e[i]] AS l FROM k) SELECT case_set, case_id, len(l) AS needed, len(list_filter(l, lambda i: coalesce(p[i] = e[i], false))) AS fixed FROM d")
 def char_fixes(spark, sf):
     needed, right = evaluation.char_fixes("corrupted", "clean", "predicted")
-    return predicted(spark).select("case_set", "case_id", needed.alias("needed"), right.alias("fixed"))
+    return predicted(spark, sf).select("case_set", "case_id", needed.alias("needed"), right.alias("fixed"))
 
 
 @query(
@@ -88,7 +102,7 @@ def char_fixes(spark, sf):
 SELECT "grouping", value, count(*) AS n, count(*) FILTER (ok) AS correct, round(avg(CASE WHEN ok THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy FROM g GROUP BY ALL""",
 )
 def grouped_accuracy(spark, sf):
-    rows = predicted(spark).withColumn("is_correct", text.exact_form("clean") == text.exact_form("predicted"))
+    rows = predicted(spark, sf).withColumn("is_correct", text.exact_form("clean") == text.exact_form("predicted"))
     return evaluation.grouped_accuracy(rows, "case_set", "case_group")
 
 
@@ -102,8 +116,8 @@ _SWEEP = f"{_PREDICTED}, prompts(prompt, o) AS (VALUES {', '.join(f'({quoted(n)}
     f"WITH {_SWEEP}, n AS (SELECT *, {_norm_a('clean')} AS e, {_norm_a('predicted')} AS p FROM sweep), s AS (SELECT *, {_common('e', 'p')[0]} AS expected_words, {_common('e', 'p')[1]} AS word_overlap FROM n) SELECT case_id, prompt, predicted, word_overlap, expected_words FROM s QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY word_overlap DESC, o) = 1",
 )
 def prompt_sweep_best(spark, sf):
-    prompts = spark.createDataFrame([(n, i) for i, (n, _) in enumerate(_PROMPTS)], "prompt string, prompt_order int")
-    rows = predicted(spark).crossJoin(F.broadcast(prompts)).withColumnsRenamed({"clean": "expected", "predicted": "fixed", "case_id": "n"})
+    prompts = F.explode(F.array(*[F.struct(F.lit(n).alias("prompt"), F.lit(i).alias("prompt_order")) for i, (n, _) in enumerate(_PROMPTS)]))
+    rows = predicted(spark, sf).select("*", prompts.alias("x")).select("*", "x.*").drop("x").withColumnsRenamed({"clean": "expected", "predicted": "fixed", "case_id": "n"})
     said = F.when(F.col("prompt_order") == 0, F.col("corrupted")).when((F.col("n") + F.col("prompt_order")) % 2 == 0, F.col("fixed")).otherwise(F.col("corrupted"))
     return evaluation.best_prompt(rows.withColumn("predicted", said).withColumn("case_id", F.concat_ws("-", "case_set", "n")))
 
@@ -115,82 +129,101 @@ _TEMPLATES = [*_PROMPTS, *[(f"turn_{n}", f"<|im_start|>user\n{f}<|im_end|>\n<|im
 def prompt_build(spark, sf):
     made = [(n, text.prompt(n, "corrupted")) for n in lexicons.PROMPTS] + [(f"turn_{n}", text.turn_prompt(n, "corrupted")) for n in lexicons.TURNS]
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("prompt"), c.alias("prompted")) for n, c in made]))
-    return built_in.cases(spark).select("case_set", "case_id", each.alias("p")).select("case_set", "case_id", "p.*")
+    return predicted(spark, sf).select("case_set", "case_id", each.alias("p")).select("case_set", "case_id", "p.*")
 
 
 _RUNS = f"{_CASES}, checkpoints(checkpoint, right_) AS (VALUES {', '.join(f'({quoted(k)}, {v})' for k, v in CHECKPOINTS.items())}), runs AS MATERIALIZED (SELECT checkpoint, case_id, corrupted, clean, CASE WHEN (case_id * 7) % 10 < right_ THEN clean ELSE corrupted END AS predicted FROM cases, checkpoints)"
-_METRICS = rf"""{_RUNS}, f AS (SELECT checkpoint, {_N} AS needed, {_R} AS fixed, {strip_sql("lower(clean)")} = {strip_sql("lower(predicted)")} AS same FROM runs),
-m AS (SELECT checkpoint, round(sum(fixed) / greatest(sum(needed), 1)::DOUBLE, 6) AS word_accuracy, round(avg(CASE WHEN same THEN 1.0::DOUBLE ELSE 0 END), 6) AS sentence_accuracy, count(*) FILTER (same) AS perfect, count(*) AS n,
+_METRICS = rf"""{_RUNS}, rw AS MATERIALIZED (SELECT *, {_LISTS} FROM runs), rl AS MATERIALIZED (SELECT *, {_PLACES} FROM rw), f AS (SELECT checkpoint, {_N} AS needed, {_R} AS fixed, {strip_sql("lower(clean)")} = {strip_sql("lower(predicted)")} AS same FROM rl),
+k AS (SELECT checkpoint, round(sum(fixed) / greatest(sum(needed), 1)::DOUBLE, 6) AS word_accuracy, round(avg(CASE WHEN same THEN 1.0::DOUBLE ELSE 0 END), 6) AS sentence_accuracy, count(*) FILTER (same) AS perfect, count(*) AS n,
 coalesce(try_cast(nullif(regexp_extract(checkpoint, 'checkpoint-(\d+)', 1), '') AS INT), 0) AS step FROM f GROUP BY checkpoint),
-metrics AS (SELECT *, CASE WHEN word_accuracy >= 0.8 AND sentence_accuracy >= 0.4 THEN 'EXCELLENT' WHEN word_accuracy >= 0.6 AND sentence_accuracy >= 0.2 THEN 'GOOD' WHEN word_accuracy >= 0.4 THEN 'FAIR' ELSE 'POOR' END AS status FROM m)"""
+metrics AS (SELECT *, CASE WHEN word_accuracy >= 0.8 AND sentence_accuracy >= 0.4 THEN 'EXCELLENT' WHEN word_accuracy >= 0.6 AND sentence_accuracy >= 0.2 THEN 'GOOD' WHEN word_accuracy >= 0.4 THEN 'FAIR' ELSE 'POOR' END AS status FROM k)"""
 
 
-def runs(spark: SparkSession) -> DataFrame:
+def runs(spark: SparkSession, sf: str) -> DataFrame:
     """Predictions of every stand-in checkpoint for every case."""
-    found = spark.createDataFrame(list(CHECKPOINTS.items()), "checkpoint string, right_ int")
-    rows = built_in.cases(spark).crossJoin(F.broadcast(found))
+    found = F.explode(F.array(*[F.struct(F.lit(k).alias("checkpoint"), F.lit(v).alias("right_")) for k, v in CHECKPOINTS.items()]))
+    rows = predicted(spark, sf).select("*", found.alias("x")).select("*", "x.*")
     said = F.when((F.col("case_id") * 7) % 10 < F.col("right_"), F.col("clean")).otherwise(F.col("corrupted"))
     return rows.select("checkpoint", "case_id", F.col("corrupted").alias("original"), F.col("clean").alias("expected"), said.alias("predicted"))
 
 
 @query("checkpoint_metrics", f"WITH {_METRICS} SELECT * FROM metrics")
 def checkpoint_metrics(spark, sf):
-    return evaluation.checkpoint_metrics(runs(spark))
+    return evaluation.checkpoint_metrics(runs(spark, sf))
 
 
 @query("best_checkpoint", f"WITH {_METRICS} SELECT * FROM metrics ORDER BY word_accuracy DESC, sentence_accuracy DESC, step LIMIT 1")
 def best_checkpoint(spark, sf):
-    return evaluation.best_checkpoint(evaluation.checkpoint_metrics(runs(spark)))
+    return evaluation.best_checkpoint(evaluation.checkpoint_metrics(runs(spark, sf)))
+
 
+_FOLDERS = "SELECT 'runs/' || coalesce(lang, 'unknown') || '/checkpoint-' || count(*) AS path, count(*) AS n FROM documents GROUP BY coalesce(lang, 'unknown')"
 
-@query("checkpoint_list", rf"WITH c(path) AS (VALUES {', '.join(f'({quoted(f'runs/{k}')})' for k in CHECKPOINTS)}) SELECT path, split_part(path, '/', 2) AS checkpoint, coalesce(try_cast(nullif(regexp_extract(path, 'checkpoint-(\d+)', 1), '') AS INT), 0) AS step, CASE WHEN path LIKE '%500' THEN 2.0::DOUBLE ELSE 0 END AS epoch FROM c ORDER BY step, path")
+
+@query("checkpoint_list", rf"WITH c AS ({_FOLDERS}) SELECT path, split_part(path, '/', 3) AS checkpoint, n AS step, CASE WHEN n % 2 = 0 THEN n / 100.0::DOUBLE ELSE 0 END AS epoch FROM c")
 def checkpoint_list(spark, sf):
-    found = files.checkpoints(spark, [f"runs/{k}" for k in CHECKPOINTS])
-    states = spark.createDataFrame([("checkpoint-500", 2.0)], "checkpoint string, epoch double")
-    return files.with_epochs(found, states).select("path", "checkpoint", "step", "epoch").orderBy("step", "path")
+    """Checkpoints named after the documents of each language; states are known of the even steps."""
+    counts = docs(spark, sf).groupBy(F.coalesce("lang", F.lit("unknown")).alias("lang")).agg(F.count("*").alias("n"))
+    found = files.checkpoints(spark, [f"runs/{r.lang}/checkpoint-{r.n}" for r in counts.collect()])  # one folder for each language
+    states = counts.where("n % 2 = 0").select(F.concat(F.lit("checkpoint-"), F.col("n")).alias("checkpoint"), (F.col("n") / 100.0).alias("epoch")).distinct()
+    return files.with_epochs(found, states).select("path", "checkpoint", F.col("step").cast("long").alias("step"), "epoch").orderBy("step", "path")
 
 
 @query("target_gap", f"WITH {_METRICS} SELECT checkpoint, CASE WHEN word_accuracy >= 0.9 THEN 'met' WHEN word_accuracy >= 0.85 THEN 'close' ELSE 'below' END AS gap, round(0.9 - word_accuracy, 6) AS missing FROM metrics")
 def target_gap(spark, sf):
-    found = evaluation.checkpoint_metrics(runs(spark))
+    found = evaluation.checkpoint_metrics(runs(spark, sf))
     return found.select("checkpoint", evaluation.target_gap(F.col("word_accuracy")).alias("gap"), F.round(F.lit(0.9) - F.col("word_accuracy"), 6).alias("missing"))
 
 
 @query("compare_runs", f"WITH {_METRICS}, a AS (SELECT * FROM metrics WHERE checkpoint = 'checkpoint-1000'), b AS (SELECT * FROM metrics WHERE checkpoint = 'checkpoint-250') SELECT round(a.word_accuracy - b.word_accuracy, 6) AS word_gain, round(a.sentence_accuracy - b.sentence_accuracy, 6) AS sentence_gain FROM a, b")
 def compare_runs(spark, sf):
     """A one-row report against the stored metrics of another run."""
-    found = evaluation.checkpoint_metrics(runs(spark))
+    found = evaluation.checkpoint_metrics(runs(spark, sf))
     a = found.where("checkpoint = 'checkpoint-1000'").select(F.col("word_accuracy").alias("wa"), F.col("sentence_accuracy").alias("sa"))
     b = found.where("checkpoint = 'checkpoint-250'").select(F.col("word_accuracy").alias("wb"), F.col("sentence_accuracy").alias("sb"))
     return a.crossJoin(b).select(F.round(F.col("wa") - F.col("wb"), 6).alias("word_gain"), F.round(F.col("sa") - F.col("sb"), 6).alias("sentence_gain"))
 
 
-_CURVE = oracle.values(built_in.TRAIN_CURVE, "step, loss", "curve")
+def _curve_sql(name: str, kind: str, every: int) -> str:
+    return f"{name} AS MATERIALIZED (SELECT {every}::BIGINT * (date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 3 + 1) AS step, round(avg(value), 6) AS loss FROM events WHERE event_type = '{kind}' GROUP BY 1)"
+
+
+_CURVE, _HELD = _curve_sql("curve", "click", 50), _curve_sql("held", "view", 250)
+
+
+def _curve(spark: SparkSession, sf: str, kind: str, every: int) -> DataFrame:
+    """step, loss: the mean value of one kind of event in each three days, as if it were a run's loss."""
+    rows = spark.read.parquet(f"{sf}/events.parquet").where(F.col("event_type") == kind)
+    step = F.lit(every).cast("long") * (F.floor(F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) / 3) + 1)
+    return rows.groupBy(step.alias("step")).agg(F.round(F.avg("value"), 6).alias("loss"))
 
 
 @query("loss_reduction", f"WITH {_CURVE} SELECT step, loss, round((lag(loss) OVER (ORDER BY step) - loss) / lag(loss) OVER (ORDER BY step) * 100, 6) AS reduction FROM curve")
 def loss_reduction(spark, sf):
-    return evaluation.reductions(built_in.curve(spark, built_in.TRAIN_CURVE), "loss", "step")
+    return evaluation.reductions(_curve(spark, sf, "click", 50), "loss", "step")
 
 
 @query(
     "curve_decision",
-    f"""WITH {_CURVE}, {oracle.values(built_in.HELD_CURVE, "step, loss", "held")}, t AS (SELECT arg_min(loss, step) AS f, arg_max(loss, step) AS l, arg_max(loss, step) FILTER (step <= 250) AS m FROM curve), e AS (SELECT arg_min(loss, step) AS ef, arg_max(loss, step) AS el, arg_max(loss, step) FILTER (step <= 500) AS eb FROM held),
+    f"""WITH {_CURVE}, {_HELD}, t AS (SELECT arg_min(loss, step) AS f, arg_max(loss, step) AS l, arg_max(loss, step) FILTER (step <= 250) AS m FROM curve), e AS (SELECT arg_min(loss, step) AS ef, arg_max(loss, step) AS el, arg_max(loss, step) FILTER (step <= 500) AS eb FROM held),
 r AS (SELECT (f - l) / f * 100 AS total, (f - m) / f * 100 AS early, (m - l) / m * 100 AS late, (ef - el) / ef * 100 AS held_out, (eb - el) / eb * 100 AS recent, el < l AS under FROM t, e),
 s AS (SELECT *, (late < 5)::INT + (recent < 2)::INT AS converged, (late >= 5)::INT + (recent >= 2)::INT + under::INT AS room FROM r)
 SELECT round(total, 6) AS total, round(early, 6) AS early, round(late, 6) AS late, round(held_out, 6) AS held_out, round(recent, 6) AS recent, converged, room, CASE WHEN room >= converged AND 40 < 60 THEN 'continue' WHEN 40 > 75 THEN 'adequate' ELSE 'mixed' END AS recommendation FROM s""",
 )
 def curve_decision(spark, sf):
-    return evaluation.curve_decision(built_in.curve(spark, built_in.TRAIN_CURVE), built_in.curve(spark, built_in.HELD_CURVE), 40.0)
+    return evaluation.curve_decision(_curve(spark, sf, "click", 50), _curve(spark, sf, "view", 250), 40.0)
 
 
-_MODELS = [("tiny", 15_600_000, 32128, 256), ("small", 60_500_000, 32128, 512), ("narrow", 900_000, 32128, 512), ("dense", 4_000_000, 8000, 1024)]
-
-
-@query("model_capacity", f"WITH {oracle.values(_MODELS, 'model, params, vocabulary, width', 'm')}, r AS (SELECT model, params / (least(vocabulary, 32000) * width)::DOUBLE AS r FROM m) SELECT model, CASE WHEN r < 0.1 THEN 'too small' WHEN r < 0.3 THEN 'small' WHEN r < 0.7 THEN 'fair' ELSE 'ample' END AS band FROM r")
+@query(
+    "model_capacity",
+    f"""WITH w AS (SELECT coalesce(source, 'null') AS model, unnest({words_sql('text')}) AS word FROM documents), m AS (SELECT model, sum(strlen(word))::BIGINT AS params, count(DISTINCT word) AS vocabulary, max(length(word)) AS width FROM w GROUP BY model),
+r AS (SELECT *, params / (least(vocabulary, 32000) * width)::DOUBLE AS r FROM m) SELECT model, params, vocabulary, CASE WHEN r < 0.1 THEN 'too small' WHEN r < 0.3 THEN 'small' WHEN r < 0.7 THEN 'fair' ELSE 'ample' END AS band FROM r""",
+)
 def model_capacity(spark, sf):
-    m = spark.createDataFrame(_MODELS, "model string, params long, vocabulary int, width int")
-    return m.select("model", evaluation.capacity(F.col("params"), F.col("vocabulary"), F.col("width")).alias("band"))
+    """Each source as a model: its bytes as parameters, its distinct words as vocabulary, its longest word as width."""
+    rows = docs(spark, sf).select(F.coalesce("source", F.lit("null")).alias("model"), F.explode(text.words("text")).alias("word"))
+    m = rows.groupBy("model").agg(F.sum(F.octet_length("word")).alias("params"), F.count_distinct("word").alias("vocabulary"), F.max(F.length("word")).alias("width"))
+    return m.select("model", "params", "vocabulary", evaluation.capacity(F.col("params"), F.col("vocabulary"), F.col("width")).alias("band"))
 
 
 @query("latency_stats", "SELECT event_type, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most, round(1.0::DOUBLE / nullif(avg(value), 0), 6) AS per_second FROM events GROUP BY event_type")
@@ -200,10 +233,8 @@ def latency_stats(spark, sf):
     return events.groupBy("event_type").agg(F.round(F.avg(x), 6).alias("mean"), F.min(x).alias("least"), F.max(x).alias("most"), F.round(F.lit(1.0) / F.nullif(F.avg(x), F.lit(0.0)), 6).alias("per_second"))
 
 
-_OUTPUTS = [
-    (0, "\nThe cat sat.\nassistant\nThe dog."), (1, "assistant\nA clean answer."), (2, "Corrected: the text is fine. More text."), (3, "Fixed: Answer: so it is"), (4, "One sentence. Two sentences! Rest without end"),
-    (5, "No end here Input: what Output: that."), (6, "the answer is  here. # note"), (7, "  spaced   out  text  "), (8, ""), (9, "Human: hello. assistant: no"), (10, "Result:## done."),
-]
+#: How a model's output wraps what it says: before, after.
+_WRAPS = [("\n", "\nassistant\nThe dog."), ("assistant\n", ""), ("Corrected: ", " More text."), ("Fixed: Answer: ", ""), ("", " Two sentences! Rest without end"), ("", " Input: what Output: that."), ("", " # note"), ("  ", "  "), ("Human: hello. ", " assistant: no"), ("Result:## ", "")]
 
 
 def _cleaned(kind: str) -> str:
@@ -221,12 +252,20 @@ def _cleaned(kind: str) -> str:
     return rf"SELECT id, CASE WHEN regexp_extract(s, '(?s)^(.*[.!?])', 1) = '' THEN {strip_sql('s')} ELSE {strip_sql('''regexp_extract(s, '(?s)^(.*[.!?])', 1)''')} END AS last_sentence FROM (SELECT id, {cut} AS s FROM o)"
 
 
-_O = f"WITH o(id, t) AS (VALUES {', '.join('(%d, %s)' % (i, ' || chr(10) || '.join(quoted(x) for x in t.split(chr(10)))) for i, t in _OUTPUTS)})"
+def _broken(t: str) -> str:
+    return " || chr(10) || ".join(quoted(x) for x in t.split(chr(10)))
+
+
+_O = f"WITH s AS ({ORACLES['sentence_split']}), o AS (SELECT CAST(doc_id AS VARCHAR) || '-' || pos AS id, CASE pos % {len(_WRAPS)} {' '.join(f'WHEN {i} THEN {_broken(a)} || sentence || {_broken(b)}' for i, (a, b) in enumerate(_WRAPS))} END AS t FROM s)"
 
 
 @query("output_cleaning", f"{_O}, a AS ({_cleaned('chat')}), b AS ({_cleaned('few_shot')}), c AS ({_cleaned('cautious')}), d AS ({_cleaned('last')}) SELECT * FROM a JOIN b USING (id) JOIN c USING (id) JOIN d USING (id)")
 def output_cleaning(spark, sf):
-    o = spark.createDataFrame(_OUTPUTS, "id int, t string")
+    """Sentences of the documents as outputs, wrapped in one of ten ways."""
+    at, said = F.col("pos") % len(_WRAPS), None
+    for i, (a, b) in enumerate(_WRAPS):
+        said = (said.when if said is not None else F.when)(at == i, F.concat(F.lit(a), "sentence", F.lit(b)))
+    o = sentences.split(docs(spark, sf)).select(F.concat_ws("-", "doc_id", "pos").alias("id"), said.alias("t"))
     return o.select("id", text.clean_chat("t").alias("chat"), text.clean_few_shot("t").alias("few_shot"), text.clean_cautious("t").alias("cautious"), text.last_sentence("t").alias("last_sentence"))
 
 
@@ -240,7 +279,9 @@ def _matched(kind: str, a: str, b: str, most: int) -> str:
 
 @query(
     "corpus_metrics",
-    rf"""WITH {_PREDICTED}, r AS MATERIALIZED (SELECT row_number() OVER () AS id, {words_sql('predicted')} AS pw, {words_sql('clean')} AS ew, {chars_sql(r"regexp_replace(predicted, '\s+', '', 'g')")} AS pc, {chars_sql(r"regexp_replace(clean, '\s+', '', 'g')")} AS ec, {strip_sql('predicted')} = {strip_sql('clean')} AS same FROM predicted),
+    rf"""WITH i AS (SELECT item_id, {words_sql('text')} AS w FROM benchmark), p AS (SELECT item_id, generate_subscripts(w, 1) - 1 AS nth, unnest(w) AS word FROM i),
+predicted AS (SELECT item_id, string_agg(word, ' ' ORDER BY nth) AS clean, string_agg(CASE WHEN {chance_sql(draw_sql("metric", "item_id", "nth"), 0.2)} THEN upper(word) ELSE word END, ' ' ORDER BY nth) AS predicted FROM p GROUP BY item_id),
+r AS MATERIALIZED (SELECT row_number() OVER () AS id, {words_sql('predicted')} AS pw, {words_sql('clean')} AS ew, {chars_sql(r"regexp_replace(predicted, '\s+', '', 'g')")} AS pc, {chars_sql(r"regexp_replace(clean, '\s+', '', 'g')")} AS ec, {strip_sql('predicted')} = {strip_sql('clean')} AS same FROM predicted),
 {_matched('words', 'pw', 'ew', 4)}, {_matched('chars', 'pc', 'ec', 6)},
 s AS (SELECT count(*) AS n, avg(CASE WHEN same THEN 1.0::DOUBLE ELSE 0 END) AS same, avg(len(pw)) AS length, sum(len(pw))::DOUBLE AS np, sum(len(ew))::DOUBLE AS ne FROM r),
 w AS (SELECT n, CASE WHEN m > 0 THEN m ELSE 1.0::DOUBLE / pow(2.0::DOUBLE, sum(CASE WHEN m = 0 THEN 1 ELSE 0 END) OVER (ORDER BY n)) END / greatest(p, 1.0::DOUBLE) AS precision_ FROM words),
@@ -249,10 +290,14 @@ f AS (SELECT sum(CASE WHEN m > 0 THEN 5 * (m / greatest(p, 1)) * (m / greatest(e
 SELECT n, round(same * 100, 2) AS exact_match, round(length, 2) AS mean_length, round(CASE WHEN np >= ne THEN 1.0::DOUBLE ELSE exp(1.0::DOUBLE - ne / greatest(np, 1e-9::DOUBLE)) END * product * 100, 2) AS bleu, round(mean * 100, 2) AS chrf FROM s, b, f""",
 )
 def corpus_metrics(spark, sf):
-    return metrics.corpus_metrics(predicted(spark).withColumnRenamed("clean", "expected"))
+    """The benchmark's items, a fifth of their words in capitals by seeded draws, against the items."""
+    own = text.words("text")
+    said = F.transform(own, lambda w, i: F.when(chance(draw("metric", "item_id", i), 0.2), F.upper(w)).otherwise(w))
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").where(F.size(own) > 0)
+    return metrics.corpus_metrics(items.select(F.array_join(own, " ").alias("expected"), F.array_join(said, " ").alias("predicted")))
 
 
-@query("corrector", f"WITH {_PREDICTED} SELECT case_set, case_id, predicted FROM predicted")
+@query("corrector", f"WITH {_CASES} SELECT case_set, case_id, array_to_string(list_transform({words_sql('corrupted')}, lambda x: coalesce({_FIX}[x], x)), ' ') AS predicted FROM cases")
 def corrector(spark, sf):
     """A stand-in model plugged in as a batch corrector."""
     fixes = dict(FIXES)
@@ -260,9 +305,9 @@ def corrector(spark, sf):
     def make():
         return lambda texts: [" ".join(fixes.get(w, w) for w in t.split()) for t in texts]
 
-    return tokens.corrected(built_in.cases(spark), "corrupted", make).select("case_set", "case_id", "predicted")
+    return tokens.corrected(predicted(spark, sf).drop("predicted"), "corrupted", make).select("case_set", "case_id", "predicted")
 
 
 @query("case_preserve", f"WITH {_CASES} SELECT case_set, case_id, array_to_string([CASE WHEN i <= length(clean) AND regexp_matches(substr(clean, i, 1), '^\\p{{Lu}}$') THEN upper(substr(corrupted, i, 1)) ELSE lower(substr(corrupted, i, 1)) END for i in range(1, length(corrupted) + 1)], '') AS kept FROM cases")
 def case_preserve(spark, sf):
-    return built_in.cases(spark).select("case_set", "case_id", text.preserve_case(F.col("clean"), F.col("corrupted")).alias("kept"))
+    return predicted(spark, sf).select("case_set", "case_id", text.preserve_case(F.col("clean"), F.col("corrupted")).alias("kept"))

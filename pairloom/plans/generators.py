@@ -14,19 +14,10 @@ from pairloom.functions.text import quoted, words_sql
 from pairloom.operators import corruption
 from pairloom.plans import curate, oracle, pairs
 from pairloom.plans.curate import pool
-from pairloom.plans.registry import CUT, ORACLES, query
+from pairloom.plans.registry import ORACLES, query
 
 _KEY = "CAST(doc_id AS VARCHAR), CAST(pos AS VARCHAR)"
 _HALF = f"{float(1 << 32)}::DOUBLE"
-_HEADS = {
-    "keyboard": pairs._FIRST,
-    "character": pairs._FIRST,
-    "phonetic": f"WITH {pairs._lexicon_values(pairs._SOUNDS)}",
-    "contraction": f"WITH {pairs._lexicon_values(lexicons.CONTRACTIONS)}",
-    "compound": f"WITH {pairs._lexicon_values(lexicons.COMPOUNDS)}",
-    "double_letter": f"WITH {pairs._lexicon_values(lexicons.DOUBLE_LETTERS)}",
-}
-
 
 def _draw(step: str, *key: str) -> str:
     """A draw whose step is an SQL expression."""
@@ -35,9 +26,9 @@ def _draw(step: str, *key: str) -> str:
 
 def word_sql(kind: str, table: str, *more: str) -> str:
     """doc_id, pos, nth, word, made: a word error over the words of a table, drawn by (doc_id, pos, nth) and further SQL expressions."""
-    key = "".join(f", CAST({k} AS VARCHAR)" for k in ("nth", *more))
-    sql = ORACLES[f"pair_{kind}"].replace(_HEADS[kind], f"WITH f AS (SELECT doc_id, pos, nth, word FROM {table})")
-    return sql.replace(_KEY, _KEY + key).replace("SELECT doc_id, pos, word, CASE", "SELECT doc_id, pos, nth, word, CASE")
+    key = f"{_KEY}, CAST(nth AS VARCHAR)"
+    sql = ORACLES[f"pair_{kind}"].replace(pairs._EVERY, f"WITH f AS (SELECT doc_id, pos, nth, word FROM {table})")
+    return sql.replace(key, key + "".join(f", CAST({k} AS VARCHAR)" for k in more))
 
 
 _ON = "USING (doc_id, pos, nth)"
@@ -86,8 +77,8 @@ def _below(step: str, n: str) -> str:
     return f"({draw_sql(step, 'doc_id', 'pos')} % greatest({n}, 1))"
 
 
-_POOL = oracle.pool().replace(CUT, "")
-ORACLES["corrupt_words"] = f"""WITH {oracle.pieces(most=None)}, w AS (SELECT doc_id, pos, {words_sql('sentence')} AS w FROM sentences),
+_POOL = oracle.pool()
+ORACLES["corrupt_words"] = f"""WITH {oracle.pieces()}, w AS (SELECT doc_id, pos, {words_sql('sentence')} AS w FROM sentences),
 f AS MATERIALIZED (SELECT doc_id, pos, generate_subscripts(w, 1) - 1 AS nth, unnest(w) AS word FROM w), {corrupt_word_sql('x', 'f', '0.8::DOUBLE')} SELECT doc_id, pos, nth, word, made FROM x"""
 ORACLES["corrupt_sentences"] = f"WITH {_POOL}, {corrupt_sentence_sql('x', 'pool', 'greatest(1, len(w) // 5)')} SELECT doc_id, pos, corrupted FROM x"
 
@@ -198,7 +189,7 @@ SQL = {"multi_error_sentences": multi_error_sql, "contextual_phonetic": contextu
 
 def _every_sentence(name: str):
     def run(spark, sf):
-        rows = pool(spark, sf, None).select("doc_id", "pos", F.explode(F.array(corruption.GENERATORS[name](F.col("sentence"), corruption.Draws("doc_id", "pos")))).alias("m")).where("m is not null")
+        rows = pool(spark, sf).select("doc_id", "pos", F.explode(F.array(corruption.GENERATORS[name](F.col("sentence"), corruption.Draws("doc_id", "pos")))).alias("m")).where("m is not null")
         return rows.select("doc_id", "pos", "m.corrupted", "m.num_errors", F.array_join("m.error_types", ",").alias("error_types"))
 
     return run

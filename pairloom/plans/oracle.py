@@ -7,7 +7,7 @@ from pairloom.functions.rng import draw_sql
 from pairloom.functions.text import NON_WORD, chars_sql, fingerprint_sql, has_sql, quoted, strip_sql, words_sql
 
 
-def pieces(least: int = 30, most: int | None = 10, also: str = "", name: str = "sentences") -> str:
+def pieces(least: int = 30, most: int | None = None, also: str = "", name: str = "sentences") -> str:
     cut = f"[1:{most}]" if most else ""
     return rf"""
 docs_{name} AS (SELECT doc_id, {strip_sql("text")} AS t FROM documents WHERE length({strip_sql("text")}) >= {least}),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,61 +9,47 @@ from pairloom.functions import lexicons, text
 from pairloom.functions.rng import draw_sql
 from pairloom.functions.text import quoted, words_sql
 from pairloom.operators import chat, corruption, profiling, sampling, scoring, sentences, tokens, validation
-from pairloom.operators.sentences import MOST_PIECES
 from pairloom.plans import oracle
 from pairloom.plans.curate import docs, pool
-from pairloom.plans.registry import CUT, ORACLES, query
+from pairloom.plans.registry import query
 from pairloom.sources import files
 
 
-def pairs(spark: SparkSession, sf: str, most: int | None) -> DataFrame:
-    return corruption.edit_pairs(pool(spark, sf, most))
+def pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return corruption.edit_pairs(pool(spark, sf))
 
 
-def examples(spark: SparkSession, sf: str, most: int | None) -> DataFrame:
-    return corruption.examples(pairs(spark, sf, most))
+def examples(spark: SparkSession, sf: str) -> DataFrame:
+    return corruption.examples(pairs(spark, sf))
 
 
 @query("pair_edit", f"WITH {oracle.pairs()} SELECT doc_id, pos, clean, corrupted, source FROM pairs")
-def pair_edit(spark, sf, most=MOST_PIECES):
-    return pairs(spark, sf, most).select("doc_id", "pos", "clean", "corrupted", "source")
+def pair_edit(spark, sf):
+    return pairs(spark, sf).select("doc_id", "pos", "clean", "corrupted", "source")
 
 
-_H = lambda step: draw_sql(step, "doc_id", "pos")
+_H = lambda step: draw_sql(step, "doc_id", "pos", "nth")
 _KB = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in lexicons.KEYBOARD.items()) + "}"
 
 
-def _first_word(spark, sf, f) -> DataFrame:
-    """doc_id, pos, word, made: a word corruption applied to every sentence's first word."""
-    d = corruption.Draws("doc_id", "pos")
-    rows = pool(spark, sf, MOST_PIECES).withColumn("word", F.get(text.words("sentence"), 0))
-    return rows.select("doc_id", "pos", "word", f(F.col("word"), d).alias("made"))
-
-
 def _every_word(spark, sf, f) -> DataFrame:
     """doc_id, pos, nth, word, made: a word corruption applied to every word of every sentence of the whole texts."""
-    words = sentences.split(docs(spark, sf), most=None).select("doc_id", "pos", F.posexplode(text.words("sentence")).alias("nth", "word"))
+    words = sentences.split(docs(spark, sf)).select("doc_id", "pos", F.posexplode(text.words("sentence")).alias("nth", "word"))
     return words.select("doc_id", "pos", "nth", "word", f(F.col("word"), corruption.Draws("doc_id", "pos", "nth")).alias("made"))
 
 
-def _every_sql(sql: str, source: str) -> str:
-    """The oracle of a word corruption over `source`, as that of _every_word: nth is in the draws' key and in the result."""
-    words = f"WITH {oracle.pieces(most=None)}, w AS (SELECT doc_id, pos, {words_sql('sentence')} AS w FROM sentences), f AS (SELECT doc_id, pos, generate_subscripts(w, 1) - 1 AS nth, unnest(w) AS word FROM w)"
-    sql = sql.replace(source, words).replace("CAST(pos AS VARCHAR)", "CAST(pos AS VARCHAR), CAST(nth AS VARCHAR)")
-    return sql.replace("SELECT doc_id, pos, word, CASE", "SELECT doc_id, pos, nth, word, CASE")
-
-
-_FIRST = f"WITH {oracle.pool()}, f AS (SELECT doc_id, pos, {words_sql('sentence')}[1] AS word FROM pool)"
+#: Every word of every sentence, as _every_word has it.
+_EVERY = f"WITH {oracle.pieces()}, w AS (SELECT doc_id, pos, {words_sql('sentence')} AS w FROM sentences), f AS (SELECT doc_id, pos, generate_subscripts(w, 1) - 1 AS nth, unnest(w) AS word FROM w)"
 
 
 @query(
     "pair_keyboard",
-    f"""{_FIRST}, k AS (SELECT *, {_H('key-pos')} % length(word) AS p, {_KB}[lower(substr(word, ({_H('key-pos')} % length(word)) + 1, 1))] AS near FROM f),
+    f"""{_EVERY}, k AS (SELECT *, {_H('key-pos')} % length(word) AS p, {_KB}[lower(substr(word, ({_H('key-pos')} % length(word)) + 1, 1))] AS near FROM f),
 n AS (SELECT *, substr(near, ({_H('key-pick')} % greatest(length(near), 1)) + 1, 1) AS c FROM k)
-SELECT doc_id, pos, word, CASE WHEN length(word) >= 2 AND near IS NOT NULL AND {_H('key-hit')} < {int(0.4 * (1 << 32))} THEN substr(word, 1, p) || CASE WHEN regexp_matches(substr(word, p + 1, 1), '^\\p{{Lu}}$') THEN upper(c) ELSE c END || substr(word, p + 2) ELSE word END AS made FROM n""",
+SELECT doc_id, pos, nth, word, CASE WHEN length(word) >= 2 AND near IS NOT NULL AND {_H('key-hit')} < {int(0.4 * (1 << 32))} THEN substr(word, 1, p) || CASE WHEN regexp_matches(substr(word, p + 1, 1), '^\\p{{Lu}}$') THEN upper(c) ELSE c END || substr(word, p + 2) ELSE word END AS made FROM n""",
 )
 def pair_keyboard(spark, sf):
-    return _first_word(spark, sf, corruption.keyboard_error)
+    return _every_word(spark, sf, corruption.keyboard_error)
 
 
 _SIM = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in lexicons.SIMILAR.items()) + "}"
@@ -73,28 +57,17 @@ _SIM = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in lexicons.SIMILAR.items())
 
 @query(
     "pair_character",
-    f"""{_FIRST}, h AS (SELECT *, length(word) AS n, {_H('op')} % 4 AS op, {_H('ins-pos')} % (length(word) + 1) AS ip, {_H('ins-vowel')} % 5 AS iv, {_H('ins-same')} AS same, {_H('del-pos')} % greatest(length(word) - 2, 1) + 1 AS dp,
+    f"""{_EVERY}, h AS (SELECT *, length(word) AS n, {_H('op')} % 4 AS op, {_H('ins-pos')} % (length(word) + 1) AS ip, {_H('ins-vowel')} % 5 AS iv, {_H('ins-same')} AS same, {_H('del-pos')} % greatest(length(word) - 2, 1) + 1 AS dp,
 {_H('swap-pos')} % greatest(length(word) - 1, 1) AS sp, {_H('sub-pos')} % length(word) AS up, {_H('sub-pick')} AS uc FROM f),
 s AS (SELECT *, {_SIM}[lower(substr(word, up + 1, 1))] AS near FROM h)
-SELECT doc_id, pos, word, CASE WHEN n < 3 THEN word
+SELECT doc_id, pos, nth, word, CASE WHEN n < 3 THEN word
 WHEN op = 0 THEN CASE WHEN ip = 0 THEN word ELSE substr(word, 1, ip) || CASE WHEN same < {int(0.7 * (1 << 32))} THEN substr(word, ip, 1) ELSE substr('aeiou', iv + 1, 1) END || substr(word, ip + 1) END
 WHEN op = 1 THEN substr(word, 1, dp) || substr(word, dp + 2)
 WHEN op = 2 THEN substr(word, 1, sp) || substr(word, sp + 2, 1) || substr(word, sp + 1, 1) || substr(word, sp + 3)
 WHEN near IS NULL THEN word ELSE substr(word, 1, up) || CASE WHEN regexp_matches(substr(word, up + 1, 1), '^\\p{{Lu}}$') THEN upper(substr(near, (uc % length(near)) + 1, 1)) ELSE substr(near, (uc % length(near)) + 1, 1) END || substr(word, up + 2) END AS made FROM s""",
 )
 def pair_character(spark, sf):
-    return _first_word(spark, sf, corruption.character_error)
-
-
-def _lexicon_words(spark: SparkSession, table: dict) -> DataFrame:
-    """doc_id, pos, word: every key of a lexicon in three cases, as if found in a text."""
-    words = [w for k in table for w in (k, k.upper(), k[:1].upper() + k[1:])]
-    return spark.createDataFrame([(i, 0, w) for i, w in enumerate(words)], "doc_id long, pos int, word string")
-
-
-def _lexicon_values(table: dict) -> str:
-    words = [w for k in table for w in (k, k.upper(), k[:1].upper() + k[1:])]
-    return oracle.values([(i, 0, w) for i, w in enumerate(words)], "doc_id, pos, word", "f")
+    return _every_word(spark, sf, corruption.character_error)
 
 
 def _preserved(word: str, new: str) -> str:
@@ -106,9 +79,6 @@ def _lists(table: dict) -> str:
     return "MAP {" + ", ".join(f"{quoted(k)}: [{', '.join(map(quoted, v if isinstance(v, list) else [v]))}]" for k, v in table.items()) + "}"
 
 
-_SOUNDS = {**lexicons.MISSPELLINGS, **lexicons.HOMOPHONES, **{f"x{old}y": [old] for old, _ in lexicons.PHONETIC_RULES}}
-
-
 def _rule(i: int, old: str, new: str) -> str:
     at = f"instr(lower(word), '{old}')"
     out = f"(substr(lower(word), 1, {at} - 1) || '{new}' || substr(lower(word), {at} + {len(old)}))"
@@ -117,86 +87,56 @@ def _rule(i: int, old: str, new: str) -> str:
 
 @query(
     "pair_phonetic",
-    f"""WITH {_lexicon_values(_SOUNDS)}, p AS (SELECT *, {_lists(lexicons.MISSPELLINGS)}[lower(word)] AS miss, {_lists(lexicons.HOMOPHONES)}[lower(word)] AS homo FROM f),
+    f"""{_EVERY}, p AS (SELECT *, {_lists(lexicons.MISSPELLINGS)}[lower(word)] AS miss, {_lists(lexicons.HOMOPHONES)}[lower(word)] AS homo FROM f),
 q AS (SELECT *, miss[({_H('miss-pick')} % len(miss)) + 1] AS m, homo[({_H('homo-pick')} % len(homo)) + 1] AS o FROM p)
-SELECT doc_id, pos, word, CASE WHEN miss IS NOT NULL AND {_H('miss')} < {int(0.6 * (1 << 32))} THEN {_preserved('word', 'm')} WHEN homo IS NOT NULL AND {_H('homo')} < {int(0.3 * (1 << 32))} THEN {_preserved('word', 'o')}
+SELECT doc_id, pos, nth, word, CASE WHEN miss IS NOT NULL AND {_H('miss')} < {int(0.6 * (1 << 32))} THEN {_preserved('word', 'm')} WHEN homo IS NOT NULL AND {_H('homo')} < {int(0.3 * (1 << 32))} THEN {_preserved('word', 'o')}
 {' '.join(_rule(i, a, b) for i, (a, b) in enumerate(lexicons.PHONETIC_RULES))} ELSE word END AS made FROM q""",
 )
 def pair_phonetic(spark, sf):
-    rows = _lexicon_words(spark, _SOUNDS)
-    return rows.select("doc_id", "pos", "word", corruption.phonetic_error(F.col("word"), corruption.Draws("doc_id", "pos")).alias("made"))
+    return _every_word(spark, sf, corruption.phonetic_error)
 
 
 @query(
     "pair_contraction",
-    f"""WITH {_lexicon_values(lexicons.CONTRACTIONS)}, p AS (SELECT *, {_lists(lexicons.CONTRACTIONS)}[lower(word)] AS o FROM f), q AS (SELECT *, o[({_H('contraction-pick')} % len(o)) + 1] AS m FROM p)
-SELECT doc_id, pos, word, CASE WHEN o IS NOT NULL AND {_H('contraction')} < {1 << 31} THEN {_preserved('word', 'm')} ELSE word END AS made FROM q""",
+    f"""{_EVERY}, p AS (SELECT *, {_lists(lexicons.CONTRACTIONS)}[lower(word)] AS o FROM f), q AS (SELECT *, o[({_H('contraction-pick')} % len(o)) + 1] AS m FROM p)
+SELECT doc_id, pos, nth, word, CASE WHEN o IS NOT NULL AND {_H('contraction')} < {1 << 31} THEN {_preserved('word', 'm')} ELSE word END AS made FROM q""",
 )
 def pair_contraction(spark, sf):
-    rows = _lexicon_words(spark, lexicons.CONTRACTIONS)
-    return rows.select("doc_id", "pos", "word", corruption.contraction_error(F.col("word"), corruption.Draws("doc_id", "pos")).alias("made"))
+    return _every_word(spark, sf, corruption.contraction_error)
 
 
 @query(
     "pair_compound",
-    f"""WITH {_lexicon_values(lexicons.COMPOUNDS)}, p AS (SELECT *, {_lists(lexicons.COMPOUNDS)}[lower(word)][1] AS m FROM f)
-SELECT doc_id, pos, word, CASE WHEN m IS NOT NULL AND {_H('compound')} < {int(0.4 * (1 << 32))} THEN {_preserved('word', 'm')} ELSE word END AS made FROM p""",
+    f"""{_EVERY}, p AS (SELECT *, {_lists(lexicons.COMPOUNDS)}[lower(word)][1] AS m FROM f)
+SELECT doc_id, pos, nth, word, CASE WHEN m IS NOT NULL AND {_H('compound')} < {int(0.4 * (1 << 32))} THEN {_preserved('word', 'm')} ELSE word END AS made FROM p""",
 )
 def pair_compound(spark, sf):
-    rows = _lexicon_words(spark, lexicons.COMPOUNDS)
-    return rows.select("doc_id", "pos", "word", corruption.compound_error(F.col("word"), corruption.Draws("doc_id", "pos")).alias("made"))
+    return _every_word(spark, sf, corruption.compound_error)
 
 
-_PAIR_HIT = f"{draw_sql('pair', 'doc_id', 'pos', 'i')} < {int(0.3 * (1 << 32))}"
+_PAIR_HIT = f"{draw_sql('pair', 'doc_id', 'pos', 'nth', 'i')} < {int(0.3 * (1 << 32))}"
 
 
 @query(
     "pair_double_letter",
-    f"""WITH {_lexicon_values(lexicons.DOUBLE_LETTERS)}, p AS (SELECT *, {_lists(lexicons.DOUBLE_LETTERS)}[lower(word)][1] AS m, [i for i in range(0, length(word) - 1) if substr(lower(word), i + 1, 1) = substr(lower(word), i + 2, 1) AND {_PAIR_HIT}] AS c FROM f)
-SELECT doc_id, pos, word, CASE WHEN m IS NOT NULL AND {_H('double')} < {int(0.4 * (1 << 32))} THEN {_preserved('word', 'm')} WHEN length(word) > 4 AND len(c) > 0 THEN substr(word, 1, c[1]) || substr(word, c[1] + 2) ELSE word END AS made FROM p""",
+    f"""{_EVERY}, p AS (SELECT *, {_lists(lexicons.DOUBLE_LETTERS)}[lower(word)][1] AS m, [i for i in range(0, length(word) - 1) if substr(lower(word), i + 1, 1) = substr(lower(word), i + 2, 1) AND {_PAIR_HIT}] AS c FROM f)
+SELECT doc_id, pos, nth, word, CASE WHEN m IS NOT NULL AND {_H('double')} < {int(0.4 * (1 << 32))} THEN {_preserved('word', 'm')} WHEN length(word) > 4 AND len(c) > 0 THEN substr(word, 1, c[1]) || substr(word, c[1] + 2) ELSE word END AS made FROM p""",
 )
 def pair_double_letter(spark, sf):
-    rows = _lexicon_words(spark, lexicons.DOUBLE_LETTERS)
-    return rows.select("doc_id", "pos", "word", corruption.double_letter_error(F.col("word"), corruption.Draws("doc_id", "pos")).alias("made"))
-
-
-_THEN = [(i, 0, f"{a} {b} {c}") for i, (a, b, c) in enumerate((a, b, c) for a in ("better", "More", "slower", "rather", "it") for b in ("then", "Then", "than", "THAN") for c in ("now", "then", "than"))]
+    return _every_word(spark, sf, corruption.double_letter_error)
 
 
 @query(
     "contextual_then_than",
-    f"""WITH {oracle.values(_THEN, "doc_id, pos, t", "f")}, w AS (SELECT *, string_split(t, ' ') AS w FROM f)
-SELECT doc_id, array_to_string([CASE WHEN lower(w[i + 1]) = 'then' AND i > 0 AND lower(w[i]) IN ('better', 'more', 'less', 'rather') AND {draw_sql('than', 'doc_id', 'pos', 'i')} < {int(0.4 * (1 << 32))} THEN {_preserved('w[i + 1]', "'than'")}
+    f"""WITH {oracle.pieces()}, w AS (SELECT doc_id, pos, {words_sql('sentence')} AS w FROM sentences)
+SELECT doc_id, pos, array_to_string([CASE WHEN lower(w[i + 1]) = 'then' AND i > 0 AND lower(w[i]) IN ('better', 'more', 'less', 'rather') AND {draw_sql('than', 'doc_id', 'pos', 'i')} < {int(0.4 * (1 << 32))} THEN {_preserved('w[i + 1]', "'than'")}
 WHEN lower(w[i + 1]) = 'than' AND i > 0 AND lower(w[i]) NOT IN ('better', 'more', 'less', 'rather') AND {draw_sql('then', 'doc_id', 'pos', 'i')} < {int(0.3 * (1 << 32))} THEN {_preserved('w[i + 1]', "'then'")} ELSE w[i + 1] END for i in range(0, len(w))], ' ') AS made FROM w""",
 )
 def contextual_then_than(spark, sf):
-    rows = spark.createDataFrame(_THEN, "doc_id long, pos int, t string")
-    return rows.select("doc_id", F.array_join(corruption.contextual(F.split("t", " "), corruption.Draws("doc_id", "pos")), " ").alias("made"))
-
-
-_THEN_FROM = f"""WITH {oracle.values(_THEN, "doc_id, pos, t", "f")}, w AS (SELECT *, string_split(t, ' ') AS w FROM f)
-SELECT doc_id,"""
-_THEN_EVERY = f"""WITH {oracle.pieces(most=None)}, w AS (SELECT doc_id, pos, {words_sql('sentence')} AS w FROM sentences)
-SELECT doc_id, pos,"""
-
-
-@query("contextual_then_than_whole", ORACLES["contextual_then_than"].replace(_THEN_FROM, _THEN_EVERY))
-def contextual_then_than_whole(spark, sf):
-    rows = sentences.split(docs(spark, sf), most=None)
+    rows = sentences.split(docs(spark, sf))
     return rows.select("doc_id", "pos", F.array_join(corruption.contextual(text.words("sentence"), corruption.Draws("doc_id", "pos")), " ").alias("made"))
 
 
-for _name, _source, _f in (
-    ("pair_keyboard", _FIRST, corruption.keyboard_error),
-    ("pair_character", _FIRST, corruption.character_error),
-    ("pair_phonetic", f"WITH {_lexicon_values(_SOUNDS)}", corruption.phonetic_error),
-    ("pair_contraction", f"WITH {_lexicon_values(lexicons.CONTRACTIONS)}", corruption.contraction_error),
-    ("pair_compound", f"WITH {_lexicon_values(lexicons.COMPOUNDS)}", corruption.compound_error),
-    ("pair_double_letter", f"WITH {_lexicon_values(lexicons.DOUBLE_LETTERS)}", corruption.double_letter_error),
-):
-    query(f"{_name}_whole", _every_sql(ORACLES[_name], _source))(partial(_every_word, f=_f))
-
-
 @query("corrupt_words")
 def corrupt_words(spark, sf):
     return _every_word(spark, sf, lambda w, d: corruption.corrupt_word(w, d, 0.8))
@@ -204,13 +144,13 @@ def corrupt_words(spark, sf):
 
 @query("corrupt_sentences")
 def corrupt_sentences(spark, sf):
-    return pool(spark, sf, None).select("doc_id", "pos", corruption.corrupt_sentence("sentence", corruption.Draws("doc_id", "pos"), "medium").alias("corrupted"))
+    return pool(spark, sf).select("doc_id", "pos", corruption.corrupt_sentence("sentence", corruption.Draws("doc_id", "pos"), "medium").alias("corrupted"))
 
 
 @query("generate_examples")
 def generate_examples(spark, sf):
     """A target of 500 examples is the operator's own argument."""
-    return corruption.generate(pool(spark, sf, None), 500).withColumn("error_types", F.array_join("error_types", ","))
+    return corruption.generate(pool(spark, sf), 500).withColumn("error_types", F.array_join("error_types", ","))
 
 
 @query("generate_legacy")
@@ -227,62 +167,62 @@ def corrupt_legacy(spark, sf):
 
 
 @query("error_types", f"WITH {oracle.scored_pairs()} SELECT doc_id, pos, array_to_string(error_types, ',') AS error_types, num_errors FROM scored")
-def error_types(spark, sf, most=MOST_PIECES):
-    return examples(spark, sf, most).select("doc_id", "pos", F.array_join("error_types", ",").alias("error_types"), "num_errors")
+def error_types(spark, sf):
+    return examples(spark, sf).select("doc_id", "pos", F.array_join("error_types", ",").alias("error_types"), "num_errors")
 
 
 @query("complexity_level", f"WITH {oracle.examples()} SELECT doc_id, pos, complexity FROM examples")
-def complexity_level(spark, sf, most=MOST_PIECES):
-    return examples(spark, sf, most).select("doc_id", "pos", "complexity")
+def complexity_level(spark, sf):
+    return examples(spark, sf).select("doc_id", "pos", "complexity")
 
 
 @query("difficulty_score", f"WITH {oracle.examples()} SELECT doc_id, pos, difficulty_score FROM examples")
-def difficulty_score(spark, sf, most=MOST_PIECES):
-    return examples(spark, sf, most).select("doc_id", "pos", "difficulty_score")
+def difficulty_score(spark, sf):
+    return examples(spark, sf).select("doc_id", "pos", "difficulty_score")
 
 
 @query(
     "char_change_ratio",
     f"WITH {oracle.scored_pairs()}, v AS (SELECT 'char_ratio' AS name, change_ratio AS x FROM scored UNION ALL SELECT 'word_ratio', word_ratio FROM scored) SELECT name, count(*) AS n, round(avg(x), 6) AS mean, round(median(x), 6) AS median, round(coalesce(stddev_samp(x), 0), 6) AS std FROM v GROUP BY name",
 )
-def char_change_ratio(spark, sf, most=MOST_PIECES):
-    return profiling.change_statistics(pairs(spark, sf, most))
+def char_change_ratio(spark, sf):
+    return profiling.change_statistics(pairs(spark, sf))
 
 
 _RUN = "list_reduce(list_prepend(0, [CASE WHEN cw[i] <> kw[i] THEN 1 ELSE 0 END for i in range(1, len(cw) + 1)]), lambda a, x: CASE WHEN x = 0 THEN (a // 1000) * 1000 ELSE greatest(a // 1000, a % 1000 + 1) * 1000 + a % 1000 + 1 END)"
 
 
 @query("max_consecutive_errors", f"WITH {oracle.scored_pairs()} SELECT doc_id, pos, CASE WHEN len(cw) <> len(kw) THEN len(cw) ELSE {_RUN} // 1000 END AS run FROM scored")
-def max_consecutive_errors(spark, sf, most=MOST_PIECES):
-    return pairs(spark, sf, most).select("doc_id", "pos", scoring.longest_run("clean", "corrupted").alias("run"))
+def max_consecutive_errors(spark, sf):
+    return pairs(spark, sf).select("doc_id", "pos", scoring.longest_run("clean", "corrupted").alias("run"))
 
 
 _KINDS = oracle.pair_kind()
 
 
 @query("corruption_pairs", f"WITH {oracle.scored_pairs()} SELECT a AS clean_word, b AS corrupted_word, count(*) AS n, {_KINDS} AS kind FROM chars_s WHERE same_n GROUP BY a, b, a_c, b_c")
-def corruption_pairs(spark, sf, most=MOST_PIECES):
-    return profiling.corruption_pairs(pairs(spark, sf, most)).select("clean_word", "corrupted_word", "n", "kind")
+def corruption_pairs(spark, sf):
+    return profiling.corruption_pairs(pairs(spark, sf)).select("clean_word", "corrupted_word", "n", "kind")
 
 
 @query("multilabel_count", f"WITH {oracle.scored_pairs()}, t AS (SELECT unnest(error_types) AS value FROM scored) SELECT value, count(*) AS n FROM t GROUP BY value")
-def multilabel_count(spark, sf, most=MOST_PIECES):
-    return profiling.label_counts(examples(spark, sf, most), "error_types")
+def multilabel_count(spark, sf):
+    return profiling.label_counts(examples(spark, sf), "error_types")
 
 
 @query("error_bins", f"WITH {oracle.scored_pairs()} SELECT CASE WHEN num_errors = 1 THEN '1 error' WHEN num_errors = 2 THEN '2 errors' WHEN num_errors <= 4 THEN '3-4 errors' WHEN num_errors <= 6 THEN '5-6 errors' ELSE '6+ errors' END AS value, count(*) AS n FROM scored GROUP BY 1")
-def error_bins(spark, sf, most=MOST_PIECES):
-    return profiling.histogram(examples(spark, sf, most), profiling.error_bin(F.col("num_errors")))
+def error_bins(spark, sf):
+    return profiling.histogram(examples(spark, sf), profiling.error_bin(F.col("num_errors")))
 
 
 @query("error_histogram", f"WITH {oracle.scored_pairs()} SELECT num_errors AS value, count(*) AS n FROM scored GROUP BY 1")
-def error_histogram(spark, sf, most=MOST_PIECES):
-    return profiling.histogram(examples(spark, sf, most), F.col("num_errors"))
+def error_histogram(spark, sf):
+    return profiling.histogram(examples(spark, sf), F.col("num_errors"))
 
 
 @query("learning_signal", f"WITH {oracle.pairs()} SELECT source, count(*) AS n FROM pairs WHERE corrupted <> clean AND len({words_sql('clean')}) >= 6 GROUP BY source")
-def learning_signal(spark, sf, most=MOST_PIECES):
-    return pairs(spark, sf, most).where((F.col("corrupted") != F.col("clean")) & (text.n_words("clean") >= 6)).groupBy("source").agg(F.count("*").alias("n"))
+def learning_signal(spark, sf):
+    return pairs(spark, sf).where((F.col("corrupted") != F.col("clean")) & (text.n_words("clean") >= 6)).groupBy("source").agg(F.count("*").alias("n"))
 
 
 # ---- validation ----
@@ -325,19 +265,19 @@ _ISSUES = f"{oracle.examples()},\nissues AS MATERIALIZED ({' UNION ALL '.join(f'
 
 
 @query("validate_issues", f"WITH {_ISSUES} SELECT * FROM issues")
-def validate_issues(spark, sf, most=MOST_PIECES):
-    return validation.issues(pairs(spark, sf, most), "doc_id", "pos")
+def validate_issues(spark, sf):
+    return validation.issues(pairs(spark, sf), "doc_id", "pos")
 
 
 @query("validate_rollup", f"WITH {_ISSUES} SELECT level, category, count(*) AS n, count(DISTINCT (doc_id, pos)) AS n_rows FROM issues GROUP BY ALL")
-def validate_rollup(spark, sf, most=MOST_PIECES):
-    found = validation.issues(pairs(spark, sf, most), "doc_id", "pos")
+def validate_rollup(spark, sf):
+    found = validation.issues(pairs(spark, sf), "doc_id", "pos")
     return found.groupBy("level", "category").agg(F.count("*").alias("n"), F.count_distinct("doc_id", "pos").alias("n_rows"))
 
 
 @query("validate_top_messages", f"WITH {_ISSUES} SELECT category || ': ' || message AS value, count(*) AS n FROM issues GROUP BY 1 ORDER BY n DESC, value LIMIT 10")
-def validate_top_messages(spark, sf, most=MOST_PIECES):
-    found = validation.issues(pairs(spark, sf, most), "doc_id", "pos")
+def validate_top_messages(spark, sf):
+    found = validation.issues(pairs(spark, sf), "doc_id", "pos")
     return profiling.top(profiling.histogram(found, F.concat_ws(": ", "category", "message")), 10, "value")
 
 
@@ -345,13 +285,13 @@ _VERDICTS = f"WITH {_ISSUES}, v AS (SELECT doc_id, pos, CASE WHEN count(*) FILTE
 
 
 @query("validate_verdict", f"{_VERDICTS} SELECT * FROM v")
-def validate_verdict(spark, sf, most=MOST_PIECES):
-    return pairs(spark, sf, most).select("doc_id", "pos", validation.verdict(validation.row_issues("clean", "corrupted")).alias("verdict"))
+def validate_verdict(spark, sf):
+    return pairs(spark, sf).select("doc_id", "pos", validation.verdict(validation.row_issues("clean", "corrupted")).alias("verdict"))
 
 
 @query("validate_summary", f"{_VERDICTS} SELECT count(*) AS n_rows, count(*) FILTER (verdict = 'FAIL') AS failed, count(*) FILTER (verdict = 'WARNING') AS warned, count(*) FILTER (verdict = 'PASS') AS clean, round(1 - count(*) FILTER (verdict = 'FAIL') / greatest(count(*), 1)::DOUBLE, 6) AS quality_score FROM v")
-def validate_summary(spark, sf, most=MOST_PIECES):
-    return validation.summary(pairs(spark, sf, most))
+def validate_summary(spark, sf):
+    return validation.summary(pairs(spark, sf))
 
 
 def _dataset_sql() -> str:
@@ -366,8 +306,8 @@ def _dataset_sql() -> str:
 
 
 @query("dataset_distribution_issues", f"WITH {oracle.examples()} {_dataset_sql()}")
-def dataset_distribution_issues(spark, sf, most=MOST_PIECES):
-    return validation.dataset_issues(examples(spark, sf, most))
+def dataset_distribution_issues(spark, sf):
+    return validation.dataset_issues(examples(spark, sf))
 
 
 @query(
@@ -377,8 +317,8 @@ c AS (SELECT count(*) AS n, count(*) FILTER (category = 'insufficient_change' AN
 r AS (SELECT list_filter([CASE WHEN little > 0 THEN 'Corrupt more strongly, so that rows change' END, CASE WHEN much > 0 THEN 'Corrupt less, so that texts stay readable' END, CASE WHEN runs > 10 THEN 'Spread errors over the sentence' END, CASE WHEN rd > n * 0.1::DOUBLE THEN 'Choose errors that keep texts readable' END, CASE WHEN cx > 0 THEN 'Balance the levels of complexity' END, CASE WHEN ty > 0 THEN 'Make more of the rare error types' END], lambda x: x IS NOT NULL) AS l FROM c)
 SELECT unnest(CASE WHEN len(l) > 0 THEN l ELSE ['No major issues'] END) AS recommendation FROM r""",
 )
-def recommendations(spark, sf, most=MOST_PIECES):
-    rows = examples(spark, sf, most)
+def recommendations(spark, sf):
+    rows = examples(spark, sf)
     found = validation.issues(rows, "doc_id", "pos").select("level", "category").union(validation.dataset_issues(rows).select("level", "category"))
     return validation.recommendations(found)
 
@@ -389,8 +329,8 @@ def recommendations(spark, sf, most=MOST_PIECES):
 round(avg(CASE WHEN len(list_filter(kw, lambda x: length(regexp_replace(x, '[^\p{{L}}\p{{N}}_]', '', 'g')) <= 2 AND regexp_matches(x, '^\p{{L}}+$'))) > len(kw) * 0.4::DOUBLE THEN 1.0::DOUBLE ELSE 0 END), 6) AS without_sense, round(avg(num_errors), 6) AS mean_errors FROM scored)
 SELECT *, array_to_string(list_filter([CASE WHEN hard_to_read > 0.05 THEN 'hard_to_read' END, CASE WHEN without_sense > 0.02 THEN 'without_sense' END, CASE WHEN mean_errors < 1.5 THEN 'few_errors' END, CASE WHEN mean_errors > 5 THEN 'many_errors' END], lambda x: x IS NOT NULL), ',') AS flags FROM m""",
 )
-def profile_flags(spark, sf, most=MOST_PIECES):
-    return validation.profile_flags(examples(spark, sf, most))
+def profile_flags(spark, sf):
+    return validation.profile_flags(examples(spark, sf))
 
 
 # ---- training records ----
@@ -404,37 +344,37 @@ _KEEP = r"(regexp_matches(clean, '(etc|Mr|Ms|Dr|Inc|Ltd)\.$') OR contains(clean,
 t AS (SELECT *, NOT keep AND i >= n // 2 AS take FROM r), s AS (SELECT doc_id, pos, take, CASE WHEN take THEN regexp_replace(clean, '\.+$', '') ELSE clean END AS clean, CASE WHEN take THEN regexp_replace(corrupted, '\.+$', '') ELSE corrupted END AS corrupted, source FROM t)
 SELECT doc_id, pos, clean, corrupted, CASE WHEN take THEN source || '_no_punct' ELSE source END AS source, take AS punctuation_removed, len({words_sql('clean')}) AS word_count, length(clean) AS char_count FROM s""",
 )
-def punctuation_balance(spark, sf, most=MOST_PIECES):
-    rows = chat.balance_punctuation(pairs(spark, sf, most), "doc_id", "pos")
+def punctuation_balance(spark, sf):
+    rows = chat.balance_punctuation(pairs(spark, sf), "doc_id", "pos")
     return rows.select("doc_id", "pos", "clean", "corrupted", "source", "punctuation_removed", "word_count", "char_count")
 
 
 @query("final_period_rate", f"WITH {oracle.pairs()} SELECT source, count(*) AS n, count(*) FILTER (right(clean, 1) = '.') AS with_period, round(100.0 * avg(CASE WHEN right(clean, 1) = '.' THEN 1.0::DOUBLE ELSE 0 END), 6) AS share FROM pairs GROUP BY source")
-def final_period_rate(spark, sf, most=MOST_PIECES):
+def final_period_rate(spark, sf):
     ends = F.endswith(F.col("clean"), F.lit("."))
-    return pairs(spark, sf, most).groupBy("source").agg(F.count("*").alias("n"), F.count_if(ends).alias("with_period"), F.round(F.avg(ends.cast("double")) * 100, 6).alias("share"))
+    return pairs(spark, sf).groupBy("source").agg(F.count("*").alias("n"), F.count_if(ends).alias("with_period"), F.round(F.avg(ends.cast("double")) * 100, 6).alias("share"))
 
 
 @query("ending_chars_pairs", f"WITH {oracle.pairs()}, e AS (SELECT 'clean' AS side, right(clean, 1) AS last FROM pairs UNION ALL SELECT 'corrupted', right(corrupted, 1) FROM pairs) SELECT side, last, count(*) AS n FROM e GROUP BY ALL")
-def ending_chars_pairs(spark, sf, most=MOST_PIECES):
-    return profiling.last_characters(pairs(spark, sf, most), "clean", "corrupted")
+def ending_chars_pairs(spark, sf):
+    return profiling.last_characters(pairs(spark, sf), "clean", "corrupted")
 
 
 @query("chat_format", f"WITH {oracle.examples()} SELECT doc_id, pos, 2 AS n_messages, 'Correct the typos in this text: ' || corrupted AS user_content, clean AS assistant_content, complexity, array_to_string(error_types, ',') AS error_types, difficulty_score FROM examples")
-def chat_format(spark, sf, most=MOST_PIECES):
-    rows = chat.chat_format(examples(spark, sf, most), "doc_id", "pos")
+def chat_format(spark, sf):
+    rows = chat.chat_format(examples(spark, sf), "doc_id", "pos")
     m = F.col("messages")
     return rows.select("doc_id", "pos", F.size(m).alias("n_messages"), m[0]["content"].alias("user_content"), m[1]["content"].alias("assistant_content"), "metadata.complexity", F.array_join("metadata.error_types", ",").alias("error_types"), "metadata.difficulty_score")
 
 
 @query("chatml_text", f"WITH {oracle.pairs()} SELECT doc_id, pos, '<|im_start|>user' || chr(10) || 'Correct the typos in this text: ' || corrupted || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || clean || '<|im_end|>' AS text FROM pairs")
-def chatml_text(spark, sf, most=MOST_PIECES):
-    return chat.chatml_text(chat.chat_format(examples(spark, sf, most), "doc_id", "pos"), "doc_id", "pos")
+def chatml_text(spark, sf):
+    return chat.chatml_text(chat.chat_format(examples(spark, sf), "doc_id", "pos"), "doc_id", "pos")
 
 
 @query("seq2seq_format", f"WITH {oracle.pairs()} SELECT doc_id, pos, 'fix typos: ' || corrupted AS source_text, clean AS target_text FROM pairs")
-def seq2seq_format(spark, sf, most=MOST_PIECES):
-    return chat.seq2seq(pairs(spark, sf, most), "fix_typos", "doc_id", "pos")
+def seq2seq_format(spark, sf):
+    return chat.seq2seq(pairs(spark, sf), "fix_typos", "doc_id", "pos")
 
 
 _BYTES = lambda c, most: f"list_concat([('0x' || substr(hex(encode({c})), 2 * i - 1, 2))::INT + 3 for i in range(1, least(octet_length(encode({c})), {most - 1}) + 1)], [1])"
@@ -444,15 +384,15 @@ _BYTES = lambda c, most: f"list_concat([('0x' || substr(hex(encode({c})), 2 * i
     "byte_tokens",
     f"WITH {oracle.pairs()}, t AS (SELECT doc_id, pos, {_BYTES(chr(39) + 'fix typos: ' + chr(39) + ' || corrupted', 64)} AS s, {_BYTES('clean', 64)} AS l FROM pairs) SELECT doc_id, pos, len(s) AS n_tokens, array_to_string(s, ' ') || repeat(' 0', 64 - len(s)::INT) AS input_ids, array_to_string(l, ' ') AS labels FROM t WHERE len(s) > 5 AND len(l) > 2",
 )
-def byte_tokens(spark, sf, most=MOST_PIECES):
-    rows = tokens.tokenise(chat.seq2seq(pairs(spark, sf, most), "fix_typos", "doc_id", "pos"), "doc_id", "pos", most=64)
+def byte_tokens(spark, sf):
+    rows = tokens.tokenise(chat.seq2seq(pairs(spark, sf), "fix_typos", "doc_id", "pos"), "doc_id", "pos", most=64)
     n = F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)
     return rows.select("doc_id", "pos", n.alias("n_tokens"), F.array_join("input_ids", " ").alias("input_ids"), F.array_join("labels", " ").alias("labels"))
 
 
 @query("token_length_filter", f"WITH {oracle.pairs()} SELECT count(*) AS n, sum(least(octet_length(encode(clean)) + 1, 128)) AS target_tokens FROM pairs WHERE octet_length(encode(clean)) + 1 > 2")
-def token_length_filter(spark, sf, most=MOST_PIECES):
-    rows = tokens.tokenise(chat.seq2seq(pairs(spark, sf, most), "fix_typos", "doc_id", "pos"), "doc_id", "pos")
+def token_length_filter(spark, sf):
+    rows = tokens.tokenise(chat.seq2seq(pairs(spark, sf), "fix_typos", "doc_id", "pos"), "doc_id", "pos")
     return rows.agg(F.count("*").alias("n"), F.sum(F.size("labels")).alias("target_tokens"))
 
 
@@ -466,26 +406,26 @@ s AS (SELECT name, {{'name': name, {_STATS}}} AS r FROM v GROUP BY name)
 SELECT CAST(to_json({{'counts': (SELECT list({{'column': "column", 'value': value, 'n': n}} ORDER BY "column", value, n) FROM c), 'types': (SELECT list({{'value': value, 'n': n}} ORDER BY value, n) FROM t), 'statistics': (SELECT list(r ORDER BY name) FROM s)}}) AS VARCHAR) AS value"""
 
 
-@query("dataset_report", _REPORT.replace(CUT, ""))
+@query("dataset_report", _REPORT)
 def dataset_report(spark, sf):
     """One JSON document of the dataset's tables, as the report sinks write it."""
-    rows = examples(spark, sf, None)
+    rows = examples(spark, sf)
     return files.report(counts=profiling.counts(rows, "complexity", "domain", "source"), types=profiling.label_counts(rows, "error_types"), statistics=profiling.statistics(rows, words=F.col("word_count"), difficulty=F.col("difficulty_score")))
 
 
 @query("distribution_lines", f"WITH {oracle.scored_pairs()}, t AS (SELECT unnest(error_types) AS value FROM scored), c AS (SELECT value, count(*) AS n FROM t GROUP BY value), s AS (SELECT *, sum(n) OVER () AS total FROM c) SELECT value || ': ' || n || ' (' || printf('%.1f', n * 100.0::DOUBLE / total) || '%)' AS line FROM s ORDER BY n DESC, value LIMIT 5")
-def distribution_lines(spark, sf, most=MOST_PIECES):
-    found = profiling.label_counts(examples(spark, sf, most), "error_types")
+def distribution_lines(spark, sf):
+    found = profiling.label_counts(examples(spark, sf), "error_types")
     total = found.agg(F.sum("n").alias("total"))
     top = profiling.top(found.crossJoin(total), 5, "value")
     return top.select(F.format_string("%s: %d (%.1f%%)", "value", "n", F.col("n") * 100.0 / F.col("total")).alias("line"))
 
 
 @query("example_counts", f"WITH {oracle.examples()} SELECT 'complexity' AS \"column\", complexity AS value, count(*) AS n FROM examples GROUP BY 2 UNION ALL SELECT 'domain', domain, count(*) FROM examples GROUP BY 2 UNION ALL SELECT 'source', source, count(*) FROM examples GROUP BY 2")
-def example_counts(spark, sf, most=MOST_PIECES):
-    return profiling.counts(examples(spark, sf, most), "complexity", "domain", "source")
+def example_counts(spark, sf):
+    return profiling.counts(examples(spark, sf), "complexity", "domain", "source")
 
 
 @query("half_split", f"WITH {oracle.pairs()}, r AS (SELECT doc_id, pos, row_number() OVER (ORDER BY {draw_sql('halves', 'doc_id', 'pos')}, doc_id, pos) - 1 AS i, count(*) OVER () AS n FROM pairs) SELECT doc_id, pos, i >= n // 2 AS second_half FROM r")
-def half_split(spark, sf, most=MOST_PIECES):
-    return sampling.halves(pairs(spark, sf, most).select("doc_id", "pos"), "halves", "doc_id", "pos").select("doc_id", "pos", "second_half")
+def half_split(spark, sf):
+    return sampling.halves(pairs(spark, sf).select("doc_id", "pos"), "halves", "doc_id", "pos").select("doc_id", "pos", "second_half")

@@ -96,18 +96,18 @@ def column_guess(spark, sf):
     return spark.createDataFrame([(b, a, len(cases.cases(spark).columns))], "target string, source_column string, columns int")
 
 
-@query("pool_sink", f"WITH {oracle.pool()} SELECT domain, sentence FROM pool".replace("[1:10]", ""))
+@query("pool_sink", f"WITH {oracle.pool()} SELECT domain, sentence FROM pool")
 def pool_sink(spark, sf):
     """The pool of all sentences, written by domain and read again."""
     path = places.scratch(spark, "pool")
-    files.write_pool(pool(spark, sf, None), path)
+    files.write_pool(pool(spark, sf), path)
     return spark.read.schema("sentence string, domain string").json(f"{path}/sentences").select("domain", "sentence")
 
 
-@query("pool_metadata", f"WITH {oracle.pool()} SELECT count(*) AS total_sentences, count(DISTINCT domain) AS domains, 'documents' AS collection_method, true AS quality_filtered FROM pool".replace("[1:10]", ""))
+@query("pool_metadata", f"WITH {oracle.pool()} SELECT count(*) AS total_sentences, count(DISTINCT domain) AS domains, 'documents' AS collection_method, true AS quality_filtered FROM pool")
 def pool_metadata(spark, sf):
     path = places.scratch(spark, "pool")
-    files.write_pool(pool(spark, sf, None), path)
+    files.write_pool(pool(spark, sf), path)
     return spark.read.json(f"{path}/metadata").select("total_sentences", "domains", "collection_method", "quality_filtered")
 
 
@@ -189,7 +189,7 @@ if os.path.exists(TOKENIZER):
 
 # ---- small operators without a query of their own ----
 
-_WORD_LIST = f"WITH {oracle.pieces(most=None)}, w AS (SELECT doc_id, pos, generate_subscripts({words_sql('sentence')}, 1) - 1 AS nth, unnest({words_sql('sentence')}) AS word FROM sentences)"
+_WORD_LIST = f"WITH {oracle.pieces()}, w AS (SELECT doc_id, pos, generate_subscripts({words_sql('sentence')}, 1) - 1 AS nth, unnest({words_sql('sentence')}) AS word FROM sentences)"
 
 
 @query(
@@ -200,7 +200,7 @@ _WORD_LIST = f"WITH {oracle.pieces(most=None)}, w AS (SELECT doc_id, pos, genera
 def whole_case(spark, sf):
     from pairloom.operators import sentences
 
-    words = sentences.split(docs(spark, sf), most=None).select("doc_id", "pos", F.posexplode(text.words("sentence")).alias("nth", "word"))
+    words = sentences.split(docs(spark, sf)).select("doc_id", "pos", F.posexplode(text.words("sentence")).alias("nth", "word"))
     upper = (F.upper("word") == F.col("word")) & (F.lower("word") != F.col("word"))
     return words.select("doc_id", "pos", "nth", F.when(upper, "NEW-word").otherwise("other").alias("kind"), text.whole_case(F.col("word"), F.lit("neW-word")).alias("made"))
 
@@ -214,7 +214,7 @@ def strip_forms(spark, sf):
 @query("word_pair_kinds", f"WITH {oracle.scored_pairs()} SELECT kind, count(*) AS n FROM (SELECT {oracle.pair_kind()} AS kind FROM chars_s WHERE same_n) GROUP BY kind")
 def word_pair_kinds(spark, sf):
     """The profiler's kinds of unlike words."""
-    found = profiling.corruption_pairs(pairs(spark, sf, 10))
+    found = profiling.corruption_pairs(pairs(spark, sf))
     return found.groupBy("kind").agg(F.sum("n").alias("n"))
 
 
@@ -227,7 +227,7 @@ _LEAST = {"multi_error_sentences": (6, 2), "contextual_phonetic": (4, 1), "advan
 )
 def least_words_and_errors(spark, sf):
     """How many pairs pass each method's least words and least real errors."""
-    rows = pairs(spark, sf, 10).select(text.n_words("clean").alias("w"), scoring.word_changes("clean", "corrupted").alias("e"))
+    rows = pairs(spark, sf).select(text.n_words("clean").alias("w"), scoring.word_changes("clean", "corrupted").alias("e"))
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("method"), F.lit(w).alias("words"), F.lit(e).alias("errors")) for k, (w, e) in corruption.LEAST.items()]))
     enough = F.col("w") >= F.col("m.words")
     return rows.select("w", "e", each.alias("m")).groupBy("m.method").agg(F.count(F.when(enough, 1)).alias("enough_words"), F.count(F.when(enough & (F.col("e") >= F.col("m.errors")), 1)).alias("kept"))

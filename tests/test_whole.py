@@ -22,8 +22,7 @@ def tables(spark, tmp_path_factory):
 
 @pytest.mark.parametrize("name,n", [("quality_filter", 15), ("fingerprint", 15), ("fingerprint_dedup", 15), ("domain_classify", 15), ("dedup_across_runs", 14), ("pair_edit", 15)])
 def test_all_pieces(spark, tables, name, n):
-    assert entry.queries()[f"{name}_whole"](spark, tables).count() == n
-    assert entry.queries()[name](spark, tables).count() == 10  # what the given SQL keeps
+    assert entry.queries()[name](spark, tables).count() == n
 
 
 def test_pool_is_whole(spark, tables):
@@ -31,7 +30,7 @@ def test_pool_is_whole(spark, tables):
     assert entry.queries()["corrupt_sentences"](spark, tables).count() == 15
 
 
-@pytest.mark.parametrize("name", ["pair_keyboard_whole", "pair_phonetic_whole", "pair_contraction_whole", "pair_compound_whole", "pair_double_letter_whole", "corrupt_words"])
+@pytest.mark.parametrize("name", ["pair_keyboard", "pair_character", "pair_phonetic", "pair_contraction", "pair_compound", "pair_double_letter", "corrupt_words"])
 def test_every_word(spark, tables, name):
     rows = entry.queries()[name](spark, tables)
     assert rows.count() == 15 * 7 and rows.select("pos", "nth").distinct().count() == 15 * 7
@@ -39,5 +38,5 @@ def test_every_word(spark, tables, name):
 
 
 def test_then_in_sentences(spark, tables):
-    rows = entry.queries()["contextual_then_than_whole"](spark, tables)
+    rows = entry.queries()["contextual_then_than"](spark, tables)
     assert rows.count() == 15 and rows.where("made like '%definitely jump home quickly then.'").count() == 15
