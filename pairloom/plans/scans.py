@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions import lexicons, text
 from pairloom.functions.text import quoted, words_sql
-from pairloom.operators import corruption, profiling, scoring, tokens
+from pairloom.operators import corruption, patterns, profiling, scoring, tokens
 from pairloom.plans import oracle
 from pairloom.plans.curate import docs, pool
 from pairloom.plans.pairs import pairs
@@ -36,10 +36,11 @@ def source_scan(spark, sf):
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
-@query("source_fallback", f"WITH {oracle.values(list(enumerate(cases.SAMPLES)), 'doc_id, text', 's')} SELECT doc_id, text FROM s")
+@query("source_fallback", f"WITH {oracle.values(list(enumerate(cases.SAMPLES)), 'doc_id, text', 's')} SELECT 'gone' AS asked, doc_id, md5(text) AS text_md5 FROM s UNION ALL SELECT 'docs', doc_id, md5(text) FROM documents")
 def source_fallback(spark, sf):
-    """A source that cannot be read gives the built-in sentences."""
-    return _sources(sf).load(spark, "gone").select("doc_id", "text")
+    """A source that cannot be read gives the built-in sentences, one that can its rows."""
+    found = [_sources(sf).load(spark, name).select(F.lit(name).alias("asked"), "doc_id", F.md5("text").alias("text_md5")) for name in ("gone", "docs")]
+    return found[0].unionByName(found[1])
 
 
 @query("source_union", "SELECT 'documents' AS source, doc_id, md5(text) AS text_md5 FROM documents UNION ALL SELECT 'benchmark', item_id, md5(text) FROM benchmark")
@@ -90,10 +91,19 @@ def files_by_extension(spark, sf):
     return out
 
 
-@query("column_guess", "SELECT 'clean' AS target, 'corrupted' AS source_column, 5 AS columns")
+_GUESSED = [("documents", "text", "lang"), ("pages", "url", "html"), ("conversations", "role", "text"), ("customer", "c_name", "c_mktsegment")]
+
+
+@query("column_guess", " UNION ALL ".join(f"SELECT '{t}' AS name, '{a}' AS source_column, '{b}' AS target, count(*) AS n, count({a}) AS n_source, count({b}) AS n_target FROM {t}" for t, a, b in _GUESSED))
 def column_guess(spark, sf):
-    a, b = files.guess_columns(cases.cases(spark))
-    return spark.createDataFrame([(b, a, len(cases.cases(spark).columns))], "target string, source_column string, columns int")
+    """The text columns guessed for each table that has two, and how many of their values are there."""
+    out = None
+    for name, _, _ in _GUESSED:
+        table = spark.read.parquet(f"{sf}/{name}.parquet")
+        a, b = files.guess_columns(table)
+        row = table.agg(F.lit(name).alias("name"), F.lit(a).alias("source_column"), F.lit(b).alias("target"), F.count("*").alias("n"), F.count(a).alias("n_source"), F.count(b).alias("n_target"))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query("pool_sink", f"WITH {oracle.pool()} SELECT domain, sentence FROM pool")
@@ -114,34 +124,32 @@ def pool_metadata(spark, sf):
 _DOMAIN_SAMPLES = [(d, i, f"{a} {b}") for d, (starts, ends) in cases.DOMAIN_PARTS.items() for i, (a, b) in enumerate((a, b) for b in ends for a in starts)]
 
 
-@query("domain_samples", f"WITH {oracle.values(_DOMAIN_SAMPLES, 'domain, pos, sentence', 's')} SELECT '20 each' AS kind, domain, pos, sentence FROM s UNION ALL SELECT '8 each, 10 times', domain, pos + 8 * t, sentence FROM s, range(10) r(t) WHERE pos < 8")
+@query("domain_samples", f"WITH {oracle.pool()}, {oracle.values(_DOMAIN_SAMPLES, 'domain, pos, sentence', 's')}, n AS (SELECT domain, count(*) AS n FROM pool GROUP BY domain) SELECT domain, sentence, false AS built_in FROM pool UNION ALL SELECT domain, sentence, true FROM s WHERE domain NOT IN (SELECT domain FROM n WHERE n >= 200)")
 def domain_samples(spark, sf):
-    """The built-in sentences of each domain: 20, and 8 ten times."""
-    one, two = cases.domain_samples(spark), cases.domain_samples(spark, 8, 10)
-    return one.select(F.lit("20 each").alias("kind"), "*").unionByName(two.select(F.lit("8 each, 10 times").alias("kind"), "*"))
+    """The documents' sentences of each domain, and the built-in ones where a domain has fewer than 200."""
+    own = pool(spark, sf).select("domain", "sentence")
+    enough = own.groupBy("domain").agg(F.count("*").alias("n")).where("n >= 200").select("domain")
+    samples = cases.domain_samples(spark).select("domain", "sentence").join(enough, "domain", "left_anti")
+    return own.withColumn("built_in", F.lit(False)).unionByName(samples.withColumn("built_in", F.lit(True)))
 
 
-@query("pool_scan", f"WITH {oracle.values(_DOMAIN_SAMPLES, 'domain, pos, sentence', 's')} SELECT domain, sentence FROM s")
+@query("pool_scan", f"WITH {oracle.pool()} SELECT domain, sentence FROM pool")
 def pool_scan(spark, sf):
-    """A pool document of one row, written and read."""
-    path = places.scratch(spark, "document")
-    files.pool_document(cases.domain_samples(spark)).coalesce(1).write.text(path)
-    return files.read_pool(spark, path).select("domain", "sentence")
-
-
-_EPOCHS = [("checkpoint-1000", 1000, 2.0), ("checkpoint-250", 250, 0.5), ("checkpoint-last", 0, 0.0)]
+    """The pool as JSON pool documents, one for each document of the table, written and read."""
+    path = places.scratch(spark, "documents")
+    files.pool_documents(pool(spark, sf), "doc_id").write.text(path)
+    return files.read_pool(spark, path, lines=True).select("domain", "sentence")
 
 
-@query("checkpoint_folder", f"WITH {oracle.values(_EPOCHS, 'checkpoint, step, epoch', 'c')} SELECT checkpoint, step, epoch FROM c")
+@query("checkpoint_folder", "SELECT 'checkpoint-' || n AS checkpoint, n AS step, max(n / 100.0::DOUBLE) AS epoch FROM (SELECT count(*) AS n FROM documents GROUP BY lang) GROUP BY n")
 def checkpoint_folder(spark, sf):
-    """Folders of a training run, listed with the epochs their states name; other folders are passed over."""
+    """A folder for each language, named after its documents, listed with the epochs their states name; other folders are passed over."""
     path = places.scratch(spark, "run")
-    for name, _, epoch in [*_EPOCHS, ("runs", 0, 0.0)]:
-        at = f"{path}/{name}"
-        spark.createDataFrame([("x",)], "value string").coalesce(1).write.text(f"{at}/weights")
-        if epoch:
-            spark.createDataFrame([(epoch, 7)], "epoch double, global_step int").coalesce(1).write.json(f"{at}/trainer_state.json")
-    return files.checkpoint_folder(spark, path).select("checkpoint", "step", "epoch")
+    counts = docs(spark, sf).groupBy("lang").agg(F.count("*").alias("n"))
+    for (n,) in {r[1:] for r in counts.collect()}:  # one folder for each language
+        spark.createDataFrame([(n / 100.0, n)], "epoch double, global_step long").coalesce(1).write.json(f"{path}/checkpoint-{n}/trainer_state.json")
+    counts.write.json(f"{path}/runs")
+    return files.checkpoint_folder(spark, path).select("checkpoint", F.col("step").cast("long").alias("step"), "epoch")
 
 
 @query("token_cache", f"SELECT doc_id, array_to_string(list_transform({words_sql('text')}, lambda w: length(w)), ' ') AS ids FROM documents")
@@ -153,12 +161,15 @@ def token_cache(spark, sf):
     return read.select("doc_id", F.array_join(F.transform("input_ids", lambda x: x.cast("string")), " ").alias("ids"))
 
 
-_GIVEN = ["I beleive it.", "", "two\nlines"]
+_GIVEN = ["the", "ung", "\n", "no such text"]
 
 
-@query("given_texts", f"WITH {oracle.values(list(enumerate(_GIVEN)), 'id, text', 't')} SELECT id, text FROM t")
+@query("given_texts", f"WITH {oracle.values(list(enumerate(_GIVEN)), 'id, text', 't').replace(quoted(_GIVEN[2]), 'chr(10)')} SELECT t.id, t.text, count(d.doc_id) AS n_docs FROM t LEFT JOIN documents d ON contains(d.text, t.text) GROUP BY ALL")
 def given_texts(spark, sf):
-    return files.texts(spark, _GIVEN)
+    """Texts given by hand, and in how many documents each stands."""
+    given = files.texts(spark, _GIVEN)
+    hits = patterns.pattern_hits(docs(spark, sf), given.withColumnRenamed("text", "pattern"), ["doc_id"])
+    return given.join(hits.groupBy("id").agg(F.count("*").alias("n_docs")), "id", "left").select("id", "text", F.coalesce("n_docs", F.lit(0)).cast("long").alias("n_docs"))
 
 
 @query("report_sink", "SELECT 'lang' AS part, coalesce(lang, 'null') AS value, count(*) AS n FROM documents GROUP BY ALL UNION ALL SELECT 'source', coalesce(source, 'null'), count(*) FROM documents GROUP BY ALL")

@@ -45,9 +45,9 @@ def with_defaults(df: DataFrame) -> DataFrame:
     return df.withColumn("difficulty_score", F.nullif("difficulty_score", F.lit(0.0)))
 
 
-def read_pool(spark: SparkSession, path: str) -> DataFrame:
-    """domain, pos, sentence of a sentence-pool file; an absent map is empty."""
-    rows = spark.read.schema("metadata map<string, string>, sentences_by_domain map<string, array<string>>").option("multiLine", True).json(path)
+def read_pool(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """domain, pos, sentence of sentence-pool files, each one document or, with lines, one in each line; an absent map is empty."""
+    rows = spark.read.schema("metadata map<string, string>, sentences_by_domain map<string, array<string>>").option("multiLine", not lines).json(path)
     return rows.select(F.explode("sentences_by_domain").alias("domain", "s")).select("domain", F.posexplode("s").alias("pos", "sentence"))
 
 
@@ -62,11 +62,16 @@ def write_pool(pool: DataFrame, path: str, method: str = "documents") -> None:
     meta.select("*", F.lit(method).alias("collection_method"), F.lit(True).alias("quality_filtered")).coalesce(1).write.json(f"{path}/metadata")
 
 
+def pool_documents(pool: DataFrame, *by: str, method: str = "documents") -> DataFrame:
+    """value: a JSON pool document for each group of `by`, as large as the group. A pool in one document is one group: it must fit a row."""
+    domains = pool.groupBy(*by, "domain").agg(F.sort_array(F.collect_list("sentence")).alias("s"), F.count("*").alias("n"))
+    meta = F.struct(F.sum("n").alias("total_sentences"), F.sort_array(F.collect_list("domain")).alias("domains"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("domain", "n")))).alias("domain_counts"), F.lit(method).alias("collection_method"), F.lit(True).alias("quality_filtered"))
+    return domains.groupBy(*by).agg(F.to_json(F.struct(meta.alias("metadata"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("domain", "s")))).alias("sentences_by_domain"))).alias("value")).select("value")
+
+
 def pool_document(pool: DataFrame, method: str = "documents") -> DataFrame:
     """One row, value: the pool as a JSON document. For pools that fit a row."""
-    by = pool.groupBy("domain").agg(F.sort_array(F.collect_list("sentence")).alias("s"), F.count("*").alias("n"))
-    meta = F.struct(F.sum("n").alias("total_sentences"), F.sort_array(F.collect_list("domain")).alias("domains"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("domain", "n")))).alias("domain_counts"), F.lit(method).alias("collection_method"), F.lit(True).alias("quality_filtered"))
-    return by.agg(F.to_json(F.struct(meta.alias("metadata"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("domain", "s")))).alias("sentences_by_domain"))).alias("value"))
+    return pool_documents(pool, method=method)
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:
