@@ -2,7 +2,8 @@
 
 Texts are lower-cased; words are runs of letters and digits; shingles are five
 words. A document is contaminated by an item if it holds at least `share` of the
-item's distinct shingles.
+item's distinct shingles. An item of fewer words is one shingle of that many words;
+where there are such items, documents have shingles of those widths, too.
 
 Items are partitioned by their number of shingles, in powers of two; each partition
 has one sketch size: the m least hashes (a bottom-m MinHash) of an item's shingles,
@@ -18,8 +19,8 @@ The index and the items are broadcast only if their counted rows are within the
 bound. A larger index is joined by shuffle, and only with shingles whose bit is set in
 a bitmap of the index's hashes, whose size is fixed.
 
-Cases: null and empty texts match nothing; an item of fewer than five words matches
-documents whose whole word sequence equals it; rows that repeat give one result per
+Cases: null and empty texts match nothing; an item of fewer than five words, even of
+one, matches every document in which its words follow each other; rows that repeat give one result per
 row key; item rows with equal id and words count once, unlike texts under one id are
 items of their own; a null doc_id or item_id is reported as null; no documents or no
 items give no rows; other columns do not matter.
@@ -46,11 +47,20 @@ def _words(text: str = "text") -> Column:
     return F.when(one == "", F.array().cast("array<string>")).otherwise(F.split(one, " "))
 
 
-def _shingles(words: Column, width: int, join) -> Column:
-    """join(words of a shingle) for every shingle of an array column of words; the whole sequence if it is shorter."""
-    n = F.size(words)
-    many = F.transform(F.slice(words, 1, F.greatest(n - (width - 1), F.lit(0))), lambda w, i: join(w, *[F.get(words, i + k) for k in range(1, width)]))
-    return F.when(n >= width, many).when(n > 0, F.array(join(F.array_join(words, " "))))
+def _runs(words: Column, width: int, join) -> Column:
+    """join(words of a run) for every run of so many consecutive words; none in a shorter array."""
+    return F.transform(F.slice(words, 1, F.greatest(F.size(words) - (width - 1), F.lit(0))), lambda w, i: join(w, *[F.get(words, i + k) for k in range(1, width)]))
+
+
+def _item_shingles(words: Column, width: int) -> Column:
+    """The text of every shingle of an item; the whole sequence if it is shorter."""
+    return F.when(F.size(words) >= width, _runs(words, width, _text)).otherwise(F.array(F.array_join(words, " ")))
+
+
+def _shingles(words: Column, width: int, short: list[int], join) -> Column:
+    """join(words) for every shingle of a document, of the common width and of those of short items."""
+    whole = lambda *ws: join(_text(*ws))
+    return F.concat(_runs(words, width, join), *[_runs(words, k, whole) for k in short])
 
 
 def _text(*words: Column) -> Column:
@@ -65,7 +75,7 @@ def _items(items: DataFrame, width: int, share: float) -> DataFrame:
     """key (never null), item_id, shingles (distinct strings), n, and m, of how many of them (by hash) the sketch is; one row for each distinct item."""
     key = F.xxhash64(F.col("item_id").isNull(), "item_id", F.array_join("w", " "), F.lit("item"))
     rows = items.select("item_id", _words().alias("w")).where(F.size("w") > 0).withColumn("key", key).dropDuplicates(["key"])
-    rows = rows.select("key", "item_id", F.array_distinct(_shingles(F.col("w"), width, _text)).alias("shingles"))
+    rows = rows.select("key", "item_id", F.array_distinct(_item_shingles(F.col("w"), width)).alias("shingles"), F.size("w").alias("words"))
     rows = rows.withColumn("n", F.size("shingles")).withColumn("partition", F.ceil(F.log2(F.col("n").cast("double"))).cast("int"))
     # the most shingles that an item of the partition may lack, and one more
     most = F.pow(F.lit(2.0), F.col("partition"))
@@ -87,6 +97,7 @@ def _possible(hashes: DataFrame, index: DataFrame) -> DataFrame:
 def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float = SHARE) -> DataFrame:
     """rk, doc_id, item_id, n_shingles, n_found, containment: one row for each document row key and item it contains."""
     table = written(_items(items, width, share), "decontam-items")
+    short = sorted(r[0] for r in table.where(F.col("words") < width).select("words").distinct().collect())  # fewer than `width` numbers
     # the hash of a shingle's words, as documents compute it
     parts = F.split(F.col("s"), " ")
     hashed = F.when(F.size(parts) == width, F.xxhash64(*[F.get(parts, F.lit(k)) for k in range(width)])).otherwise(F.xxhash64("s"))
@@ -96,7 +107,7 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: f
     n_index = index.count()
     keyed = docs.select(row_key().alias("rk"), F.col("doc_id"), "text")
     words = keyed.select("rk", _words().alias("w"))
-    hashes = words.select("rk", F.explode(_shingles(F.col("w"), width, _hash)).alias("h"))
+    hashes = words.select("rk", F.explode(_shingles(F.col("w"), width, short, _hash)).alias("h"))
     if n_index > shared.BROADCAST_ROWS:
         hashes = _possible(hashes, index)
     found = hashes.join(small(index, n_index), "h").groupBy("rk").agg(F.collect_set("key").alias("items"))
@@ -104,7 +115,7 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: f
     n_found = found.count()
     rows = keyed.join(small(found, n_found), "rk").dropDuplicates(["rk"])
     rows = rows.select("rk", "doc_id", "items", _words().alias("w"))
-    rows = rows.select("rk", "doc_id", "items", F.explode(F.array_distinct(_shingles(F.col("w"), width, _text))).alias("s"))
+    rows = rows.select("rk", "doc_id", "items", F.explode(F.array_distinct(_shingles(F.col("w"), width, short, _text))).alias("s"))
     known = table.select("key", F.explode("shingles").alias("s"))
     pairs = rows.join(small(known, table.agg(F.sum("n")).first()[0] or 0), "s").where(F.array_contains("items", F.col("key")))
     pairs = pairs.groupBy("rk", "doc_id", "key").agg(F.count("*").cast("int").alias("n_found"))

@@ -10,7 +10,9 @@ def _shingled(table: str, key: str, name: str) -> str:
 {name} AS (SELECT DISTINCT {key}, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] ELSE [array_to_string(w, ' ')] END) AS s FROM {name}_w)"""
 
 
-DECONTAMINATION = f"""WITH {_shingled("documents", "doc_id", "d")}, {_shingled("benchmark", "item_id", "b")},
+DECONTAMINATION = f"""WITH {_shingled("documents", "doc_id", "l")}, {_shingled("benchmark", "item_id", "b")},
+k AS (SELECT DISTINCT len(w) AS k FROM b_w WHERE len(w) < 5),
+d AS (SELECT doc_id, s FROM l JOIN l_w USING (doc_id) WHERE len(w) >= 5 UNION SELECT doc_id, unnest([array_to_string(w[i:i + k - 1], ' ') for i in range(1, len(w) - k + 2)]) FROM l_w JOIN k ON len(w) >= k),
 n AS (SELECT item_id, count(*) AS n_shingles FROM b GROUP BY item_id)
 SELECT doc_id, item_id, any_value(n_shingles) AS n_shingles, count(*) AS n_found, round(count(*) / any_value(n_shingles)::DOUBLE, 6) AS containment
 FROM d JOIN b USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= ceil(any_value(n_shingles) * 0.8::DOUBLE - 1e-9)"""

@@ -33,3 +33,36 @@ def test_an_index_beyond_the_bound(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BITMAP", 8)
     assert sorted(map(tuple, decontam.decontam_query(docs, items).collect())) == once and len(once) == 20
     assert decontam.clean_docs(docs, items).count() == 20
+
+
+def test_short_items_in_long_documents(spark):
+    """Items of one to four words at the start, in the middle and at the end, against plain search; longer items as before."""
+    import random
+    import re
+
+    r = random.Random(9)
+    items = ["alpha", "Alpha, beta!", "alpha beta gamma", "alpha beta gamma delta", "alpha beta gamma delta epsilon", "w1 w2", "...", None]
+    docs = []
+    for k, t in enumerate(t for t in items[:6]):
+        rest = [f"w{r.randrange(40)}" for _ in range(600)]
+        docs += [f"{t} {' '.join(rest)}", " ".join([*rest[:300], t, *rest[300:]]), f"{' '.join(rest)} {t}"]
+    docs += ["alpha gamma beta", "alpha", "beta gamma", "alphabeta", "", None, "Alpha  BETA", "gamma delta epsilon alpha beta"]
+
+    def words(t):
+        return re.findall(r"[^\W_]+", (t or "").lower())
+
+    def runs(w, k):
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+
+    want = Counter()
+    for d, t in enumerate(docs):
+        for i, x in enumerate(items):
+            w = words(x)
+            if w:
+                of = runs(w, min(5, len(w)))
+                found = len(of & runs(words(t), min(5, len(w))))
+                if found >= 0.8 * len(of):
+                    want[d, i, len(of), found] += 1
+    docs = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = decontam.decontam_query(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    assert Counter((r.doc_id, r.item_id, r.n_shingles, r.n_found) for r in got.collect()) == want and len(want) > 40
