@@ -3,13 +3,14 @@
 A page is cut into blocks of text at block-level tags. A linear classifier gives each
 block a cost of being content less a cost of being boilerplate, from its own text
 (words, links, end of a sentence, tag) and, moderately, from what encloses it (tags,
-roles, words of class and id names). These costs are the terminal capacities of a
+roles, what class and id names end in). These costs are the terminal capacities of a
 graph. Smoothness edges tie neighbours in page order, the more the nearer they are in
 the DOM, and blocks of one container with one block between them; an edge is weaker,
 never gone, where what encloses the two speaks differently. The minimum cut, by
 max-flow, labels the blocks: a short line goes with the article around it, an advert
 between paragraphs does not. Blocks whose own costs outweigh all their edges are
-labelled first, which is exact and leaves small graphs.
+labelled first, which is exact and leaves small graphs. Where the cut would leave nothing of a
+page that has a block of prose outside all boilerplate, that block is a seed of content.
 
 White space inside a block becomes one space, blocks are trimmed and joined in page
 order by one space, character references are decoded. Pages are read in one pass,
@@ -55,6 +56,8 @@ _INLINE = frozenset(
 )
 #: What ends an open tag of its own kind.
 _ENDS_OWN = frozenset("p li dt dd tr td th option".split())
+#: What an inline end tag does not reach beyond.
+_BORDERS = frozenset("td th table".split())
 _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre td dd figcaption".split())
 #: What an enclosing tag adds to the cost of content.
 _TAGS = {"nav": 4.0, "footer": 4.0, "aside": 4.0, "form": 4.0, "menu": 4.0, "header": 4.0, "button": 4.0, "dialog": 4.0, "head": 8.0, "fieldset": 2.0, "address": 1.0}
@@ -70,8 +73,15 @@ _NAMES = {
     **dict.fromkeys("alert aside disclaimer feedback form header legal overlay reply tags toc toolbar warning".split(), 1.0),
     **dict.fromkeys("article content main body entry post story text prose".split(), -1.0),
 }
+#: Parts of a name that say where or what kind of box, not what is in it; the part before them speaks.
+_BOXES = frozenset(
+    "area article articles bar block body bottom box btn bundle button buttons card cards cell col column container content desktop element first form grid group head heading icon icons inner item items last left "
+    "link links list lists main mobile module news outer overlay page panel part post posts primary region right row secondary section secondary slot stories strip text title top unit view wrap wrapper zone".split()
+)
 #: The most that what encloses a block can say; hidden text is beyond it.
 _MOST, _UNSEEN = 5.0, 12.0
+#: A block of this cost or less makes sure that a page is not empty.
+SEED = -1.0
 #: Smoothness of neighbours under one parent; it halves with each level up to the common ancestor,
 #: and falls with the difference of what encloses them, by e for each CONTRAST.
 TIE, CONTRAST = 2.0, 3.0
@@ -85,6 +95,14 @@ class _Node:
         self.depth = up.depth + 1 if up else 0
 
 
+def _said(parts: list[str]) -> float:
+    """What a class or id name says: its last part does, so that share-price is a price; of related-posts, whose last part is a box, the one before."""
+    for n in reversed(parts):
+        if n not in _BOXES:
+            return _NAMES.get(n, 0.0)
+    return _NAMES.get(parts[-1], 0.0) if parts else 0.0
+
+
 def _own_cost(tag: str, attributes: str, inside: bool) -> float:
     """What a tag adds to the cost of content."""
     cost = _TAGS.get(tag, 0.0)
@@ -97,7 +115,7 @@ def _own_cost(tag: str, attributes: str, inside: bool) -> float:
             k, value = k.lower(), x or y or z
             if k in ("class", "id") and tag not in ("html", "body"):
                 # a name such as has-sidebar tells of what else the page holds
-                said = [_NAMES.get(n, 0.0) for whole in value.lower().split() if not whole.startswith(("has-", "with-", "no-")) for n in _NAME.findall(whole)]
+                said = [_said(_NAME.findall(whole)) for whole in value.lower().split() if not whole.startswith(("has-", "with-", "no-"))]
                 cost += max([0.0, *said]) + min([0.0, *said])
             elif k == "role":
                 cost += _ROLES.get(value.lower(), 0.0)
@@ -153,6 +171,7 @@ def blocks(page: str) -> list[tuple[str, int, _Node]]:
     linked = at = 0
     block = root  # the innermost block-level node
     open_: Counter[str] = Counter()
+    within: list[Counter[str]] = [Counter()]  # inline tags open since each table's or cell's begin
     scan, size = _Scanner(page), len(page)
 
     def flush() -> None:
@@ -176,6 +195,10 @@ def blocks(page: str) -> list[tuple[str, int, _Node]]:
         nonlocal here, block
         while here.depth >= node.depth:
             open_[here.tag] -= 1
+            if here.tag in _BORDERS:
+                within.pop()
+            elif here.tag in _INLINE:
+                within[-1][here.tag] -= 1
             here = here.up
         while block.depth > here.depth:
             block = block.up
@@ -206,15 +229,11 @@ def blocks(page: str) -> list[tuple[str, int, _Node]]:
         if ends:  # an end tag closes the nearest node of its name; one without a partner is dropped
             if not inline:
                 flush()
-            if open_[tag] > 0:
+            if (within[-1] if inline else open_)[tag] > 0:  # an inline end tag stays within its cell
                 node = here
-                while node is not root and node.tag != tag:
-                    if inline and node.tag in ("td", "th", "table"):
-                        node = root
-                        break
+                while node.tag != tag:
                     node = node.up
-                if node is not root:
-                    close(node)
+                close(node)
             continue
         empty = attributes.rstrip().endswith("/")
         if tag in _RAW:
@@ -239,6 +258,10 @@ def blocks(page: str) -> list[tuple[str, int, _Node]]:
         cost = _own_cost(tag, attributes, here.inside)
         here = _Node(tag, here, here.cost + cost, here.inside or tag in ("article", "main"), here.link or tag == "a")
         open_[tag] += 1
+        if tag in _BORDERS:
+            within.append(Counter())
+        elif inline:
+            within[-1][tag] += 1
         if not inline:
             block = here
     flush()
@@ -378,7 +401,12 @@ def graph(found: list[tuple[str, int, _Node]]) -> tuple[list[float], dict[tuple[
 def main_text(page: str) -> tuple[str, int, int]:
     """The main text, the number of blocks, and how many of them are content."""
     found = blocks(page)
-    label = minimum_cut(*graph(found))
+    unary, edges = graph(found)
+    label = minimum_cut(unary, edges)
+    if found and not any(label) and min(unary) <= SEED:
+        # links around a lone paragraph may outweigh it: what speaks most clearly for content is content, and the cut finds the rest
+        unary[unary.index(min(unary))] = -math.inf
+        label = minimum_cut(unary, edges)
     kept = [t for (t, _, _), x in zip(found, label, strict=True) if x]
     return " ".join(kept), len(found), len(kept)
 

@@ -199,6 +199,37 @@ def test_open_tags_and_quotes():
     assert texts('<p a="open>x</p><p>y</p>') == ["x", "y"]
 
 
+_PROSE = ["The first of two sentences has exactly eighteen words in it so that nobody can call it short.", "And the second one is about as long as the first one was, with a few more words."]
+
+
+@pytest.mark.parametrize("name", "share-price popular-science related-work menu-recipes privacy-law cookie-recipes login-guide notice-of-change comment-on-law".split())
+def test_a_part_of_a_name_says_nothing(name):
+    page = f'<body><div class="{name}"><h2>A title</h2><p>{_PROSE[0]}</p><p>{_PROSE[1]}</p></div></body>'
+    assert html_main.main_text(page)[0] == " ".join(["A title", *_PROSE])
+
+
+@pytest.mark.parametrize("name", "share share-buttons related-posts site-footer cookie-banner comment-list sidebar-left c-share__item ad-slot newsletter-signup main-nav comment-body".split())
+def test_what_a_name_ends_in_speaks(name):
+    page = f'<body><div class="story"><p>{_PROSE[0]}</p><p>{_PROSE[1]}</p></div><div class="{name}"><p>Something else that is short</p><p>and more of it here</p></div></body>'
+    assert html_main.main_text(page)[0] == " ".join(_PROSE)
+
+
+def test_prose_between_links_stays():
+    assert html_main.main_text(f'<body><div><a href="x">One link</a></div><div><a href="y">Another</a></div><p>{_PROSE[0]}</p></body>')[0] == _PROSE[0]
+    assert html_main.main_text('<body><nav><a href="x">One link</a></nav><div class="cookie-banner"><p>We use cookies so that this page works, and you can say no to them below.</p></div></body>')[0] == ""
+
+
+def test_stray_inline_ends_take_linear_time():
+    import time
+
+    n = 60_000
+    began = time.process_time()
+    html_main.main_text("<b><table>" + "<i>" * n + "</b>" * n)
+    assert time.process_time() - began < 5
+    # an end tag in a cell does not reach out of it; one after the table does
+    assert html_main.blocks("<div><b>x<table><tr><td>y</b>z</td></tr></table>w</b></div>") and [t for t, _, _ in html_main.blocks("<p>a<b>b</p><p>c</b>d</p>")] == ["ab", "cd"]
+
+
 def test_minimum_cut_against_all_labellings():
     import itertools
     import random
