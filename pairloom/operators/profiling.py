@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -134,3 +136,10 @@ def change_statistics(pairs: DataFrame) -> DataFrame:
     """Mean, median and deviation of the word and character change ratios."""
     found = statistics(pairs, word_ratio=scoring.word_change_ratio("clean", "corrupted"), char_ratio=scoring.change_ratio("clean", "corrupted"))
     return found.select("name", "n", "mean", "median", "std")
+
+
+def cube(rows: DataFrame, columns: list[str], most: int, **measures: Column) -> DataFrame:
+    """level (bits of the columns that are summed over), the columns and the measures, for every set of up to `most` columns: one scan, one aggregation."""
+    sets = [[F.col(c) for c in chosen] for k in range(most + 1) for chosen in combinations(columns, k)]
+    found = rows.groupingSets(sets, *columns).agg(F.grouping_id().cast("int").alias("level"), *[c.alias(k) for k, c in measures.items()])
+    return found.select("level", *columns, *measures)

@@ -288,3 +288,16 @@ def conversation_template(spark, sf):
 @query("text_truncate", "SELECT doc_id, substr(text, 1, 80) AS head, upper(lang) AS lang FROM documents")
 def text_truncate(spark, sf):
     return docs(spark, sf).select("doc_id", F.substring("text", 1, 80).alias("head"), F.upper("lang").alias("lang"))
+
+
+@query(
+    "profile_cube",
+    f"""WITH {oracle.pieces()}, {oracle.classified('sentences', 'classified')}, r AS (SELECT lang, source, domain, sentence FROM classified JOIN documents USING (doc_id))
+SELECT GROUPING_ID(lang, source, domain)::INT AS level, lang, source, domain, count(*) AS n, sum(length(sentence))::BIGINT AS n_chars, max(length(sentence)) AS longest FROM r
+GROUP BY GROUPING SETS ((), (lang), (source), (domain), (lang, source), (lang, domain), (source, domain))""",
+)
+def profile_cube(spark, sf):
+    """Sentences by language, source and domain, and by each two of them."""
+    found = sentences.split(docs(spark, sf)).select("doc_id", F.length("sentence").alias("n"), sentences.classify("sentence").alias("domain"))
+    rows = found.join(docs(spark, sf).select("doc_id", "lang", "source"), "doc_id")
+    return profiling.cube(rows, ["lang", "source", "domain"], 2, n=F.count("*"), n_chars=F.sum("n"), longest=F.max("n"))

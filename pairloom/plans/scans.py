@@ -121,6 +121,13 @@ def pool_metadata(spark, sf):
     return spark.read.json(f"{path}/metadata").select("total_sentences", "domains", "collection_method", "quality_filtered")
 
 
+@query("pool_report", f"WITH {oracle.pool()}, p AS (SELECT domain AS value, count(*) AS n, sum(length(sentence)) AS chars FROM pool GROUP BY domain) SELECT value, n FROM p UNION ALL SELECT 'total_sentences', sum(n)::BIGINT FROM p UNION ALL SELECT 'total_chars', sum(chars)::BIGINT FROM p UNION ALL SELECT 'domains', count(*) FROM p")
+def pool_report(spark, sf):
+    """The report that the write of the pool returns, without another pass."""
+    meta = files.write_pool(pool(spark, sf), places.scratch(spark, "pool"))
+    return spark.createDataFrame([*meta["domain_counts"].items(), *[(k, meta[k]) for k in ("total_sentences", "total_chars", "domains")]], "value string, n long")
+
+
 _DOMAIN_SAMPLES = [(d, i, f"{a} {b}") for d, (starts, ends) in cases.DOMAIN_PARTS.items() for i, (a, b) in enumerate((a, b) for b in ends for a in starts)]
 
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairloom.functions.lexicons import COLUMN_PAIRS
+from pairloom.functions.lexicons import COLUMN_PAIRS, DOMAINS
 
 #: Training examples; earlier files lack some fields.
 EXAMPLE = (
@@ -51,15 +51,33 @@ def read_pool(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     return rows.select(F.explode("sentences_by_domain").alias("domain", "s")).select("domain", F.posexplode("s").alias("pos", "sentence"))
 
 
-def write_pool(pool: DataFrame, path: str, method: str = "documents") -> None:
-    """One JSON file a domain and a metadata file: no domain's sentences meet in a single task's memory.
+def write_observed(df: DataFrame, path: str, kind: str = "parquet", by: tuple[str, ...] = (), **measures: Column) -> dict:
+    """Write df and return the measures (aggregates) of what was written, taken by the job that writes.
 
-    `pool_document` gives the single-document form for pools that fit a row.
+    The measures stand in the stage that writes, whose tasks count once however often they are tried.
     """
-    pool.select("domain", "sentence").repartition("domain").write.partitionBy("domain").json(f"{path}/sentences")
-    counts = pool.groupBy("domain").agg(F.count("*").alias("n"))
-    meta = counts.agg(F.sum("n").alias("total_sentences"), F.count("*").alias("domains"), F.map_from_entries(F.collect_list(F.struct("domain", "n"))).alias("domain_counts"))
-    meta.select("*", F.lit(method).alias("collection_method"), F.lit(True).alias("quality_filtered")).coalesce(1).write.json(f"{path}/metadata")
+    seen = Observation()
+    df.observe(seen, *[c.alias(k) for k, c in measures.items()]).write.partitionBy(*by).format(kind).save(path)
+    return seen.get
+
+
+#: Files of a domain in a written pool.
+POOL_FILES = 16
+
+
+def write_pool(pool: DataFrame, path: str, method: str = "documents") -> dict:
+    """JSON files by domain and a metadata file, which is returned as well; counted while the sentences are written.
+
+    A domain is dealt over several tasks. `pool_document` gives the single-document form for pools that fit a row.
+    """
+    names = [*DOMAINS, "general"] if "general" not in DOMAINS else [*DOMAINS]
+    rows = pool.select("domain", "sentence").repartition(F.col("domain"), F.pmod(F.xxhash64("sentence"), F.lit(POOL_FILES)))
+    found = write_observed(rows, f"{path}/sentences", "json", ("domain",), total=F.count("*"), chars=F.sum(F.length("sentence")), **{f"n_{d}": F.count_if(F.col("domain") == d) for d in names})
+    counts = {d: found[f"n_{d}"] for d in names if found[f"n_{d}"]}
+    meta = {"total_sentences": found["total"], "total_chars": found["chars"] or 0, "domains": len(counts), "domain_counts": counts, "collection_method": method, "quality_filtered": True}
+    schema = "total_sentences long, total_chars long, domains long, domain_counts map<string, long>, collection_method string, quality_filtered boolean"
+    pool.sparkSession.createDataFrame([tuple(meta.values())], schema).coalesce(1).write.json(f"{path}/metadata")
+    return meta
 
 
 def pool_documents(pool: DataFrame, *by: str, method: str = "documents") -> DataFrame:
