@@ -144,7 +144,7 @@ class FactorisationMachine:
                 size = (at[1:] - at[:-1])[ids]
                 doc = np.repeat(np.arange(len(ids)), size)
                 entry = np.repeat(at[ids], size) + np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
-                c, x = column[entry], value[entry]
+                c, x = column[entry].astype(np.int64), value[entry].astype(np.float64)
                 sums = np.stack([np.bincount(doc, self.v[c, f] * x, len(ids)) for f in range(self.v.shape[1])], 1)
                 score = self.raw(c, x, np.append(0, np.cumsum(size)))
                 err = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - label[ids]) * weight[ids] / len(ids)
@@ -192,12 +192,25 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     chosen = known.withColumn("k", F.xxhash64("doc_id", F.lit("quality"))).orderBy("k", "doc_id").limit(sample)
     chosen = F.broadcast(chosen)  # at most `sample` rows
     # should an id repeat, its least text stands for it
-    rows = _vectors(docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest).join(chosen, "doc_id")).groupBy("k").agg(F.min(F.struct("c", "x", "label")).alias("r")).select("k", "r.*").collect()
-    rows.sort(key=lambda r: r.k)
-    c = np.frombuffer(b"".join(r.c for r in rows), np.uint32).astype(np.int64)
-    x = np.frombuffer(b"".join(r.x for r in rows), np.float32).astype(np.float64)
-    at = np.append(0, np.cumsum([len(r.c) // 4 for r in rows])).astype(np.int64)
-    return FactorisationMachine().fit(c, x, at, np.array([r.label for r in rows], np.float64))
+    rows = _vectors(docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest).join(chosen, "doc_id")).groupBy("k").agg(F.min(F.struct("c", "x", "label")).alias("r")).select("k", "r.*")
+    c, x, at, label = packed(rows)
+    return FactorisationMachine().fit(c, x, at, label)
+
+
+def packed(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Columns, values, first entries and labels of few rows by k. They come part by part, and each value stays in its four bytes, so the driver holds little more than these arrays."""
+    got, c, x = [], bytearray(), bytearray()
+    for r in rows.coalesce(8).toLocalIterator():
+        got.append((r.k, len(c) // 4, len(r.c) // 4, r.label))
+        c += r.c
+        x += r.x
+    got.sort()
+    at = np.append(0, np.cumsum([n for _, _, n, _ in got])).astype(np.int64)
+    out = np.empty(at[-1], np.uint32), np.empty(at[-1], np.float32)
+    for to, raw in zip(out, (np.frombuffer(bytes_, to.dtype) for to, bytes_ in zip(out, (c, x), strict=True)), strict=True):
+        for (_, first, n, _), begin in zip(got, at, strict=False):
+            to[begin : begin + n] = raw[first : first + n]
+    return *out, at, np.array([label for *_, label in got], np.float64)
 
 
 def _scored(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
