@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.components import components
-from pairloom.llm.shared import forget, hashed_words, mix, pieces, row_key, small, utf8, with_classes, written
+from pairloom.llm.shared import BROADCAST_ROWS, forget, hashed_words, mix, pieces, row_key, small, utf8, with_classes, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -150,38 +150,59 @@ def alike(n: Column | str, spare: Column | str, m: Column | str, other: Column |
     return F.least(f(spare), f(other)) * (100 + share) >= (f(n) + f(m)) * share
 
 
-def spares(members: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+def spares(members: DataFrame, sets: DataFrame, crowd: DataFrame, n_crowd: int, share: int) -> DataFrame:
     """members (key, c, n, m) with spare, how many shingles a member can share with another of its bucket at most; without members that cannot have a partner.
 
     In a bucket of `LARGE` members and more, shingles that no other member of any such bucket has are not counted:
-    most members of a crowd that is alike, but not enough so, go here without a test.
+    most members of a crowd that is alike, but not enough so, go here without a test. crowd: c of the members of such buckets.
     """
-    large = F.col("m") >= LARGE
-    crowd = written(members.where(large).select("c").distinct(), "minhash-crowd")
-    n_crowd = crowd.count()
     if not n_crowd:
         return members.withColumn("spare", F.col("n"))
     each = sets.join(small(crowd, n_crowd), "c").select("c", F.explode("shingles").alias("h"))
-    own = each.groupBy("h").agg(F.count("*").alias("sets"), F.min("c").alias("c")).where("sets = 1").groupBy("c").agg(F.count("*").alias("own"))
-    own = written(own, "minhash-own")
-    rows = members.join(small(own, own.count()), "c", "left").withColumn("spare", F.col("n") - F.when(large, F.coalesce("own", F.lit(0))).otherwise(0)).drop("own")
+    alone = each.groupBy("h").agg(F.count("*").alias("sets"), F.min("c.a").alias("a"), F.min("c.b").alias("b")).where("sets = 1")
+    own = written(alone.groupBy(F.struct("a", "b").alias("c")).agg(F.count("*").alias("own")), "minhash-own")
+    spare = F.col("n") - F.when(F.col("m") >= LARGE, F.coalesce("own", F.lit(0))).otherwise(0)
+    rows = members.join(small(own, own.count()), "c", "left").withColumn("spare", spare).drop("own")
     return rows.where(F.col("spare") * 100 >= F.col("n") * share)
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) with n, the sum of their sets' sizes, and common. A set that many pairs share as a is sent in copies, to a slice of them each."""
-    heavy = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / HEAVY).cast("int").alias("slices")).where("slices > 1"), "minhash-heavy")
-    n_heavy = heavy.count()
-    slices = F.coalesce("slices", F.lit(1))
-    left = sets.select(F.col("c").alias("a"), F.col("shingles").alias("x"))
+    """The pairs (a, b and what else they have), distinct, with n, the sum of their sets' sizes, and common; as a written table.
+
+    Only sets of pairs are sent. A set that many pairs share as a is sent in copies, to a slice of them each.
+    """
+    pairs = written(pairs.distinct(), "minhash-pairs")
+    n_pairs = pairs.count()
+    left, right = (sets.select(F.col("c").alias(k), F.col("shingles").alias(s)) for k, s in (("a", "x"), ("b", "y")))
+    if n_pairs <= BROADCAST_ROWS:
+        left, right = (side.join(F.broadcast(pairs.select(k)), k, "left_semi") for side, k in ((left, "a"), (right, "b")))
+    n_heavy = 0
+    if n_pairs > HEAVY:
+        heavy = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / HEAVY).cast("int").alias("slices")).where("slices > 1"), "minhash-heavy")
+        n_heavy = heavy.count()
     if n_heavy:
-        pairs = pairs.join(small(heavy, n_heavy), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), slices).cast("int").alias("slice"))
+        slices = F.coalesce("slices", F.lit(1))
+        sliced = pairs.join(small(heavy, n_heavy), "a", "left").withColumn("slice", F.pmod(F.xxhash64("b"), slices).cast("int")).drop("slices")
         left = left.join(small(heavy, n_heavy), "a", "left").select("a", "x", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"))
-        both = pairs.join(left, ["a", "slice"])
+        both = sliced.join(left, ["a", "slice"]).drop("slice")
     else:
         both = pairs.join(left, "a")
-    both = both.join(sets.select(F.col("c").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", (F.size("x") + F.size("y")).cast("long").alias("n"), F.size(F.array_intersect("x", "y")).cast("long").alias("common"))
+    n, common = (F.size("x") + F.size("y")).cast("long"), F.size(F.array_intersect("x", "y")).cast("long")
+    tested = written(both.join(right, "b").withColumn("n", n).withColumn("common", common).drop("x", "y"), "minhash-tested")
+    forget(pairs)
+    return tested
+
+
+def joined_roots(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """roots (node, root) after links (a, b) between roots, or nodes that had none, as a written table."""
+    new = components(links)
+    if roots is not None:
+        new = written(new, "minhash-joined")
+        n = new.count()
+        to = small(new.select(F.col("node").alias("root"), F.col("root").alias("to")), n)
+        known = roots.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        new = known.unionByName(new.join(small(roots.select("node"), roots.count()), "node", "left_anti"))
+    return written(new, "minhash-roots")
 
 
 def apart(n: Column, own: Column, far: Column, m: Column, others: Column, other_far: Column, share: int) -> Column:
@@ -197,56 +218,58 @@ def apart(n: Column, own: Column, far: Column, m: Column, others: Column, other_
 
 def component_roots(docs: DataFrame, classes: DataFrame, width: int, share: int) -> DataFrame | None:
     """(node, root) of the classes that link with another; None if none does. classes: c, n, keys, rk."""
-    rows = classes.select("c", "n", F.explode("keys").alias("key"))
+    rows = classes.select("c", "n", "rk", F.explode("keys").alias("key"))
     buckets = written(rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "minhash-buckets")
     total = buckets.agg(F.sum("m")).first()[0]
     if not total:
         return None
     members = written(with_classes(rows, buckets, "key", "m", total), "minhash-members")
-    wanted = written(classes.join(members.select("c").distinct(), "c").select("rk", "c"), "minhash-wanted")
-    sets = written(sets_of(docs, wanted, wanted.count(), width), "minhash-sets")
+    wanted = written(members.groupBy("c", "rk", "n").agg((F.max("m") >= LARGE).alias("crowd")), "minhash-wanted")
+    n_wanted, n_crowd = wanted.agg(F.count("*"), F.count_if("crowd")).first()
+    sets = written(sets_of(docs, wanted.select("rk", "c"), n_wanted, width), "minhash-sets")
+    members = written(spares(members.drop("rk"), sets, wanted.where("crowd").select("c"), n_crowd, share), "minhash-members")
     forget(buckets, wanted)
-    members = written(spares(members, sets, share), "minhash-members")
     # the first pivot is the member with the fewest shingles of its own: what links with others mostly links with it
     pivots = members.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct((F.col("n") - F.col("spare")).alias("own"), "c", "n", "spare")).alias("pivot")).where("m > 1")
-    members = written(with_classes(members.drop("m"), written(pivots, "minhash-pivots"), "key", "m", total), "minhash-members")
+    pivots = written(pivots, "minhash-pivots")
+    members = written(with_classes(members.drop("m"), pivots, "key", "m", total, pivots.count()), "minhash-members")
     other = F.col("c") != F.col("pivot.c")
-    pairs = members.where(other & alike("n", "spare", "pivot.n", "pivot.spare", share)).select(F.col("pivot.c").alias("a"), F.col("c").alias("b"))
-    pairs = written(pairs.distinct(), "minhash-pairs")
+    pairs = members.where(other & alike("n", "spare", "pivot.n", "pivot.spare", share)).select(F.col("pivot.c").alias("a"), F.col("c").alias("b"), F.col("pivot.c").alias("ra"), F.col("c").alias("rb"))
     rest = members.where(other).select("key", "c", "n", "spare", F.col("pivot.c").alias("p"))
     roots, first, most = None, None, 64
     while True:
-        tested = written(compared(pairs, sets), "minhash-tested")
-        links = tested.where(F.col("common") * 100 >= (F.col("n") - F.col("common")) * share).select("a", "b")
+        tested = compared(pairs, sets)
+        links = tested.where(F.col("common") * 100 >= (F.col("n") - F.col("common")) * share).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
         if links.count():
-            if roots is not None:
-                links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-            roots = written(components(links), "minhash-roots")
+            roots = joined_roots(roots, links)
         state = rest.withColumn("root", F.col("c"))
         if roots is not None:
-            state = rest.join(roots, F.col("c") == F.col("node"), "left").select(rest["*"], F.coalesce("root", "c").alias("root"))
+            state = rest.join(small(roots, roots.count()), F.col("c") == F.col("node"), "left").select(rest["*"], F.coalesce("root", "c").alias("root"))
         state = written(state, "minhash-rest")
         by_root = state.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("m"), F.max(F.struct("m", "root")).alias("top"))
         open_ = written(by_root.where(F.col("m") > F.col("top.m")).select("key", "m", (F.col("m") - F.col("top.m")).alias("others"), F.col("top.root").alias("top")), "minhash-open")
-        forget(members, pairs)
-        total = open_.agg(F.sum("m")).first()[0]
+        forget(members)
+        n_open, total = open_.agg(F.count("*"), F.sum("m")).first()
         if not total:
             return roots
         # of the members outside the largest component, `most` by hash become pivots; others stay for the next round
         drawn = (F.col("root") != F.col("top")) & ((F.col("others") <= most) | (F.pmod(F.xxhash64("c", F.lit(most)), F.col("others")) < most))
-        members = with_classes(state, open_, "key", "m", total).withColumn("drawn", drawn).drop("m", "others", "top")
+        members = with_classes(state, open_, "key", "m", total, n_open).withColumn("drawn", drawn).drop("m", "others", "top")
         if first is None:  # how far each is from its bucket's first pivot
             first = tested.select(F.col("a").alias("p"), F.col("b").alias("c"), (F.col("n") - 2 * F.col("common")).alias("far"))
-            members = members.join(first, ["p", "c"], "left").drop("p")
+            members = members.join(small(first, tested.count()), ["p", "c"], "left").drop("p")
         members = written(members, "minhash-members")
-        mine = members.groupBy("c").agg(F.collect_list("key").alias("mine"))  # at most one for each band
-        members = written(members.drop("mine").join(mine, "c"), "minhash-members")
         forget(state, open_)
-        pivots = members.where("drawn").select("key", F.col("c").alias("a"), F.col("n").alias("na"), F.col("spare").alias("sa"), F.col("far").alias("fa"), F.col("root").alias("ra"), F.col("mine").alias("theirs"))
+        mine = members.groupBy("c").agg(F.collect_list("key").alias("mine"))  # at most one for each band
+        keyed = members.join(small(mine, total), "c")
+        if total > BROADCAST_ROWS:
+            keyed = written(keyed, "minhash-keyed")
+        pivots = keyed.where("drawn").select("key", F.col("c").alias("a"), F.col("n").alias("na"), F.col("spare").alias("sa"), F.col("far").alias("fa"), F.col("root").alias("ra"), F.col("mine").alias("theirs"))
         once = F.col("key") == F.array_min(F.array_intersect("mine", "theirs"))  # a pair meets in one bucket
         ruled_out = apart(F.col("n"), F.col("n") - F.col("spare"), F.col("far"), F.col("na"), F.col("na") - F.col("sa"), F.col("fa"), share)
-        meet = members.join(small(pivots, pivots.count()), "key").where((F.col("root") != F.col("ra")) & alike("n", "spare", "na", "sa", share) & ~ruled_out & (~F.col("drawn") | (F.col("a") < F.col("c"))) & once)
-        pairs = written(meet.select("a", F.col("c").alias("b")).distinct(), "minhash-pairs")
+        n_pivots = members.where("drawn").count()
+        meet = keyed.join(small(pivots, n_pivots), "key").where((F.col("root") != F.col("ra")) & alike("n", "spare", "na", "sa", share) & ~ruled_out & (~F.col("drawn") | (F.col("a") < F.col("c"))) & once)
+        pairs = meet.select("a", F.col("c").alias("b"), "ra", F.col("root").alias("rb"))
         rest = members.where(~F.col("drawn")).select("key", "c", "n", "spare", "far")
         most *= 16
 
@@ -261,12 +284,12 @@ def dedup(docs: DataFrame, width: int = WIDTH, share: int = SHARE, bands: int =
     empty = found.where("n = 0").select("rk", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     named = classes.select("c", "copies", "first", F.col("c").alias("root"))
     if roots is not None:
-        named = named.drop("root").join(roots, F.col("c") == F.col("node"), "left").select("c", "copies", "first", F.coalesce("root", "c").alias("root"))
+        named = named.drop("root").join(small(roots, roots.count()), F.col("c") == F.col("node"), "left").select("c", "copies", "first", F.coalesce("root", "c").alias("root"))
     named = written(named, "minhash-named")
     groups = written(named.groupBy("root").agg(F.min("first").alias("lead"), F.count("*").alias("sets")), "minhash-groups")
     n_classes, n_rows = named.count(), found.count()
-    leads = written(with_classes(named, groups, "root", "sets", n_classes).select("c", "copies", F.col("lead.doc_id").alias("component_id")), "minhash-leads")
-    of_full = with_classes(found.where("n > 0").select("rk", "doc_id", "n", "c"), leads, "c", "copies", n_rows)
+    leads = written(with_classes(named, groups, "root", "sets", n_classes, groups.count()).select("c", "copies", F.col("lead.doc_id").alias("component_id")), "minhash-leads")
+    of_full = with_classes(found.where("n > 0").select("rk", "doc_id", "n", "c"), leads, "c", "copies", n_rows, n_classes)
     return of_full.select("rk", "doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
 
 
